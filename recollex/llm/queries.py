@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from recollex.llm import sentencepiece_bpe, simhash, token_index, toxicity, url_filter
+from recollex.llm import decontaminate, secrets, sentencepiece_bpe, simhash, token_index, toxicity, url_filter
 from recollex.session import table
 from recollex.storage import new_path
 
@@ -38,6 +38,24 @@ def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Benchmark items found in documents."""
+    return decontaminate.contained(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+OP3_SQL = """
+WITH dw AS (SELECT doc_id, list_filter(regexp_split_to_array(lower(coalesce(text, '')), '[^\\p{L}\\p{N}]+'), lambda x: x <> '') AS w FROM documents),
+iw AS (SELECT item_id, list_filter(regexp_split_to_array(lower(coalesce(text, '')), '[^\\p{L}\\p{N}]+'), lambda x: x <> '') AS w FROM benchmark),
+ds AS (SELECT DISTINCT doc_id, unnest(CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 5 THEN [array_to_string(w, ' ')]
+         ELSE list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i+4], ' ')) END) AS s FROM dw),
+its AS (SELECT DISTINCT item_id, unnest(CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 5 THEN [array_to_string(w, ' ')]
+         ELSE list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i+4], ' ')) END) AS s FROM iw),
+sizes AS (SELECT item_id, count(*) AS n_item FROM its GROUP BY item_id),
+shared AS (SELECT doc_id, item_id, count(*) AS n_shared FROM ds JOIN its USING (s) GROUP BY doc_id, item_id)
+SELECT doc_id, item_id, n_shared, n_item, n_shared / n_item AS containment FROM shared JOIN sizes USING (item_id) WHERE n_shared >= ceil(n_item * 0.8)
+"""
+
+
 def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Toxicity of every document by a classifier fitted on the labels that aren't held out."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
@@ -51,6 +69,13 @@ def op6_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sentencepiece_bpe.digest(table(spark, sf_dir, "documents"), vocabulary("piece_bpe_32k.model"))
 
 
+def op7_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Secrets in documents: place, kind, share of votes and hash."""
+    trees = secrets.fit(secrets.findings(spark))
+    found = secrets.scan(table(spark, sf_dir, "documents").select("doc_id", "text"), trees)
+    return found.select("doc_id", F.inline("findings"))
+
+
 def op9_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Rule and verdict of every page's url."""
     pages = table(spark, sf_dir, "pages").select("page_id", "url")
@@ -76,11 +101,14 @@ SELECT page_id, host, path, split_part(hit, ' ', 2) AS rule, coalesce(split_part
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_token_index": op1_token_index,
     "op2_simhash": op2_simhash,
+    "op3_decontamination": op3_decontamination,
     "op4_toxicity": op4_toxicity,
     "op6_sentencepiece": op6_sentencepiece,
+    "op7_secrets": op7_secrets,
     "op9_url_filter": op9_url_filter,
 }
 
 ORACLE_SQL: dict[str, str] = {
+    "op3_decontamination": OP3_SQL,
     "op9_url_filter": OP9_SQL,
 }
