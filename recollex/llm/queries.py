@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from recollex.llm import decontaminate, secrets, sentencepiece_bpe, simhash, token_index, toxicity, url_filter
+from recollex.llm import decontaminate, licenses, neighbour_graph, rollups, secrets, sentencepiece_bpe, simhash, token_index, toxicity, url_filter
 from recollex.session import table
 from recollex.storage import new_path
 
@@ -64,6 +64,12 @@ def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", toxicity.held_out("doc_id").alias("held_out"), "score", (F.col("score") >= toxicity.THRESHOLD).cast("int").alias("predicted"))
 
 
+def op5_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ten nearest of every hundredth vector, by graph search."""
+    index = neighbour_graph.Index(table(spark, sf_dir, "embeddings"))
+    return index.neighbours(F.col("id") % 100 == 0, 10)
+
+
 def op6_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Ids and decoded text of every document, as digests."""
     return sentencepiece_bpe.digest(table(spark, sf_dir, "documents"), vocabulary("piece_bpe_32k.model"))
@@ -76,6 +82,32 @@ def op7_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.inline("findings"))
 
 
+def op8_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Licences in documents."""
+    return licenses.detect(table(spark, sf_dir, "documents"), licenses.templates_frame(spark))
+
+
+def _templates_sql() -> str:
+    rows = ", ".join("('{}', '{}')".format(name, text.replace("'", "''")) for name, text in licenses.TEMPLATES)
+    return f"(VALUES {rows}) AS v(license, text)"
+
+
+OP8_SQL = f"""
+WITH units AS (
+  SELECT DISTINCT doc_id AS k, unit FROM (SELECT doc_id, unnest(list_concat([text], regexp_split_to_array(text, '\\n[ \\t\\r]*\\n'), string_split(text, chr(10)))) AS unit FROM documents)
+), uw AS (
+  SELECT k, unit, list_filter(regexp_split_to_array(lower(unit), '[^\\p{{L}}\\p{{N}}]+'), lambda x: x <> '') AS w FROM units
+), ub AS (
+  SELECT k, unit, len(w) - 1 AS a, unnest(list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1])) AS b FROM uw WHERE len(w) BETWEEN 2 AND 1000
+), ut AS (SELECT k, unit, a, b, count(*) AS n FROM ub GROUP BY ALL),
+tw AS (SELECT DISTINCT license, list_filter(regexp_split_to_array(lower(text), '[^\\p{{L}}\\p{{N}}]+'), lambda x: x <> '') AS w FROM {_templates_sql()}),
+tb AS (SELECT license, w, len(w) - 1 AS c, unnest(list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1])) AS b FROM tw),
+tt AS (SELECT license, w, c, b, count(*) AS n FROM tb GROUP BY ALL),
+dice AS (SELECT k, license, 2 * sum(least(ut.n, tt.n)) / (a + c) AS d FROM ut JOIN tt USING (b) GROUP BY k, unit, license, w, a, c)
+SELECT k AS doc_id, license, max(d) AS dice FROM dice WHERE d >= 0.8 GROUP BY k, license
+"""
+
+
 def op9_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Rule and verdict of every page's url."""
     pages = table(spark, sf_dir, "pages").select("page_id", "url")
@@ -98,17 +130,44 @@ WITH rules(verdict, host, path) AS (
 SELECT page_id, host, path, split_part(hit, ' ', 2) AS rule, coalesce(split_part(hit, ' ', 1), 'allow') AS verdict FROM found
 """
 
+def op10_token_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Token totals by source, language and tokenizer after three batches, one of them sent twice.
+
+    All documents are loaded with counts of one vocabulary; those in other
+    languages than English are then counted again with a multilingual one, and
+    those labelled as of low quality are deleted.
+    """
+    docs = table(spark, sf_dir, "documents")
+    blank = F.lit(None).cast("string")
+    load = rollups.count_tokens(docs.select("doc_id", "source", "lang", "text"), vocabulary("byte_bpe_50k.json"))
+    load = load.select(F.lit("insert").alias("op"), "doc_id", "source", "lang", F.lit("byte_bpe_50k").alias("tokenizer"), "n_tokens", F.lit(1).alias("seq"))
+    foreign = docs.filter("lang <> 'en'").select("doc_id", "source", "lang", "text")
+    revise = rollups.count_tokens(foreign, vocabulary("byte_bpe_multi_50k.tiktoken"))
+    revise = revise.select(F.lit("revise").alias("op"), "doc_id", "source", "lang", F.lit("byte_bpe_multi_50k").alias("tokenizer"), "n_tokens", F.lit(2).alias("seq"))
+    low = table(spark, sf_dir, "labels").filter("quality = 0")
+    delete = low.select(F.lit("delete").alias("op"), "doc_id", blank.alias("source"), blank.alias("lang"), blank.alias("tokenizer"), F.lit(0).alias("n_tokens"), F.lit(3).alias("seq"))
+    store = rollups.RollupStore(spark, new_path(spark, "token-rollup"))
+    for batch, changes in (("load", load), ("multilingual", revise), ("low-quality", delete), ("multilingual", revise)):
+        store.apply(batch, changes)
+    store.compact()
+    return store.totals()
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_token_index": op1_token_index,
     "op2_simhash": op2_simhash,
     "op3_decontamination": op3_decontamination,
     "op4_toxicity": op4_toxicity,
+    "op5_neighbours": op5_neighbours,
     "op6_sentencepiece": op6_sentencepiece,
     "op7_secrets": op7_secrets,
+    "op8_licenses": op8_licenses,
     "op9_url_filter": op9_url_filter,
+    "op10_token_rollup": op10_token_rollup,
 }
 
 ORACLE_SQL: dict[str, str] = {
     "op3_decontamination": OP3_SQL,
+    "op8_licenses": OP8_SQL,
     "op9_url_filter": OP9_SQL,
 }
