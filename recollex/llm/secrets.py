@@ -2,7 +2,7 @@
 
 Candidates are private key blocks, values assigned to words such as ``token`` or
 ``password``, and runs of 16 or more characters of the kinds that keys are made
-of. A text is cut at its candidates, so each comes with its neighbourhood, and
+of, with a digit. A text is cut at its candidates, so each comes with its neighbourhood, and
 all work on a document happens in its own row: nothing is exploded or shuffled.
 
 Features: length; shares of digits, of hexadecimal digits and of distinct
@@ -44,8 +44,9 @@ DICTIONARY = ["your", "here", "change", "example", "sample", "placeholder", "pas
 
 _LEAD = "(?:" + "|".join(KEYWORDS) + r")[\"']?[ \t]{0,3}[:=][ \t]{0,3}[\"']?"
 _BLOCK = r"-----BEGIN [A-Z ]{0,20}PRIVATE KEY-----[A-Za-z0-9+/=\s]*+(?:-----END [A-Z ]{0,20}PRIVATE KEY-----)?"
-_RUN = r"[A-Za-z0-9+/_~.=-]{16,}"
-CANDIDATE = f"(?i:{_LEAD})[^\\s\"'<>]{{6,}}|{_BLOCK}|{_RUN}"
+_RUN = r"(?<![A-Za-z0-9+/_~.=-])(?=[A-Za-z+/_~.=-]*[0-9])[A-Za-z0-9+/_~.=-]{16,}"
+_FIRST = "(?=[" + "".join(sorted({c for w in KEYWORDS for c in (w[0], w[0].upper())})) + "])"
+CANDIDATE = f"{_FIRST}(?i:{_LEAD})[^\\s\"'<>]{{6,}}|{_BLOCK}|{_RUN}"
 
 
 def _count(v: Column, pattern: str) -> Column:
@@ -186,16 +187,22 @@ def _kind(value: Column) -> Column:
     )
 
 
+def _scored(docs: DataFrame, trees: list, text: str) -> DataFrame:
+    """Add ``_c``: array of (value, before, score). The score is in the array that later steps run over, not in another
+    column: Spark may move the expression of such a column into their lambdas and then evaluate all of it for each element."""
+    found = with_candidates(docs, text=text, out="_f")
+    return found.withColumn("_c", F.transform("_f", lambda c: F.struct(c["value"].alias("value"), c["before"].alias("before"), vote(trees, c["features"]).alias("score"))))
+
+
 def scan(docs: DataFrame, trees: list, *, text: str = "text", out: str = "findings") -> DataFrame:
     """Add ``out``: array of (start, length, kind, score, sha256), start from 0; and keep the candidates for ``redact``."""
-    scored = with_candidates(docs, text=text, out="_c").withColumn("_v", F.transform("_c", lambda c: vote(trees, c["features"])))
+    scored = _scored(docs, trees, text)
 
     def describe(c: Column, i: Column) -> Column:
         # Length of what lies before: cut pieces 0..i, matches 0..i-1, and the lead of match i.
         pieces = F.aggregate(F.slice("_s", F.lit(1), i + 1), F.lit(0), lambda a, x: a + F.length(x))
         matches = F.aggregate(F.slice("_m", F.lit(1), i), F.lit(0), lambda a, x: a + F.length(x))
-        score = F.get("_v", i)
-        return F.when(score >= 0.5, F.struct((pieces + matches + c["before"]).alias("start"), F.length(c["value"]).alias("length"), _kind(c["value"]).alias("kind"), F.round(score, 6).alias("score"), F.sha2(c["value"], 256).alias("sha256")))
+        return F.when(c["score"] >= 0.5, F.struct((pieces + matches + c["before"]).alias("start"), F.length(c["value"]).alias("length"), _kind(c["value"]).alias("kind"), F.round(c["score"], 6).alias("score"), F.sha2(c["value"], 256).alias("sha256")))
 
     return scored.withColumn(out, F.filter(F.transform("_c", describe), lambda x: x.isNotNull()))
 
@@ -203,7 +210,10 @@ def scan(docs: DataFrame, trees: list, *, text: str = "text", out: str = "findin
 def redact(docs: DataFrame, trees: list, *, text: str = "text", mask: str = MASK) -> DataFrame:
     """``docs`` with each finding replaced by ``mask``; other texts are unchanged."""
     columns = docs.columns
-    scored = with_candidates(docs, text=text, out="_c").withColumn("_v", F.transform("_c", lambda c: vote(trees, c["features"])))
-    hidden = F.transform("_m", lambda m, i: F.concat(F.get("_s", i), F.when(F.get("_v", i) >= 0.5, F.concat(F.substring(m, F.lit(1), F.get("_c", i)["before"]), F.lit(mask))).otherwise(m)))
-    new = F.when(F.exists("_v", lambda v: v >= 0.5), F.concat(F.array_join(hidden, ""), F.element_at("_s", -1))).otherwise(F.col(text))
+    scored = _scored(docs, trees, text)
+    hidden = F.transform(
+        F.arrays_zip(F.col("_m").alias("m"), F.slice("_s", F.lit(1), F.size("_m")).alias("s"), F.col("_c").alias("c")),
+        lambda x: F.concat(x["s"], F.when(x["c"]["score"] >= 0.5, F.concat(F.substring(x["m"], F.lit(1), x["c"]["before"]), F.lit(mask))).otherwise(x["m"])),
+    )
+    new = F.when(F.exists("_c", lambda c: c["score"] >= 0.5), F.concat(F.array_join(hidden, ""), F.element_at("_s", -1))).otherwise(F.col(text))
     return scored.withColumn(text, new).select(*columns)
