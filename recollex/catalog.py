@@ -8,7 +8,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES: tuple[str, ...] = ("plans.event_queries",)
+MODULES: tuple[str, ...] = ("plans.event_queries", "plans.search_queries")
 
 
 def _merged(attribute: str) -> dict:

@@ -17,7 +17,7 @@ def docs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return d.select(
         F.col("doc_id").alias("id"), F.concat("source", F.lit("/"), F.col("doc_id").cast("string")).alias("uri"), F.substring_index("text", ".", 1).alias("title"), "text",
         F.concat(F.lit('{"lang":"'), "lang", F.lit('","source":"'), "source", F.lit('","n":'), F.col("n_chars").cast("string"), F.lit("}")).alias("meta"),
-        (F.lit(BASE) * 1000 + F.col("doc_id") * 60000).cast("long").alias("ts"), "lang", "source", "n_chars",
+        (F.lit(BASE * 1000) + F.col("doc_id") * 60000).cast("long").alias("ts"), "lang", "source", "n_chars",
     )
 
 
