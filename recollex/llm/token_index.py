@@ -22,12 +22,16 @@ from __future__ import annotations
 import json
 import re
 import struct
+import sys
 import uuid
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
+import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -38,14 +42,40 @@ DOCS_PER_SHARD = 4096
 MAX_SHARDS = 4096
 CACHE_UNITS = 400_000
 CACHE_CHARS = 48
+LATIN = "\u024f"
+# Fixed value: the published pre-token pattern of byte-level BPE.
+BYTE_LEVEL = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 
 
 # --- encoding ---------------------------------------------------------------
 
 _UNEVEN_SPACE = re.compile(r" (?=\s)|(?<=\s) ")
+#: The same for Arrow, whose white space is that of ASCII unless told.
+UNEVEN = r"(?: [\s\x0b\x1c-\x1f\x{85}\p{Z}]|[\s\x0b\x1c-\x1f\x{85}\p{Z}] )"
+SLICE = 8 << 20
 _CUT = re.compile(r"(?<=\S) (?=\S)")
 
 
+class Recent:
+    """A cache of at most twice ``most`` entries that keeps what was used of late."""
+
+    def __init__(self, most: int):
+        self.most, self.young, self.old = most, {}, {}
+
+    def get(self, key: str, make):
+        found = self.young.get(key)
+        if found is None:
+            found = self.old.get(key)
+            if found is None:
+                found = make(key)
+                if len(key) > CACHE_CHARS:
+                    return found
+            if len(self.young) >= self.most:
+                self.old, self.young = self.young, {}
+            self.young[key] = found
+        return found
+
+
 class ByteBpeEncoder:
     """Byte-level BPE of the tokenizers library, with a cache of space-separated units.
 
@@ -61,27 +91,100 @@ class ByteBpeEncoder:
         self.tokenizer = Tokenizer.from_str(model.decode())
         self.tokenizer.encode_special_tokens = True
         self.dtype = np.dtype("<u2" if self.tokenizer.get_vocab_size() <= 65536 else "<u4")
-        self.cache_units, self.cache = cache_units, {}
-
-    def _encode(self, units: list[str]) -> list[bytes]:
-        found = self.tokenizer.encode_batch_fast(units, add_special_tokens=False)
-        return [np.array(x.ids, self.dtype).tobytes() for x in found]
+        self.code = "H" if self.dtype.itemsize == 2 else "I"
+        self.cache, self.parts = Recent(cache_units), Recent(cache_units // 2)
+        self.bpe, self.split = self.tokenizer.model, None
+        told = json.loads(model)
+        pre = told.get("pre_tokenizer") or {}
+        if pre.get("type") == "ByteLevel" and pre.get("use_regex", True) and not pre.get("add_prefix_space") and not told.get("normalizer"):
+            self.split = regex.compile(BYTE_LEVEL).findall
+            printable = [*range(33, 127), *range(161, 173), *range(174, 256)]
+            self.space = "\u0120"
+            self.spelling = {b: 256 + n for n, b in enumerate(b for b in range(256) if b not in printable)}
+
+    def _whole(self, unit: str) -> bytes:
+        return self._raw(self.tokenizer.encode_batch_fast([unit], add_special_tokens=False)[0].ids)
+
+    def _raw(self, ids: list[int]) -> bytes:
+        out = array(self.code, ids)
+        if sys.byteorder == "big":
+            out.byteswap()
+        return out.tobytes()
+
+    def _part(self, part: str) -> bytes:
+        """Ids of a pre-token."""
+        if part.isascii() and (part[1:].isalpha() if part[0] == " " else part.isalpha()):
+            spelled = part.replace(" ", self.space)
+        else:
+            spelled = part.encode().decode("latin-1").translate(self.spelling)
+        return self._raw([x.id for x in self.bpe.tokenize(spelled)])
+
+    def _unit(self, unit: str) -> bytes:
+        """Ids of a unit, with those of its pre-tokens from the cache.
+
+        Which characters are letters differs between versions of Unicode, so
+        pre-tokens are told here for Latin text alone.
+        """
+        if self.split is None or not (unit.isascii() or max(unit) <= LATIN):
+            return self._whole(unit)
+        if unit[0] == " " and unit[1:].isalpha():
+            return self.parts.get(unit, self._part)
+        return b"".join([self.parts.get(part, self._part) for part in self.split(unit)])
 
     def encode(self, text: str) -> bytes:
         """The ids of a text as raw bytes of ``dtype``."""
         if not text:
             return b""
         head, *units = _CUT.split(text) if _UNEVEN_SPACE.search(text) else text.split(" ")
-        cache = self.cache
-        if missing := [u for u in set(units) if u not in cache]:
-            if len(cache) > self.cache_units:
-                cache.clear()
-                missing = list(set(units))
-            cache.update(zip(missing, self._encode([" " + u for u in missing]), strict=True))
-        out = self._encode([head])[0] + b"".join([cache[u] for u in units])
-        for u in missing:
-            if len(u) > CACHE_CHARS:
-                del cache[u]
+        return (self._unit(head) if head else b"") + b"".join([self.cache.get(u, self._spaced) for u in units])
+
+    def _spaced(self, unit: str) -> bytes:
+        return self._unit(" " + unit)
+
+
+    def encode_all(self, texts: pa.Array) -> list[bytes]:
+        """``encode`` of many texts (none null), SLICE bytes at a time.
+
+        The units of a slice are told apart once, in compiled code; each distinct
+        one is encoded, and the ids are then gathered by position.
+        """
+        out: list[bytes] = []
+        sizes = np.cumsum(pc.binary_length(texts).to_numpy(zero_copy_only=False).astype(np.int64))
+        start = 0
+        while start < len(texts):
+            base = sizes[start - 1] if start else 0
+            end = max(start + 1, int(np.searchsorted(sizes, base + SLICE, side="right")))
+            out += self._encode_slice(texts.slice(start, end - start))
+            start = end
+        return out
+
+    def _encode_slice(self, texts: pa.Array) -> list[bytes]:
+        uneven = pc.match_substring_regex(texts, UNEVEN).to_numpy(zero_copy_only=False)
+        out: list[bytes | None] = [None] * len(texts)
+        for i in np.flatnonzero(uneven).tolist():
+            out[i] = self.encode(texts[i].as_py())
+        even = np.flatnonzero(~uneven)
+        if not len(even):
+            return out
+        lists = pc.split_pattern(texts.take(pa.array(even)).cast(pa.large_string()), " ")
+        offsets = lists.offsets.to_numpy() - lists.offsets[0].as_py()
+        units = lists.flatten().dictionary_encode()
+        at = units.indices.to_numpy().astype(np.int64)
+        names = units.dictionary.to_pylist()
+        heads = offsets[:-1]
+        found = [self.cache.get(name, self._spaced) for name in names]
+        for i in at[heads].tolist():
+            found.append(self._unit(names[i]) if names[i] else b"")
+        at[heads] = np.arange(len(names), len(found))
+        ids = np.frombuffer(b"".join(found), self.dtype)
+        lengths = np.fromiter(map(len, found), np.int64, len(found)) // self.dtype.itemsize
+        firsts = np.cumsum(lengths) - lengths
+        n = lengths[at]
+        ends = np.cumsum(n)
+        placed = ids[np.repeat(firsts[at] - (ends - n), n) + np.arange(ends[-1])].tobytes()
+        cuts = np.concatenate([[0], ends])[offsets] * self.dtype.itemsize
+        for i, a, b in zip(even.tolist(), cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
+            out[i] = placed[a:b]
         return out
 
 
@@ -255,7 +358,7 @@ def write_dataset(docs: DataFrame, path: str, model: bytes, *, key: str = "doc_i
             keys = batch.column(0)
             shards = np.searchsorted(bounds, keys.fill_null(-(2**63)).to_numpy(zero_copy_only=False), side="right").astype(np.int32)
             shards[keys.is_null().to_numpy(zero_copy_only=False)] = 0
-            ids = pa.array([encoder.encode(t.as_py()) + tail for t in batch.column(1)], pa.binary())
+            ids = pa.array([x + tail for x in encoder.encode_all(batch.column(1))], pa.binary())
             yield pa.RecordBatch.from_arrays([keys, pa.array(shards), ids], ["key", "shard", "ids"])
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
