@@ -158,7 +158,7 @@ def kind_of_meta(meta: Column) -> Column:
 
 def one_line(text: Column) -> Column:
     """The first line that isn't blank, trimmed."""
-    lines = F.filter(F.transform(F.split(text, "\n"), F.trim), lambda x: x != "")
+    lines = F.filter(F.transform(F.split(text, "\n"), lambda x: F.trim(x)), lambda x: x != "")
     return F.coalesce(F.get(lines, F.lit(0)), F.lit(""))
 
 
@@ -181,7 +181,7 @@ TIERS = {
 def compress(text: Column, tier: str) -> Column:
     """Lines that a tier keeps: all, signatures, facts, or the single longest line."""
     if tier == "one_line":
-        lines = F.transform(F.split(text, "\n"), F.trim)
+        lines = F.transform(F.split(text, "\n"), lambda x: F.trim(x))
         longest = F.array_max(F.transform(lines, F.length))
         return F.get(F.filter(lines, lambda x: F.length(x) == longest), F.lit(0))
     if TIERS[tier] is None:
@@ -239,6 +239,6 @@ def video_id(uri: Column) -> Column:
 
 def transcript_text(vtt: Column) -> Column:
     """Spoken lines of a subtitle file."""
-    lines = F.transform(F.split(vtt, r"\r?\n"), F.trim)
+    lines = F.transform(F.split(vtt, r"\r?\n"), lambda x: F.trim(x))
     kept = F.filter(lines, lambda x: (x != "") & ~x.rlike(r"^(WEBVTT|NOTE|STYLE|Kind:|Language:)|^[0-9]+$|-->"))
     return F.array_join(F.transform(kept, lambda x: F.regexp_replace(x, "<[^>]*>", "")), " ")
