@@ -138,7 +138,7 @@ def fit(labelled: DataFrame, *, text: str = "text", label: str = "label", trees:
     from pyspark.ml.functions import array_to_vector
 
     rows = with_candidates(labelled.select(F.col(text).alias("text"), F.col(label).cast("double").alias("label")).dropna()).filter(F.size("candidates") > 0)
-    rows = rows.select(array_to_vector(F.element_at("candidates", -1)["features"]).alias("features"), "label")
+    rows = rows.select(array_to_vector(F.try_element_at("candidates", F.lit(-1))["features"]).alias("features"), "label")
     model = RandomForestClassifier(numTrees=trees, maxDepth=depth, seed=SEED, featureSubsetStrategy="sqrt").fit(rows)
     return [_parse(tree.toDebugString) for tree in model.trees]
 

@@ -36,6 +36,12 @@ SLICES = 2048
 END = "\U0010ffff"
 
 
+def _key(path: Column) -> Column:
+    """A path as a sort key: the mark of the end, should a path hold it, is spelled out; prefixes stay prefixes."""
+    below = "\U0010fffe"
+    return F.replace(F.replace(path, F.lit(below), F.lit(below + "0")), F.lit(END), F.lit(below + "1"))
+
+
 def with_host_path(urls: DataFrame, url: str = "url") -> DataFrame:
     """Add the columns host and path."""
     rest = F.when(F.instr(url, "://") > 0, F.substring_index(F.substring(F.col(url), F.instr(url, "://") + 3, F.length(url)), "#", 1))
@@ -77,8 +83,8 @@ def _borders(rules: DataFrame) -> DataFrame:
         "domain",
         F.explode(
             F.array(
-                F.struct(F.col("path").alias("key"), F.lit(1).alias("turn"), F.col("top").alias("top")),
-                F.struct(F.concat("path", F.lit(END)).alias("key"), F.lit(0).alias("turn"), F.col("around").cast(kind).alias("top")),
+                F.struct(_key(F.col("path")).alias("key"), F.lit(1).alias("turn"), F.col("top").alias("top")),
+                F.struct(F.concat(_key(F.col("path")), F.lit(END)).alias("key"), F.lit(0).alias("turn"), F.col("around").cast(kind).alias("top")),
             )
         ).alias("b"),
     ).select("domain", "b.key", "b.turn", "b.top")
@@ -103,8 +109,8 @@ def match(urls: DataFrame, rules: DataFrame, *, url: str = "url", default: str =
     counts = keys.groupBy("domain").agg(F.count(F.lit(1)).alias("n"))
     total = counts.agg(F.sum("n").alias("total"))
     slices = counts.crossJoin(F.broadcast(total)).select("domain", F.ceil(F.col("n") * SLICES / F.col("total")).cast("int").alias("slices"))  # total is one row
-    keys = keys.join(slices, "domain").select("domain", F.pmod(F.xxhash64("host", "path"), "slices").cast("int").alias("slice"), F.col("path").alias("key"), F.lit(2).alias("turn"), F.lit(None).cast(rules.schema["top"].dataType).alias("top"), "host")
-    borders = _borders(rules).join(slices, "domain").select("domain", F.explode(F.sequence(F.lit(0), F.col("slices") - 1)).alias("slice"), "key", "turn", "top", F.lit(None).cast("string").alias("host"))
+    keys = keys.join(slices, "domain").select("domain", F.pmod(F.xxhash64("host", "path"), "slices").cast("int").alias("slice"), _key(F.col("path")).alias("key"), F.lit(2).alias("turn"), F.lit(None).cast(rules.schema["top"].dataType).alias("top"), "host", "path")
+    borders = _borders(rules).join(slices, "domain").select("domain", F.explode(F.sequence(F.lit(0), F.col("slices") - 1)).alias("slice"), "key", "turn", "top", F.lit(None).cast("string").alias("host"), F.lit(None).cast("string").alias("path"))
     # An end border tells that the stack may be empty, which null can't.
     mark = F.struct(F.lit(True).alias("set"), F.col("top"))
     sweep = Window.partitionBy("domain", "slice").orderBy("key", "turn").rowsBetween(Window.unboundedPreceding, Window.currentRow)
@@ -112,7 +118,7 @@ def match(urls: DataFrame, rules: DataFrame, *, url: str = "url", default: str =
         borders.unionByName(keys)
         .withColumn("open", F.last(F.when(F.col("turn") < 2, mark), ignorenulls=True).over(sweep))
         .filter("turn = 2")
-        .select("host", F.col("key").alias("path"), F.col("open.top").alias("found"))
+        .select("host", "path", F.col("open.top").alias("found"))
         .filter("found is not null")
     )
     best = swept.groupBy("host", "path").agg(F.max("found").alias("found"))
