@@ -97,7 +97,7 @@ def context_pack(hits: DataFrame, query: str, *, bonuses: DataFrame | None = Non
     live = fusion.best_of_each(hits).filter(~pr.is_noise(F.col("text"), F.col("title")))
     score = F.col("score") + tx.grade(F.lit(query), F.col("text")) + tx.grade(F.lit(query), F.coalesce("title", F.lit("")))
     if bonuses is not None:
-        live = live.join(F.broadcast(bonuses), "kind", "left")  # one row a kind
+        live = live.join(bonuses, "kind", "left")
         score = score + F.coalesce("bonus", F.lit(0.0))
     rows = live.select(F.lit(0).cast("long").alias("qid"), "id", "kind", score.alias("score"), "text")
     return packing.pack(rows, packing.PackOptions(budget=packing.shrunk_budget(budget, open_packs)))
@@ -105,7 +105,7 @@ def context_pack(hits: DataFrame, query: str, *, bonuses: DataFrame | None = Non
 
 def rank_hits(hits: DataFrame, priors: DataFrame, bonuses: DataFrame) -> DataFrame:
     """Score plus the prior and the learned bonus of a hit's kind."""
-    out = hits.join(F.broadcast(priors), "kind", "left").join(F.broadcast(bonuses), "kind", "left")  # one row a kind
+    out = hits.join(priors, "kind", "left").join(bonuses, "kind", "left")
     return out.withColumn("score", F.col("score") + F.coalesce("prior", F.lit(0.0)) + F.coalesce("bonus", F.lit(0.0))).drop("prior", "bonus").orderBy(F.desc(F.round("score", 12)), "id")
 
 

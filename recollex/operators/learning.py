@@ -46,7 +46,7 @@ def sweep_unaccepted(log: DataFrame, now: int, timeout: int) -> DataFrame:
 def calibrate(hits: DataFrame, corrections: DataFrame) -> DataFrame:
     """Scores times the correction of their bucket (bucket, correction), within 0 and 1."""
     rows = hits.withColumn("bucket", scores.bucket(F.col("score")))
-    return rows.join(F.broadcast(corrections), "bucket", "left").withColumn("score", scores.calibrated(F.col("score"), F.col("correction"))).drop("correction")  # ten buckets
+    return rows.join(corrections, "bucket", "left").withColumn("score", scores.calibrated(F.col("score"), F.col("correction"))).drop("correction")
 
 
 def corrections(judged: DataFrame) -> DataFrame:
@@ -65,8 +65,9 @@ def drift(stored: DataFrame, fresh: DataFrame, n: int, seed: int = 0) -> DataFra
 
 def libsvm(log: DataFrame) -> DataFrame:
     """(line,): label, query number and features of a click log (query_text, bm25, vec, rank, score, clicked)."""
-    qid = F.dense_rank().over(Window.orderBy("query_text"))
-    rows = log.select("*", qid.alias("qid"))
+    # Distinct queries alone are numbered in one task; the log is joined with them.
+    numbered = log.select("query_text").distinct().withColumn("qid", F.row_number().over(Window.orderBy("query_text")))
+    rows = log.join(numbered, "query_text")
     return rows.select(F.format_string("%d qid:%d 1:%.6f 2:%.6f 3:%d 4:%.6f", F.col("clicked").cast("int"), "qid", "bm25", "vec", F.col("rank").cast("int"), "score").alias("line"))
 
 

@@ -92,11 +92,11 @@ def pipeline_recall(docs: DataFrame, memories: DataFrame, query: str, k: int, *,
     return graded.select("id", scores.grade_blend(F.col("score"), F.col("grade")).alias("score"), "grade").orderBy(F.desc(F.round("score", 12)), "id").limit(k)
 
 
-def evolve(new: DataFrame, recent: DataFrame, low: float, high: float) -> DataFrame:
-    """(id, replaces): for each new text the most similar of the recent ones (at most a few dozen) within [low, high)."""
+def evolve(new: DataFrame, known: DataFrame, low: float, high: float, *, window: int = 64) -> DataFrame:
+    """(id, replaces): for each new text the most similar of the ``window`` newest known ones within [low, high]."""
     a = new.select("id", text.long_tokens(F.col("text")).alias("t"))
-    b = recent.select(F.col("id").alias("old"), text.long_tokens(F.col("text")).alias("u"))
-    pairs = a.crossJoin(F.broadcast(b)).filter("id <> old").withColumn("j", text.jaccard(F.col("t"), F.col("u")))  # recent is a window of 64 rows
+    b = known.orderBy(F.desc("id")).limit(window).select(F.col("id").alias("old"), text.long_tokens(F.col("text")).alias("u"))
+    pairs = a.crossJoin(F.broadcast(b)).filter("id <> old").withColumn("j", text.jaccard(F.col("t"), F.col("u")))  # window rows
     return pairs.filter(F.col("j").between(low, high)).groupBy("id").agg(F.max_by("old", F.struct("j", (-F.col("old")).alias("o"))).alias("replaces"))
 
 

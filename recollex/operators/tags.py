@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from recollex.storage import small
+
 
 def tags_of(doc_tags: DataFrame, doc_id: int) -> DataFrame:
     return doc_tags.filter(F.col("doc_id") == doc_id).select("tag").orderBy("tag")
@@ -36,7 +38,7 @@ def apply_rules(docs: DataFrame, rules: DataFrame) -> DataFrame:
     """(doc_id, tag) by enabled rules (keyword, tag, enabled) whose keyword the text holds, without case."""
     live = rules.filter("enabled").select(F.lower("keyword").alias("keyword"), "tag")
     low = docs.select("id", F.lower("text").alias("low"))
-    return low.join(F.broadcast(live), F.contains("low", F.col("keyword"))).select(F.col("id").alias("doc_id"), "tag").distinct()  # rules are kept by hand
+    return low.join(small(live), F.contains("low", F.col("keyword"))).select(F.col("id").alias("doc_id"), "tag").distinct()
 
 
 def upsert(tags: DataFrame, new: DataFrame) -> DataFrame:
