@@ -47,7 +47,7 @@ BLOCK = 512
 ROUNDS = 8
 #: A round that brings in fewer new neighbours than this share of the graph is the last.
 ENOUGH = 0.08
-BEAM = 256
+BEAM = 192
 HOPS = 40
 #: Vertices of the beam that are compared exactly.
 EXACT = 48
@@ -248,19 +248,23 @@ def search(starts: DataFrame, queries: DataFrame, graph: DataFrame, codes: DataF
         return joined.mapInArrow(run, "q long, u long, d float")
 
     order = Window.partitionBy("q").orderBy("d", "u")
-    # seen: every vertex that a query has met, and whether it was expanded.
-    seen = scratch.write(measured(starts.distinct()).withColumn("done", F.lit(False)), "seen0")
+
+    def ranked(rows: DataFrame) -> DataFrame:
+        """Add ``front``: in the beam and not expanded before; these are expanded now, so they count as done from here on."""
+        inside = F.row_number().over(order) <= beam
+        return rows.withColumn("inside", inside).select("q", "u", "d", (F.col("inside") & ~F.col("done")).alias("front"), (F.col("inside") | F.col("done")).alias("done"), "inside")
+
+    # seen: every vertex that a query has met.
+    seen = scratch.write(ranked(measured(starts.distinct()).withColumn("done", F.lit(False))), "seen0")
     for number in range(1, hops + 1):
-        best = seen.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= beam)
-        front = scratch.write(best.filter("not done").select("q", "u"), f"front{number}")
+        front = seen.filter("front").select("q", "u")
         if front.isEmpty():
             break
         met = front.join(links, "u").select("q", F.col("v").alias("u")).distinct().join(seen.select("q", "u"), ["q", "u"], "left_anti")
-        after = seen.join(front.withColumn("now", F.lit(True)), ["q", "u"], "left").select("q", "u", "d", (F.col("done") | F.col("now").isNotNull()).alias("done"))
-        seen = scratch.write(after.unionByName(measured(met).withColumn("done", F.lit(False))), f"seen{number}")
-        scratch.drop(f"seen{number - 1}", f"front{number}")
+        seen = scratch.write(ranked(seen.select("q", "u", "d", "done").unionByName(measured(met).withColumn("done", F.lit(False)))), f"seen{number}")
+        scratch.drop(f"seen{number - 1}")
         spark.sparkContext._jvm.System.gc()
-    return seen.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= beam).select("q", "u", "d")
+    return seen.filter("inside").select("q", "u", "d")
 
 
 class Index:
