@@ -103,7 +103,7 @@ QUERIES = {
     "xt1_search_lex": lambda s, d: _r(ag.search(docs(s, d), "lex", ANY, 10), "score"),
     "xt1_search_vec": lambda s, d: _r(ag.search(docs(s, d), "vec", "", 10, vecs=vectors(s, d), query_vector=query_vector(s, d)), "score"),
     "xt1_search_hybrid_where": lambda s, d: _r(ag.search(docs(s, d), "hybrid", ANY, 10, vecs=vectors(s, d), query_vector=query_vector(s, d), where=pr.eq("lang", "en")), "score"),
-    "sf18_tiered_entities": lambda s, d: ag.tiered_entities(docs(s, d), {"thntblere": "name", "eringble": "name"}).groupBy("kind").agg(F.count(F.lit(1)).alias("n")),
+    "sf18_so10_tiered_entities": lambda s, d: ag.tiered_entities(docs(s, d), {"thntblere": "name", "eringble": "name"}).groupBy("kind").agg(F.count(F.lit(1)).alias("n")),
     "gr13_hippo": _hippo,
     "gr15_relate_triples": lambda s, d: _r(ag.relate_triples(events(s, d).select(F.col("agent").alias("subject"), F.upper("kind").alias("rel"), F.col("session_id").alias("object"), F.when(F.col("event_id") % 2 == 0, F.col("event_id") % 15 / 10.0).alias("confidence"))), "weight"),
     "gr17_ground": lambda s, d: _r(ag.ground(docs(s, d), memories(s, d), _memory_edges(s, d), ANY), "score"),
@@ -111,18 +111,18 @@ QUERIES = {
     "sl14_rank_hits": lambda s, d: _r(ag.rank_hits(_hits(s, d), _kinds(s, "prior", {"fact": 0.1, "code": 0.05}), _kinds(s, "bonus", {"lesson": 0.03})).select("id", "score"), "score"),
     "cx6_session_log": lambda s, d: ag.session_log(_sessions(s, d)).select("session_id", "n", F.sha2("text", 256).alias("h")),
     "cx6_session_replay": lambda s, d: ag.session_replay(_sessions(s, d), 100).select("session_id", "turn", "used"),
-    "cx7_index_in_scope": lambda s, d: ag.index_in_scope(docs(s, d), "eringble thined", "src1", 20).select("id", "score"),
+    "cx7_ft7_index_in_scope": lambda s, d: ag.index_in_scope(docs(s, d), "eringble thined", "src1", 20).select("id", "score"),
     "mm9_queue": _queue,
     "mm12_promotions": lambda s, d: ag.ready_promotions(events(s, d).select((F.col("event_id") % 400).alias("chunk_id"), F.lit("memory").alias("kind"), F.when(F.col("kind") == "view", "verified").otherwise("queued").alias("status"), (F.col("ts") * 100000 + F.col("event_id")).alias("ts"))),
-    "vs15_ivf": _ivf,
+    "vs15_vs16_ag21_ivf": _ivf,
     "vs22_late_two_stage": lambda s, d: _r(ag.late_two_stage(token_rows(s, d), token_rows(s, d).filter("id = 3 and token < 5"), 64, 20, 5), "score"),
     "vs24_full_fusion": _fusion,
     "vs27_jn25_cross_modal": _cross,
     "vs18_shards": lambda s, d: ag.shards_for(ag.shard_table(docs(s, d), docs(s, d).select("id", (F.col("id") % 6).alias("shard"))), ["eringble"]),
     "pf20_ud5_sql_functions": _sql_functions,
     "wn5_rrf_two": lambda s, d: _r(fusion.rrf([fusion.ranked(vs.knn(vectors(s, d), query_vector(s, d), 30), "dense", by="distance", descending=False), fusion.ranked(vs.int8_knn(vectors(s, d), query_vector(s, d), 30), "i8")], k=20.0), "score"),
-    "ag23_mean_pool": lambda s, d: _r(vectors(s, d).select("label", F.posexplode("embedding").alias("i", "x")).groupBy("label", "i").agg(F.avg(F.col("x").cast("double")).alias("m")), "m"),
-    "gr10_graph_views": lambda s, d: _views(s, d),
+    "ag25_mean_pool": lambda s, d: _r(vectors(s, d).select("label", F.posexplode("embedding").alias("i", "x")).groupBy("label", "i").agg(F.avg(F.col("x").cast("double")).alias("m")), "m"),
+    "aj10_graph_views": lambda s, d: _views(s, d),
 }
 
 
@@ -143,9 +143,9 @@ ORACLE_SQL = {
     "cx6_session_log": "SELECT conv_id::VARCHAR AS session_id, count(*)::INT AS n, sha256(string_agg(role || ': ' || text, chr(10) ORDER BY turn, role, text)) AS h FROM conversations GROUP BY conv_id",
     "mm9_queue": "WITH q AS (SELECT event_id AS id, CASE WHEN event_id % 3 = 0 THEN 'done' ELSE 'pending' END AS status, (event_id % 4)::INT AS attempts FROM events), b AS (SELECT id, id % 2 = 0 AS ok FROM q WHERE status = 'pending' AND attempts < 3 ORDER BY id LIMIT 50) SELECT id, CASE WHEN ok THEN 'done' ELSE status END AS status, attempts + coalesce((NOT ok)::INT, 0) AS attempts FROM q LEFT JOIN b USING (id)",
     "mm12_promotions": f"WITH {EVENTS}, p AS (SELECT event_id % 400 AS chunk_id, arg_max(kind, ts * 100000 + event_id) AS k FROM ev GROUP BY 1) SELECT chunk_id, 'memory' AS kind FROM p WHERE k = 'view'",
-    "vs15_ivf": f"WITH {VECTORS}, {_Q} SELECT id, round(d, 6) AS distance FROM (SELECT id, {_COS} AS d FROM vectors, q) ORDER BY round(d, 9), id LIMIT 10",
+    "vs15_vs16_ag21_ivf": f"WITH {VECTORS}, {_Q} SELECT id, round(d, 6) AS distance FROM (SELECT id, {_COS} AS d FROM vectors, q) ORDER BY round(d, 9), id LIMIT 10",
     "vs27_jn25_cross_modal": f"WITH m AS (SELECT label, i, avg(x::DOUBLE) AS x FROM (SELECT label, unnest(embedding) AS x, unnest(range(0, len(embedding))) AS i FROM embeddings) GROUP BY 1, 2), q AS (SELECT label AS qid, list(x ORDER BY i) AS v FROM m GROUP BY label), p AS (SELECT qid::BIGINT AS qid, vec_id AS id, 1 - list_cosine_similarity(v, {_D64}) AS d FROM q, embeddings) SELECT qid, rank::INT AS rank, id, round(d, 6) AS distance FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY round(d, 9), id) AS rank FROM p) WHERE rank <= 3",
     "vs18_shards": "SELECT DISTINCT doc_id % 6 AS shard FROM documents WHERE list_contains(regexp_split_to_array(lower(text), '[^\\p{L}\\p{N}]+'), 'eringble')",
     "pf20_ud5_sql_functions": "SELECT doc_id AS id, 1.0::DOUBLE AS same, true AS inside FROM documents",
-    "ag23_mean_pool": "SELECT label, i::INT AS i, round(avg(x::DOUBLE), 6) AS m FROM (SELECT label, unnest(embedding) AS x, unnest(range(0, len(embedding))) AS i FROM embeddings) GROUP BY 1, 2",
+    "ag25_mean_pool": "SELECT label, i::INT AS i, round(avg(x::DOUBLE), 6) AS m FROM (SELECT label, unnest(embedding) AS x, unnest(range(0, len(embedding))) AS i FROM embeddings) GROUP BY 1, 2",
 }

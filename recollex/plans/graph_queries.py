@@ -46,7 +46,7 @@ QUERIES = {
     "gr1_relate": lambda s, d: _R(g.relate(graph(s, d), _updates(s, d)), "weight"),
     "gr2_upsert_nodes": lambda s, d: g.upsert_nodes(_sightings(s, d)),
     "gr3_edge_counts": lambda s, d: graph(s, d).groupBy("from_id").agg(F.count(F.lit(1)).alias("n"), F.round(F.sum("weight"), 6).alias("w")),
-    "gr4_neighbors": lambda s, d: _R(g.neighbors(graph(s, d), 5, 10), "weight"),
+    "gr4_sl8_neighbors": lambda s, d: _R(g.neighbors(graph(s, d), 5, 10), "weight"),
     "gr5_traverse": lambda s, d: _R(g.traverse(graph(s, d), 1, 3, 5, 0.8), "score").select("id", "depth", "score"),
     "gr6_why": lambda s, d: g.why(_decision_edges(s, d), "goal://7", 3),
     "gr7_expand": lambda s, d: g.expand(_decision_edges(s, d), "mem://5", 3),
@@ -60,10 +60,10 @@ QUERIES = {
     "gr16_hops": lambda s, d: g.hops(graph(s, d), _seeds(s), 3, cap=64),
     "gr19_cypher_match": lambda s, d: cypher.run(graph(s, d), "MATCH (a)-[:CAUSED*1..3]->(b) WHERE id(a) = 1 RETURN b LIMIT 20"),
     "gr19_cypher_one_hop": lambda s, d: cypher.run(graph(s, d), "MATCH (a)-[r]->(b) WHERE id(a) = 4 RETURN b"),
-    "gr20_datalog_closure": lambda s, d: _ancestors(s, d).query("reach"),
+    "gr20_jn23_datalog_closure": lambda s, d: _ancestors(s, d).query("reach"),
     "ag14_datalog_aggregate": lambda s, d: _ancestors(s, d).aggregate("reach", 0, 1, "max"),
     "gr21_supersession": lambda s, d: g.supersession(_chain(s)),
-    "gr14_entity_graph": lambda s, d: _R(g.entity_graph(docs(s, d).filter("id < 200 and lang = 'en'").withColumn("text", F.substring("text", 1, 400))), "weight"),
+    "gr14_jn18_entity_graph": lambda s, d: _R(g.entity_graph(docs(s, d).filter("id < 200 and lang = 'en'").withColumn("text", F.substring("text", 1, 400))), "weight"),
     "sf17_entities": lambda s, d: docs(s, d).filter("lang = 'en'").select("id", F.explode(entities(F.col("text"))).alias("entity")),
     "so7_components": lambda s, d: g.components(graph(s, d).filter("rel = 'CAUSED'")),
     "so1_nodes": lambda s, d: graph(s, d).select(F.col("from_id").alias("id")).union(graph(s, d).select("to_id")).distinct(),
@@ -98,7 +98,7 @@ ORACLE_SQL = {
     "gr1_relate": f"WITH {GRAPH} SELECT from_id, to_id, rel, round(CASE WHEN from_id % 10 = 0 THEN weight + 1 ELSE weight END, 6) AS weight FROM edges",
     "gr2_upsert_nodes": f"WITH {EVENTS}, o AS (SELECT uri, kind, CASE WHEN event_id % 3 = 0 THEN agent END AS title, ts * 100000 + event_id AS ts FROM ev) SELECT uri, arg_min(kind, ts) AS kind, arg_max(title, ts) FILTER (title IS NOT NULL) AS title, min(ts) AS first_seen, max(ts) AS last_seen FROM o GROUP BY uri",
     "gr3_edge_counts": f"WITH {GRAPH} SELECT from_id, count(*) AS n, round(sum(weight), 6) AS w FROM edges GROUP BY from_id",
-    "gr4_neighbors": f"WITH {GRAPH} SELECT to_id, rel, round(weight, 6) AS weight FROM edges WHERE from_id = 5 ORDER BY weight DESC, to_id LIMIT 10",
+    "gr4_sl8_neighbors": f"WITH {GRAPH} SELECT to_id, rel, round(weight, 6) AS weight FROM edges WHERE from_id = 5 ORDER BY weight DESC, to_id LIMIT 10",
     "gr6_why": _walk("goal://7", 3, "to_uri", "from_uri"),
     "gr7_expand": _walk("mem://5", 3, "from_uri", "to_uri"),
     "so2_recursive_views": _walk("dec://11", 20, "from_uri", "to_uri"),
@@ -109,10 +109,10 @@ ORACLE_SQL = {
     "gr16_hops": f"WITH RECURSIVE {GRAPH}, walk(id, hop) AS (SELECT unnest([1, 2])::BIGINT, 0 UNION SELECT to_id, hop + 1 FROM walk JOIN edges ON from_id = id WHERE hop < 3) SELECT id, min(hop)::INT AS hop FROM walk GROUP BY id",
     "gr19_cypher_match": f"WITH RECURSIVE {GRAPH}, walk(id, hop) AS (SELECT 1::BIGINT, 0 UNION SELECT to_id, hop + 1 FROM walk JOIN edges ON from_id = id AND rel = 'CAUSED' WHERE hop < 3) SELECT id, min(hop)::INT AS hop FROM walk WHERE id <> 1 GROUP BY id ORDER BY hop, id LIMIT 20",
     "gr19_cypher_one_hop": f"WITH {GRAPH} SELECT to_id AS id, 1 AS hop FROM edges WHERE from_id = 4 ORDER BY weight DESC, to_id LIMIT 10",
-    "gr20_datalog_closure": f"WITH RECURSIVE {GRAPH}, reach(c0, c1) AS (SELECT from_id, to_id FROM edges WHERE rel = 'CAUSED' UNION SELECT c0, to_id FROM reach JOIN edges ON from_id = c1 AND rel = 'CAUSED') SELECT c0::VARCHAR AS c0, c1::VARCHAR AS c1 FROM reach",
+    "gr20_jn23_datalog_closure": f"WITH RECURSIVE {GRAPH}, reach(c0, c1) AS (SELECT from_id, to_id FROM edges WHERE rel = 'CAUSED' UNION SELECT c0, to_id FROM reach JOIN edges ON from_id = c1 AND rel = 'CAUSED') SELECT c0::VARCHAR AS c0, c1::VARCHAR AS c1 FROM reach",
     "ag14_datalog_aggregate": f"WITH RECURSIVE {GRAPH}, reach(c0, c1) AS (SELECT from_id, to_id FROM edges WHERE rel = 'CAUSED' UNION SELECT c0, to_id FROM reach JOIN edges ON from_id = c1 AND rel = 'CAUSED') SELECT c0::VARCHAR AS key, max(c1)::DOUBLE AS value FROM reach GROUP BY c0",
     "sf17_entities": "SELECT DISTINCT doc_id AS id, e AS entity FROM (SELECT doc_id, unnest(regexp_extract_all(regexp_replace(text, '[À-ɏ]', '0', 'g'), '\\b([A-Z][a-z]+(?:\\s+[A-Z][a-z]+)*)\\b', 1)) AS e FROM documents WHERE lang = 'en') WHERE length(e) >= 3",
-    "gr14_entity_graph": "WITH r AS (SELECT DISTINCT doc_id AS id, unnest(regexp_extract_all(regexp_replace(left(text, 400), '[À-ɏ]', '0', 'g'), '\\b([A-Z][a-z]+(?:\\s+[A-Z][a-z]+)*)\\b', 1)) AS e FROM documents WHERE lang = 'en' AND doc_id < 200), k AS (SELECT *, count(*) OVER (PARTITION BY id) AS n FROM r WHERE length(e) >= 3) SELECT a.e AS from_entity, b.e AS to_entity, round(sum(1 / sqrt(a.n)), 6) AS weight FROM k a JOIN k b ON a.id = b.id AND a.e <> b.e GROUP BY 1, 2",
+    "gr14_jn18_entity_graph": "WITH r AS (SELECT DISTINCT doc_id AS id, unnest(regexp_extract_all(regexp_replace(left(text, 400), '[À-ɏ]', '0', 'g'), '\\b([A-Z][a-z]+(?:\\s+[A-Z][a-z]+)*)\\b', 1)) AS e FROM documents WHERE lang = 'en' AND doc_id < 200), k AS (SELECT *, count(*) OVER (PARTITION BY id) AS n FROM r WHERE length(e) >= 3) SELECT a.e AS from_entity, b.e AS to_entity, round(sum(1 / sqrt(a.n)), 6) AS weight FROM k a JOIN k b ON a.id = b.id AND a.e <> b.e GROUP BY 1, 2",
     "so1_nodes": f"WITH {GRAPH} SELECT from_id AS id FROM edges UNION SELECT to_id FROM edges",
     "so7_components": f"WITH RECURSIVE {GRAPH}, b AS (SELECT from_id AS x, to_id AS y FROM edges WHERE rel = 'CAUSED' UNION SELECT to_id, from_id FROM edges WHERE rel = 'CAUSED'), walk(id, c) AS (SELECT DISTINCT x, x FROM b UNION SELECT id, y FROM walk JOIN b ON x = c) SELECT id, min(c) AS component FROM walk GROUP BY id",
     "jn5_like_entities": f"WITH {DOCS}, p AS (SELECT DISTINCT t AS term, title AS name FROM docs, (SELECT unnest(['the', 'ing']) AS t) WHERE contains(lower(title), t)) SELECT term, name FROM p QUALIFY row_number() OVER (PARTITION BY term ORDER BY length(name), name) <= 10",

@@ -93,11 +93,11 @@ QUERIES = {
     "sc26_due_sources": _due,
     "sc27_session_sweep": lambda s, d: cp.sweep(table(s, d, "conversations").withColumn("text", F.repeat("text", 3))),
     "sc27_pack_paragraphs": lambda s, d: cp.pack_paragraphs(docs(s, d)).groupBy("id").agg(F.count(F.lit(1)).alias("n"), F.max(F.length("text")).alias("longest")),
-    "sc35_snapshot_merge": _snapshots,
+    "sc35_jn20_snapshot_merge": _snapshots,
     "jn21_lww": lambda s, d: sync.merge_lww(_ops(s, d, 0), _ops(s, d, 1)),
     "so11_map_merge": lambda s, d: sync.merge_maps(*_writers(s, d)).select("uri", F.explode("meta").alias("key", "value")),
     "jn4_active_memories": lambda s, d: docs(s, d).join(mm.active(memories(s, d)).select(F.col("doc_id").alias("id"), "memory_type"), "id").groupBy("memory_type").agg(F.count(F.lit(1)).alias("n")),
-    "mm4_memory_state": lambda s, d: mm.state(memories(s, d)).select("doc_id", "id", "memory_type"),
+    "mm4_wn9_memory_state": lambda s, d: mm.state(memories(s, d)).select("doc_id", "id", "memory_type"),
     "mm2_promote": lambda s, d: mm.promote(memories(s, d), docs(s, d).filter("id % 7 = 0").select(F.col("id").alias("doc_id"), F.lit("lesson").alias("memory_type"), (F.col("id") % 12 / 10.0).alias("confidence"))).groupBy("memory_type").agg(F.count(F.lit(1)).alias("n"), F.round(F.sum("confidence"), 6).alias("c")),
     "mm3_supersede": lambda s, d: mm.supersede(memories(s, d), memories(s, d).filter("doc_id % 5 = 0").select(F.col("id").alias("old_id"), (F.col("doc_id") * 2).alias("new_id"))).select("id", "superseded_by"),
     "jn12_without_raw": lambda s, d: mm.without_raw(docs(s, d), memories(s, d)).select("id"),
@@ -115,14 +115,14 @@ QUERIES = {
     "ag15_evaluate": lambda s, d: _r(mm.evaluate(*_gold(s, d)), "recall", "mrr", "false_recall"),
     "ag16_gate": lambda s, d: mm.gate(_gold(s, d)[0], _gold(s, d)[1], _gold(s, d)[1].withColumn("id", F.col("id") + 1), 10),
     "ag17_latency": lambda s, d: _r(mm.latency_report(events(s, d).select(F.col("kind").alias("category"), F.col("value").alias("ms"))), "p50", "p95"),
-    "ag26_libsvm": lambda s, d: ln.libsvm(_click_log(s, d)),
+    "ag26_wn14_libsvm": lambda s, d: ln.libsvm(_click_log(s, d)),
     "ud3_rewards": lambda s, d: ln.rewards(events(s, d).select("kind", (F.col("event_id") % 3 == 0).cast("int").alias("hit")), arm="kind"),
     "st9_sweep": lambda s, d: ln.sweep_unaccepted(events(s, d).select("ts", F.when(F.col("event_id") % 2 == 0, F.lit(1)).alias("accepted")), NOW, 86400),
     "ma21_corrections": lambda s, d: _r(ln.corrections(events(s, d).select((F.col("event_id") % 101 / 100.0).alias("score"), (F.col("event_id") % 3 == 0).alias("good"))), "correction"),
     "ag19_drift": lambda s, d: _r(ln.drift(vectors(s, d), vectors(s, d).withColumn("embedding", F.transform("embedding", lambda x: x * 2)), 100), "mean_cosine"),
     "xt21_to_embed": lambda s, d: ln.to_embed(docs(s, d), docs(s, d).filter("id % 2 = 0").select(F.sha2("text", 256).alias("hash"))).select("hash"),
-    "vs28_hash_embedding": lambda s, d: ln.hash_embedding(docs(s, d).select("id", "text")).select("id", F.size("embedding").alias("dim")),
-    "so5_simhash": lambda s, d: pk.with_simhash(docs(s, d)).select("id", "simhash"),
+    "vs28_xt13_hash_embedding": lambda s, d: ln.hash_embedding(docs(s, d).select("id", "text")).select("id", F.size("embedding").alias("dim")),
+    "so5_sf9_simhash": lambda s, d: pk.with_simhash(docs(s, d)).select("id", "simhash"),
     "cx1_pack": lambda s, d: pk.pack(_candidates(s, d)).select("qid", "position", "id", "tier", "tokens"),
     "cx2_pack_delta": lambda s, d: pk.pack_delta(_candidates(s, d), docs(s, d).filter("id % 5 = 0")).select("qid", "position", "id", "tier", "tokens"),
     "cx3_render": lambda s, d: pk.render(pk.pack(_candidates(s, d)), 2000),
@@ -193,11 +193,11 @@ SELECT id, chunk, start::BIGINT AS start, (start + strlen(trim(raw)))::BIGINT AS
     "sc25_import_docs": f"WITH {DOCS} SELECT id, uri, title, ts // 1000 AS published_ts FROM docs ORDER BY ts DESC, id DESC LIMIT 100",
     "sc26_due_sources": "WITH r AS (SELECT c_custkey AS id, c_custkey % 50 * 10 AS interval, CASE WHEN c_custkey % 4 <> 0 THEN c_custkey * 3 END AS last_sync FROM customer) SELECT * FROM r WHERE \"interval\" > 0 AND coalesce(last_sync, 0) + \"interval\" <= 1000 ORDER BY coalesce(last_sync, 0), id LIMIT 100",
     "sc27_session_sweep": "WITH m AS (SELECT conv_id, turn, role, repeat(text, 3) AS t FROM conversations WHERE trim(text) <> ''), s AS (SELECT *, unnest(CASE WHEN length(t) > 1000 THEN range(0, length(t), 350) ELSE [0] END) AS s FROM m) SELECT conv_id, turn, (s // 350)::INT AS part, '[' || role || '|msg' || turn || '] ' || CASE WHEN length(t) > 1000 THEN substr(t, s + 1, 400) ELSE t END AS text FROM s",
-    "sc35_snapshot_merge": f"WITH {DOCS}, x AS (SELECT uri, title, left(text, 20) AS text, meta, sha256(text) AS hash, id FROM docs) SELECT uri, CASE WHEN id % 3 <> 0 THEN title ELSE 'other' END AS title, text, CASE WHEN id % 4 = 0 AND id % 2 <> 0 THEN NULL WHEN id % 3 <> 0 AND id % 2 <> 0 AND id % 4 = 0 THEN NULL ELSE meta END AS meta, hash FROM x WHERE id % 3 <> 0 OR id % 4 <> 0",
+    "sc35_jn20_snapshot_merge": f"WITH {DOCS}, x AS (SELECT uri, title, left(text, 20) AS text, meta, sha256(text) AS hash, id FROM docs) SELECT uri, CASE WHEN id % 3 <> 0 THEN title ELSE 'other' END AS title, text, CASE WHEN id % 4 = 0 AND id % 2 <> 0 THEN NULL WHEN id % 3 <> 0 AND id % 2 <> 0 AND id % 4 = 0 THEN NULL ELSE meta END AS meta, hash FROM x WHERE id % 3 <> 0 OR id % 4 <> 0",
     "jn21_lww": f"WITH {EVENTS}, o AS (SELECT lpad(event_id::VARCHAR, 10, '0') AS op_id, kind, event_id % 700 AS doc_id, ts % 1000 AS ts, content AS payload FROM ev) SELECT * FROM o QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY ts DESC, op_id DESC) = 1",
     "so11_map_merge": f"WITH {DOCS}, w AS (SELECT uri, 'actor' || i AS actor, id * (i + 1) % 17 AS ts, i, id, lang, source FROM docs, (SELECT unnest([0, 1, 2]) AS i) WHERE id % 3 <> i), e AS (SELECT uri, actor, ts, 'k' || i AS key, lang AS value FROM w UNION ALL SELECT uri, actor, ts, 'shared', 'v' || i || '-' || source FROM w) SELECT uri, key, arg_max(value, (ts, actor)) AS value FROM e GROUP BY uri, key",
     "jn4_active_memories": f"WITH {MEMORIES} SELECT memory_type, count(*) AS n FROM memories WHERE superseded_by IS NULL GROUP BY 1",
-    "mm4_memory_state": f"WITH {MEMORIES} SELECT doc_id, id, memory_type FROM memories QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY superseded_by IS NOT NULL, updated_ts DESC, id DESC) = 1",
+    "mm4_wn9_memory_state": f"WITH {MEMORIES} SELECT doc_id, id, memory_type FROM memories QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY superseded_by IS NOT NULL, updated_ts DESC, id DESC) = 1",
     "mm2_promote": f"WITH {MEMORIES}, p AS (SELECT CASE WHEN hit THEN 'lesson' ELSE memory_type END AS memory_type, CASE WHEN hit THEN doc_id % 12 / 10.0 ELSE confidence END AS confidence FROM (SELECT *, doc_id % 7 = 0 AND doc_id % 12 <= 10 AND superseded_by IS NULL AND memory_type = 'raw' AS hit FROM memories)) SELECT memory_type, count(*) AS n, round(sum(confidence), 6) AS c FROM p GROUP BY 1",
     "mm3_supersede": f"WITH {MEMORIES} SELECT id, CASE WHEN doc_id % 5 = 0 AND id <> doc_id * 2 THEN doc_id * 2 ELSE superseded_by END AS superseded_by FROM memories",
     "jn12_without_raw": f"WITH {MEMORIES} SELECT doc_id AS id FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM memories WHERE memory_type = 'raw' AND superseded_by IS NULL)",
@@ -212,7 +212,7 @@ SELECT id, chunk, start::BIGINT AS start, (start + strlen(trim(raw)))::BIGINT AS
     "st9_sweep": "SELECT 1::BIGINT AS misses",
     "ma21_corrections": f"WITH e AS (SELECT event_id % 101 / 100.0::DOUBLE AS score, (event_id % 3 = 0)::INT AS good FROM events) SELECT least(greatest(floor(score * 10), 0), 9)::BIGINT AS bucket, round(avg(good) / nullif(avg(score), 0), 6) AS correction FROM e GROUP BY 1",
     "xt21_to_embed": "SELECT DISTINCT sha256(text) AS hash FROM documents WHERE text NOT IN (SELECT text FROM documents WHERE doc_id % 2 = 0)",
-    "vs28_hash_embedding": "SELECT doc_id AS id, 64 AS dim FROM documents",
+    "vs28_xt13_hash_embedding": "SELECT doc_id AS id, 64 AS dim FROM documents",
     "cx5_state": f"WITH {MEMORIES} SELECT id, doc_id, memory_type FROM memories WHERE superseded_by IS NULL AND memory_type IN ('fact', 'decision') ORDER BY updated_ts DESC, id DESC LIMIT 40",
     "so8_delta_ids": "SELECT doc_id AS id FROM documents WHERE doc_id % 5 <> 0",
     "jn22_cx9_freshness": "SELECT p_partkey AS id, p_size AS have, CASE WHEN p_partkey % 4 <> 0 THEN p_size + p_partkey % 2 END AS latest, CASE WHEN p_partkey % 4 = 0 THEN 'unknown' WHEN p_partkey % 2 = 1 THEN 'outdated' ELSE 'current' END AS status FROM part",

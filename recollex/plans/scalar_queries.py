@@ -77,7 +77,7 @@ QUERIES = {
     "sf27_scope_path": lambda s, d: docs(s, d).select("id", tx.scope_path(F.col("source"), F.col("uri"), F.lit("100%")).alias("path")),
     "xt26_scope_tag": lambda s, d: docs(s, d).select("id", tx.scope_tag(F.when(F.col("id") % 3 == 0, "user").when(F.col("id") % 3 == 1, "project").otherwise("x"), F.col("source"), F.lit("s"), F.col("lang")).alias("tag")),
     "sf28_mime": lambda s, d: docs(s, d).select("id", tx.mime(F.concat(F.lit("a."), F.element_at(F.array(*[F.lit(x) for x in ("PNG", "mp4", "wav", "txt", "bin")]), (F.col("id") % 5 + 1).cast("int")))).alias("mime")),
-    "so9_jaccard": lambda s, d: _r(docs(s, d).join(docs(s, d).select((F.col("id") - 1).alias("id"), F.col("text").alias("next")), "id").select("id", tx.jaccard(tx.long_tokens(F.col("text")), tx.long_tokens(F.col("next"))).alias("j")), "j"),
+    "so9_aj7_jaccard": lambda s, d: _r(docs(s, d).join(docs(s, d).select((F.col("id") - 1).alias("id"), F.col("text").alias("next")), "id").select("id", tx.jaccard(tx.long_tokens(F.col("text")), tx.long_tokens(F.col("next"))).alias("j")), "j"),
     "sc21_web_html": lambda s, d: _web(s, d),
     "dt1_timestamps": lambda s, d: table(s, d, "events").select("event_id", tm.parse_timestamp(F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss")).alias("t")),
     "dt2_civil": lambda s, d: table(s, d, "orders").select("o_orderkey", F.unix_date(F.to_date("o_orderdate")).alias("days"), F.dayofmonth(F.last_day("o_orderdate")).alias("in_month")),
@@ -89,11 +89,11 @@ QUERIES = {
     "ma5_int8": lambda s, d: vectors(s, d).select("id", F.round(scores.int8_scale(F.col("embedding")), 9).alias("scale"), F.array_join(F.transform(scores.int8(F.col("embedding")), lambda x: x.cast("string")), ",").alias("codes")),
     "ma7_signs": _sign_words,
     "ma12_reciprocal": lambda s, d: docs(s, d).select("id", F.round(scores.reciprocal_rank(F.col("id") + 1), 9).alias("r"), F.round(scores.distance_score(F.col("id") / 10), 9).alias("s")),
-    "ma15_recall_heat": lambda s, d: _r(events(s, d).select("event_id", scores.recall_heat(F.lit(1.0), F.col("ts"), NOW).alias("h")), "h"),
+    "ma15_ma24_recall_heat": lambda s, d: _r(events(s, d).select("event_id", scores.recall_heat(F.lit(1.0), F.col("ts"), NOW).alias("h")), "h"),
     "ma16_usage_heat": lambda s, d: _r(events(s, d).select("event_id", scores.usage_heat(F.lit(1.0), F.col("event_id") % 9, F.col("ts"), NOW).alias("h")), "h"),
     "ma17_decay": _decay,
     "sl11_decay_order": lambda s, d: _decay(s, d).orderBy(F.desc("score"), "event_id").limit(50),
-    "ma18_blends": lambda s, d: _r(docs(s, d).select("id", scores.rerank_blend(F.col("id") / 7.0, F.col("id") / 3.0).alias("a"), scores.grade_blend(F.col("id") / 7.0, F.col("id") / 3.0).alias("b")), "a", "b"),
+    "ma18_ma19_blends": lambda s, d: _r(docs(s, d).select("id", scores.rerank_blend(F.col("id") / 7.0, F.col("id") / 3.0).alias("a"), scores.grade_blend(F.col("id") / 7.0, F.col("id") / 3.0).alias("b")), "a", "b"),
     "ma21_calibration": lambda s, d: docs(s, d).select("id", scores.bucket(F.col("id") % 113 / 100.0).alias("bucket"), F.round(scores.calibrated(F.col("id") % 113 / 100.0, F.when(F.col("id") % 2 == 0, 0.9)), 6).alias("c")),
     "ma23_kind_bonus": lambda s, d: _r(events(s, d).groupBy("kind").agg(scores.kind_bonus(F.sum((F.col("event_id") % 3 == 0).cast("long")), F.sum((F.col("event_id") % 3 != 0).cast("long"))).alias("bonus")), "bonus"),
     "mm1_type_weights": lambda s, d: events(s, d).select("event_id", scores.type_weight(F.element_at(F.array(*[F.lit(k) for k in ("fact", "decision", "lesson", "preference", "episodic", "raw")]), (F.col("event_id") % 6 + 1).cast("int"))).alias("w")),
@@ -156,7 +156,7 @@ ORACLE_SQL = {
     "sf27_scope_path": f"WITH {DOCS} SELECT id, source || '/' || replace(uri, '/', '%2F') || '/100%25' AS path FROM docs",
     "xt26_scope_tag": f"WITH {DOCS} SELECT id, CASE id % 3 WHEN 0 THEN 'user:' || source WHEN 1 THEN 'project:' || lang ELSE 'global' END AS tag FROM docs",
     "sf28_mime": "SELECT doc_id AS id, (['image', 'video', 'audio', 'text', 'other'])[doc_id % 5 + 1] AS mime FROM documents",
-    "so9_jaccard": f"WITH t AS (SELECT doc_id AS id, {_LONG} AS w FROM documents) SELECT a.id, round(CASE WHEN len(a.w) + len(b.w) = 0 THEN 0 ELSE len(list_intersect(a.w, b.w)) / (len(a.w) + len(b.w) - len(list_intersect(a.w, b.w))) END, 6) AS j FROM t a JOIN t b ON b.id = a.id + 1",
+    "so9_aj7_jaccard": f"WITH t AS (SELECT doc_id AS id, {_LONG} AS w FROM documents) SELECT a.id, round(CASE WHEN len(a.w) + len(b.w) = 0 THEN 0 ELSE len(list_intersect(a.w, b.w)) / (len(a.w) + len(b.w) - len(list_intersect(a.w, b.w))) END, 6) AS j FROM t a JOIN t b ON b.id = a.id + 1",
     "sc21_web_html": f"SELECT page_id AS id, url AS uri, CASE WHEN trim(regexp_extract(html, '(?is)<title[^>]*>(.*?)</title>', 1)) <> '' THEN trim(regexp_extract(html, '(?is)<title[^>]*>(.*?)</title>', 1)) ELSE url END AS title, {_strip('html')} AS text FROM pages",
     "dt1_timestamps": "SELECT event_id, floor(epoch(ts))::BIGINT AS t FROM events",
     "dt2_civil": "SELECT o_orderkey, (o_orderdate::DATE - DATE '1970-01-01')::INT AS days, day(last_day(o_orderdate))::INT AS in_month FROM orders",
@@ -168,11 +168,11 @@ ORACLE_SQL = {
     "ma5_int8": f"WITH {VECTORS}, v AS (SELECT id, embedding, list_max(list_transform(embedding, lambda x: abs(x::DOUBLE))) / 127 AS s FROM vectors) SELECT id, round(s, 9) AS scale, array_to_string(list_transform(embedding, lambda x: round(x::DOUBLE / s)::INT), ',') AS codes FROM v",
     "ma7_signs": f"WITH {VECTORS} SELECT id, list_sum(list_transform(range(1, 33), lambda i: CASE WHEN embedding[i] > 0 THEN 1::BIGINT << (i - 1) ELSE 0 END))::BIGINT AS w0, list_sum(list_transform(range(1, 33), lambda i: CASE WHEN embedding[i + 32] > 0 THEN 1::BIGINT << (i - 1) ELSE 0 END))::BIGINT AS w1 FROM vectors",
     "ma12_reciprocal": "SELECT doc_id AS id, round(1.0 / (60.0 + doc_id + 1), 9) AS r, round(1.0 / (1.0 + doc_id / 10), 9) AS s FROM documents",
-    "ma15_recall_heat": f"WITH {EVENTS} SELECT event_id, round(greatest(pow(0.97, greatest(({NOW} - ts) / 86400.0, 0)), 0.3), 6) AS h FROM ev",
+    "ma15_ma24_recall_heat": f"WITH {EVENTS} SELECT event_id, round(greatest(pow(0.97, greatest(({NOW} - ts) / 86400.0, 0)), 0.3), 6) AS h FROM ev",
     "ma16_usage_heat": f"WITH {EVENTS} SELECT event_id, round((1 + ln(1.0 + event_id % 9)) * exp(-0.05 * greatest(({NOW} - ts) / 86400.0, 0)), 6) AS h FROM ev",
     "ma17_decay": f"WITH {EVENTS} SELECT event_id, round({_DECAY}, 6) AS score FROM ev",
     "sl11_decay_order": f"WITH {EVENTS} SELECT event_id, round({_DECAY}, 6) AS score FROM ev ORDER BY score DESC, event_id LIMIT 50",
-    "ma18_blends": "SELECT doc_id AS id, round(0.7 * (doc_id / 7.0) + 0.3 * (doc_id / 3.0), 6) AS a, round(0.6 * (doc_id / 7.0) + 0.4 * (doc_id / 3.0), 6) AS b FROM documents",
+    "ma18_ma19_blends": "SELECT doc_id AS id, round(0.7 * (doc_id / 7.0) + 0.3 * (doc_id / 3.0), 6) AS a, round(0.6 * (doc_id / 7.0) + 0.4 * (doc_id / 3.0), 6) AS b FROM documents",
     "ma21_calibration": "SELECT doc_id AS id, least(greatest(floor((doc_id % 113 / 100.0::DOUBLE) * 10), 0), 9)::BIGINT AS bucket, round(least(greatest((doc_id % 113 / 100.0::DOUBLE) * CASE WHEN doc_id % 2 = 0 THEN 0.9::DOUBLE ELSE 1.0 END, 0), 1), 6) AS c FROM documents",
     "ma23_kind_bonus": f"WITH {EVENTS} SELECT kind, round(avg((event_id % 3 = 0)::INT) * 0.03, 6) AS bonus FROM ev GROUP BY kind",
     "mm1_type_weights": "SELECT event_id, ([1.2, 1.1, 1.05, 1.15, 0.95, 1.0])[event_id % 6 + 1]::DOUBLE AS w FROM events",

@@ -70,25 +70,25 @@ QUERIES = {
     "ft8_incremental_postings": lambda s, d: ft.newer_postings(docs(s, d), 900).groupBy("id").agg(F.sum("tf").alias("terms")),
     "ft9_verify_hashes": lambda s, d: ft.broken_hashes(docs(s, d).withColumn("hash", F.when(F.col("id") % 50 == 0, F.lit("bad")).otherwise(F.sha2("text", 256)))).select("id"),
     "sl15_search_batch": lambda s, d: _rounded(ft.search_batch(docs(s, d), {1: ft.compile_query(ANY), 2: ft.compile_query(ALL), 3: ft.compile_loose("nichtch")}, 10), "score"),
-    "sl2_knn_cosine": lambda s, d: _rounded(vs.knn(vectors(s, d), query_vector(s, d), 20), "distance"),
-    "sl3_knn_l2": lambda s, d: vs.knn(vectors(s, d), query_vector(s, d), 20, metric="l2").select("id", F.round(scores.distance_score(F.col("distance")), 6).alias("score")),
+    "sl2_sl4_knn_cosine": lambda s, d: _rounded(vs.knn(vectors(s, d), query_vector(s, d), 20), "distance"),
+    "sl3_ma11_knn_l2": lambda s, d: vs.knn(vectors(s, d), query_vector(s, d), 20, metric="l2").select("id", F.round(scores.distance_score(F.col("distance")), 6).alias("score")),
     "xt31_knn_dot": lambda s, d: _rounded(vs.knn(vectors(s, d), query_vector(s, d), 20, metric="dot"), "distance"),
-    "vs1_knn_batch": lambda s, d: _rounded(vs.knn_join(vectors(s, d).filter("id < 5").select(F.col("id").alias("qid"), "embedding"), vectors(s, d), 10, dim=64), "distance"),
+    "vs1_ma2_knn_batch": lambda s, d: _rounded(vs.knn_join(vectors(s, d).filter("id < 5").select(F.col("id").alias("qid"), "embedding"), vectors(s, d), 10, dim=64), "distance"),
     "vs2_cascade": lambda s, d: _rounded(vs.cascade(vectors(s, d), query_vector(s, d), 10, first=100), "distance"),
     "vs9_int8": lambda s, d: _rounded(vs.int8_knn(vectors(s, d), query_vector(s, d), 10), "score"),
     "vs10_hamming": lambda s, d: vs.hamming_knn(vectors(s, d), query_vector(s, d), 10),
     "vs14_hamming_int8": lambda s, d: _rounded(vs.cascade(vectors(s, d), query_vector(s, d), 10, first=80, rescore="int8"), "score"),
     "ma8_matryoshka": lambda s, d: _rounded(vs.truncated_knn(vectors(s, d), query_vector(s, d), 10, 16), "distance"),
     "ma10_codebook": lambda s, d: _rounded(vs.codebook(vectors(s, d)), "low", "high"),
-    "vs12_rotated_signs": lambda s, d: _rounded(vs.rotated_knn(vectors(s, d), query_vector(s, d), 10, pool=200), "distance"),
-    "jn17_consolidate": lambda s, d: _rounded(vs.consolidate(vectors(s, d), 64, threshold=0.3), "cosine"),
+    "vs12_ma9_rotated_signs": lambda s, d: _rounded(vs.rotated_knn(vectors(s, d), query_vector(s, d), 10, pool=200), "distance"),
+    "jn17_vs26_consolidate": lambda s, d: _rounded(vs.consolidate(vectors(s, d), 64, threshold=0.3), "cosine"),
     "jn19_neighbour_edges": neighbour_edges,
-    "vs19_sparse_dot": lambda s, d: _rounded(vs.sparse_search(vs.sparse_encode(docs(s, d)), {"eringble": 1.5, "thined": 0.5, "the": 0.1}, 20), "score"),
+    "vs19_vs20_ma14_sparse_dot": lambda s, d: _rounded(vs.sparse_search(vs.sparse_encode(docs(s, d)), {"eringble": 1.5, "thined": 0.5, "the": 0.1}, 20), "score"),
     "ag13_sparse_doc_count": lambda s, d: vs.sparse_encode(docs(s, d)).agg(F.countDistinct("id").alias("docs")),
     "ma13_max_sim": lambda s, d: _rounded(vs.max_sim(token_rows(s, d).filter("id = 0 and token < 4"), token_rows(s, d)).orderBy(F.desc("score")), "score"),
-    "ag24_bucket_sums": lambda s, d: vs.bucket_sums(token_rows(s, d), 64),
-    "vs25_conformal": lambda s, d: _rounded(vs.conformal_quantile(vectors(s, d).select("id", (F.abs(F.element_at("embedding", 1).cast("double"))).alias("residual")), 0.1), "q"),
-    "wn2_hybrid_rrf": hybrid,
+    "ag24_vs23_bucket_sums": lambda s, d: vs.bucket_sums(token_rows(s, d), 64),
+    "vs25_ag18_conformal": lambda s, d: _rounded(vs.conformal_quantile(vectors(s, d).select("id", (F.abs(F.element_at("embedding", 1).cast("double"))).alias("residual")), 0.1), "q"),
+    "wn2_wn6_vs29_hybrid_rrf": hybrid,
     "pf6_filtered_hybrid": filtered_hybrid,
     "pf4_filtered_lexical": lambda s, d: _rounded(ft.search(pr.filtered(docs(s, d), WHERE), ANY, 20), "score"),
     "pf5_filtered_vector": lambda s, d: _rounded(vs.knn(vectors(s, d).filter("label in (1, 2, 3)"), query_vector(s, d), 10), "distance"),
@@ -185,21 +185,21 @@ ORACLE_SQL = {
     "ft6_like_search": f"WITH {DOCS} SELECT id, uri FROM docs WHERE contains(lower(title), 'eringble') OR contains(lower(text), 'eringble') ORDER BY id DESC LIMIT 50",
     "ft8_incremental_postings": f"WITH {DOCS}, src AS (SELECT * FROM docs WHERE id > 900), {POST} SELECT id, sum(tf)::BIGINT AS terms FROM post GROUP BY id",
     "ft9_verify_hashes": "SELECT doc_id AS id FROM documents WHERE doc_id % 50 = 0",
-    "sl2_knn_cosine": f"WITH {VECTORS}, {_Q} {_knn(_COS, 20)}",
-    "sl3_knn_l2": f"WITH {VECTORS}, {_Q} SELECT id, round(1 / (1 + d), 6) AS score FROM (SELECT id, {_L2} AS d FROM vectors, q) ORDER BY round(d, 9), id LIMIT 20",
+    "sl2_sl4_knn_cosine": f"WITH {VECTORS}, {_Q} {_knn(_COS, 20)}",
+    "sl3_ma11_knn_l2": f"WITH {VECTORS}, {_Q} SELECT id, round(1 / (1 + d), 6) AS score FROM (SELECT id, {_L2} AS d FROM vectors, q) ORDER BY round(d, 9), id LIMIT 20",
     "xt31_knn_dot": f"WITH {VECTORS}, {_Q} {_knn('-' + _DOT, 20)}",
-    "vs1_knn_batch": f"WITH {VECTORS}, p AS (SELECT a.id AS qid, b.id, 1 - list_cosine_similarity({_D64.replace('embedding', 'a.embedding')}, {_D64.replace('embedding', 'b.embedding')}) AS d FROM vectors a, vectors b WHERE a.id < 5) SELECT qid, rank, id, round(d, 6) AS distance FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY round(d, 9), id) AS rank FROM p) WHERE rank <= 10",
+    "vs1_ma2_knn_batch": f"WITH {VECTORS}, p AS (SELECT a.id AS qid, b.id, 1 - list_cosine_similarity({_D64.replace('embedding', 'a.embedding')}, {_D64.replace('embedding', 'b.embedding')}) AS d FROM vectors a, vectors b WHERE a.id < 5) SELECT qid, rank, id, round(d, 6) AS distance FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY round(d, 9), id) AS rank FROM p) WHERE rank <= 10",
     "vs2_cascade": f"WITH {VECTORS}, {_Q}, pool AS (SELECT id, embedding FROM vectors, q ORDER BY {_HAM}, id LIMIT 100) {_knn(_COS, 10, 'pool')}",
     "vs9_int8": f"WITH {VECTORS}, {_Q} {_int8('vectors', 10)}",
     "vs10_hamming": f"WITH {VECTORS}, {_Q} SELECT id, {_HAM}::INT AS distance FROM vectors, q ORDER BY 2, 1 LIMIT 10",
     "vs14_hamming_int8": f"WITH {VECTORS}, {_Q}, pool AS (SELECT id, embedding FROM vectors, q ORDER BY {_HAM}, id LIMIT 80) {_int8('pool', 10)}",
     "ma8_matryoshka": f"WITH v0 AS (SELECT vec_id AS id, embedding[1:16] AS embedding FROM embeddings), q AS (SELECT embedding[1:16] AS q FROM embeddings WHERE vec_id = 0) {_knn(_COS, 10, 'v0')}",
     "ma10_codebook": "SELECT dim, round(min(x)::DOUBLE, 6) AS low, round(max(x)::DOUBLE, 6) AS high FROM (SELECT unnest(embedding) AS x, unnest(range(0, len(embedding))) AS dim FROM embeddings) GROUP BY dim",
-    "vs19_sparse_dot": f"WITH {_SPARSE} SELECT id, round(score, 6) AS score FROM (SELECT id, sum(weight * CASE term WHEN 'eringble' THEN 1.5 WHEN 'thined' THEN 0.5 ELSE 0.1 END) AS score FROM sp WHERE term IN ('eringble', 'thined', 'the') GROUP BY id) ORDER BY round(score, 9) DESC, id LIMIT 20",
+    "vs19_vs20_ma14_sparse_dot": f"WITH {_SPARSE} SELECT id, round(score, 6) AS score FROM (SELECT id, sum(weight * CASE term WHEN 'eringble' THEN 1.5 WHEN 'thined' THEN 0.5 ELSE 0.1 END) AS score FROM sp WHERE term IN ('eringble', 'thined', 'the') GROUP BY id) ORDER BY round(score, 9) DESC, id LIMIT 20",
     "ag13_sparse_doc_count": f"WITH {_SPARSE} SELECT count(DISTINCT id) AS docs FROM sp",
     "ma13_max_sim": f"WITH {_TOK} SELECT id, round(sum(best), 6) AS score FROM (SELECT a.id, b.token, max(list_dot_product(a.e, b.e)) AS best FROM tok a, tok b WHERE b.id = 0 AND b.token < 4 GROUP BY 1, 2) GROUP BY id",
-    "vs25_conformal": "WITH r AS (SELECT abs(embedding[1]::DOUBLE) AS residual, row_number() OVER (ORDER BY abs(embedding[1]::DOUBLE)) AS r, count(*) OVER () AS n FROM embeddings) SELECT round(residual, 6) AS q FROM r WHERE r = greatest(ceil(least(0.9 * (1 + 1.0 / n), 1.0) * n - 1e-9), 1)",
-    "wn2_hybrid_rrf": f"WITH {DOCS}, {_Q}, vs AS (SELECT vec_id AS id, embedding FROM embeddings), {_bm25(_ANY_TERMS, 1, 60)}, {_LEXLEG}, {_VECLEG}, f AS (SELECT id, sum(s) AS score, CASE WHEN count(*) > 1 THEN 'both' ELSE min(leg) END AS source FROM (SELECT id, 1.0 / (60.0 + rank) AS s, 'fts' AS leg FROM lex UNION ALL SELECT id, 1.0 / (60.0 + rank), 'vec' FROM vec) GROUP BY id ORDER BY round(score, 12) DESC, id LIMIT 20) SELECT f.id, round(score, 9) AS score, f.source, uri FROM f LEFT JOIN docs USING (id)",
+    "vs25_ag18_conformal": "WITH r AS (SELECT abs(embedding[1]::DOUBLE) AS residual, row_number() OVER (ORDER BY abs(embedding[1]::DOUBLE)) AS r, count(*) OVER () AS n FROM embeddings) SELECT round(residual, 6) AS q FROM r WHERE r = greatest(ceil(least(0.9 * (1 + 1.0 / n), 1.0) * n - 1e-9), 1)",
+    "wn2_wn6_vs29_hybrid_rrf": f"WITH {DOCS}, {_Q}, vs AS (SELECT vec_id AS id, embedding FROM embeddings), {_bm25(_ANY_TERMS, 1, 60)}, {_LEXLEG}, {_VECLEG}, f AS (SELECT id, sum(s) AS score, CASE WHEN count(*) > 1 THEN 'both' ELSE min(leg) END AS source FROM (SELECT id, 1.0 / (60.0 + rank) AS s, 'fts' AS leg FROM lex UNION ALL SELECT id, 1.0 / (60.0 + rank), 'vec' FROM vec) GROUP BY id ORDER BY round(score, 12) DESC, id LIMIT 20) SELECT f.id, round(score, 9) AS score, f.source, uri FROM f LEFT JOIN docs USING (id)",
     "pf6_filtered_hybrid": f"WITH {DOCS}, {_Q}, {_bm25(_ANY_TERMS, 1, 60, source=f'SELECT * FROM docs WHERE {_WHERE}')}, vs AS (SELECT vec_id AS id, embedding FROM embeddings WHERE vec_id IN (SELECT id FROM src)), {_LEXLEG}, {_VECLEG}, f AS ({_rrf([('lex', '1.0'), ('vec', '1.0')], 20)}) SELECT id, round(score, 6) AS score FROM f",
     "pf4_filtered_lexical": f"WITH {DOCS}, {_bm25(_ANY_TERMS, 1, 20, source=f'SELECT * FROM docs WHERE {_WHERE}')} SELECT id, round(score, 6) AS score FROM hits",
     "pf5_filtered_vector": f"WITH {VECTORS}, {_Q}, part AS (SELECT * FROM vectors WHERE label IN (1, 2, 3)) {_knn(_COS, 10, 'part')}",
