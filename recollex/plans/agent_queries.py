@@ -131,7 +131,7 @@ def _views(s, d):
     return s.sql("select n.from_id, d.n, count(*) as edges from graph_neighbors n join graph_degree d using (from_id) join graph_pagerank p on p.id = n.from_id group by n.from_id, d.n")
 
 
-_READ = f"WITH {DOCS} SELECT uri, length(text) AS n, sha256(replace(text, chr(13), '')) AS h FROM docs WHERE trim(text) <> ''"
+_READ = f"WITH {DOCS} SELECT uri, length(text)::INT AS n, sha256(replace(text, chr(13), '')) AS h FROM docs WHERE trim(text) <> ''"
 ORACLE_SQL = {
     "sc3_csv": _READ, "sc3_tsv": _READ, "sc4_jsonl": _READ, "sc6_parquet": _READ,
     "sc20_rss": "SELECT url AS uri, n::INT AS n, 't' || page_id AS title, 'http://x/' || page_id AS link, 'http://x/' || page_id AS guid, 'a & b' AS text FROM pages, (SELECT unnest([0, 1]) AS n)",

@@ -180,7 +180,7 @@ ORACLE_SQL = {
     "ft1_postings": f"WITH {DOCS}, src AS (SELECT * FROM docs), {POST} SELECT term, count(*) AS df, sum(tf)::BIGINT AS cf FROM post WHERE term LIKE 'th%' AND length(term) <= 5 GROUP BY term",
     "ft2_bm25_fts5_all": f"WITH {DOCS}, {_bm25(['eringble', 'the'], 2, 20, 'fts5')} SELECT id, round(score, 6) AS score FROM hits",
     "sl1_ft3_bm25_any": f"WITH {DOCS}, {_bm25(_ANY_TERMS, 1, 20)} SELECT id, round(score, 6) AS score FROM hits",
-    "ft4_event_phrase": f"WITH {EVENTS} SELECT event_id AS id, 1 AS times FROM ev WHERE kind = 'view' AND agent = 'agent3'",
+    "ft4_event_phrase": f"WITH {EVENTS} SELECT event_id AS id, 1::BIGINT AS times FROM ev WHERE kind = 'view' AND agent = 'agent3'",
     "ft4_prefix": f"WITH {DOCS}, src AS (SELECT * FROM docs), {POST} SELECT id, sum(tf)::BIGINT AS tf FROM post WHERE starts_with(term, 'eringb') GROUP BY id",
     "ft6_like_search": f"WITH {DOCS} SELECT id, uri FROM docs WHERE contains(lower(title), 'eringble') OR contains(lower(text), 'eringble') ORDER BY id DESC LIMIT 50",
     "ft8_incremental_postings": f"WITH {DOCS}, src AS (SELECT * FROM docs WHERE id > 900), {POST} SELECT id, sum(tf)::BIGINT AS terms FROM post GROUP BY id",
@@ -188,13 +188,13 @@ ORACLE_SQL = {
     "sl2_sl4_knn_cosine": f"WITH {VECTORS}, {_Q} {_knn(_COS, 20)}",
     "sl3_ma11_knn_l2": f"WITH {VECTORS}, {_Q} SELECT id, round(1 / (1 + d), 6) AS score FROM (SELECT id, {_L2} AS d FROM vectors, q) ORDER BY round(d, 9), id LIMIT 20",
     "xt31_knn_dot": f"WITH {VECTORS}, {_Q} {_knn('-' + _DOT, 20)}",
-    "vs1_ma2_knn_batch": f"WITH {VECTORS}, p AS (SELECT a.id AS qid, b.id, 1 - list_cosine_similarity({_D64.replace('embedding', 'a.embedding')}, {_D64.replace('embedding', 'b.embedding')}) AS d FROM vectors a, vectors b WHERE a.id < 5) SELECT qid, rank, id, round(d, 6) AS distance FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY round(d, 9), id) AS rank FROM p) WHERE rank <= 10",
+    "vs1_ma2_knn_batch": f"WITH {VECTORS}, p AS (SELECT a.id AS qid, b.id, 1 - list_cosine_similarity({_D64.replace('embedding', 'a.embedding')}, {_D64.replace('embedding', 'b.embedding')}) AS d FROM vectors a, vectors b WHERE a.id < 5) SELECT qid, rank::INT AS rank, id, round(d, 6) AS distance FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY round(d, 9), id) AS rank FROM p) WHERE rank <= 10",
     "vs2_cascade": f"WITH {VECTORS}, {_Q}, pool AS (SELECT id, embedding FROM vectors, q ORDER BY {_HAM}, id LIMIT 100) {_knn(_COS, 10, 'pool')}",
     "vs9_int8": f"WITH {VECTORS}, {_Q} {_int8('vectors', 10)}",
     "vs10_hamming": f"WITH {VECTORS}, {_Q} SELECT id, {_HAM}::INT AS distance FROM vectors, q ORDER BY 2, 1 LIMIT 10",
     "vs14_hamming_int8": f"WITH {VECTORS}, {_Q}, pool AS (SELECT id, embedding FROM vectors, q ORDER BY {_HAM}, id LIMIT 80) {_int8('pool', 10)}",
     "ma8_matryoshka": f"WITH v0 AS (SELECT vec_id AS id, embedding[1:16] AS embedding FROM embeddings), q AS (SELECT embedding[1:16] AS q FROM embeddings WHERE vec_id = 0) {_knn(_COS, 10, 'v0')}",
-    "ma10_codebook": "SELECT dim, round(min(x)::DOUBLE, 6) AS low, round(max(x)::DOUBLE, 6) AS high FROM (SELECT unnest(embedding) AS x, unnest(range(0, len(embedding))) AS dim FROM embeddings) GROUP BY dim",
+    "ma10_codebook": "SELECT dim::INT AS dim, round(min(x)::DOUBLE, 6) AS low, round(max(x)::DOUBLE, 6) AS high FROM (SELECT unnest(embedding) AS x, unnest(range(0, len(embedding))) AS dim FROM embeddings) GROUP BY dim",
     "vs19_vs20_ma14_sparse_dot": f"WITH {_SPARSE} SELECT id, round(score, 6) AS score FROM (SELECT id, sum(weight * CASE term WHEN 'eringble' THEN 1.5 WHEN 'thined' THEN 0.5 ELSE 0.1 END) AS score FROM sp WHERE term IN ('eringble', 'thined', 'the') GROUP BY id) ORDER BY round(score, 9) DESC, id LIMIT 20",
     "ag13_sparse_doc_count": f"WITH {_SPARSE} SELECT count(DISTINCT id) AS docs FROM sp",
     "ma13_max_sim": f"WITH {_TOK} SELECT id, round(sum(best), 6) AS score FROM (SELECT a.id, b.token, max(list_dot_product(a.e, b.e)) AS best FROM tok a, tok b WHERE b.id = 0 AND b.token < 4 GROUP BY 1, 2) GROUP BY id",
@@ -217,12 +217,12 @@ ORACLE_SQL = {
     "wn4_rrf_blend": f"WITH {DOCS}, {_TWO}, f AS ({_rrf([('a', '0.7'), ('b', '0.3')], 20)}) SELECT id, round(score, 6) AS score FROM f",
     "wn10_relative": f"WITH {DOCS}, {_bm25(_ANY_TERMS, 1, 20)} SELECT id, round(score, 6) AS score, round(score / max(score) OVER (), 6) AS relevance FROM hits",
     "wn11_take_while_fits": "SELECT * FROM (SELECT doc_id AS id, sum(n_chars) OVER (ORDER BY doc_id DESC ROWS UNBOUNDED PRECEDING)::BIGINT AS used FROM documents WHERE doc_id < 300) WHERE used <= 50000",
-    "wn12_serial_order": "SELECT doc_id AS id, doc_id + 1 AS rank, row_number() OVER (ORDER BY CASE doc_id WHEN 0 THEN 0 WHEN 1 THEN 2 ELSE 1 END, doc_id) AS position FROM documents WHERE doc_id < 50",
-    "wn13_cache_stable_order": "SELECT doc_id AS id, doc_id + 1 AS rank, row_number() OVER (ORDER BY CASE doc_id WHEN 30 THEN -2 WHEN 7 THEN -1 WHEN 0 THEN 0 WHEN 1 THEN 2 ELSE 1 END, doc_id) AS position FROM documents WHERE doc_id < 50",
+    "wn12_serial_order": "SELECT doc_id AS id, doc_id + 1 AS rank, row_number() OVER (ORDER BY CASE doc_id WHEN 0 THEN 0 WHEN 1 THEN 2 ELSE 1 END, doc_id)::INT AS position FROM documents WHERE doc_id < 50",
+    "wn13_cache_stable_order": "SELECT doc_id AS id, doc_id + 1 AS rank, row_number() OVER (ORDER BY CASE doc_id WHEN 30 THEN -2 WHEN 7 THEN -1 WHEN 0 THEN 0 WHEN 1 THEN 2 ELSE 1 END, doc_id)::INT AS position FROM documents WHERE doc_id < 50",
     "sl12_scoped_rank": f"WITH {DOCS}, {_bm25(_ANY_TERMS, 1, 60)}, t AS (SELECT id, lower(concat_ws(' ', title, text)) AS t FROM docs) SELECT id, round(1000 * contains(t, 'eringble')::INT + 10 * (contains(t, 'thined')::INT + contains(t, 'the')::INT) + score, 6) AS score FROM hits JOIN t USING (id) ORDER BY score DESC, id LIMIT 20",
     "sl13_agent_rank": f"WITH {DOCS}, t AS (SELECT id, lower(concat_ws(' ', title, text)) AS t FROM docs) SELECT id, 1000000 * contains(t, 'eringble')::BIGINT + 10000 * (contains(t, 'thined')::BIGINT + contains(t, 'nichtch')::BIGINT) + id AS score FROM t ORDER BY score DESC, id DESC LIMIT 30",
     "so6_best_of_each": f"WITH {EVENTS} SELECT agent AS id, arg_max(event_id, value + event_id / 1e6) AS event_id FROM ev GROUP BY agent",
-    "jn3_hydrate": f"WITH {DOCS}, {VECTORS}, {_Q}, n AS (SELECT id, row_number() OVER (ORDER BY round(d, 9), id) AS rank FROM (SELECT id, {_COS} AS d FROM vectors, q) QUALIFY rank <= 10) SELECT id, rank, uri FROM n JOIN docs USING (id)",
+    "jn3_hydrate": f"WITH {DOCS}, {VECTORS}, {_Q}, n AS (SELECT id, row_number() OVER (ORDER BY round(d, 9), id) AS rank FROM (SELECT id, {_COS} AS d FROM vectors, q) QUALIFY rank <= 10) SELECT id, rank::INT AS rank, uri FROM n JOIN docs USING (id)",
     "sl6_timeline_page": f"WITH {DOCS} SELECT id, ts FROM docs ORDER BY ts DESC, id DESC LIMIT 10 OFFSET 20",
     "sc18_get_by_id": f"WITH {DOCS} SELECT id, uri, title FROM docs WHERE id = 42",
     "sc42_raw_sql": "SELECT n_name, count(*) AS n, round(sum(o_totalprice), 2) AS total FROM orders JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey WHERE o_orderstatus = 'F' GROUP BY n_name",
