@@ -3,6 +3,7 @@
 A store is a folder in shared storage::
 
     ledger/<batch>/   signed rows of documents: doc_id, source, lang, tokenizer, n_tokens, sign
+    changes/<batch>/  what the batch asks for, one row a document
     deltas/<batch>/   signed totals of the batch: source, lang, tokenizer, n_docs, n_tokens
     commits/<batch>/  written last; a batch without it does not exist
 
@@ -32,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from recollex.storage import exists
+from recollex.storage import exists, materialize, remove
 
 GROUP = ["source", "lang", "tokenizer"]
 LEDGER = "doc_id long, source string, lang string, tokenizer string, n_tokens long, sign int"
@@ -82,7 +83,8 @@ class RollupStore:
             return False
         row = F.struct("seq", "op", *GROUP, F.coalesce("n_tokens", F.lit(0)).cast("long").alias("n_tokens"))
         last = changes.filter("doc_id is not null").groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.max(row).alias("c"))
-        last = last.select("doc_id", "c.*")
+        # Counting tokens may be dear, and the changes are read twice from here on.
+        last = materialize(last.select("doc_id", "c.*"), "changes", f"{self.path}/changes/{name}")
         signed = last.filter("op <> 'delete'").select("doc_id", *GROUP, "n_tokens", F.lit(1).alias("sign"))
         if done:
             before = self.ledger().join(last.select("doc_id"), "doc_id", "left_semi")
@@ -92,6 +94,7 @@ class RollupStore:
         totals = written.groupBy(*GROUP).agg(F.sum("sign").cast("long").alias("n_docs"), F.sum(F.col("sign") * F.col("n_tokens")).alias("n_tokens"))
         totals.coalesce(1).write.mode("overwrite").parquet(f"{self.path}/deltas/{name}")
         self._commit(batch, name, [])
+        remove(self.spark, f"{self.path}/changes/{name}")
         return True
 
     def _live_deltas(self) -> list[str]:
@@ -127,21 +130,21 @@ def count_tokens(docs: DataFrame, model: bytes, *, text: str = "text", out: str
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         count = counter_of(model)
         for batch in batches:
-            counts = pa.array([count(t.as_py() or "") for t in batch.column(batch.num_columns - 1)], pa.int64())
+            counts = pa.array(count(batch.column(batch.num_columns - 1).fill_null("")), pa.int64())
             yield pa.RecordBatch.from_arrays([*batch.columns[:-1], counts], [*columns, out])
 
     return docs.select(*columns, F.col(text)).mapInArrow(run, schema)
 
 
 def counter_of(model: bytes):
-    """The function from a text to its number of tokens."""
+    """The function from texts (an Arrow array) to their numbers of tokens."""
     from recollex.llm.token_index import encoder_of
 
     if model.lstrip()[:1] == b"{":
         encoder = encoder_of(model)
-        return lambda text: len(encoder.encode(text)) // encoder.dtype.itemsize
+        return lambda texts: [len(x) // encoder.dtype.itemsize for x in encoder.encode_all(texts)]
     encoding = _ranked(model)
-    return lambda text: len(encoding.encode_ordinary(text))
+    return lambda texts: [len(encoding.encode_ordinary(t.as_py())) for t in texts]
 
 
 _RANKED: dict[int, object] = {}

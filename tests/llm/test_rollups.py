@@ -1,5 +1,6 @@
 from collections import Counter
 
+import pyarrow as pa
 import pytest
 
 from recollex.llm import queries as Q
@@ -82,6 +83,6 @@ def test_query_matches_a_recount(spark, sf_dir):
         if r["doc_id"] not in low:
             name, count = ("byte_bpe_50k", one) if r["lang"] == "en" else ("byte_bpe_multi_50k", many)
             n, t = want.get((r["source"], r["lang"], name), (0, 0))
-            want[r["source"], r["lang"], name] = (n + 1, t + count(r["text"]))
+            want[r["source"], r["lang"], name] = (n + 1, t + count(pa.array([r["text"]]))[0])
     found = {(r["source"], r["lang"], r["tokenizer"]): (r["n_docs"], r["n_tokens"]) for r in Q.op10_token_rollup(spark, sf_dir).collect()}
     assert found == want
