@@ -20,9 +20,12 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The document with the smallest id of each group of linked fingerprints; rows without an id stay."""
     kept = simhash.near_duplicates(docs.select("doc_id", "text")).filter("doc_id = component_id").select(F.col("doc_id").alias("_kept")).distinct()
-    # Rows that repeat an id are copies of it or clash with it; the first text stays.
-    first = docs.filter("doc_id is not null").groupBy("doc_id").agg(*[F.min_by(c, "text").alias(c) for c in docs.columns if c != "doc_id"])
-    return first.join(kept, F.col("doc_id") == F.col("_kept"), "left_semi").select(*docs.columns).unionByName(docs.filter("doc_id is null"))
+    # Rows that repeat an id are copies of it or clash with it; the smallest text stays.
+    repeated = docs.filter("doc_id is not null").groupBy("doc_id").agg(F.count(F.lit(1)).alias("_n")).filter("_n > 1").select(F.col("doc_id").alias("_kept"))
+    once = docs.join(kept.join(repeated, "_kept", "left_anti"), F.col("doc_id") == F.col("_kept"), "left_semi")
+    more = docs.join(kept.join(repeated, "_kept", "left_semi"), F.col("doc_id") == F.col("_kept"), "left_semi")
+    first = more.groupBy("doc_id").agg(F.min(F.struct("text", *[c for c in docs.columns if c not in ("doc_id", "text")])).alias("_d")).select("doc_id", "_d.*")
+    return once.unionByName(first.select(*docs.columns)).unionByName(docs.filter("doc_id is null"))
 
 
 def drop_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
