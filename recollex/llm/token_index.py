@@ -12,7 +12,9 @@ stored passes the fingerprint with a chance of 2**-32.
 
 Defined results. Null text counts as empty. Null keys come first in the order and
 are found under the null key. Repeated keys keep all their records, next to each
-other, ordered by payload length and then payload; a lookup returns all of them.
+other, ordered by the checksum of the payload and then the payload; a lookup
+returns all of them. A key that holds the rows of several shards is dealt to these
+by checksum, so that no task gets it whole.
 An empty table makes a dataset without shards. Other columns are ignored.
 Ids are stored as 16-bit numbers if the vocabulary allows it.
 """
@@ -316,6 +318,10 @@ class ShardIndex:
 # --- shards -----------------------------------------------------------------
 
 
+#: Stands for the null key among the bounds.
+LEAST = -(2**63)
+
+
 def _filesystem(uri: str):
     from pyarrow import fs
 
@@ -327,17 +333,24 @@ def _names(folder: str, shard: int) -> tuple[str, str]:
 
 
 def _bounds(docs: DataFrame, key: str, docs_per_shard: int, max_shards: int) -> list[int]:
-    """At most ``max_shards`` - 1 keys that cut the key order into shards of like size.
+    """At most ``max_shards`` - 1 keys that cut the key order into shards of like size; a key may cut several times.
 
-    Reads the key column alone; its size does not depend on the documents.
+    Reads the key column alone; the result does not grow with the documents.
     """
     n = docs.select(F.count(F.lit(1))).first()[0]
     shards = min(max_shards, -(-n // docs_per_shard))
     if shards < 2:
         return []
     cuts = [i / shards for i in range(1, shards)]
-    found = docs.select(F.percentile_approx(F.col(key), cuts, 4 * MAX_SHARDS)).first()[0]
-    return sorted(set(found or []))
+    return sorted(docs.select(F.percentile_approx(F.coalesce(F.col(key), F.lit(LEAST)), cuts, 4 * MAX_SHARDS)).first()[0])
+
+
+def _spans(bounds: np.ndarray, keys: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """First shard and number of shards of each key; null is the smallest key."""
+    values = keys.fill_null(LEAST).to_numpy(zero_copy_only=False)
+    low, high = np.searchsorted(bounds, values, side="left"), np.searchsorted(bounds, values, side="right")
+    several = high - low >= 2
+    return np.where(several, low + 1, high), np.where(several, high - low, 1)
 
 
 def write_dataset(docs: DataFrame, path: str, model: bytes, *, key: str = "doc_id", text: str = "text", end_id: int | None = 2, docs_per_shard: int = DOCS_PER_SHARD, max_shards: int = MAX_SHARDS) -> DataFrame:
@@ -356,10 +369,11 @@ def write_dataset(docs: DataFrame, path: str, model: bytes, *, key: str = "doc_i
         tail = b"" if end_id is None else np.array([end_id], encoder.dtype).tobytes()
         for batch in batches:
             keys = batch.column(0)
-            shards = np.searchsorted(bounds, keys.fill_null(-(2**63)).to_numpy(zero_copy_only=False), side="right").astype(np.int32)
-            shards[keys.is_null().to_numpy(zero_copy_only=False)] = 0
-            ids = pa.array([x + tail for x in encoder.encode_all(batch.column(1))], pa.binary())
-            yield pa.RecordBatch.from_arrays([keys, pa.array(shards), ids], ["key", "shard", "ids"])
+            ids = [x + tail for x in encoder.encode_all(batch.column(1))]
+            ties = np.fromiter(map(zlib.crc32, ids), np.int64, len(ids))
+            first, several = _spans(bounds, keys)
+            shards = (first + (ties * several >> 32)).astype(np.int32)
+            yield pa.RecordBatch.from_arrays([keys, pa.array(shards), pa.array(ties), pa.array(ids, pa.binary())], ["key", "shard", "tie", "ids"])
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         system, folder = _filesystem(path)
@@ -396,9 +410,10 @@ def write_dataset(docs: DataFrame, path: str, model: bytes, *, key: str = "doc_i
     system.create_dir(folder, recursive=True)
     shards = len(bounds) + 1
     manifest = (
-        docs.mapInArrow(encode, "key long, shard int, ids binary")
+        docs.mapInArrow(encode, "key long, shard int, tie long, ids binary")
         .repartitionById(shards, F.col("shard"))
-        .sortWithinPartitions(F.col("key").asc_nulls_first(), F.octet_length("ids"), "ids")
+        .sortWithinPartitions(F.col("key").asc_nulls_first(), "tie", "ids")
+        .select("key", "shard", "ids")
         .mapInArrow(write, "shard int, n_docs long, n_tokens long")
     )
     manifest = materialize(manifest, "manifest", f"{path}/shards")
@@ -426,9 +441,10 @@ def lookup(spark: SparkSession, path: str, keys: DataFrame, *, key: str = "doc_i
     def route(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             asked = batch.column(0)
-            shards = np.searchsorted(bounds, asked.fill_null(-(2**63)).to_numpy(zero_copy_only=False), side="right").astype(np.int32)
-            shards[asked.is_null().to_numpy(zero_copy_only=False)] = 0
-            yield pa.RecordBatch.from_arrays([asked, pa.array(shards)], ["key", "shard"])
+            first, several = _spans(bounds, asked)
+            ends = np.cumsum(several)
+            shards = np.repeat(first - (ends - several), several) + np.arange(several.sum())
+            yield pa.RecordBatch.from_arrays([asked.take(pa.array(np.repeat(np.arange(len(asked)), several))), pa.array(shards.astype(np.int32))], ["key", "shard"])
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         system, folder = _filesystem(path)

@@ -70,6 +70,22 @@ def test_null_and_repeated_keys_keep_all_records(spark):
     assert [r["start"] for r in found] == [0, 2, 5, 7, 9]
 
 
+def test_hot_keys_are_dealt_to_several_shards(spark):
+    import json
+
+    rows = [(5, f"copy {i}") for i in range(60)] + [(None, f"n{i}") for i in range(30)] + [(i, "z") for i in range(30)]
+    frame = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    path, found = read(spark, frame, docs_per_shard=8)
+    assert len(found) == 120 and [r["doc_id"] for r in found] == sorted((r["doc_id"] for r in found), key=lambda k: (k is not None, k))
+    sizes = [r["n_docs"] for r in spark.read.parquet(f"{path}/manifest").collect()]
+    assert max(sizes) <= 24 and sum(sizes) == 120
+    start = 0
+    for r in found:
+        assert r["start"] == start
+        start += r["n_tokens"]
+    assert json.loads(open(path.removeprefix("file://") + "/bounds.json").read())
+
+
 def test_empty_table_and_clashing_columns(spark):
     assert read(spark, docs(spark, []))[1] == []
     frame = docs(spark, ["a"]).selectExpr("*", "1 as shard", "2 as key", "3 as ids", "4 as start")
