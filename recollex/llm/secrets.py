@@ -80,23 +80,23 @@ def features(v: Column, left: Column, right: Column) -> list[Column]:
 def with_candidates(docs: DataFrame, *, text: str = "text", out: str = "candidates") -> DataFrame:
     """Add ``out``: array of (value, left, right, before, features); before: characters of the match that aren't the value."""
     pattern = F.lit(CANDIDATE)
-    found = docs.withColumn("_m", F.coalesce(F.regexp_extract_all(text, pattern, F.lit(0)), F.array().cast("array<string>")))
-    found = found.withColumn("_s", F.when(F.size("_m") > 0, F.split(text, CANDIDATE, -1)))
+    found = docs.withColumn("__secret_m", F.coalesce(F.regexp_extract_all(text, pattern, F.lit(0)), F.array().cast("array<string>")))
+    found = found.withColumn("__secret_s", F.when(F.size("__secret_m") > 0, F.split(text, CANDIDATE, -1)))
 
     def describe(m: Column, i: Column) -> Column:
         value = F.regexp_replace(m, f"^(?i:{_LEAD})", "")
         before = F.length(m) - F.length(value)
         return F.struct(
             value.alias("value"),
-            F.concat(F.substring(F.element_at("_s", i + 1), -LEFT, LEFT), F.substring(m, F.lit(1), before)).alias("left"),
-            F.substring(F.element_at("_s", i + 2), 1, RIGHT).alias("right"),
+            F.concat(F.substring(F.element_at("__secret_s", i + 1), -LEFT, LEFT), F.substring(m, F.lit(1), before)).alias("left"),
+            F.substring(F.element_at("__secret_s", i + 2), 1, RIGHT).alias("right"),
             before.alias("before"),
         )
 
-    found = found.withColumn("_d", F.transform("_m", describe))
+    found = found.withColumn("__secret_d", F.transform("__secret_m", describe))
     return found.withColumn(
-        out, F.transform("_d", lambda d: F.struct(d["value"].alias("value"), d["left"].alias("left"), d["before"].alias("before"), F.array(*features(d["value"], d["left"], d["right"])).alias("features")))
-    ).drop("_d")
+        out, F.transform("__secret_d", lambda d: F.struct(d["value"].alias("value"), d["left"].alias("left"), d["before"].alias("before"), F.array(*features(d["value"], d["left"], d["right"])).alias("features")))
+    ).drop("__secret_d")
 
 
 # --- forest -----------------------------------------------------------------
@@ -188,10 +188,10 @@ def _kind(value: Column) -> Column:
 
 
 def _scored(docs: DataFrame, trees: list, text: str) -> DataFrame:
-    """Add ``_c``: array of (value, before, score). The score is in the array that later steps run over, not in another
+    """Add ``__secret_c``: array of (value, before, score). The score is in the array that later steps run over, not in another
     column: Spark may move the expression of such a column into their lambdas and then evaluate all of it for each element."""
-    found = with_candidates(docs, text=text, out="_f")
-    return found.withColumn("_c", F.transform("_f", lambda c: F.struct(c["value"].alias("value"), c["before"].alias("before"), vote(trees, c["features"]).alias("score"))))
+    found = with_candidates(docs, text=text, out="__secret_f")
+    return found.withColumn("__secret_c", F.transform("__secret_f", lambda c: F.struct(c["value"].alias("value"), c["before"].alias("before"), vote(trees, c["features"]).alias("score"))))
 
 
 def scan(docs: DataFrame, trees: list, *, text: str = "text", out: str = "findings") -> DataFrame:
@@ -200,11 +200,11 @@ def scan(docs: DataFrame, trees: list, *, text: str = "text", out: str = "findin
 
     def describe(c: Column, i: Column) -> Column:
         # Length of what lies before: cut pieces 0..i, matches 0..i-1, and the lead of match i.
-        pieces = F.aggregate(F.slice("_s", F.lit(1), i + 1), F.lit(0), lambda a, x: a + F.length(x))
-        matches = F.aggregate(F.slice("_m", F.lit(1), i), F.lit(0), lambda a, x: a + F.length(x))
+        pieces = F.aggregate(F.slice("__secret_s", F.lit(1), i + 1), F.lit(0), lambda a, x: a + F.length(x))
+        matches = F.aggregate(F.slice("__secret_m", F.lit(1), i), F.lit(0), lambda a, x: a + F.length(x))
         return F.when(c["score"] >= 0.5, F.struct((pieces + matches + c["before"]).alias("start"), F.length(c["value"]).alias("length"), _kind(c["value"]).alias("kind"), F.round(c["score"], 6).alias("score"), F.sha2(c["value"], 256).alias("sha256")))
 
-    return scored.withColumn(out, F.filter(F.transform("_c", describe), lambda x: x.isNotNull()))
+    return scored.withColumn(out, F.filter(F.transform("__secret_c", describe), lambda x: x.isNotNull()))
 
 
 def redact(docs: DataFrame, trees: list, *, text: str = "text", mask: str = MASK) -> DataFrame:
@@ -212,8 +212,8 @@ def redact(docs: DataFrame, trees: list, *, text: str = "text", mask: str = MASK
     columns = docs.columns
     scored = _scored(docs, trees, text)
     hidden = F.transform(
-        F.arrays_zip(F.col("_m").alias("m"), F.slice("_s", F.lit(1), F.size("_m")).alias("s"), F.col("_c").alias("c")),
+        F.arrays_zip(F.col("__secret_m").alias("m"), F.slice("__secret_s", F.lit(1), F.size("__secret_m")).alias("s"), F.col("__secret_c").alias("c")),
         lambda x: F.concat(x["s"], F.when(x["c"]["score"] >= 0.5, F.concat(F.substring(x["m"], F.lit(1), x["c"]["before"]), F.lit(mask))).otherwise(x["m"])),
     )
-    new = F.when(F.exists("_c", lambda c: c["score"] >= 0.5), F.concat(F.array_join(hidden, ""), F.element_at("_s", -1))).otherwise(F.col(text))
+    new = F.when(F.exists("__secret_c", lambda c: c["score"] >= 0.5), F.concat(F.array_join(hidden, ""), F.element_at("__secret_s", -1))).otherwise(F.col(text))
     return scored.withColumn(text, new).select(*columns)

@@ -20,7 +20,8 @@ lower-cased; ports and users stay part of it. Of the rules that fit, the one wit
 the longest host and path together wins, then the longer host. Of equal rules
 with different verdicts, block wins. Repeated rows each keep their result; an
 empty table gives none; without rules every url gets the default verdict. Other
-columns of the urls are ignored.
+columns of the urls stay, but those of the names host, path, rule and verdict are
+replaced.
 """
 
 from __future__ import annotations
@@ -121,7 +122,7 @@ def match(urls: DataFrame, rules: DataFrame, *, url: str = "url", default: str =
         .select("host", "path", F.col("open.top").alias("found"))
         .filter("found is not null")
     )
-    best = swept.groupBy("host", "path").agg(F.max("found").alias("found"))
+    best = swept.groupBy("host", "path").agg(F.max("found").alias("__rule_found"))
     return urls.join(best, ["host", "path"], "left").select(
-        *[urls[c] for c in urls.columns], F.col("found.rule").alias("rule"), F.coalesce("found.verdict", F.lit(default)).alias("verdict")
+        *[urls[c] for c in urls.columns if c not in ("rule", "verdict")], F.col("__rule_found.rule").alias("rule"), F.coalesce("__rule_found.verdict", F.lit(default)).alias("verdict")
     )

@@ -46,7 +46,7 @@ def test_redaction_hides_findings_and_nothing_else(spark, trees):
 def test_held_out_findings(spark):
     rows = se.findings(spark, 1500)
     trees = se.fit(rows.limit(1000))
-    scored = se._scored(rows, trees, "text").selectExpr("label", "try_element_at(_c, -1).score as score").filter("score is not null")
+    scored = se._scored(rows, trees, "text").selectExpr("label", "try_element_at(__secret_c, -1).score as score").filter("score is not null")
     right = scored.filter("(score >= 0.5) = (label = 1)").count()
     assert right / scored.count() >= 0.95
 

@@ -37,7 +37,7 @@ def test_hot_domain_is_sliced_and_whole(spark):
 
 
 def test_empty_tables_and_clashing_columns(spark):
-    frame = spark.createDataFrame([(1, "http://net/")], "page_id long, url string").selectExpr("*", "5 as domain", "6 as slice", "7 as top")
+    frame = spark.createDataFrame([(1, "http://net/")], "page_id long, url string").selectExpr("*", "5 as domain", "6 as slice", "7 as top", "8 as rule", "9 as verdict", "10 as host", "11 as found")
     assert rows(uf.match(frame, uf.rules_frame(spark, RULES)), "page_id", "verdict") == [(1, "block")]
     assert uf.match(frame.limit(0), uf.rules_frame(spark, RULES)).count() == 0
     assert rows(uf.match(frame, uf.rules_frame(spark, RULES).limit(0)), "rule", "verdict") == [(None, "allow")]
