@@ -39,10 +39,16 @@ def compile_loose(text: str) -> Query:
     return Query(tuple(dict.fromkeys(re.findall(r"[\w-]+", text.lower()))), False)
 
 
-def postings(docs: DataFrame, *, key: str = "id", fields: tuple[str, ...] = ("title", "text"), stem: bool = False) -> DataFrame:
-    """(term, id, tf, dl): the inverted index. With ``stem`` terms are stemmed by Porter's rules."""
+def postings(docs: DataFrame, *, key: str = "id", fields: tuple[str, ...] = ("title", "text"), stem: bool = False, only: tuple[str, ...] | None = None) -> DataFrame:
+    """(term, id, tf, dl): the inverted index. With ``stem`` terms are stemmed by Porter's rules.
+
+    For the terms in ``only``, if given: others are left out in the row that has
+    them, before anything is exploded or shuffled.
+    """
     words = tokens(F.concat_ws(" ", *fields))
-    rows = docs.select(F.col(key).alias("id"), words.alias("words")).select("id", F.size("words").alias("dl"), F.explode("words").alias("term"))
+    rows = docs.select(F.col(key).alias("id"), words.alias("words"))
+    kept = F.col("words") if only is None or stem else F.filter("words", lambda t: t.isin(*only))
+    rows = rows.select("id", F.size("words").alias("dl"), F.explode(kept).alias("term"))
     if stem:
         rows = rows.withColumn("term", stem_column(F.col("term")))
     return rows.groupBy("term", "id", "dl").agg(F.count(F.lit(1)).alias("tf"))
@@ -92,13 +98,16 @@ def search(docs: DataFrame, query: str | Query, limit: int, *, idf: str = "lucen
 
         compiled = Query(tuple(dict.fromkeys(stemmed(t) for t in compiled.terms)), compiled.all_terms)
     asked = query_frame(spark, {0: compiled} if compiled else {})
-    hits = bm25(postings(docs, fields=fields, stem=stem), corpus_stats(docs, fields=fields), asked, idf=idf)
+    index = postings(docs, fields=fields, stem=stem, only=compiled.terms if compiled and compiled.terms else None)
+    hits = bm25(index, corpus_stats(docs, fields=fields), asked, idf=idf)
     return hits.select("id", "score").orderBy(F.desc(F.round("score", 9)), "id").limit(limit)
 
 
 def search_batch(docs: DataFrame, queries: dict[int, Query], limit: int, **options) -> DataFrame:
     """(qid, rank, id, score) for many queries over one index."""
-    hits = bm25(postings(docs), corpus_stats(docs), query_frame(docs.sparkSession, queries), **options)
+    terms = tuple({t for q in queries.values() for t in q.terms})
+    index = postings(docs, only=terms if len(terms) <= 1000 else None)
+    hits = bm25(index, corpus_stats(docs), query_frame(docs.sparkSession, queries), **options)
     order = Window.partitionBy("qid").orderBy(F.desc(F.round("score", 9)), "id")
     return hits.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= limit)
 

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from recollex.functions import scores, text
 from recollex.operators import fulltext, fusion, graph, vectors
+from recollex.storage import materialize
 
 
 def active(memories: DataFrame) -> DataFrame:
@@ -111,7 +112,9 @@ def similar_pairs(rows: DataFrame, threshold: float) -> DataFrame:
     sets = rows.select("id", text.long_tokens(F.col("text")).alias("t")).filter(F.size("t") > 0)
     one = sets.select("id", F.explode("t").alias("token"))
     often = one.groupBy("token").agg(F.count(F.lit(1)).alias("n"))
+    # Read three times from here on.
     ordered = one.join(often, "token").groupBy("id").agg(F.transform(F.array_sort(F.collect_list(F.struct("n", "token"))), lambda x: x["token"]).alias("t"))
+    ordered = materialize(ordered, "ordered-tokens")
     head = ordered.select("id", F.size("t").alias("size"), F.explode(F.slice("t", F.lit(1), (F.size("t") - F.ceil(F.size("t") * threshold - 1e-9) + 1).cast("int"))).alias("token"))
     other = head.select(F.col("id").alias("b"), F.col("size").alias("m"), "token")
     met = head.withColumnRenamed("id", "a").join(other, "token").filter((F.col("a") < F.col("b")) & (F.col("size") >= threshold * F.col("m")) & (F.col("m") >= threshold * F.col("size"))).select("a", "b").distinct()
