@@ -23,10 +23,11 @@ side gives no rows. Other columns are ignored.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from recollex.llm.decontaminate import words
+from recollex.storage import materialize
 
 THRESHOLD = 0.8
 MAX_TEMPLATES = 10_000
@@ -69,22 +70,26 @@ def templates_frame(spark: SparkSession, templates: list[tuple[str, str]] | None
     return spark.range(1).select(F.inline(F.array(*rows)))
 
 
-def _bigrams(w: Column) -> Column:
-    """All bigrams of an array of words, each with the number of times that it came before."""
-    pairs = F.transform(F.sequence(F.lit(1), F.size(w) - 1), lambda i: F.concat_ws(" ", F.element_at(w, i), F.element_at(w, i + 1)))
-    counted = F.transform(pairs, lambda p, i: F.concat_ws("#", p, F.size(F.filter(F.slice(pairs, 1, i), lambda q: q == p)).cast("string")))
-    return F.when(F.size(w) > 1, counted)
+def _pairs(w: Column) -> Column:
+    """The bigrams of an array of at least two words."""
+    return F.transform(F.sequence(F.lit(1), F.size(w) - 1), lambda i: F.concat_ws(" ", F.element_at(w, i), F.element_at(w, i + 1)))
+
+
+def _numbered(pairs: str) -> Column:
+    """Each bigram of a column with the number of times that it came before, so that repeats differ."""
+    return F.transform(pairs, lambda p, i: F.concat_ws("#", p, F.size(F.filter(F.slice(pairs, F.lit(1), i), lambda q: q == p)).cast("string")))
 
 
 def _prepared(templates: DataFrame, threshold: float) -> DataFrame:
     """Templates with their number, bigrams, size bounds and anchors."""
     w = templates.filter("text is not null").select("license", words(F.col("text")).alias("w")).filter(F.size("w") > 1).distinct()
-    found = w.select("license", F.xxhash64("license", "w").alias("number"), _bigrams(F.col("w")).alias("bigrams"))
+    placed = w.select("license", F.xxhash64("license", "w").alias("number"), F.posexplode(_pairs(F.col("w"))).alias("at", "pair"))
+    times = F.row_number().over(Window.partitionBy("number", "pair").orderBy("at")) - 1  # as often as it came before
+    one = placed.withColumn("b", F.concat_ws("#", "pair", times.cast("string")))
     share = F.lit(threshold / (2 - threshold))
-    one = found.select("license", "number", "bigrams", F.explode("bigrams").alias("b")).withColumn("pair", F.substring_index("b", "#", 1))
     often = one.groupBy("pair").agg(F.countDistinct("number").alias("often"))
     # Function words make a pair of use in any prose; pairs of longer words come first.
-    ranked = one.join(often, "pair").groupBy("license", "number", "bigrams").agg(F.array_sort(F.collect_set(F.struct("often", (-F.length("pair")).alias("short"), "b", "pair"))).alias("ranked"))
+    ranked = one.join(often, "pair").groupBy("license", "number").agg(F.collect_list("b").alias("bigrams"), F.array_sort(F.collect_set(F.struct("often", (-F.length("pair")).alias("short"), "b", "pair"))).alias("ranked"))
     size = F.size("bigrams")
     least = F.ceil(size * share - 1e-9)
     return ranked.select(
@@ -95,7 +100,7 @@ def _prepared(templates: DataFrame, threshold: float) -> DataFrame:
 
 def detect(docs: DataFrame, templates: DataFrame, *, key: str = "doc_id", text: str = "text", threshold: float = THRESHOLD) -> DataFrame:
     """(key, license, dice): the licences found in each document."""
-    ready = _prepared(templates, threshold)
+    ready = materialize(_prepared(templates, threshold), "licence-templates")
     bounds = ready.agg(F.count(F.lit(1)), F.min("smallest"), F.max("largest")).first()
     if bounds[0] > MAX_TEMPLATES:
         raise ValueError(f"more than {MAX_TEMPLATES} templates")
@@ -113,6 +118,8 @@ def detect(docs: DataFrame, templates: DataFrame, *, key: str = "doc_id", text:
         F.broadcast(anchors),  # at most MAX_TEMPLATES templates
         (F.xxhash64(F.get("h", F.col("at")), F.get("h", F.col("at") + 1)) == F.col("anchor")) & (F.size("w") - 1).between(F.col("smallest"), F.col("largest")),
     ).select("doc", "w", "number").distinct()
-    shared = F.size(F.array_intersect(_bigrams(F.col("w")), F.col("bigrams")))
-    compared = met.join(F.broadcast(ready), "number").select("doc", "license", (2 * shared / (F.size("w") - 1 + F.col("size"))).alias("dice"))
+    # The pairs are a column of their own: as an expression they would be made anew for each element of the lambda.
+    paired = met.withColumn("pairs", _pairs(F.col("w"))).withColumn("own", _numbered("pairs"))
+    shared = F.size(F.array_intersect("own", "bigrams"))
+    compared = paired.join(F.broadcast(ready), "number").select("doc", "license", (2 * shared / (F.size("w") - 1 + F.col("size"))).alias("dice"))
     return compared.filter(F.col("dice") >= threshold).groupBy(F.col("doc").alias(key), "license").agg(F.max("dice").alias("dice"))
