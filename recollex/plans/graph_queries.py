@@ -76,7 +76,7 @@ _DE = "de AS (SELECT source_uri AS from_uri, uri AS to_uri FROM decisions WHERE
 
 
 def _walk(start: str, depth: int, here: str, there: str) -> str:
-    return f"""WITH RECURSIVE {EVENTS}, {DECISIONS}, {_DE}, walk(uri, depth) AS (SELECT '{start}', 0 UNION SELECT {there}, depth + 1 FROM walk JOIN de ON {here} = uri WHERE depth + 1 < {depth})
+    return f"""WITH RECURSIVE {EVENTS}, {DECISIONS}, {_DE}, walk(uri, depth) AS (SELECT uri, 0 FROM (SELECT from_uri AS uri FROM de UNION SELECT to_uri FROM de) WHERE uri = '{start}' UNION SELECT {there}, depth + 1 FROM walk JOIN de ON {here} = uri WHERE depth + 1 < {depth})
 SELECT uri, min(depth)::INT AS depth FROM walk GROUP BY uri"""
 
 
