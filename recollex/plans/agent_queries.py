@@ -145,7 +145,7 @@ ORACLE_SQL = {
     "mm12_promotions": f"WITH {EVENTS}, p AS (SELECT event_id % 400 AS chunk_id, arg_max(kind, ts * 100000 + event_id) AS k FROM ev GROUP BY 1) SELECT chunk_id, 'memory' AS kind FROM p WHERE k = 'view'",
     "vs15_vs16_ag21_ivf": f"WITH {VECTORS}, {_Q} SELECT id, round(d, 6) AS distance FROM (SELECT id, {_COS} AS d FROM vectors, q) ORDER BY round(d, 9), id LIMIT 10",
     "vs27_jn25_cross_modal": f"WITH m AS (SELECT label, i, avg(x::DOUBLE) AS x FROM (SELECT label, unnest(embedding) AS x, unnest(range(0, len(embedding))) AS i FROM embeddings) GROUP BY 1, 2), q AS (SELECT label AS qid, list(x ORDER BY i) AS v FROM m GROUP BY label), p AS (SELECT qid::BIGINT AS qid, vec_id AS id, 1 - list_cosine_similarity(v, {_D64}) AS d FROM q, embeddings) SELECT qid, rank::INT AS rank, id, round(d, 6) AS distance FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY round(d, 9), id) AS rank FROM p) WHERE rank <= 3",
-    "vs18_shards": "SELECT DISTINCT doc_id % 6 AS shard FROM documents WHERE list_contains(regexp_split_to_array(lower(text), '[^\\p{L}\\p{N}]+'), 'eringble')",
+    "vs18_shards": "WITH h AS (SELECT DISTINCT doc_id % 6 AS shard FROM documents WHERE list_contains(regexp_split_to_array(lower(text), '[^\\p{L}\\p{N}]+'), 'eringble')) SELECT shard FROM h UNION SELECT doc_id % 6 FROM documents WHERE NOT EXISTS (SELECT 1 FROM h)",
     "pf20_ud5_sql_functions": "SELECT doc_id AS id, 1.0::DOUBLE AS same, true AS inside FROM documents",
     "ag25_mean_pool": "SELECT label, i::INT AS i, round(avg(x::DOUBLE), 6) AS m FROM (SELECT label, unnest(embedding) AS x, unnest(range(0, len(embedding))) AS i FROM embeddings) GROUP BY 1, 2",
 }
