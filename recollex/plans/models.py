@@ -85,10 +85,10 @@ MEMORIES = f"""memories AS (SELECT doc_id * 2 AS id, doc_id, (['fact','decision'
 
 def graph(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A directed graph over the customers: from_id, to_id, rel, weight. Forward edges alone, so it has no cycle."""
-    c = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("k")).filter("k < 400")
+    c = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("k"))
     a = c.select(F.col("k").alias("from_id"), (F.col("k") * 2 + 1).alias("to_id"), F.lit("CAUSED").alias("rel"), ((F.col("k") % 7 + 1) / 10.0).alias("weight"))
     b = c.select(F.col("k").alias("from_id"), (F.col("k") * 3 + 2).alias("to_id"), F.when(F.col("k") % 2 == 0, "DEPENDS_ON").otherwise("MENTIONS").alias("rel"), ((F.col("k") % 5 + 1) / 10.0).alias("weight"))
-    return a.unionByName(b).filter("to_id < 400")
+    return a.unionByName(b)
 
 
 GRAPH = """c AS (SELECT c_custkey AS k FROM customer WHERE c_custkey < 400), edges AS (
