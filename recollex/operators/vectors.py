@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from recollex.functions import scores
+from recollex.storage import materialize, new_path
 
 
 def knn(vectors: DataFrame, query: list[float], k: int, *, metric: str = "cosine") -> DataFrame:
@@ -23,55 +24,74 @@ def knn(vectors: DataFrame, query: list[float], k: int, *, metric: str = "cosine
 
 
 def knn_join(queries: DataFrame, vectors: DataFrame, k: int, *, dim: int, metric: str = "cosine", block: int = 2048) -> DataFrame:
-    """(qid, rank, id, distance) for a block of queries, exact.
+    """(qid, rank, id, distance) for each query, exact; ties go to the smaller id.
 
-    Queries are compared ``block`` at a time with the vectors of each batch, as a
-    matrix product; every task hands on its k nearest for each query, so what is
-    shuffled grows with queries and tasks and not with their product of rows.
-    Queries are collected on the driver in blocks and their number is the
-    caller's to bound.
+    Queries are written to the shared folder in blocks of about ``block``; the
+    driver holds one block at a time, compares it with the vectors of each batch
+    as a matrix product and writes its k nearest before the next. Every task hands
+    on its k nearest for each query, so what is shuffled grows with queries and
+    tasks and not with their product of rows.
     """
+    spark = queries.sparkSession
+    asked = materialize(queries.select("qid", "embedding"), "knn-queries")
+    count = max(-(-asked.count() // block), 1)
+    path = new_path(spark, "knn-blocks")
+    asked.withColumn("_block", (F.monotonically_increasing_id() % count).cast("int")).write.partitionBy("_block").parquet(path)
+    blocks = spark.read.schema(asked.schema.add("_block", "integer")).parquet(path)
     out = None
-    asked = queries.select("qid", "embedding").toPandas()
-    for start in range(0, max(len(asked), 1), block):
-        part = asked.iloc[start : start + block]
+    for number in range(count):
+        part = blocks.filter(F.col("_block") == number).select("qid", "embedding").toPandas()
         matrix = np.stack(part["embedding"].to_list()).astype(np.float64) if len(part) else np.zeros((0, dim))
         ids = part["qid"].to_numpy(np.int64)
         found = vectors.select("id", "embedding").mapInPandas(_nearest_in_batches(ids, matrix, k, metric), "qid long, id long, distance double")
+        if count > 1:
+            found = materialize(found, "knn-found")
         out = found if out is None else out.unionByName(found)
     order = Window.partitionBy("qid").orderBy(F.round("distance", 9), "id")
     return out.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k).select("qid", "rank", "id", "distance")
 
 
+#: Vectors that a block of queries is compared with at a time.
+SLICE = 2048
+
+
 def _nearest_in_batches(ids: np.ndarray, matrix: np.ndarray, k: int, metric: str):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         held: list[pd.DataFrame] = []
         q_norm = np.linalg.norm(matrix, axis=1)
         for batch in batches:
-            if not len(batch) or not len(ids):
-                continue
-            x = np.stack(batch["embedding"].to_list()).astype(np.float64)
-            dots = matrix @ x.T
-            if metric == "l2":
-                d = np.sqrt(np.maximum((matrix**2).sum(1)[:, None] + (x**2).sum(1)[None] - 2 * dots, 0))
-            elif metric == "dot":
-                d = -dots
-            else:
-                length = q_norm[:, None] * np.linalg.norm(x, axis=1)[None]
-                d = 1 - np.divide(dots, length, out=np.zeros_like(dots), where=length > 0)
-            m = min(k, d.shape[1])
-            near = np.argsort(d, axis=1, kind="stable")[:, :m]
-            held.append(pd.DataFrame({"qid": np.repeat(ids, m), "id": batch["id"].to_numpy()[near].ravel(), "distance": np.take_along_axis(d, near, 1).ravel()}))
-            if sum(map(len, held)) > 50 * k * len(ids):
-                held = [_best(held, k)]
+            for start in range(0, len(batch) if len(ids) else 0, SLICE):
+                part = batch.iloc[start : start + SLICE].sort_values("id")
+                x = np.stack(part["embedding"].to_list()).astype(np.float64)
+                dots = matrix @ x.T
+                if metric == "l2":
+                    d = np.sqrt(np.maximum((matrix**2).sum(1)[:, None] + (x**2).sum(1)[None] - 2 * dots, 0))
+                elif metric == "dot":
+                    d = -dots
+                else:
+                    length = q_norm[:, None] * np.linalg.norm(x, axis=1)[None]
+                    d = 1 - np.divide(dots, length, out=np.zeros_like(dots), where=length > 0)
+                row, near = _least(np.round(d, 9), min(k, d.shape[1]))
+                held.append(pd.DataFrame({"qid": ids[row], "id": part["id"].to_numpy()[near], "distance": d[row, near]}))
+                if sum(map(len, held)) > 50 * k * len(ids):
+                    held = [_best(held, k)]
         if held:
             yield _best(held, k)
 
     return run
 
 
+def _least(d: np.ndarray, m: int) -> tuple[np.ndarray, np.ndarray]:
+    """Rows and columns of the m least values of each row; of equal ones the first."""
+    last = np.partition(d, m - 1, axis=1)[:, m - 1 : m]
+    less, same = d < last, d == last
+    taken = less | (same & (np.cumsum(same, axis=1, dtype=np.int32) <= m - less.sum(1, keepdims=True)))
+    return np.nonzero(taken)
+
+
 def _best(parts: list[pd.DataFrame], k: int) -> pd.DataFrame:
-    rows = pd.concat(parts).sort_values(["qid", "distance", "id"], kind="stable")
+    rows = pd.concat(parts)
+    rows = rows.assign(near=rows["distance"].round(9)).sort_values(["qid", "near", "id"], kind="stable").drop(columns="near")
     return rows.groupby("qid", sort=False).head(k)
 
 

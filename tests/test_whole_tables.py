@@ -1,7 +1,10 @@
 """Registered queries take whole tables: fixtures with ids beyond any fixed bound, against brute force."""
 
-from recollex.plans import graph_queries as gq
-from recollex.plans.models import graph
+import numpy as np
+
+from recollex.operators import vectors as vs
+from recollex.plans import graph_queries as gq, search_queries as sq
+from recollex.plans.models import graph, vectors
 
 
 def customers(spark, path, keys):
@@ -27,3 +30,43 @@ def test_graph_has_all_customers(spark, tmp_path):
     closure = gq.QUERIES["gr20_jn23_datalog_closure"](spark, d).collect()
     assert (400, 801) in reach and (400, 1603) in reach
     assert {(int(r["c0"]), int(r["c1"])) for r in closure} == reach
+
+
+def embeddings(spark, path, ids, dim=64):
+    x = np.random.default_rng(4).standard_normal((len(ids), dim)).round(3)
+    x[1::3] = x[1]  # copies, so that ties decide
+    spark.createDataFrame([(i, v.tolist(), i % 3) for i, v in zip(ids, x, strict=True)], "vec_id long, embedding array<double>, label int").repartition(3).write.parquet(f"{path}/embeddings.parquet")
+    return str(path), x
+
+
+def brute_nearest(ids, x, queries, k):
+    unit = x / np.linalg.norm(x, axis=1, keepdims=True)
+    d = np.round(1 - unit @ unit.T, 9)
+    return {(q, rank + 1, i) for n, q in enumerate(ids) if q in queries for rank, (_, i) in enumerate(sorted(zip(d[n], ids, strict=True))[:k])}
+
+
+def test_every_twentieth_vector_asks(spark, tmp_path):
+    ids = [*range(100), 400, 401, 2000, 3001]
+    d, x = embeddings(spark, tmp_path, ids)
+    queries = {i for i in ids if i % 20 == 0}
+    found = sq.QUERIES["vs1_ma2_knn_batch"](spark, d).collect()
+    assert {(r["qid"], r["rank"], r["id"]) for r in found} == brute_nearest(ids, x, queries, 10) and len(found) == 10 * len(queries)
+    edges = {(r["from_id"], r["to_id"]) for r in sq.QUERIES["jn19_neighbour_edges"](spark, d).collect()}
+    want = {}
+    for q, _, i in sorted(brute_nearest(ids, x, queries, 6)):
+        if i != q and len(want.setdefault(q, [])) < 5:
+            want[q].append(i)
+    assert edges == {e for q, near in want.items() for i in near for e in ((q, i), (i, q))}
+
+
+def test_knn_join_holds_one_block_of_queries(spark, tmp_path, monkeypatch):
+    from pyspark.sql.classic.dataframe import DataFrame
+
+    ids = list(range(90))
+    d, x = embeddings(spark, tmp_path, ids)
+    sizes, whole = [], DataFrame.toPandas
+    monkeypatch.setattr(DataFrame, "toPandas", lambda self: (sizes.append(len(out := whole(self))), out)[1])
+    v = vectors(spark, d)
+    found = vs.knn_join(v.selectExpr("id as qid", "embedding"), v, 7, dim=64, block=20).collect()
+    assert sum(sizes) == 90 and max(sizes) <= 25
+    assert {(r["qid"], r["rank"], r["id"]) for r in found} == brute_nearest(ids, x, set(ids), 7)
