@@ -1,7 +1,7 @@
 """Context packing: near-duplicates, compression tiers, budgets, rendering.
 
-A pool of a query has at most a few hundred candidates, cut by a top-k before; it
-is packed in one call, since each choice depends on those before it.
+A query's pool is packed in one call, since each choice depends on those before
+it. The call gets sizes and fingerprints alone; texts are fetched for what was taken.
 """
 
 from __future__ import annotations
@@ -58,11 +58,11 @@ class PackOptions:
 
 
 def with_tiers(candidates: DataFrame) -> DataFrame:
-    """Add the text and the tokens of each tier: what can be told by Columns is told before rows are packed."""
+    """The tokens of each tier, the fingerprint and a key of the text: what can be told by Columns is told before rows are packed."""
     out = candidates.withColumn("trusted", F.col("score") + F.coalesce(F.element_at(F.create_map(*[F.lit(x) for kv in TRUST.items() for x in kv]), F.col("kind")), F.lit(0.0)))
     for tier in TIERS:
-        out = out.withColumn(f"t_{tier}", tx.compress(F.col("text"), tier)).withColumn(f"n_{tier}", tx.estimate_tokens(F.col(f"t_{tier}")))
-    return with_simhash(out)
+        out = out.withColumn(f"n_{tier}", tx.estimate_tokens(tx.compress(F.col("text"), tier)))
+    return with_simhash(out).withColumn("key", F.xxhash64("text")).select("qid", "id", "key", "kind", "score", "trusted", "simhash", *[f"n_{tier}" for tier in TIERS])
 
 
 def pack(candidates: DataFrame, options: PackOptions = PackOptions()) -> DataFrame:
@@ -77,28 +77,37 @@ def pack(candidates: DataFrame, options: PackOptions = PackOptions()) -> DataFra
         rows = rows[rows["score"] >= options.floor].sort_values(["trusted", "id"], ascending=[False, True])
         used, prints, taken = 0, [], []
         for row in rows.itertuples(index=False):
+            if used >= room:
+                break
             if any(bin((row.simhash ^ p) & MASK).count("1") <= options.radius for p in prints):
                 continue
             allowed = TIERS[: TIERS.index(FLOORS.get(row.kind, TIERS[-1])) + 1]
             for tier in allowed:
                 tokens = int(getattr(row, f"n_{tier}"))
                 if tokens and used + tokens <= room:
-                    taken.append((row.id, tier, tokens, getattr(row, f"t_{tier}")))
+                    taken.append((row.id, tier, tokens, row.key, False))
                     prints.append(row.simhash)
                     used += tokens
                     break
         if not taken and len(rows) and options.at_least_one:
             best = rows.iloc[0]
-            cut = best["t_one_line"][: 3 * room]
-            taken.append((best["id"], "one_line", min(int(best["n_one_line"]), room), cut))
+            taken.append((best["id"], "one_line", min(int(best["n_one_line"]), room), best["key"], True))
         order = [i for i in options.previous if i in {t[0] for t in taken}]
         rest = [t for t in taken if t[0] not in order]
         if len(rest) > 2:
             rest = [rest[0], *rest[2:], rest[1]]
         placed = [next(t for t in taken if t[0] == i) for i in order] + rest
-        return pd.DataFrame({"qid": [rows["qid"].iloc[0]] * len(placed) if len(rows) else [], "position": range(1, len(placed) + 1), "id": [t[0] for t in placed], "tier": [t[1] for t in placed], "tokens": [t[2] for t in placed], "text": [t[3] for t in placed]})
+        return pd.DataFrame({"qid": [rows["qid"].iloc[0]] * len(placed) if len(rows) else [], "position": range(1, len(placed) + 1), "id": [t[0] for t in placed], "tier": [t[1] for t in placed], "tokens": [t[2] for t in placed], "key": [t[3] for t in placed], "cut": [t[4] for t in placed]})
 
-    return with_tiers(candidates).groupBy("qid").applyInPandas(run, "qid long, position long, id long, tier string, tokens long, text string")
+    packed = with_tiers(candidates).groupBy("qid").applyInPandas(run, "qid long, position long, id long, tier string, tokens long, key long, cut boolean")
+    texts = candidates.select(F.col("qid").alias("_qid"), F.col("id").alias("_id"), "text").withColumn("_key", F.xxhash64("text"))
+    same = F.col("qid").eqNullSafe(F.col("_qid")) & F.col("id").eqNullSafe(F.col("_id")) & (F.col("key") == F.col("_key"))
+    text = F.lit(None).cast("string")
+    for tier in TIERS:
+        text = F.when(F.col("tier") == tier, tx.compress(F.col("text"), tier)).otherwise(text)
+    # Rows that repeat a candidate with its text are met more than once.
+    found = packed.join(texts, same).dropDuplicates(["qid", "position"])
+    return found.select("qid", "position", "id", "tier", "tokens", F.when(F.col("cut"), F.substring(text, 1, 3 * room)).otherwise(text).alias("text"))
 
 
 def pack_delta(candidates: DataFrame, delivered: DataFrame, options: PackOptions = PackOptions()) -> DataFrame:

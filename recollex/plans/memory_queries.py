@@ -45,14 +45,15 @@ def _click_log(s, d):
 
 def _gold(s, d):
     """Questions: each document should be found by a search that returns its neighbours by id."""
-    gold = docs(s, d).filter("id < 200").select(F.col("id").alias("qid"), "id")
+    gold = docs(s, d).select(F.col("id").alias("qid"), "id")
     ranks = gold.select("qid", F.explode(F.sequence(F.lit(0), F.lit(6))).alias("i")).select("qid", (F.col("i") + 1).alias("rank"), (F.col("qid") + (F.col("qid") % 9) - F.col("i")).alias("id"))
     return gold, ranks
 
 
 def _candidates(s, d):
-    e = docs(s, d).filter("id < 400")
-    return e.select((F.col("id") % 8).alias("qid"), "id", F.element_at(F.array(F.lit("fact"), F.lit("decision"), F.lit("code")), (F.col("id") % 3 + 1).cast("int")).alias("kind"), (F.col("id") % 37 / 37.0).alias("score"), "text")
+    """All documents in pools of fifty neighbours by id, one pool a query."""
+    e = docs(s, d)
+    return e.select(F.floor(F.col("id") / 50).alias("qid"), "id", F.element_at(F.array(F.lit("fact"), F.lit("decision"), F.lit("code")), (F.col("id") % 3 + 1).cast("int")).alias("kind"), (F.col("id") % 37 / 37.0).alias("score"), "text")
 
 
 def _fresh(s, d):

@@ -106,9 +106,9 @@ QUERIES = {
     "wn3_rrf_typed": lambda s, d: _rounded(fusion.rrf_typed(_legs(s, d), docs(s, d).select("id", F.when(F.col("id") % 2 == 0, "fact").otherwise("episodic").alias("memory_type")), {"a": 1.0, "b": 0.5}, 20), "score").select("id", "score"),
     "wn4_rrf_blend": lambda s, d: _rounded(fusion.rrf_blend(*_legs(s, d), 0.3, 20), "score"),
     "wn10_relative": lambda s, d: _rounded(fusion.relative(ft.search(docs(s, d), ANY, 20)), "score", "relevance"),
-    "wn11_take_while_fits": lambda s, d: fusion.take_while_fits(docs(s, d).filter("id < 300").select("id", F.col("n_chars").alias("tokens"), F.col("id").alias("score")), 50000).select("id", "used"),
-    "wn12_serial_order": lambda s, d: fusion.serial_order(docs(s, d).filter("id < 50").select("id", (F.col("id") + 1).alias("rank"))),
-    "wn13_cache_stable_order": lambda s, d: fusion.cache_stable_order(docs(s, d).filter("id < 50").select("id", (F.col("id") + 1).alias("rank")), [30, 7]),
+    "wn11_take_while_fits": lambda s, d: fusion.take_while_fits(docs(s, d).select("id", F.col("n_chars").alias("tokens"), F.col("id").alias("score")), 50000).select("id", "used"),
+    "wn12_serial_order": lambda s, d: fusion.serial_order(docs(s, d).select("id", (F.col("id") + 1).alias("rank"))),
+    "wn13_cache_stable_order": lambda s, d: fusion.cache_stable_order(docs(s, d).select("id", (F.col("id") + 1).alias("rank")), [30, 7]),
     "sl12_scoped_rank": lambda s, d: _rounded(fusion.scoped_rank(ft.search(docs(s, d), ANY, 60).join(docs(s, d).select("id", "title", "text"), "id"), "eringble", ["thined", "the"], 20).select("id", "score"), "score"),
     "sl13_agent_rank": lambda s, d: fusion.agent_rank(docs(s, d), "eringble", ["thined", "nichtch"], 30).select("id", "score"),
     "so6_best_of_each": lambda s, d: fusion.best_of_each(events(s, d).select(F.col("agent").alias("id"), (F.col("value") + F.col("event_id") / 1e6).alias("score"), "event_id")).select("id", "event_id"),

@@ -2,8 +2,8 @@
 
 import numpy as np
 
-from recollex.operators import vectors as vs
-from recollex.plans import graph_queries as gq, search_queries as sq
+from recollex.operators import packing as pk, vectors as vs
+from recollex.plans import agent_queries as aq, graph_queries as gq, memory_queries as mq, search_queries as sq
 from recollex.plans.models import graph, vectors
 
 
@@ -70,3 +70,22 @@ def test_knn_join_holds_one_block_of_queries(spark, tmp_path, monkeypatch):
     found = vs.knn_join(v.selectExpr("id as qid", "embedding"), v, 7, dim=64, block=20).collect()
     assert sum(sizes) == 90 and max(sizes) <= 25
     assert {(r["qid"], r["rank"], r["id"]) for r in found} == brute_nearest(ids, x, set(ids), 7)
+
+
+def documents(spark, path, rows):
+    spark.createDataFrame([(i, t, "en", f"src{i % 3}", len(t)) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{path}/documents.parquet")
+    return str(path)
+
+
+def test_all_documents_are_packed_and_ranked(spark, tmp_path):
+    ids = [*range(48, 52), 199, 200, 299, 300, 399, 400, 5000]
+    words = [" ".join(f"w{i}x{j}" for j in range(8)) + "." for i in ids]
+    d = documents(spark, tmp_path, zip(ids, words, strict=True))
+    packed = mq.QUERIES["cx1_pack"](spark, d).collect()
+    assert {(r["qid"], r["id"]) for r in packed} == {(i // 50, i) for i in ids}
+    assert {r["id"]: r["text"] for r in pk.pack(mq._candidates(spark, d)).collect()} == {i: w for i, w in zip(ids, words, strict=True)}
+    assert {r["id"] for r in mq.QUERIES["ma20_mmr"](spark, d).collect()} == set(ids)
+    assert {r["qid"] for r in mq._gold(spark, d)[0].collect()} == set(ids)
+    for name in ("sl14_rank_hits", "wn11_take_while_fits", "wn12_serial_order", "wn13_cache_stable_order", "cx4_context_pack"):
+        query = (aq.QUERIES | sq.QUERIES)[name]
+        assert {r["id"] for r in query(spark, d).collect()} == set(ids), name
