@@ -31,7 +31,7 @@ def _snapshot(s, d):
 
 
 def _mentions(s, d):
-    rows = docs(s, d).filter("lang = 'en'").withColumn("text", F.substring("text", 1, 400))
+    rows = docs(s, d).filter("lang = 'en'")
     return rows, rows.select("id", F.explode(tx.entities(F.col("text"))).alias("entity"))
 
 
@@ -89,7 +89,7 @@ def _cross(s, d):
 
 def _sql_functions(s, d):
     ag.register_functions(s)
-    docs(s, d).select("id", F.substring("text", 1, 50).alias("t")).createOrReplaceTempView("_match_docs")
+    docs(s, d).select("id", F.col("text").alias("t")).createOrReplaceTempView("_match_docs")
     return s.sql("select id, round(semantic_match(t, t), 6) as same, semantic_match(t, 'other') between 0 and 1 as inside from _match_docs")
 
 

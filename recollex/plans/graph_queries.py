@@ -63,7 +63,7 @@ QUERIES = {
     "gr20_jn23_datalog_closure": lambda s, d: _ancestors(s, d).query("reach"),
     "ag14_datalog_aggregate": lambda s, d: _ancestors(s, d).aggregate("reach", 0, 1, "max"),
     "gr21_supersession": lambda s, d: g.supersession(_chain(s)),
-    "gr14_jn18_entity_graph": lambda s, d: _R(g.entity_graph(docs(s, d).filter("id < 200 and lang = 'en'").withColumn("text", F.substring("text", 1, 400))), "weight"),
+    "gr14_jn18_entity_graph": lambda s, d: _R(g.entity_graph(docs(s, d).filter("lang = 'en'")), "weight"),
     "sf17_entities": lambda s, d: docs(s, d).filter("lang = 'en'").select("id", F.explode(entities(F.col("text"))).alias("entity")),
     "so7_components": lambda s, d: g.components(graph(s, d).filter("rel = 'CAUSED'")),
     "so1_nodes": lambda s, d: graph(s, d).select(F.col("from_id").alias("id")).union(graph(s, d).select("to_id")).distinct(),

@@ -57,14 +57,14 @@ def _decay(s, d):
 QUERIES = {
     "sf4_query_terms": lambda s, d: _conv(s, d).select("id", F.array_join(tx.query_terms(F.col("text")), " ").alias("terms")),
     "sf6_compact": lambda s, d: docs(s, d).select("id", tx.compact(F.col("text"), 120).alias("short")),
-    "sf7_xml_escape": lambda s, d: table(s, d, "pages").select("page_id", tx.xml_escape(F.substring("html", 1, 200)).alias("xml")),
+    "sf7_xml_escape": lambda s, d: table(s, d, "pages").select("page_id", tx.xml_escape(F.col("html")).alias("xml")),
     "sf8_estimate_tokens": lambda s, d: docs(s, d).select("id", tx.estimate_tokens(F.col("text")).alias("tokens")),
     "sf10_compress_facts": lambda s, d: docs(s, d).filter("lang = 'en'").select("id", F.length(tx.compress(F.col("text"), "facts")).alias("n"), F.length(tx.compress(F.col("text"), "one_line")).alias("m")),
     "sf11_kind_of_meta": lambda s, d: docs(s, d).select("id", tx.kind_of_meta(F.col("meta")).alias("kind")),
     "sf12_memory_type": _types,
-    "sf13_decompose": lambda s, d: _conv(s, d).select("id", F.array_join(tx.decompose(F.concat_ws(" vs ", "role", F.substring("text", 1, 30))), "|").alias("parts")),
+    "sf13_decompose": lambda s, d: _conv(s, d).select("id", F.array_join(tx.decompose(F.concat_ws(" vs ", "role", "text")), "|").alias("parts")),
     "sf14_grade": lambda s, d: docs(s, d).select("id", F.round(tx.grade(F.lit("eringble and thined nichtch"), F.col("text")), 6).alias("grade")),
-    "sf15_hyde": lambda s, d: _conv(s, d).select("id", tx.expand_query(F.substring("text", 1, 40)).alias("q")),
+    "sf15_hyde": lambda s, d: _conv(s, d).select("id", tx.expand_query(F.col("text")).alias("q")),
     "sf16_summarize": lambda s, d: docs(s, d).groupBy("source").agg(F.count(F.lit(1)).alias("n"), F.sum(F.length(F.substring("text", 1, 200))).alias("chars")),
     "sf16_summarize_text": lambda s, d: docs(s, d).select("id", tx.summarize(F.split("text", "\n")).alias("summary")),
     "sf19_auto_title": lambda s, d: docs(s, d).select("id", tx.one_line(F.col("text")).alias("title")),

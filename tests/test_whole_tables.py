@@ -3,7 +3,7 @@
 import numpy as np
 
 from recollex.operators import packing as pk, vectors as vs
-from recollex.plans import agent_queries as aq, graph_queries as gq, memory_queries as mq, search_queries as sq
+from recollex.plans import agent_queries as aq, graph_queries as gq, memory_queries as mq, scalar_queries as lq, search_queries as sq
 from recollex.plans.models import graph, vectors
 
 
@@ -89,3 +89,16 @@ def test_all_documents_are_packed_and_ranked(spark, tmp_path):
     for name in ("sl14_rank_hits", "wn11_take_while_fits", "wn12_serial_order", "wn13_cache_stable_order", "cx4_context_pack"):
         query = (aq.QUERIES | sq.QUERIES)[name]
         assert {r["id"] for r in query(spark, d).collect()} == set(ids), name
+
+
+def test_whole_texts_and_all_terms(spark, tmp_path):
+    filler = "lower " * 100
+    d = documents(spark, tmp_path, [(1, f"Alpha {filler} Zeta."), (900, f"Alpha {filler} Omega.")])
+    found = {(r["from_entity"], r["to_entity"]) for r in gq.QUERIES["gr14_jn18_entity_graph"](spark, d).collect()}
+    assert found == {("Alpha", "Zeta"), ("Zeta", "Alpha"), ("Alpha", "Omega"), ("Omega", "Alpha")}
+    rows, mentions = aq._mentions(spark, d)
+    assert {(r["id"], r["entity"]) for r in mentions.collect()} == {(1, "Alpha"), (1, "Zeta"), (900, "Alpha"), (900, "Omega")}
+    terms = {r["term"]: r["cf"] for r in sq.QUERIES["ft1_postings"](spark, d).collect()}
+    assert (terms["lower"], terms["omega"]) == (400, 2)  # title and text
+    spark.createDataFrame([(1, "u", "<a>" * 500)], "page_id long, url string, html string").write.parquet(f"{d}/pages.parquet")
+    assert lq.QUERIES["sf7_xml_escape"](spark, d).first()["xml"] == "&lt;a&gt;" * 500
