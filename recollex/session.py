@@ -37,3 +37,10 @@ def register_views(spark: SparkSession, sf_dir: str, names: tuple[str, ...] = TA
     """Every table as a temp view, for ``spark.sql``; ``prefix`` keeps tenants apart."""
     for name in names:
         table(spark, sf_dir, name).createOrReplaceTempView(prefix + name)
+
+
+def small_batches(spark: SparkSession, rows: int = 1000) -> None:
+    """Fewer rows in the batches that Python workers get than Spark's 10,000, which of texts are too many; a setting of one's own stays."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if spark.conf.get(name, "10000") == "10000":
+        spark.conf.set(name, str(rows))

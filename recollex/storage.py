@@ -1,7 +1,9 @@
 """Scratch tables in the folder that all machines of the cluster share.
 
-The folder is the one named by ``spark.checkpoint.dir``; a session without that
-setting (tests, notebooks) gets a local one that goes away with the process.
+The folder is the one named by ``spark.checkpoint.dir``. A session of one machine
+(tests, notebooks) without that setting gets a local one that goes away with the
+process; on a cluster its absence is an error, since executors would not find what
+others wrote.
 """
 
 from __future__ import annotations
@@ -22,6 +24,8 @@ def shared_dir(spark: SparkSession) -> str:
     named = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir")
     if named:
         return named.rstrip("/")
+    if not sc.master.startswith("local") or sc.master.startswith("local-cluster"):
+        raise RuntimeError("spark.checkpoint.dir must name a folder that all machines of the cluster share")
     if sc.applicationId not in _OWN:
         path = tempfile.mkdtemp(prefix="recollex-")
         atexit.register(shutil.rmtree, path, ignore_errors=True)
@@ -66,11 +70,16 @@ def materialize(df: DataFrame, label: str, path: str | None = None) -> DataFrame
 BROADCAST_ROWS = 100_000
 
 
+def few(df: DataFrame, rows: int = BROADCAST_ROWS) -> bool:
+    """Whether ``df`` has at most ``rows`` rows, counted up to there."""
+    return df.limit(rows + 1).count() <= rows
+
+
 def small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
     """``df`` marked for broadcast if it has at most ``rows`` rows, which is checked; else as it is."""
     from pyspark.sql import functions as F
 
-    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
+    return F.broadcast(df) if few(df, rows) else df
 
 
 class Scratch:
