@@ -15,8 +15,10 @@ are found under the null key. Repeated keys keep all their records, next to each
 other, ordered by the checksum of the payload and then the payload; a lookup
 returns all of them. A key that holds the rows of several shards is dealt to these
 by checksum, so that no task gets it whole.
-An empty table makes a dataset without shards. Other columns are ignored.
-Ids are stored as 16-bit numbers if the vocabulary allows it.
+An empty table makes a dataset without shards. Texts of any length are encoded
+whole, piece by piece. Other columns are ignored, whatever their names. The string
+of an added token in a text becomes that token, as the tokenizers library has it
+by default. Ids are stored as 16-bit numbers if the vocabulary allows it.
 """
 
 from __future__ import annotations
@@ -41,7 +43,8 @@ from recollex.storage import materialize
 
 MAGIC = b"RCXIDS01"
 DOCS_PER_SHARD = 4096
-MAX_SHARDS = 4096
+#: Beyond this many shards these grow; they are streamed, so their tasks hold keys and offsets alone.
+MAX_SHARDS = 65_536
 CACHE_UNITS = 400_000
 CACHE_CHARS = 48
 LATIN = "\u024f"
@@ -84,19 +87,23 @@ class ByteBpeEncoder:
     Between two non-space characters a single space always starts a new
     pre-token, so a text can be cut there and its parts encoded apart: each part
     is then encoded once per worker, and a long text never becomes one large
-    Encoding. The strings of special tokens count as ordinary text.
+    Encoding. Texts that hold the string of an added token are cut there first.
     """
 
     def __init__(self, model: bytes, cache_units: int = CACHE_UNITS):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_str(model.decode())
-        self.tokenizer.encode_special_tokens = True
         self.dtype = np.dtype("<u2" if self.tokenizer.get_vocab_size() <= 65536 else "<u4")
         self.code = "H" if self.dtype.itemsize == 2 else "I"
         self.cache, self.parts = Recent(cache_units), Recent(cache_units // 2)
         self.bpe, self.split = self.tokenizer.model, None
         told = json.loads(model)
+        added = told.get("added_tokens") or []
+        self.added = {x["content"]: x["id"] for x in added}
+        # The leftmost and of these the longest counts, as in the library; tokens with conditions on what is around them are left to it.
+        self.cut = re.compile("|".join(map(re.escape, sorted(self.added, key=len, reverse=True)))) if added else None
+        self.cuttable = not any(x.get("single_word") or x.get("lstrip") or x.get("rstrip") or x.get("normalized") for x in added)
         pre = told.get("pre_tokenizer") or {}
         if pre.get("type") == "ByteLevel" and pre.get("use_regex", True) and not pre.get("add_prefix_space") and not told.get("normalizer"):
             self.split = regex.compile(BYTE_LEVEL).findall
@@ -135,6 +142,18 @@ class ByteBpeEncoder:
 
     def encode(self, text: str) -> bytes:
         """The ids of a text as raw bytes of ``dtype``."""
+        if self.cut is None or not self.cut.search(text):
+            return self._encode_plain(text)
+        if not self.cuttable:
+            return self._whole(text)
+        out, at = [], 0
+        for found in self.cut.finditer(text):
+            out += [self._encode_plain(text[at : found.start()]), self._raw([self.added[found.group()]])]
+            at = found.end()
+        return b"".join([*out, self._encode_plain(text[at:])])
+
+    def _encode_plain(self, text: str) -> bytes:
+        """Ids of a text without added tokens."""
         if not text:
             return b""
         head, *units = _CUT.split(text) if _UNEVEN_SPACE.search(text) else text.split(" ")
@@ -143,7 +162,6 @@ class ByteBpeEncoder:
     def _spaced(self, unit: str) -> bytes:
         return self._unit(" " + unit)
 
-
     def encode_all(self, texts: pa.Array) -> list[bytes]:
         """``encode`` of many texts (none null), SLICE bytes at a time.
 
@@ -161,7 +179,10 @@ class ByteBpeEncoder:
         return out
 
     def _encode_slice(self, texts: pa.Array) -> list[bytes]:
-        uneven = pc.match_substring_regex(texts, UNEVEN).to_numpy(zero_copy_only=False)
+        apart = pc.match_substring_regex(texts, UNEVEN)
+        for name in self.added:
+            apart = pc.or_(apart, pc.match_substring(texts, name))
+        uneven = apart.to_numpy(zero_copy_only=False)
         out: list[bytes | None] = [None] * len(texts)
         for i in np.flatnonzero(uneven).tolist():
             out[i] = self.encode(texts[i].as_py())

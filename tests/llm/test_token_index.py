@@ -4,6 +4,7 @@ import numpy as np
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from tokenizers import Tokenizer
 
 from recollex.llm import queries as Q
 from recollex.llm import token_index as ti
@@ -14,8 +15,11 @@ from .helpers import docs
 MODEL = Q.vocabulary("byte_bpe_50k.json")
 
 
+LIBRARY = Tokenizer.from_str(MODEL.decode())  # as it comes, apart from the encoder's own
+
+
 def plain(text):
-    return ti.encoder_of(MODEL).tokenizer.encode(text or "", add_special_tokens=False).ids
+    return LIBRARY.encode(text or "", add_special_tokens=False).ids
 
 
 @given(st.lists(st.sampled_from([*"ab 1'.\n\té漢　\x1f<|>s", "  ", "<|endoftext|>", " the"]), max_size=30).map("".join))
@@ -29,6 +33,13 @@ def test_units_encode_like_the_library(text):
     assert encoder.encode_all(pa.array([text, "", text], pa.string())) == [want, b"", want]
 
 
+def test_the_string_of_an_added_token_is_that_token():
+    assert plain("x<|endoftext|>") == [87, 50256]
+    encoder = ti.encoder_of(MODEL)
+    for text in ("x<|endoftext|>", "<|endoftext|>", " <|endoftext|> y ", "a<|endoftext|><|endoftext|>  b", "<|endoftext", "one two  <|endoftext|>\n\n three"):
+        assert encoder.encode(text) == np.array(plain(text), encoder.dtype).tobytes()
+
+
 def test_perfect_hash_is_minimal_and_rejects_strangers():
     keys = np.unique(np.random.default_rng(0).integers(-(2**62), 2**62, 5000))
     index = ti.ShardIndex.load(ti.ShardIndex.build(keys, 0, np.full(len(keys), 3), "<u2").dump())
@@ -50,7 +61,7 @@ def read(spark, frame, **options):
 
 
 def test_round_trip_matches_brute_force(spark):
-    texts = ["one two", None, "", "word " * 3000, "  lead", "x" * 5000, "tail  ", "é漢 \n\n z"]
+    texts = ["one two", None, "", "word " * 3000, "  lead", "x" * 5000, "tail  ", "é漢 \n\n z", "x<|endoftext|>", "a <|endoftext|> <|endoftext|>b c" + " d" * 2000]
     frame = docs(spark, texts, start=-3).repartition(3)
     path, found = read(spark, frame, docs_per_shard=2)
     start = 0
