@@ -16,10 +16,15 @@ tile holds is dealt into chunks and each pair of chunks is a tile, so that no
 task gets a hot key whole. A tile hands on a spanning forest of its links, never
 all its pairs.
 
+A fingerprint or a component with much of the rows is never shuffled by its key:
+what is known of it is broadcast (``skew.join_facts``).
+
 Defined results. Null text counts as empty. Texts without words have fingerprint
-zero and are linked like any other. Documents with the same text, and repeated
-rows, share a component. Rows with a null key stay, but never name a component:
-a component whose keys are all null is null. An empty table gives none.
+zero and are linked like any other. Texts of any length are hashed whole, a text
+at a time. Documents with the same text, and repeated rows, share a component.
+Rows with a null key stay, but never name a component: a component whose keys are
+all null is null. Ties between keys can't matter, since the smallest is taken. An
+empty table gives none. Other columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -33,7 +38,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from recollex.llm.components import components
-from recollex.storage import materialize
+from recollex.llm.skew import join_facts
+from recollex.storage import materialize, small
 
 WORDS = 4
 RADIUS = 4
@@ -77,15 +83,15 @@ def majority(hashes: np.ndarray) -> int:
 
 
 def with_fingerprint(docs: DataFrame, *, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """(key, fp) with fp as a signed 64-bit number."""
+    """(key, mark, fp): fp as a signed 64-bit number, mark a hash that tells the texts of a key apart."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = np.array([fingerprint(t.as_py() or "") for t in batch.column(1)], np.uint64).view(np.int64)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found)], ["key", "fp"])
+            found = np.array([fingerprint(t.as_py() or "") for t in batch.column(2)], np.uint64).view(np.int64)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(found)], ["key", "mark", "fp"])
 
-    docs = docs.select(F.col(key).cast("long").alias("key"), F.col(text).alias("text"))
-    return docs.mapInArrow(run, "key long, fp long")
+    docs = docs.select(F.col(key).cast("long").alias("key"), F.xxhash64(text).alias("mark"), F.col(text).alias("text"))
+    return docs.mapInArrow(run, "key long, mark long, fp long")
 
 
 # --- bit-sliced comparison --------------------------------------------------
@@ -183,7 +189,8 @@ def links(fps: DataFrame, *, radius: int = RADIUS, blocks: int = BLOCKS[0][1], t
     chunk = tile // 2
     keyed = fps.select("fp", F.explode(block_keys(F.col("fp"), radius, blocks)).alias("key"))
     hot = keyed.groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > tile).select("key", F.ceil(F.col("n") / chunk).cast("int").alias("chunks"))
-    dealt = keyed.join(hot, "key", "left").withColumn("own", F.when(F.col("chunks").isNotNull(), F.pmod(F.xxhash64("fp", F.lit(1)), "chunks").cast("int")))
+    # Keys of more than a tile are few; broadcast, they leave a hot key's rows where they are until these are dealt.
+    dealt = keyed.join(small(materialize(hot, "hot-keys")), "key", "left").withColumn("own", F.when(F.col("chunks").isNotNull(), F.pmod(F.xxhash64("fp", F.lit(1)), "chunks").cast("int")))
     # Chunk c meets every chunk: the pair (c, d) is the tile of the two.
     tiles = dealt.select(
         "fp", "key",
@@ -220,15 +227,49 @@ def links(fps: DataFrame, *, radius: int = RADIUS, blocks: int = BLOCKS[0][1], t
     return grouped.repartition("group").sortWithinPartitions("group").mapInArrow(compare, "src long, dst long").distinct()
 
 
+def _classes(prints: DataFrame, radius: int) -> tuple[DataFrame, DataFrame, int, int]:
+    """Distinct fingerprints (fp, first, n) with their smallest row; (fp, component) of the linked ones; numbers of fingerprints and rows."""
+    least = F.min(F.struct(F.col("key").isNull().alias("blank"), "key", "mark"))  # null keys come last
+    firsts = materialize(prints.groupBy("fp").agg(least.alias("first"), F.count(F.lit(1)).alias("n")), "distinct-fingerprints")
+    distinct, total = firsts.agg(F.count(F.lit(1)), F.coalesce(F.sum("n"), F.lit(0))).first()
+    blocks = next(b for most, b in BLOCKS if distinct <= most)
+    return firsts, components(links(firsts.select("fp"), radius=radius, blocks=blocks)).withColumnRenamed("node", "fp"), distinct, total
+
+
 def near_duplicates(docs: DataFrame, *, key: str = "doc_id", text: str = "text", radius: int = RADIUS) -> DataFrame:
     """Return key, fingerprint (16 hex digits), component_id (smallest key of the component)."""
     prints = materialize(with_fingerprint(docs, key=key, text=text), "fingerprints")
-    firsts = materialize(prints.groupBy("fp").agg(F.min("key").alias("first")), "distinct-fingerprints")
-    distinct = firsts.count()
-    blocks = next(b for most, b in BLOCKS if distinct <= most)
-    joined = components(links(firsts.select("fp"), radius=radius, blocks=blocks)).withColumnRenamed("node", "fp")
-    classes = firsts.join(joined, "fp", "left").withColumn("component", F.coalesce("component", "fp"))
-    named = classes.join(classes.groupBy("component").agg(F.min("first").alias("component_id")), "component").select("fp", "component_id")
-    return prints.join(named, "fp").select(
+    firsts, linked, distinct, total = _classes(prints, radius)
+    linked = linked.join(firsts.select("fp", "first"), "fp")
+    names = linked.groupBy("component").agg(F.min("first").alias("named"), F.count(F.lit(1)).alias("size"))
+    named = join_facts(linked.select("fp", "component"), names, ["component"], total=distinct, n="size").select("fp", "named")
+    classes = firsts.join(named, "fp", "left").select("fp", "n", F.coalesce("named", "first")["key"].alias("component_id"))
+    return join_facts(prints.drop("mark"), materialize(classes, "classes"), ["fp"], total=total, n="n").select(
         F.col("key").alias(key), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id"
     )
+
+
+#: Most rows to drop that are broadcast: 16 bytes each.
+BROADCAST_DROPPED = 500_000
+
+
+def one_of_each(docs: DataFrame, *, key: str = "doc_id", text: str = "text", radius: int = RADIUS) -> DataFrame:
+    """One row of each component: that with the smallest key, null keys last, then the smallest text hash.
+
+    Rows are told apart by key and text, so rows that clash on a key but aren't
+    linked both stay. Of rows equal in both the smallest stays.
+    """
+    prints = materialize(with_fingerprint(docs, key=key, text=text), "fingerprints")
+    firsts, linked, _, _ = _classes(prints, radius)
+    rest = firsts.join(linked, "fp", "left").groupBy(F.coalesce("component", "fp").alias("component")).agg(F.min("first").alias("first"))
+    row = F.struct(F.col("key"), F.col("mark"))  # structs are equal where both have nulls
+    rows = prints.groupBy("key", "mark").agg(F.count(F.lit(1)).alias("n")).select(row.alias("row"), "n")
+    kept = rest.select(F.struct("first.key", "first.mark").alias("row"))
+    told = materialize(rows.join(kept.withColumn("kept", F.lit(True)), "row", "left").filter("kept is null or n > 1"), "dropped-or-repeated")
+    repeated = told.filter("kept").select("row")
+    own = F.struct(F.col(key).cast("long").alias("key"), F.xxhash64(text).alias("mark"))
+    once = docs.join(small(told.select("row"), BROADCAST_DROPPED), own == F.col("row"), "left_anti")
+    if repeated.isEmpty():
+        return once
+    again = docs.withColumn("__row", own).join(repeated, F.col("__row") == F.col("row"), "left_semi")
+    return once.unionByName(again.groupBy("__row").agg(F.min(F.struct(*docs.columns)).alias("__first")).select("__first.*"))

@@ -21,7 +21,8 @@ the longest host and path together wins, then the longer host. Of equal rules
 with different verdicts, block wins. Repeated rows each keep their result; an
 empty table gives none; without rules every url gets the default verdict. Other
 columns of the urls stay, but those of the names host, path, rule and verdict are
-replaced.
+replaced. Urls of any length are judged whole; a url that many rows share is
+judged once, and its verdict is broadcast to them (``skew.join_facts``).
 """
 
 from __future__ import annotations
@@ -29,10 +30,16 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from recollex.llm.skew import join_facts
+from recollex.storage import few, materialize
+
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 DEFAULT = "allow"
 #: Slices that a domain holding all keys would be swept in.
 SLICES = 2048
+#: Most domains with rules that are broadcast; more are copied to ``SALT`` tasks each, among which a domain's urls are dealt.
+BROADCAST_DOMAINS = 100_000
+SALT = 64
 #: Sorts after every key that a rule prefixes.
 END = "\U0010ffff"
 
@@ -91,6 +98,14 @@ def _borders(rules: DataFrame) -> DataFrame:
     ).select("domain", "b.key", "b.turn", "b.top")
 
 
+def _meet(keys: DataFrame, facts: DataFrame, broadcast: bool) -> DataFrame:
+    """Join of url keys (host, path, domain) with facts of the domains that have rules."""
+    if broadcast:
+        return keys.join(F.broadcast(facts), "domain")
+    dealt = facts.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALT - 1))))
+    return keys.withColumn("_salt", F.pmod(F.xxhash64("host", "path"), F.lit(SALT)).cast("int")).join(dealt, ["domain", "_salt"]).drop("_salt")
+
+
 def match(urls: DataFrame, rules: DataFrame, *, url: str = "url", default: str = DEFAULT) -> DataFrame:
     """Add host, path, rule (null if none fits) and verdict to ``urls``."""
     urls = with_host_path(urls, url)
@@ -101,16 +116,21 @@ def match(urls: DataFrame, rules: DataFrame, *, url: str = "url", default: str =
         .agg(F.max("verdict").alias("verdict"))
         .select("domain", "path", F.struct(F.length(F.concat("host", "path")).alias("size"), F.length("host").alias("host_size"), F.concat("host", "path").alias("rule"), F.col("verdict")).alias("top"))
     )
-    pairs = urls.select("host", "path").filter("host <> ''").distinct()
+    # Each host and path once, with the urls that have them; urls without a host meet no rule and are never shuffled.
+    pairs = materialize(urls.filter("host <> ''").groupBy("host", "path").agg(F.count(F.lit(1)).alias("__rule_n")), "urls")
+    total = pairs.agg(F.coalesce(F.sum("__rule_n"), F.lit(0))).first()[0]
     # A key for each parent domain with rules.
     keys = pairs.withColumn("labels", F.reverse(F.split("host", r"\.", -1))).select(
         "host", "path", F.explode(F.expr("transform(sequence(1, size(labels)), n -> concat(array_join(slice(labels, 1, n), '.'), '.'))")).alias("domain")
     )
-    keys = keys.join(rules.select("domain").distinct(), "domain", "left_semi")
+    domains = rules.select("domain").distinct()
+    broadcast = few(domains, BROADCAST_DOMAINS)
+    keys = _meet(keys, domains, broadcast)
     counts = keys.groupBy("domain").agg(F.count(F.lit(1)).alias("n"))
-    total = counts.agg(F.sum("n").alias("total"))
-    slices = counts.crossJoin(F.broadcast(total)).select("domain", F.ceil(F.col("n") * SLICES / F.col("total")).cast("int").alias("slices"))  # total is one row
-    keys = keys.join(slices, "domain").select("domain", F.pmod(F.xxhash64("host", "path"), "slices").cast("int").alias("slice"), _key(F.col("path")).alias("key"), F.lit(2).alias("turn"), F.lit(None).cast(rules.schema["top"].dataType).alias("top"), "host", "path")
+    most = counts.agg(F.sum("n").alias("total"))
+    slices = counts.crossJoin(F.broadcast(most)).select("domain", F.ceil(F.col("n") * SLICES / F.col("total")).cast("int").alias("slices"))  # one row
+    slices = materialize(slices, "url-slices")
+    keys = _meet(keys, slices, broadcast).select("domain", F.pmod(F.xxhash64("host", "path"), "slices").cast("int").alias("slice"), _key(F.col("path")).alias("key"), F.lit(2).alias("turn"), F.lit(None).cast(rules.schema["top"].dataType).alias("top"), "host", "path")
     borders = _borders(rules).join(slices, "domain").select("domain", F.explode(F.sequence(F.lit(0), F.col("slices") - 1)).alias("slice"), "key", "turn", "top", F.lit(None).cast("string").alias("host"), F.lit(None).cast("string").alias("path"))
     # An end border tells that the stack may be empty, which null can't.
     mark = F.struct(F.lit(True).alias("set"), F.col("top"))
@@ -122,7 +142,8 @@ def match(urls: DataFrame, rules: DataFrame, *, url: str = "url", default: str =
         .select("host", "path", F.col("open.top").alias("found"))
         .filter("found is not null")
     )
-    best = swept.groupBy("host", "path").agg(F.max("found").alias("__rule_found"))
-    return urls.join(best, ["host", "path"], "left").select(
-        *[urls[c] for c in urls.columns if c not in ("rule", "verdict")], F.col("__rule_found.rule").alias("rule"), F.coalesce("__rule_found.verdict", F.lit(default)).alias("verdict")
-    )
+    best = pairs.join(swept.groupBy("host", "path").agg(F.max("found").alias("__rule_found")), ["host", "path"], "left")
+    columns = [c for c in urls.columns if c not in ("rule", "verdict")]
+    told = join_facts(urls.filter("host <> ''").select(*columns), best, ["host", "path"], total=total, n="__rule_n")
+    rest = urls.filter("host = ''").select(*columns, F.lit(None).cast(rules.schema["top"].dataType).alias("__rule_found"))
+    return told.unionByName(rest).select(*columns, F.col("__rule_found.rule").alias("rule"), F.coalesce("__rule_found.verdict", F.lit(default)).alias("verdict"))
