@@ -88,14 +88,15 @@ def held_out(key: str, folds: int = FOLDS) -> Column:
 def sample(docs: DataFrame, labels: DataFrame, *, key: str, text: str, label: str, max_train: int = MAX_TRAIN, folds: int = FOLDS) -> DataFrame:
     """(text, toxic) of the labelled texts to learn from."""
     chosen = (
-        labels.filter(F.col(key).isNotNull() & F.col(label).isNotNull() & ~held_out(key, folds))
+        labels.filter(F.col(key).isNotNull() & F.col(label).isin(0, 1) & ~held_out(key, folds))
         .groupBy(F.col(key).alias("key"))
         .agg(F.max(F.col(label).cast("int")).alias("toxic"))
         .orderBy(F.xxhash64("key"), "key")
         .limit(max_train)
     )
     texts = docs.select(F.col(key).alias("key"), F.coalesce(text, F.lit("")).alias("text"))
-    return texts.join(F.broadcast(chosen), "key").select("text", "toxic")  # max_train rows of 16 bytes
+    found = texts.join(F.broadcast(chosen), "key")  # max_train rows of 16 bytes
+    return found.groupBy("key").agg(F.min(F.struct("text", "toxic")).alias("r")).select("r.text", "r.toxic")  # a key once, so never more than max_train
 
 
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
