@@ -2,7 +2,7 @@
 
 A store is a folder in shared storage::
 
-    ledger/<batch>/   signed rows of documents: doc_id, source, lang, tokenizer, n_tokens, sign
+    ledger/batch=<batch>/bucket=<n>/   signed rows of documents: doc_id, source, lang, tokenizer, n_tokens, sign
     changes/<batch>/  what the batch asks for, one row a document
     deltas/<batch>/   signed totals of the batch: source, lang, tokenizer, n_docs, n_tokens
     commits/<batch>/  written last; a batch without it does not exist
@@ -11,15 +11,20 @@ A batch holds inserts, deletes and revised counts. A document that the ledger
 holds is taken back with a minus sign before its new row comes with a plus sign,
 so totals are sums of deltas and never recounted. A batch is committed once:
 applying it again does nothing, and one that broke off is written again from the
-start. ``compact`` folds the committed deltas into one, by the same protocol.
+start. A batch reads the ledger's buckets that its documents are in. ``compact``
+folds the committed ledgers and deltas into one of each, by the same protocol, and
+removes the folded ones, so that the ledger keeps to the documents there are.
 
-Defined results. Of several changes to one document in a batch the one with the
+Defined results. A change is an insert, a delete or a revise; if the one that
+counts for a document is anything else, null included, the batch is refused and
+nothing of it committed. Of several changes to one document in a batch the one with the
 greatest ``seq`` counts, then the greatest row. An insert of a known document
 replaces it, a delete of an unknown one does nothing, a revision of an unknown one
 inserts it. Changes without a doc_id are ignored. Null source, lang or tokenizer
 are groups of their own; null counts are 0. Repeated rows are one change. An empty
 batch is committed and adds nothing; totals of an empty store are an empty table.
-Groups whose documents are all gone leave the totals. Other columns are ignored.
+Groups whose documents are all gone leave the totals. Texts of any length are
+counted whole. Other columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -30,7 +35,7 @@ import uuid
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from recollex.storage import exists, materialize, remove
@@ -39,6 +44,15 @@ GROUP = ["source", "lang", "tokenizer"]
 LEDGER = "doc_id long, source string, lang string, tokenizer string, n_tokens long, sign int"
 DELTA = "source string, lang string, tokenizer string, n_docs long, n_tokens long"
 COMMIT = "batch string, name string, replaces array<string>"
+OPS = ("insert", "delete", "revise")
+#: Folders that a ledger's documents are dealt to.
+BUCKETS = 32
+#: Rows of a ledger file.
+FILE_ROWS = 4_000_000
+
+
+def _bucket() -> Column:
+    return F.pmod(F.xxhash64("doc_id"), F.lit(BUCKETS)).cast("int")
 
 
 class RollupStore:
@@ -53,6 +67,9 @@ class RollupStore:
     def _read(self, kind: str, names: list[str], schema: str) -> DataFrame:
         if not names:
             return self.spark.range(0).selectExpr(*[f"cast(null as {x.split(' ', 1)[1]}) as {x.split(' ', 1)[0]}" for x in schema.split(", ")])
+        if kind == "ledger":
+            found = self.spark.read.schema(f"{schema}, batch string, bucket int").option("basePath", f"{self.path}/ledger")
+            return found.parquet(*[f"{self.path}/ledger/batch={n}" for n in names]).drop("batch")
         return self.spark.read.schema(schema).parquet(*[f"{self.path}/{kind}/{n}" for n in names])
 
     def committed(self) -> list[tuple[str, str, list[str]]]:
@@ -66,12 +83,25 @@ class RollupStore:
         row = self.spark.range(1).select(F.lit(batch).alias("batch"), F.lit(name).alias("name"), F.array(*[F.lit(x) for x in replaces]).cast("array<string>").alias("replaces"))
         row.coalesce(1).write.mode("overwrite").parquet(f"{self.path}/commits/{name}")
 
-    def ledger(self) -> DataFrame:
-        """Documents that count now."""
-        names = [name for batch, name, replaces in self.committed() if not replaces]
+    def _live(self) -> list[str]:
+        """Folder names of the batches and compactions that no compaction has replaced."""
+        done = self.committed()
+        replaced = {x for _, _, replaces in done for x in replaces}
+        return [name for _, name, _ in done if name not in replaced]
+
+    def ledger(self, buckets: list[int] | None = None) -> DataFrame:
+        """Documents that count now, of these buckets or all."""
+        names = self._live()
         rows = self._read("ledger", names, LEDGER)
+        if names and buckets is not None and len(buckets) < BUCKETS:
+            rows = rows.filter(F.col("bucket").isin(buckets))
         return rows.groupBy("doc_id", *GROUP, "n_tokens").agg(F.sum("sign").alias("times")).filter("times > 0").drop("times")
 
+    def _write_ledger(self, rows: DataFrame, name: str, count: int) -> None:
+        parts = -(-count // (BUCKETS * FILE_ROWS)) or 1
+        dealt = rows.withColumn("bucket", _bucket()).repartition("bucket", F.pmod(F.xxhash64("doc_id", F.lit(1)), F.lit(parts)))
+        dealt.write.mode("overwrite").partitionBy("bucket").parquet(f"{self.path}/ledger/batch={name}")
+
     def apply(self, batch: str, changes: DataFrame) -> bool:
         """Commit ``changes`` (op, doc_id, source, lang, tokenizer, n_tokens, seq); False if the batch was committed before.
 
@@ -85,11 +115,17 @@ class RollupStore:
         last = changes.filter("doc_id is not null").groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.max(row).alias("c"))
         # Counting tokens may be dear, and the changes are read twice from here on.
         last = materialize(last.select("doc_id", "c.*"), "changes", f"{self.path}/changes/{name}")
+        if not last.filter(F.col("op").isNull() | ~F.col("op").isin(*OPS)).isEmpty():
+            remove(self.spark, f"{self.path}/changes/{name}")
+            raise ValueError(f"batch {batch!r} has changes that are none of {', '.join(OPS)}")
+        count = last.count()
         signed = last.filter("op <> 'delete'").select("doc_id", *GROUP, "n_tokens", F.lit(1).alias("sign"))
         if done:
-            before = self.ledger().join(last.select("doc_id"), "doc_id", "left_semi")
+            touched = [r["bucket"] for r in last.select(_bucket().alias("bucket")).distinct().collect()]  # at most BUCKETS
+            # Both sides grow with the data, so neither is broadcast.
+            before = self.ledger(touched).hint("merge").join(last.select("doc_id"), "doc_id", "left_semi")
             signed = signed.unionByName(before.select("doc_id", *GROUP, "n_tokens", F.lit(-1).alias("sign")))
-        signed.write.mode("overwrite").parquet(f"{self.path}/ledger/{name}")
+        self._write_ledger(signed, name, count)
         written = self._read("ledger", [name], LEDGER)
         totals = written.groupBy(*GROUP).agg(F.sum("sign").cast("long").alias("n_docs"), F.sum(F.col("sign") * F.col("n_tokens")).alias("n_tokens"))
         totals.coalesce(1).write.mode("overwrite").parquet(f"{self.path}/deltas/{name}")
@@ -97,24 +133,24 @@ class RollupStore:
         remove(self.spark, f"{self.path}/changes/{name}")
         return True
 
-    def _live_deltas(self) -> list[str]:
-        done = self.committed()
-        replaced = {x for _, _, replaces in done for x in replaces}
-        return [name for _, name, _ in done if name not in replaced]
-
     def totals(self) -> DataFrame:
         """(source, lang, tokenizer, n_docs, n_tokens)."""
-        rows = self._read("deltas", self._live_deltas(), DELTA)
+        rows = self._read("deltas", self._live(), DELTA)
         return rows.groupBy(*GROUP).agg(F.sum("n_docs").alias("n_docs"), F.sum("n_tokens").alias("n_tokens")).filter("n_docs <> 0 or n_tokens <> 0")
 
     def compact(self) -> None:
-        """Fold the deltas of all committed batches into one."""
-        names = self._live_deltas()
+        """Fold the ledgers and deltas of all committed batches into one of each, and remove those folded."""
+        names = self._live()
         if len(names) < 2:
             return
         name = f"compacted-{uuid.uuid4().hex}"
+        held = self.ledger().withColumn("sign", F.lit(1))
+        self._write_ledger(held, name, self._read("ledger", names, LEDGER).count())
         self.totals().coalesce(1).write.parquet(f"{self.path}/deltas/{name}")
         self._commit(name, name, names)
+        for old in names:
+            remove(self.spark, f"{self.path}/ledger/batch={old}")
+            remove(self.spark, f"{self.path}/deltas/{old}")
 
 
 def count_tokens(docs: DataFrame, model: bytes, *, text: str = "text", out: str = "n_tokens") -> DataFrame:

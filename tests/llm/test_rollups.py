@@ -1,6 +1,5 @@
 from collections import Counter
 
-import pyarrow as pa
 import pytest
 
 from recollex.llm import queries as Q
@@ -58,6 +57,28 @@ def test_deltas_match_a_recount_and_batches_count_once(spark):
     assert s.apply("after", spark.createDataFrame([("insert", 1000, "z", "en", "v1", 4, 1)], CHANGES)) and totals(s)["z", "en", "v1"] == (1, 4)
 
 
+@pytest.mark.parametrize("op", [None, "bogus"])
+def test_unknown_ops_are_refused_whole(spark, op):
+    s = store(spark)
+    s.apply("a", spark.createDataFrame([("insert", 1, "x", "en", "v1", 5, 1)], CHANGES))
+    with pytest.raises(ValueError):
+        s.apply("b", spark.createDataFrame([(op, 1, "x", "en", "v1", 9, 2), ("insert", 2, "x", "en", "v1", 9, 2)], CHANGES))
+    assert totals(s) == {("x", "en", "v1"): (1, 5)}
+    assert s.apply("b", spark.createDataFrame([("insert", 2, "x", "en", "v1", 9, 2)], CHANGES)) and totals(s) == {("x", "en", "v1"): (2, 14)}
+
+
+def test_compaction_keeps_documents_and_batch_ids(spark):
+    s = store(spark)
+    for n, batch in enumerate(BATCHES):
+        s.apply(f"batch/{n}", spark.createDataFrame(batch, CHANGES))
+    before = sorted(map(tuple, s.ledger().collect()), key=repr)
+    s.compact()
+    assert len(s._live()) == 1 and sorted(map(tuple, s.ledger().collect()), key=repr) == before
+    assert not s.apply("batch/1", spark.createDataFrame(BATCHES[1], CHANGES))
+    s.apply("gone", spark.createDataFrame([("delete", 77, None, None, None, 0, 1)], CHANGES))
+    assert ("new", "de", "v2") not in totals(s)
+
+
 def test_broken_off_batch_is_written_again(spark):
     s = store(spark)
     frame = spark.createDataFrame(BATCHES[0], CHANGES)
@@ -74,15 +95,28 @@ def test_empty_store(spark):
     s.compact()
 
 
+def counters():
+    """Numbers of tokens as the libraries give them, without the engine's own encoders."""
+    import base64
+
+    import tiktoken
+    from tokenizers import Tokenizer
+
+    library = Tokenizer.from_str(Q.vocabulary("byte_bpe_50k.json").decode())
+    ranks = {base64.b64decode(a): int(b) for a, b in (line.split() for line in Q.vocabulary("byte_bpe_multi_50k.tiktoken").splitlines())}
+    encoding = tiktoken.Encoding("multi", pat_str=r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+", mergeable_ranks=ranks, special_tokens={})
+    return lambda t: len(library.encode(t, add_special_tokens=False).ids), lambda t: len(encoding.encode_ordinary(t))
+
+
 def test_query_matches_a_recount(spark, sf_dir):
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").collect()
     low = {r["doc_id"] for r in spark.read.parquet(f"{sf_dir}/labels.parquet").filter("quality = 0").collect()}
-    one, many = (ro.counter_of(Q.vocabulary(n)) for n in ("byte_bpe_50k.json", "byte_bpe_multi_50k.tiktoken"))
+    one, many = counters()
     want = {}
     for r in docs:
         if r["doc_id"] not in low:
             name, count = ("byte_bpe_50k", one) if r["lang"] == "en" else ("byte_bpe_multi_50k", many)
             n, t = want.get((r["source"], r["lang"], name), (0, 0))
-            want[r["source"], r["lang"], name] = (n + 1, t + count(pa.array([r["text"]]))[0])
+            want[r["source"], r["lang"], name] = (n + 1, t + count(r["text"] or ""))
     found = {(r["source"], r["lang"], r["tokenizer"]): (r["n_docs"], r["n_tokens"]) for r in Q.op10_token_rollup(spark, sf_dir).collect()}
     assert found == want
