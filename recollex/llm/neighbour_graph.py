@@ -9,9 +9,14 @@ is kept. Rounds end when few new neighbours come in.
 
 Search. A query starts at given vertices (its own neighbours if it is indexed,
 the members of its blocks otherwise) and expands, hop by hop, every vertex of its
-beam over the edges of the graph in both directions, until the ``BEAM`` nearest
-vertices are all expanded. The nearest of them are compared again in double
-precision on the original vectors.
+beam over the edges of the graph in both directions, until the nearest vertices,
+as many as the beam holds, are all expanded; no number of hops ends it before. The
+beam grows with the logarithm of the vertices. Its vertices are compared again in
+double precision on the original vectors, all of them whose distance by codes,
+with the codes' error, could be among the nearest.
+
+``neighbours(..., exact=True)`` compares each query with every vector instead, in
+blocks, for tables where a recall below 1 won't do.
 
 Equal vectors are one vertex, so copies take no place in lists; they are set
 apart again in the answers. Vectors are compared in the rounds by 8-bit codes
@@ -21,11 +26,14 @@ Every round is written to the shared folder. All of it is joins keyed by vertex;
 nothing is broadcast but the mean and the projections, whose sizes depend on the
 dimension alone.
 
-Defined results. Vectors that are null or zero, hold null or non-finite
-components, or have another dimension than most, take no part. Null ids take no
-part. Of rows with the same id the smallest vector counts. With fewer candidates
-than asked for, all are returned if the beam has them, which it has for up to
-``BEAM`` vertices. Ties go to the smaller id. An empty table gives none.
+Defined results. Vectors that are null, empty or zero, or hold null or non-finite
+components, take no part; neither do null ids. Vectors of different dimensions
+have no distance: each dimension has a graph of its own, and a query is answered
+from its own. Rows that share an id but not the vector are candidates and queries
+each; of repeated rows (id and vector) one counts. A query's own id is never among
+its answers. With fewer candidates than asked for, all are returned if the beam
+has them, which it has for up to ``BEAM`` vertices. Ties go to the smaller id. An
+empty table gives none. Other columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -44,16 +52,22 @@ K = 24
 SAMPLE = 12
 TREES = 3
 BLOCK = 512
-ROUNDS = 8
+ROUNDS = 12
 #: A round that brings in fewer new neighbours than this share of the graph is the last.
 ENOUGH = 0.08
-BEAM = 192
-HOPS = 40
-#: Vertices of the beam that are compared exactly.
-EXACT = 48
+#: Least beam; and what each doubling of the vertices adds to it.
+BEAM = 96
+BEAM_STEP = 16
+#: Queries that are compared with all vectors at a time by the exact way.
+EXACT_BLOCK = 1024
 SEED = 11
 
 
+def beam_for(n: int) -> int:
+    """Vertices that a search keeps among ``n``."""
+    return max(BEAM, math.ceil(BEAM_STEP * math.log2(max(n, 2))))
+
+
 def usable(rows: DataFrame, *, key: str, vector: str) -> DataFrame:
     """(id, v): the rows that take part."""
     v = F.col(vector).cast("array<double>")
@@ -62,8 +76,7 @@ def usable(rows: DataFrame, *, key: str, vector: str) -> DataFrame:
         & F.forall(v, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < F.lit(math.inf)))
         & F.exists(v, lambda x: x != 0)
     )
-    found = rows.filter(fine).groupBy(F.col(key).cast("long").alias("id")).agg(F.min(v).alias("v"))
-    return found
+    return rows.filter(fine).select(F.col(key).cast("long").alias("id"), v.alias("v")).distinct()
 
 
 def _with_codes(nodes: DataFrame, mean: list[float]) -> DataFrame:
@@ -228,7 +241,7 @@ def build(nodes: DataFrame, codes: DataFrame, n: int, dim: int, *, k: int = K, s
     return graph.select("u", "v", "d")
 
 
-def search(starts: DataFrame, queries: DataFrame, graph: DataFrame, codes: DataFrame, *, beam: int = BEAM, hops: int = HOPS) -> DataFrame:
+def search(starts: DataFrame, queries: DataFrame, graph: DataFrame, codes: DataFrame, *, beam: int = BEAM) -> DataFrame:
     """(q, u, d): the beam of each query by greedy search.
 
     starts: (q, u), vertices to begin at. queries: (q, code, scale).
@@ -256,10 +269,9 @@ def search(starts: DataFrame, queries: DataFrame, graph: DataFrame, codes: DataF
 
     # seen: every vertex that a query has met.
     seen = scratch.write(ranked(measured(starts.distinct()).withColumn("done", F.lit(False))), "seen0")
-    for number in range(1, hops + 1):
-        front = seen.filter("front").select("q", "u")
-        if front.isEmpty():
-            break
+    number = 0
+    while not (front := seen.filter("front").select("q", "u")).isEmpty():  # a vertex is expanded once, so this ends
+        number += 1
         met = front.join(links, "u").select("q", F.col("v").alias("u")).distinct().join(seen.select("q", "u"), ["q", "u"], "left_anti")
         seen = scratch.write(ranked(seen.select("q", "u", "d", "done").unionByName(measured(met).withColumn("done", F.lit(False)))), f"seen{number}")
         scratch.drop(f"seen{number - 1}")
@@ -268,49 +280,112 @@ def search(starts: DataFrame, queries: DataFrame, graph: DataFrame, codes: DataF
 
 
 class Index:
-    """Vertices, codes and graph of a table of vectors."""
+    """Vertices, codes and graphs of a table of vectors, one graph for each dimension."""
 
     def __init__(self, rows: DataFrame, *, key: str = "vec_id", vector: str = "embedding", **options):
-        found = materialize(usable(rows, key=key, vector=vector), "vectors")
-        common = found.groupBy(F.size("v").alias("dim")).agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), F.desc("dim")).first()
-        self.dim, self.n = (common["dim"], common["n"]) if common else (0, 0)
-        self.vectors = found.filter(F.size("v") == self.dim)
-        # Equal vectors are one vertex, named by their smallest id.
-        self.nodes = materialize(self.vectors.groupBy("v").agg(F.min("id").alias("u"), F.count(F.lit(1)).alias("copies")).select("u", "v", "copies"), "vertices")
-        self.graph = self.codes = None
-        if not self.n:
-            return
-        self.mean = [x["m"] for x in self.nodes.select(F.posexplode("v").alias("i", "x")).groupBy("i").agg(F.avg("x").alias("m")).orderBy("i").collect()]  # one row a dimension
-        self.codes = materialize(_with_codes(self.nodes, self.mean), "codes")
-        self.graph = build(self.nodes, self.codes, self.nodes.count(), self.dim, **options)
-
-    def neighbours(self, asked: Column, k: int, *, beam: int = BEAM, exact: int = EXACT) -> DataFrame:
+        self.vectors = materialize(usable(rows, key=key, vector=vector), "vectors")
+        dims = [r["dim"] for r in self.vectors.select(F.size("v").alias("dim")).distinct().orderBy("dim").collect()]
+        self.parts = [_Part(self.vectors.filter(F.size("v") == dim), dim, options) for dim in dims]
+
+    def neighbours(self, asked: Column, k: int, *, beam: int | None = None, exact: bool = False) -> DataFrame:
         """(query_id, rank, vec_id, score) of the indexed vectors for which ``asked`` (a condition on id) holds, themselves left out."""
-        spark = self.nodes.sparkSession
-        schema = "query_id long, rank int, vec_id long, score double"
-        if not self.n:
-            return spark.createDataFrame([], schema)
-        queries = materialize(self.vectors.filter(asked).join(self.nodes.select("u", "v"), "v").select(F.col("id").alias("query_id"), F.col("u").alias("q")), "queries")
-        distinct = queries.select("q").distinct()
-        starts = self.graph.join(distinct, F.col("u") == F.col("q"), "left_semi").select(F.col("u").alias("q"), F.col("v").alias("u")).unionByName(distinct.select("q", F.col("q").alias("u")))
-        codes = self.codes.join(distinct, F.col("u") == F.col("q"), "left_semi").select(F.col("u").alias("q"), "code", "scale")
-        found = search(starts, codes, self.graph, self.codes, beam=max(beam, k + 1))
-        order = Window.partitionBy("q").orderBy("d", "u")
-        pool = found.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= max(exact, 2 * k)).select("q", "u")
-        near = pool.join(self.nodes.select(F.col("u").alias("q"), F.col("v").alias("q_v")), "q").join(self.nodes.select("u", "v"), "u")
-        gap = F.aggregate(F.zip_with("q_v", "v", lambda a, b: (a - b) * (a - b)), F.lit(0.0), lambda s, x: s + x)
-        scored = near.select("q", "u", F.sqrt(gap).alias("score"))
+        out = self.vectors.sparkSession.createDataFrame([], "query_id long, rank int, vec_id long, score double")
+        for part in self.parts:
+            out = out.unionByName(part.neighbours(asked, k, beam, exact))
+        return out
+
+
+class _Part:
+    """Vectors of one dimension."""
+
+    def __init__(self, vectors: DataFrame, dim: int, options: dict):
+        self.vectors, self.dim, self.options = vectors, dim, options
+        # Equal vectors are one vertex; a vertex is named when it is written, for ids may repeat.
+        named = vectors.groupBy("v").agg(F.count(F.lit(1)).alias("copies")).select("v", "copies", F.monotonically_increasing_id().alias("u"))
+        self.nodes = materialize(named, "vertices")
+        self.n = self.nodes.count()
+        self.members = materialize(vectors.join(self.nodes.select("v", "u", "copies"), "v").select("id", "u", "copies"), "members")
+        self._built = None
+
+    def built(self) -> tuple[DataFrame, DataFrame]:
+        """Codes and graph, made when they are first asked for."""
+        if self._built is None:
+            mean = [x["m"] for x in self.nodes.select(F.posexplode("v").alias("i", "x")).groupBy("i").agg(F.avg("x").alias("m")).orderBy("i").collect()]  # one row a dimension
+            codes = materialize(_with_codes(self.nodes, mean), "codes")
+            self._built = codes, build(self.nodes, codes, self.n, self.dim, **self.options)
+        return self._built
+
+    def neighbours(self, asked: Column, k: int, beam: int | None, exact: bool) -> DataFrame:
+        queries = materialize(self.members.filter(asked).select(F.col("id").alias("query_id"), F.col("u").alias("q")), "queries")
+        scored = self._compared(queries, k) if exact else self._searched(queries, k, max(beam or beam_for(self.n), k + 1))
         # Set copies apart: of each vertex the k + 1 smallest ids can be among the nearest.
         first = Window.partitionBy("u").orderBy("id")
         members = (
-            self.vectors.join(self.nodes.filter("copies > 1").select("u", "v"), "v").select("u", "id")
-            .withColumn("nth", F.row_number().over(first)).filter(F.col("nth") <= k + 1).select("u", "id")
-            .unionByName(self.nodes.filter("copies = 1").select("u", F.col("u").alias("id")))
+            self.members.filter("copies > 1").withColumn("nth", F.row_number().over(first)).filter(F.col("nth") <= k + 1).select("u", "id")
+            .unionByName(self.members.filter("copies = 1").select("u", "id"))
         )
-        best = Window.partitionBy("query_id").orderBy("score", "vec_id")
+        best = Window.partitionBy("query_id", "q").orderBy("score", "vec_id")
         return (
             scored.join(members, "u").join(queries, "q").filter(F.col("id") != F.col("query_id"))
-            .select("query_id", F.col("id").alias("vec_id"), "score")
+            .select("query_id", "q", F.col("id").alias("vec_id"), "score")
             .withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= k)
             .select("query_id", "rank", "vec_id", "score")
         )
+
+    def _searched(self, queries: DataFrame, k: int, beam: int) -> DataFrame:
+        """(q, u, score) of the vertices that the graph search finds near each query."""
+        all_codes, graph = self.built()
+        distinct = queries.select("q").distinct()
+        starts = graph.join(distinct, F.col("u") == F.col("q"), "left_semi").select(F.col("u").alias("q"), F.col("v").alias("u")).unionByName(distinct.select("q", F.col("q").alias("u")))
+        codes = all_codes.join(distinct, F.col("u") == F.col("q"), "left_semi").select(F.col("u").alias("q"), "code", "scale")
+        found = search(starts, codes, graph, all_codes, beam=beam)
+        # A code is off by half a step in each dimension at most, so a distance lies within both vectors' errors.
+        half = 0.5 * math.sqrt(self.dim)
+        bounded = found.join(all_codes.select("u", F.col("scale").alias("u_scale")), "u").join(codes.select("q", F.col("scale").alias("q_scale")), "q")
+        far, error = F.sqrt(F.col("d").cast("double")), (F.col("u_scale") + F.col("q_scale")) * half * 1.001 + F.sqrt(F.col("d").cast("double")) * 1e-6
+        bounded = bounded.select("q", "u", (far - error).alias("low"), (far + error).alias("high"))
+        # The query's own vertex may be one of the k + 1, and so may stand for others' copies.
+        order = Window.partitionBy("q").orderBy("high", "u")
+        safe = bounded.withColumn("nth", F.row_number().over(order)).groupBy("q").agg(F.max(F.when(F.col("nth") <= k + 1, F.col("high"))).alias("bound"))
+        pool = bounded.join(safe, "q").filter("low <= bound").select("q", "u")
+        near = pool.join(self.nodes.select(F.col("u").alias("q"), F.col("v").alias("q_v")), "q").join(self.nodes.select("u", "v"), "u")
+        gap = F.aggregate(F.zip_with("q_v", "v", lambda a, b: (a - b) * (a - b)), F.lit(0.0), lambda s, x: s + x)
+        return near.select("q", "u", F.sqrt(gap).alias("score"))
+
+    def _compared(self, queries: DataFrame, k: int, block: int = EXACT_BLOCK) -> DataFrame:
+        """(q, u, score) of the k + 1 nearest vertices by comparing every vertex; queries are sent out in blocks of ``block``."""
+        spark, dim = self.nodes.sparkSession, self.dim
+        asked = self.nodes.join(queries.select(F.col("q").alias("u")).distinct(), "u", "left_semi").select("u", "v")
+        count = max(-(-asked.count() // block), 1)
+        asked = materialize(asked.withColumn("part", F.pmod(F.xxhash64("u"), F.lit(count)).cast("int")), "exact-queries")
+        out = []
+        for number in range(count):
+            part = asked.filter(F.col("part") == number).toPandas()  # about block rows
+            if len(part):
+                near = self.nodes.select("u", "v").mapInArrow(_all_near(part["u"].to_numpy(np.int64), np.stack(part["v"].to_list()).reshape(-1, dim), k + 1), "q long, u long, score double")
+                best = Window.partitionBy("q").orderBy("score", "u")
+                out.append(materialize(near.withColumn("nth", F.row_number().over(best)).filter(F.col("nth") <= k + 1).drop("nth"), "exact"))
+        found = spark.createDataFrame([], "q long, u long, score double")
+        for part in out:
+            found = found.unionByName(part)
+        return found
+
+
+def _all_near(ids: np.ndarray, asked: np.ndarray, k: int):
+    """Of each batch of vectors the k nearest of each query, in double precision."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            u = batch.column(0).to_numpy()
+            x = np.asarray(batch.column(1).flatten()).reshape(batch.num_rows, -1)
+            for a in range(0, len(ids), 64):
+                q = asked[a : a + 64]
+                rough = (q**2).sum(1)[:, None] + (x**2).sum(1)[None] - 2 * q @ x.T
+                m = min(len(u), 4 * k)
+                near = np.argpartition(rough, m - 1, axis=1)[:, :m]
+                score = np.sqrt(((q[:, None, :] - x[near]) ** 2).sum(2))
+                yield pa.RecordBatch.from_arrays([pa.array(np.repeat(ids[a : a + 64], m)), pa.array(u[near].ravel()), pa.array(score.ravel())], ["q", "u", "score"])
+
+    return run

@@ -44,6 +44,28 @@ def test_copies_ties_and_odd_rows(spark):
     assert [v for v, _ in by[0]] == list(range(1, 11)) and all(s == 0 for _, s in by[0])
     assert [v for v, _ in by[100]] == list(range(0, 10)) and all(s == 1 for _, s in by[100])
     assert 205 not in by
+    exact = ng.Index(frame).neighbours(F.col("id").isin(0, 100, 205), 10, exact=True)
+    assert sorted(map(tuple, exact.collect())) == sorted(map(tuple, found))
+
+
+def test_ids_that_clash_and_dimensions_that_differ(spark):
+    frame = vectors(spark, [(0, [1.0, 0.0]), (1, [0.0, 1.0]), (1, [1.0, 1.0]), (2, [5.0, 5.0]), (7, [1.0]), (8, [2.0]), (9, [4.0])])
+    found = ng.Index(frame).neighbours(F.col("id").isin(0, 7), 10).orderBy("query_id", "rank").collect()
+    assert [(r["query_id"], r["vec_id"], round(r["score"], 3)) for r in found] == [(0, 1, 1.0), (0, 1, 1.414), (0, 2, 6.403), (7, 8, 1.0), (7, 9, 3.0)]
+
+
+def test_recall_on_tight_groups_and_the_exact_way(spark):
+    rng = np.random.default_rng(4)
+    centres = rng.standard_normal((30, 16)) * 5
+    x = (centres[rng.integers(0, 30, 3000)] + rng.standard_normal((3000, 16)) * 0.05).astype(np.float32)
+    index = ng.Index(vectors(spark, [(i, [float(a) for a in v]) for i, v in enumerate(x)]))
+    ids = np.arange(3000)
+    asked = F.col("id") % 100 == 0
+    for exact, least in ((False, 0.95), (True, 1.0)):
+        hits = 0
+        for q, part in index.neighbours(asked, 10, exact=exact).toPandas().groupby("query_id"):
+            hits += len({v for _, v in brute(ids, x.astype(float), q, 10)} & set(part["vec_id"]))
+        assert hits / 300 >= least
 
 
 def test_few_and_no_rows(spark):
