@@ -2,7 +2,7 @@
 
 Candidates are private key blocks, values assigned to words such as ``token`` or
 ``password``, and runs of 16 or more characters of the kinds that keys are made
-of, with a digit. A text is cut at its candidates, so each comes with its neighbourhood, and
+of, with a digit or with three changes from small to capital letters. A text is cut at its candidates, so each comes with its neighbourhood, and
 all work on a document happens in its own row: nothing is exploded or shuffled.
 
 Features: length; shares of digits, of hexadecimal digits and of distinct
@@ -17,7 +17,9 @@ some from a rule.
 Defined results. Null and empty texts have no findings. A candidate counts with a
 vote of at least half of the trees. Findings are ordered by their place; repeated
 rows have equal findings. Offsets and lengths count characters. An empty table
-gives none. Texts are scanned whole.
+gives none. Texts of any length are scanned whole, in time that grows with their
+length. Other columns stay as they are; the output column replaces one of its
+name, and names that begin with ``__secret_`` are for the scan's own use.
 """
 
 from __future__ import annotations
@@ -44,7 +46,7 @@ DICTIONARY = ["your", "here", "change", "example", "sample", "placeholder", "pas
 
 _LEAD = "(?:" + "|".join(KEYWORDS) + r")[\"']?[ \t]{0,3}[:=][ \t]{0,3}[\"']?"
 _BLOCK = r"-----BEGIN [A-Z ]{0,20}PRIVATE KEY-----[A-Za-z0-9+/=\s]*+(?:-----END [A-Z ]{0,20}PRIVATE KEY-----)?"
-_RUN = r"(?<![A-Za-z0-9+/_~.=-])(?=[A-Za-z+/_~.=-]*[0-9])[A-Za-z0-9+/_~.=-]{16,}"
+_RUN = r"(?<![A-Za-z0-9+/_~.=-])(?=[A-Za-z0-9+/_~.=-]{16})(?:(?=[A-Za-z+/_~.=-]*[0-9])|(?=(?:[A-Za-z+/_~.=-]*?[a-z][A-Z]){3}))[A-Za-z0-9+/_~.=-]{16,}"
 _FIRST = "(?=[" + "".join(sorted({c for w in KEYWORDS for c in (w[0], w[0].upper())})) + "])"
 CANDIDATE = f"{_FIRST}(?i:{_LEAD})[^\\s\"'<>]{{6,}}|{_BLOCK}|{_RUN}"
 
@@ -111,7 +113,9 @@ def findings(spark: SparkSession, n: int = FINDINGS) -> DataFrame:
     base = "regexp_replace(base64(unhex(sha2(cast(i as string), 256))), '=', '')"
     lead = "array('token = \"','secret: ','api_key=','password = \"','TOKEN = \"','access_key: \"','\"secret\": \"','passwd=','Authorization: Bearer ','private key ')[cast(pmod(xxhash64(i, 1), 10) as int)]"
     plain = "array('commit ','sha256: ','checksum ','md5 = ','digest ','revision ','build ','uuid ')[cast(pmod(xxhash64(i, 2), 8) as int)]"
-    strong = f"array({hexa[40]}, {hexa[40]}, {hexa[32]}, {hexa[64]}, upper({hexa[40]}), {base}, substring({base}, 1, 24), concat('AKIA', upper(substring({hexa[40]}, 1, 16))), concat('ghp_', substring({base}, 1, 36)), concat({word(3)}, substring({base}, 1, 6), '!', pmod(i, 97)))[cast(pmod(xxhash64(i, 4), 10) as int)]"
+    letters = f"substring(regexp_replace({base}, '[^A-Za-z]', ''), 1, cast(16 + pmod(i, 20) as int))"
+    block = f"concat('-----BEGIN RSA PRIVATE KEY-----\\n', {base}, '\\n', substring({base}, 5, 30), '=\\n-----END RSA PRIVATE KEY-----')"
+    strong = f"array({hexa[40]}, {hexa[40]}, {hexa[32]}, {hexa[64]}, upper({hexa[40]}), {base}, substring({base}, 1, 24), concat('AKIA', upper(substring({hexa[40]}, 1, 16))), concat('ghp_', substring({base}, 1, 36)), concat({word(3)}, substring({base}, 1, 6), '!', pmod(i, 97)), {letters}, {block})[cast(pmod(xxhash64(i, 4), 12) as int)]"
     weak = f"array({hexa[40]}, {hexa[32]}, {hexa[64]}, {hexa[40]})[cast(pmod(xxhash64(i, 5), 4) as int)]"
     prose = f"concat({word(6)}, {word(7)}, {word(8)})"
     false = f"""array(
@@ -120,11 +124,12 @@ def findings(spark: SparkSession, n: int = FINDINGS) -> DataFrame:
         concat(pmod(xxhash64(i, 9), 10000) + 10000, pmod(xxhash64(i, 10), 10000) + 10000, pmod(xxhash64(i, 11), 10000000) + 10000000),
         concat({word(6)}, '.', pmod(i, 100), '@mail', pmod(i, 10), '.example.com'), concat({lead}, 'your_', {word(7)}, '_here'),
         concat({lead}, 'xxxxxxxxxxxxxxxx'), concat({lead}, '${{', upper({word(6)}), '_KEY}}'), concat({word(6)}, '_', {word(7)}, '_', {word(8)}, '_value'),
-        concat(date_add(date'2020-01-01', cast(pmod(i, 2000) as int)), 'T', lpad(pmod(i, 24), 2, '0'), ':00:00.000'), '====================', '--------------------', concat({word(6)}, '-', {word(7)}, '/', {word(8)})
-    )[cast(pmod(xxhash64(i, 12), 16) as int)]"""
+        concat(date_add(date'2020-01-01', cast(pmod(i, 2000) as int)), 'T', lpad(pmod(i, 24), 2, '0'), ':00:00.000'), '====================', '--------------------', concat({word(6)}, '-', {word(7)}, '/', {word(8)}),
+        concat({word(6)}, initcap({word(7)}), initcap({word(8)}), initcap({word(9)})), concat(initcap({word(6)}), initcap({word(7)}), initcap({word(8)}), initcap({word(9)}), 'Factory')
+    )[cast(pmod(xxhash64(i, 12), 18) as int)]"""
     context = f"concat({word(13)}, ' ', {word(14)}, case when pmod(i, 3) = 0 then '. ' else ' ' end)"
     rows = spark.range(n).selectExpr("id as i").selectExpr(
-        "i", f"{r} % 2 as label", f"{context} as before", f"concat({lead}, {strong}) as good", f"{false} as bad"
+        "i", f"{r} % 2 as label", f"{context} as before", f"case when {strong} like '-----%' then {strong} else concat({lead}, {strong}) end as good", f"{false} as bad"
     )
     return rows.selectExpr("concat(before, case when label = 1 then good else bad end, case when pmod(i, 2) = 0 and rlike(case when label = 1 then good else bad end, '\"') then '\" ' else ' ' end, before) as text", "cast(label as double) as label")
 
@@ -195,16 +200,21 @@ def _scored(docs: DataFrame, trees: list, text: str) -> DataFrame:
 
 
 def scan(docs: DataFrame, trees: list, *, text: str = "text", out: str = "findings") -> DataFrame:
-    """Add ``out``: array of (start, length, kind, score, sha256), start from 0; and keep the candidates for ``redact``."""
+    """Add ``out``: array of (start, length, kind, score, sha256), start from 0."""
+    columns = [c for c in docs.columns if c != out]
     scored = _scored(docs, trees, text)
-
-    def describe(c: Column, i: Column) -> Column:
-        # Length of what lies before: cut pieces 0..i, matches 0..i-1, and the lead of match i.
-        pieces = F.aggregate(F.slice("__secret_s", F.lit(1), i + 1), F.lit(0), lambda a, x: a + F.length(x))
-        matches = F.aggregate(F.slice("__secret_m", F.lit(1), i), F.lit(0), lambda a, x: a + F.length(x))
-        return F.when(c["score"] >= 0.5, F.struct((pieces + matches + c["before"]).alias("start"), F.length(c["value"]).alias("length"), _kind(c["value"]).alias("kind"), F.round(c["score"], 6).alias("score"), F.sha2(c["value"], 256).alias("sha256")))
-
-    return scored.withColumn(out, F.filter(F.transform("__secret_c", describe), lambda x: x.isNotNull()))
+    # Where each candidate's match begins: a running sum over pieces and matches, one step a candidate.
+    begin = F.struct(F.length(F.element_at("__secret_s", 1)).alias("at"), F.array().cast("array<int>").alias("all"))
+    steps = F.arrays_zip(F.transform("__secret_m", F.length).alias("m"), F.transform(F.slice("__secret_s", F.lit(2), F.size("__secret_m")), F.length).alias("s"))
+    run = F.aggregate(steps, begin, lambda a, x: F.struct((a["at"] + x["m"] + x["s"]).alias("at"), F.concat(a["all"], F.array(a["at"])).alias("all")), lambda a: a["all"])
+    scored = scored.withColumn("__secret_b", F.when(F.size("__secret_m") > 0, run))
+
+    def describe(c: Column, at: Column) -> Column:
+        return F.when(c["score"] >= 0.5, F.struct((at + c["before"]).alias("start"), F.length(c["value"]).alias("length"), _kind(c["value"]).alias("kind"), F.round(c["score"], 6).alias("score"), F.sha2(c["value"], 256).alias("sha256")))
+
+    found = F.when(F.size("__secret_m") > 0, F.filter(F.zip_with("__secret_c", "__secret_b", describe), lambda x: x.isNotNull()))
+    empty = F.array().cast("array<struct<start:int,length:int,kind:string,score:double,sha256:string>>")
+    return scored.withColumn("__secret_o", F.coalesce(found, empty)).select(*columns, F.col("__secret_o").alias(out))
 
 
 def redact(docs: DataFrame, trees: list, *, text: str = "text", mask: str = MASK) -> DataFrame:
