@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from recollex.llm import decontaminate, licenses, neighbour_graph, rollups, secrets, sentencepiece_bpe, simhash, token_index, toxicity, url_filter
-from recollex.session import table
+from recollex.session import small_batches, table
 from recollex.storage import new_path
 
 END_ID = 2
@@ -27,6 +27,7 @@ def vocabulary(name: str, path: str | None = None) -> bytes:
 
 def op1_token_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Encode, write and read back every document through the key index."""
+    small_batches(spark)
     docs = table(spark, sf_dir, "documents")
     path = new_path(spark, "token-index")
     token_index.write_dataset(docs, path, vocabulary("byte_bpe_50k.json"), end_id=END_ID)
@@ -35,6 +36,7 @@ def op1_token_index(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Fingerprint and component of every document."""
+    small_batches(spark)
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
 
 
@@ -58,6 +60,7 @@ SELECT doc_id, item_id, n_shared, n_item, n_shared / n_item AS containment FROM
 
 def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Toxicity of every document by a classifier fitted on the labels that aren't held out."""
+    small_batches(spark)
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     model = toxicity.fit(docs, table(spark, sf_dir, "labels"))
     scored = toxicity.score(docs, model)
@@ -72,6 +75,7 @@ def op5_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op6_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Ids and decoded text of every document, as digests."""
+    small_batches(spark)
     return sentencepiece_bpe.digest(table(spark, sf_dir, "documents"), vocabulary("piece_bpe_32k.model"))
 
 
@@ -137,6 +141,7 @@ def op10_token_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
     languages than English are then counted again with a multilingual one, and
     those labelled as of low quality are deleted.
     """
+    small_batches(spark)
     docs = table(spark, sf_dir, "documents")
     blank = F.lit(None).cast("string")
     load = rollups.count_tokens(docs.select("doc_id", "source", "lang", "text"), vocabulary("byte_bpe_50k.json"))

@@ -13,7 +13,9 @@ worker; a unit of any length is encoded whole.
 
 Defined results. Null text counts as empty; empty text has the end id alone, and
 decodes to the empty text. Repeated rows give repeated results, an empty table
-none. Characters outside the vocabulary become byte pieces.
+none. Texts of any length are encoded whole. Characters outside the vocabulary
+become byte pieces. ``encode``, ``decode`` and ``encoded`` keep other columns and
+replace those of their output's names; ``digest`` ignores them.
 """
 
 from __future__ import annotations
@@ -22,9 +24,11 @@ import hashlib
 import re
 import struct
 import zlib
+from array import array
 from collections.abc import Iterator
 from itertools import chain
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -272,6 +276,15 @@ def decode(docs: DataFrame, model: bytes, *, ids: str = "ids", text: str = "deco
     return docs.withColumn(text, run(F.col(ids)))
 
 
+def _digests(codec: PrefixTableCodec, texts: pa.Array) -> Iterator[tuple[list[int], str, str]]:
+    """Ids, and the digests of the ids and of what they decode to, of each text; ids of a document at a time."""
+    names = codec.names.__getitem__
+    for value in texts:
+        ids = codec.encode(value.as_py() or "")
+        ids.append(codec.end_id)
+        yield ids, hashlib.sha256(" ".join(map(names, ids)).encode()).hexdigest(), hashlib.sha256(codec.decode(ids).encode()).hexdigest()
+
+
 def digest(docs: DataFrame, model: bytes, *, key: str = "doc_id", text: str = "text") -> DataFrame:
     """Encode and decode each text; return key, n_tokens, ids_sha256, decoded_sha256.
 
@@ -280,17 +293,35 @@ def digest(docs: DataFrame, model: bytes, *, key: str = "doc_id", text: str = "t
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codec = codec_of(model)
-        names = codec.names.__getitem__
         for batch in batches:
-            counts, id_hashes, text_hashes = [], [], []
-            for value in batch.column(1):
-                ids = codec.encode(value.as_py() or "")
-                ids.append(codec.end_id)
-                counts.append(len(ids))
-                id_hashes.append(hashlib.sha256(" ".join(map(names, ids)).encode()).hexdigest())
-                text_hashes.append(hashlib.sha256(codec.decode(ids).encode()).hexdigest())
+            found = [(len(ids), a, b) for ids, a, b in _digests(codec, batch.column(1))]
+            counts, id_hashes, text_hashes = zip(*found, strict=True) if found else ((), (), ())
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(counts, pa.int64()), pa.array(id_hashes, pa.string()), pa.array(text_hashes, pa.string())], ["key", "n_tokens", "ids_sha256", "decoded_sha256"])
 
     found = docs.select(F.col(key).alias("key"), F.col(text).alias("text"))
     kind = found.schema["key"].dataType.simpleString()
     return found.mapInArrow(run, f"key {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string").withColumnRenamed("key", key)
+
+
+def encoded(docs: DataFrame, model: bytes, *, text: str = "text") -> DataFrame:
+    """``docs`` with ids (array<int>, the end id included), n_tokens, ids_sha256 and decoded_sha256, which replace columns of these names."""
+    from pyspark.sql.types import StructType
+
+    new = StructType.fromDDL("ids array<int>, n_tokens long, ids_sha256 string, decoded_sha256 string")
+    columns = [c for c in docs.columns if c not in new.names]
+    at = columns.index(text)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        codec = codec_of(model)
+        for batch in batches:
+            flat, counts, id_hashes, text_hashes = array("i"), [], [], []
+            for ids, a, b in _digests(codec, batch.column(at)):
+                flat.extend(ids)
+                counts.append(len(ids))
+                id_hashes.append(a)
+                text_hashes.append(b)
+            offsets = pa.array(np.concatenate([[0], np.cumsum(np.array(counts, np.int64))]).astype(np.int32))
+            lists = pa.ListArray.from_arrays(offsets, pa.array(np.frombuffer(flat, np.int32)) if flat else pa.array([], pa.int32()))
+            yield pa.RecordBatch.from_arrays([*batch.columns, lists, pa.array(counts, pa.int64()), pa.array(id_hashes, pa.string()), pa.array(text_hashes, pa.string())], [*columns, *new.names])
+
+    return docs.select(*columns).mapInArrow(run, StructType([*[docs.schema[c] for c in columns], *new.fields]))
