@@ -1,45 +1,63 @@
 """Benchmark decontamination by size-partitioned MinHash containment search, natively.
 
 An item is found in a document if the document has at least ``threshold`` of the
-item's distinct word shingles. MinHash of whole documents can't tell that: a
-short item is a vanishing share of a long document. So only the items are
-sketched: hash function i picks the shingle with the smallest hash, and the share
-of an item's ``HASHES`` picks that a document has estimates the item's containment
-in it. Documents and items are partitioned by size, in powers of two of their
-distinct shingles: a document too small to hold ``threshold`` of an item is never
-tried on it, and an item of no more shingles than hash functions is sketched by all of
-them. Every pair of a document and an item with one pick in common is a candidate,
-so an item with the required containment is missed with a chance of at most
-(1 - threshold) ** ``HASHES``, which is below 1e-11. Candidates are verified by
-exact containment of shingles.
-
-A document's shingles are hashed and met with the items' where it is read, in one
-pass, so its text isn't shuffled; what they share, picks and others, is written,
-candidates are taken from the picks, and the shared shingles of candidates are
-counted. Equal hashes are checked on the words. Items are broadcast while they are below a checked count of
-shingles (``BROADCAST_SHINGLES``) and joined by a shuffle beyond that.
+item's distinct word shingles. MinHash of a whole document can't tell that: a
+short item is a vanishing share of a long document. So items are sketched, each by
+the ``picks`` shingles of its smallest hashes, and documents are asked what they
+have of the sketches.
+
+Search. Items are partitioned by size, in powers of two of their distinct
+shingles. A partition knows its sketch size, the number of picks that a document
+must have, and the number of words below which no document can hold any of its
+items; documents below that never meet it. An item with no more shingles than
+picks is its own sketch, and ``threshold`` of it must be there. Of larger items a
+document that holds ``threshold`` of the shingles has fewer than the asked-for
+picks with a chance below ``MISS``: the picks are drawn without replacement, and
+the binomial tail bounds theirs. Documents' shingles meet the sketches alone, and
+the pairs with enough picks are the candidates.
+
+Verification. Candidate documents are read again, their shingles meet those of
+the items, words against words, and the shared ones of candidate pairs are
+counted. All other documents are done after the search.
+
+A document's shingles are hashed and met with the items' where it is read, so its
+text isn't shuffled. Items and candidates are broadcast while they are below a
+checked count (``BROADCAST_SHINGLES`` item shingles, ``BROADCAST_PAIRS``
+candidates); beyond that they are joined by a shuffle, in which a shingle that
+many documents share is dealt to ``SALT`` tasks by document. Both ways are exact.
 
 Words are the runs of letters and digits of the lower-cased text. Defined
 results. A text of fewer words than a shingle has one shingle, all of its words,
 and so matches texts of just these words alone; a text without words has none
-and never matches. Null text counts as empty. Items and documents with null ids
-are compared like others. Rows that share an id, null included, count as one
-document or item with the shingles of all of them. An empty table on
-either side gives no pairs. Other columns are ignored.
+and never matches. Null text counts as empty. Texts of any length are searched
+whole. Items and documents with null ids are compared like others. Rows that
+share an id, null included, are compared row by row, and a pair of ids is
+returned once, with its greatest containment; repeated rows change nothing. An
+empty table on either side gives no pairs. Other columns are ignored, whatever
+their names.
 """
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from recollex.storage import materialize
+from recollex.storage import materialize, small
 
 WORDS = 5
 THRESHOLD = 0.8
-HASHES = 16
+#: Shingles in the sketch of an item.
+PICKS = 32
+#: Chance to miss an item of just the required containment.
+MISS = 1e-9
 #: Largest number of item shingles that is broadcast: about 150 bytes each.
 BROADCAST_SHINGLES = 400_000
+#: Largest number of candidate pairs that is broadcast: two ids each.
+BROADCAST_PAIRS = 500_000
+#: Tasks that a shingle is dealt to where documents and items are shuffled.
+SALT = 32
 _SEPARATOR = r"[^\p{L}\p{N}]+"
 
 
@@ -65,50 +83,84 @@ def _said(n: int) -> Column:
     return F.array_join(F.slice("w", F.col("at") + 1, n), " ")
 
 
+def _name(key: str, text: str) -> Column:
+    """What tells rows apart: id and text. A struct, so that nulls join."""
+    return F.struct(F.col(key).alias("id"), F.xxhash64(text).alias("mark"))
+
+
+def _keyed(rows: DataFrame, key: str, text: str, name: str) -> DataFrame:
+    return rows.select(_name(key, text).alias(name), F.col(text).alias("text"))
+
+
 def size_class(size: Column) -> Column:
     """Partition by size: the power of two at or below it."""
     return F.floor(F.log2(F.greatest(size, F.lit(1)))).cast("int")
 
 
+def enough(picks: int, threshold: float, miss: float = MISS) -> int:
+    """Picks that a holder of ``threshold`` of a larger item has, but with a chance of ``miss``; at least one."""
+    tail, m = 0.0, 0
+    while m < picks:
+        tail += math.comb(picks, m) * threshold**m * (1 - threshold) ** (picks - m)
+        if tail > miss:
+            break
+        m += 1
+    return max(m, 1)
+
+
 def item_shingles(items: DataFrame, *, key: str = "item_id", text: str = "text", n: int = WORDS) -> DataFrame:
     """(item, size, shingle, said) of the distinct shingles of each item."""
-    texts = items.select(F.struct(F.col(key).alias("id")).alias("item"), F.col(text).alias("text"))  # a struct, so that null ids join
-    found = _shingles(texts, ["item"], n).select("item", "shingle", _said(n).alias("said")).distinct()
+    found = _shingles(_keyed(items, key, text, "item"), ["item"], n).select("item", "shingle", _said(n).alias("said")).distinct()
     return found.join(found.groupBy("item").agg(F.count(F.lit(1)).alias("size")), "item").select("item", "size", "shingle", "said")
 
 
-def with_picks(shingles: DataFrame, hashes: int = HASHES) -> DataFrame:
-    """Add ``pick``: whether one of the item's hash functions picks the shingle (all are, if there are no more)."""
-    least = [F.min(F.xxhash64("shingle", F.lit(i))).alias(f"p{i}") for i in range(hashes)]
-    minima = shingles.groupBy("item").agg(*least)
-    picked = F.lit(False)
-    for i in range(hashes):
-        picked = picked | (F.xxhash64("shingle", F.lit(i)) == F.col(f"p{i}"))
-    return shingles.join(minima, "item").select("item", "size", "shingle", "said", (picked | (F.col("size") <= hashes)).alias("pick"))
+def sketches(shingles: DataFrame, *, picks: int = PICKS, threshold: float = THRESHOLD) -> DataFrame:
+    """(item, class, needed, least, shingle): the picks of each item, with what its partition by size asks of a document."""
+    hashes = shingles.select("item", "size", "shingle").distinct()
+    lowest = hashes.groupBy("item", "size").agg(F.array_sort(F.collect_list(F.struct(F.xxhash64("shingle", F.lit(1)).alias("h"), "shingle"))).alias("all"))  # of one item
+    needed = F.when(F.col("size") <= picks, F.ceil(F.col("size") * threshold)).otherwise(F.lit(enough(picks, threshold)))
+    classed = lowest.select("item", size_class(F.col("size")).alias("class"), needed.cast("int").alias("needed"), F.explode(F.slice("all", 1, picks)["shingle"]).alias("shingle"))
+    return classed.withColumn("least", F.ceil(F.pow(F.lit(2.0), F.col("class")) * threshold).cast("int"))
 
 
-def contained(docs: DataFrame, items: DataFrame, *, key: str = "doc_id", text: str = "text", item_key: str = "item_id", item_text: str = "text", n: int = WORDS, threshold: float = THRESHOLD, hashes: int = HASHES, broadcast_shingles: int = BROADCAST_SHINGLES) -> DataFrame:
-    """(doc_id, item_id, n_shared, n_item, containment) of items found in documents."""
-    sketched = materialize(with_picks(item_shingles(items, key=item_key, text=item_text, n=n), hashes), "item-shingles")
-    own = sketched.withColumn("least", F.ceil(F.col("size") * threshold)).withColumn("class", size_class(F.col("least"))).withColumnsRenamed({"shingle": "s", "said": "t"})
-    rows = _shingles(docs.select(F.struct(F.col(key).alias("id")).alias("doc"), F.col(text).alias("text")), ["doc"], n)
-    # A document's number of words bounds its distinct shingles, and so its size class.
-    fits = (size_class(F.col("words")) >= F.col("class")) & (F.col("words") >= F.col("least"))
-    if sketched.count() <= broadcast_shingles:
-        met = rows.join(F.broadcast(own), (F.col("shingle") == F.col("s")) & fits).filter(_said(n) == F.col("t"))
+def candidates(docs: DataFrame, sketched: DataFrame, *, key: str = "doc_id", text: str = "text", n: int = WORDS, broadcast: bool = True, salt: int = SALT) -> DataFrame:
+    """(doc, item) of documents with enough picks of an item."""
+    rows = _shingles(_keyed(docs, key, text, "doc"), ["doc"], n)
+    picks = sketched.withColumnRenamed("shingle", "pick")
+    same = (F.col("shingle") == F.col("pick")) & (F.col("words") >= F.col("least"))
+    if broadcast:
+        met = rows.join(F.broadcast(picks), same)
+    else:
+        dealt = picks.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(salt - 1))))
+        met = rows.select("doc", "words", "shingle", F.pmod(F.xxhash64("doc"), F.lit(salt)).cast("int").alias("own")).join(dealt, same & (F.col("own") == F.col("part")))
+    held = met.groupBy("doc", "item", "needed", "shingle").agg(F.lit(1).alias("one"))
+    return held.groupBy("doc", "item", "needed").agg(F.count(F.lit(1)).alias("n")).filter("n >= needed").select("doc", "item")
+
+
+def held(docs: DataFrame, items: DataFrame, *, key: str = "doc_id", text: str = "text", item_key: str = "item_id", item_text: str = "text", n: int = WORDS, threshold: float = THRESHOLD, picks: int = PICKS, broadcast_shingles: int = BROADCAST_SHINGLES, broadcast_pairs: int = BROADCAST_PAIRS) -> DataFrame:
+    """(doc, item, size, n_shared) of rows that hold an item, each named by id and text."""
+    own = materialize(item_shingles(items, key=item_key, text=item_text, n=n), "item-shingles")
+    few = own.count() <= broadcast_shingles
+    pairs = materialize(candidates(docs, sketches(own, picks=picks, threshold=threshold), key=key, text=text, n=n, broadcast=few), "candidates")
+    asked = small(pairs, broadcast_pairs)
+    texts = _keyed(docs, key, text, "doc").join(small(pairs.select("doc").distinct(), broadcast_pairs), "doc", "left_semi")
+    rows = _shingles(texts, ["doc"], n)
+    if few:
+        ours = own.withColumnsRenamed({"shingle": "s", "said": "t"})
+        met = rows.join(F.broadcast(ours), F.col("shingle") == F.col("s")).filter(_said(n) == F.col("t")).join(asked, ["doc", "item"], "left_semi")
     else:
-        met = rows.select("doc", "words", "shingle", _said(n).alias("said")).join(own, (F.col("shingle") == F.col("s")) & (F.col("said") == F.col("t")) & fits)
-    hits = materialize(met.select("doc", "item", "size", "least", "s", "pick").distinct(), "shared-shingles")
-    candidates = hits.filter("pick").select("doc", "item").distinct()
-    verified = (
-        hits.join(candidates, ["doc", "item"], "left_semi")
-        .groupBy("doc", "item", "size", "least").agg(F.count(F.lit(1)).alias("n_shared"))
-        .filter("n_shared >= least")
-    )
-    return verified.select(F.col("doc.id").alias(key), F.col("item.id").alias(item_key), "n_shared", F.col("size").alias("n_item"), (F.col("n_shared") / F.col("size")).alias("containment"))
-
-
-def clean(docs: DataFrame, items: DataFrame, *, key: str = "doc_id", **options) -> DataFrame:
-    """``docs`` without those that hold an item. Rows with a null key can't be told apart and stay."""
-    found = contained(docs, items, key=key, **options).select(F.col(key).alias("_held")).distinct()
-    return docs.join(found, F.col(key) == F.col("_held"), "left_anti")
+        met = rows.select("doc", "shingle", _said(n).alias("said")).join(asked.join(own, "item"), ["doc", "shingle", "said"])
+    shared = met.select("doc", "item", "size", "shingle").distinct().groupBy("doc", "item", "size").agg(F.count(F.lit(1)).alias("n_shared"))
+    return shared.filter(F.col("n_shared") >= F.ceil(F.col("size") * threshold))
+
+
+def contained(docs: DataFrame, items: DataFrame, *, key: str = "doc_id", item_key: str = "item_id", **options) -> DataFrame:
+    """(doc_id, item_id, n_shared, n_item, containment) of items found in documents."""
+    best = held(docs, items, key=key, item_key=item_key, **options).groupBy("doc.id", "item.id").agg(F.max(F.struct((F.col("n_shared") / F.col("size")).alias("containment"), "n_shared", "size")).alias("b"))
+    return best.toDF("_doc", "_item", "b").select(F.col("_doc").alias(key), F.col("_item").alias(item_key), "b.n_shared", F.col("b.size").alias("n_item"), "b.containment")
+
+
+def clean(docs: DataFrame, items: DataFrame, *, key: str = "doc_id", text: str = "text", **options) -> DataFrame:
+    """``docs`` without the rows that hold an item."""
+    found = materialize(held(docs, items, key=key, text=text, **options).select(F.col("doc").alias("_held")).distinct(), "leaks")
+    return docs.join(small(found, BROADCAST_PAIRS), _name(key, text) == F.col("_held"), "left_anti")

@@ -40,11 +40,43 @@ def test_short_items_in_long_documents(spark):
     assert {(0, 0), (1, 0), (3, 0), (6, 1)} <= {r[:2] for r in found} and not any(r[0] == 2 for r in found)
 
 
-def test_picks_are_minima_and_small_items_use_all(spark):
+def test_sketches_follow_the_size(spark):
     s = dc.item_shingles(items(spark, [ITEM, " ".join(WORDS[:8])]))
-    picked = dc.with_picks(s, 4).groupBy("item.id").pivot("pick", [True, False]).count().collect()
-    counts = {r["id"]: (r["true"], r["false"] or 0) for r in picked}
-    assert counts[1] == (4, 0) and 1 <= counts[0][0] <= 4 and sum(counts[0]) == 26
+    found = {r["id"]: tuple(r)[1:] for r in dc.sketches(s, picks=10).groupBy("item.id").agg({"shingle": "count", "needed": "max", "class": "max", "least": "max"}).select("id", "count(shingle)", "max(needed)", "max(class)", "max(least)").collect()}
+    assert found == {0: (10, dc.enough(10, 0.8), 4, 13), 1: (4, 4, 2, 4)}
+
+
+def test_enough_bounds_the_chance_of_a_miss():
+    import math
+
+    for picks in (1, 8, 32, 64):
+        m = dc.enough(picks, 0.8)
+        missed = sum(math.comb(picks, i) * 0.8**i * 0.2 ** (picks - i) for i in range(m))
+        assert m >= 1 and (missed <= dc.MISS or m == 1)
+    assert dc.enough(32, 0.8) > 8
+
+
+def test_long_items_by_their_sketches(spark):
+    import random
+
+    r = random.Random(3)
+    vocabulary = [f"v{i}" for i in range(5000)]
+    tests = [" ".join(r.choices(vocabulary, k=n)) for n in (40, 64, 200, 900)]
+    texts = []
+    for t in tests:
+        w = t.split()
+        for share in (1.0, 0.9, 0.82, 0.78, 0.4, 0.1):
+            part = w[: int(len(w) * share)]
+            texts.append(" ".join(r.choices(vocabulary, k=300) + part + r.choices(vocabulary, k=50)))
+    for limit in (400_000, 0):
+        found = rows(dc.contained(docs(spark, texts), items(spark, tests), broadcast_shingles=limit, broadcast_pairs=limit), "doc_id", "item_id", "n_shared", "n_item")
+        assert found == sorted(brute(texts, tests), key=repr) and len(found) >= 10
+
+
+def test_rows_that_share_an_id_are_told_apart(spark):
+    frame = spark.createDataFrame([(7, ITEM), (7, "clean"), (None, ITEM), (None, "clean too"), (8, " ".join(WORDS[:15])), (8, " ".join(WORDS[15:30]))], "doc_id long, text string")
+    assert rows(dc.contained(frame, items(spark, [ITEM, ITEM])), "doc_id", "item_id") == [(7, 0), (7, 1), (None, 0), (None, 1)]
+    assert sorted(r["text"] for r in dc.clean(frame, items(spark, [ITEM])).collect()) == sorted(["clean", "clean too", " ".join(WORDS[:15]), " ".join(WORDS[15:30])])
 
 
 def test_odd_rows(spark):

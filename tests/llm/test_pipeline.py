@@ -41,6 +41,9 @@ def test_stages_match_plain_versions(spark, sf_dir):
     assert masked.filter("n_chars <> length(text)").count() == 0
 
     last = stages["sentencepiece"](spark, masked, sf_dir)
+    assert last.columns == [*table.columns, "ids", "n_tokens", "ids_sha256", "decoded_sha256"]
+    assert last.filter("size(ids) <> n_tokens or ids_sha256 <> sha2(array_join(ids, ' '), 256)").count() == 0
+    assert last.select("doc_id", "text").exceptAll(masked.select("doc_id", "text")).count() == 0
     want = {r["doc_id"]: expected(r["text"]) for r in masked.collect()}
     assert {r["doc_id"]: (r["n_tokens"], r["ids_sha256"], r["decoded_sha256"]) for r in last.collect()} == want
     assert {r["doc_id"] for r in corpus_pipeline.run(spark, sf_dir).select("doc_id").collect()} == set(want)
@@ -57,6 +60,14 @@ def test_odd_rows_pass_through(spark, sf_dir):
         assert stage(spark, frame.limit(0), sf_dir).count() == 0
 
 
+def test_rows_that_clash_on_an_id_are_kept_apart(spark, sf_dir):
+    one, two = "alpha beta gamma delta epsilon zeta eta theta iota kappa", "lorem ipsum dolor sit amet consectetur adipiscing elit sed do"
+    frame = docs(spark, []).unionByName(spark.createDataFrame([(1, one, "en", "s", 1), (1, two, "en", "s", 1), (2, one, "en", "s", 1), (3, two, "en", "s", 1), (None, two, "en", "s", 1), (None, one + " lambda mu", "en", "s", 1), (1, one, "en", "s", 0)], docs(spark, []).schema))
+    kept = dict(corpus_pipeline.STAGES)["near_duplicates"](spark, frame, sf_dir).collect()
+    apart = sh.near_duplicates(frame.filter("doc_id is null")).select("fingerprint").distinct().count()
+    assert apart == 2 and {(1, one, 0), (1, two, 1)} <= {(r["doc_id"], r["text"], r["n_chars"]) for r in kept} and len(kept) <= 3
+
+
 def test_links_are_those_of_the_operator(spark, sf_dir):
     frame = spark.read.parquet(f"{sf_dir}/documents.parquet")
     kept = dict(corpus_pipeline.STAGES)["near_duplicates"](spark, frame, sf_dir).count()
