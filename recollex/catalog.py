@@ -8,7 +8,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES: tuple[str, ...] = ("plans.event_queries", "plans.search_queries", "plans.graph_queries", "plans.scalar_queries", "plans.memory_queries", "plans.stream_queries", "plans.agent_queries", "plans.more_queries")
+MODULES: tuple[str, ...] = ("plans.event_queries", "plans.search_queries", "plans.graph_queries", "plans.scalar_queries", "plans.memory_queries", "plans.stream_queries", "plans.agent_queries", "plans.more_queries", "plans.twins", "plans.store_queries")
 
 
 def _merged(attribute: str) -> dict:

@@ -118,3 +118,37 @@ def type_weight(kind: Column) -> Column:
     for name, weight in TYPE_WEIGHTS.items():
         out = F.when(kind == name, weight).otherwise(out)
     return out
+
+
+def half(a: Column) -> Column:
+    """Each number as the nearest 16-bit float (ties to even), kept as a double; beyond the largest it is infinite."""
+
+    def one(x: Column) -> Column:
+        x = x.cast("double")
+        step = F.pow(F.lit(2.0), F.greatest(F.floor(F.log2(F.abs(x))), F.lit(-14)) - 10)
+        near = F.bround(x / step, 0) * step
+        return F.when(x == 0, F.lit(0.0)).when(F.abs(near) > 65504, F.when(x > 0, float("inf")).otherwise(float("-inf"))).otherwise(near)
+
+    return F.transform(a, one)
+
+
+def pack_floats(a: Column) -> Column:
+    """A vector as little-endian 32-bit floats."""
+    import numpy as np
+
+    @F.pandas_udf("binary")
+    def run(rows):
+        return rows.map(lambda v: None if v is None else np.asarray(v, "<f4").tobytes())
+
+    return run(a)
+
+
+def unpack_floats(a: Column) -> Column:
+    """The vector of little-endian 32-bit floats; null if the bytes aren't whole floats."""
+    import numpy as np
+
+    @F.pandas_udf("array<float>")
+    def run(rows):
+        return rows.map(lambda v: None if v is None or len(v) % 4 else np.frombuffer(v, "<f4"))
+
+    return run(a)

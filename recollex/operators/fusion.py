@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from recollex.functions.scores import type_weight
+from recollex.operators.ordering import with_positions
 
 K = 60.0
 
@@ -53,14 +54,14 @@ def serial_position(rank: Column) -> Column:
 
 
 def serial_order(blocks: DataFrame, *, rank: str = "rank") -> DataFrame:
-    return blocks.withColumn("position", F.row_number().over(Window.orderBy(serial_position(F.col(rank)), rank)))
+    return with_positions(blocks, serial_position(F.col(rank)), rank).withColumn("position", F.col("position").cast("int"))
 
 
 def cache_stable_order(blocks: DataFrame, previous: list[int], *, rank: str = "rank", key: str = "id") -> DataFrame:
     """Blocks used before come first, in the order they had then; the rest in serial order."""
     known = F.array_position(F.array(*[F.lit(x).cast("long") for x in previous]) if previous else F.array().cast("array<long>"), F.col(key).cast("long"))
     place = F.when(known > 0, F.lit(-1)).otherwise(serial_position(F.col(rank)))
-    return blocks.withColumn("position", F.row_number().over(Window.orderBy(place, F.when(known > 0, known).otherwise(F.lit(0)), rank)))
+    return with_positions(blocks, place, F.when(known > 0, known).otherwise(F.lit(0)), rank).withColumn("position", F.col("position").cast("int"))
 
 
 def relative(hits: DataFrame, *, group: list[str] | None = None) -> DataFrame:
@@ -70,8 +71,11 @@ def relative(hits: DataFrame, *, group: list[str] | None = None) -> DataFrame:
 
 
 def take_while_fits(hits: DataFrame, budget: int, *, cost: str = "tokens", order: list | None = None, group: list[str] | None = None) -> DataFrame:
-    """Hits in order until one would exceed the budget."""
-    over = Window.partitionBy(*(group or [F.lit(0)])).orderBy(*(order or [F.desc("score"), "id"])).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    """Hits in order until one would exceed the budget, for each group or all in one."""
+    order = order or [F.desc("score"), "id"]
+    if not group:
+        return with_positions(hits, *order, position="_position", total=cost).filter(F.col("used") <= budget).drop("_position")
+    over = Window.partitionBy(*group).orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
     return hits.withColumn("used", F.sum(cost).over(over)).filter(F.col("used") <= budget)
 
 

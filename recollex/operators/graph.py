@@ -7,7 +7,9 @@ round. Bounds on depth or rounds are parameters.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from itertools import count
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from recollex.storage import Scratch
@@ -77,29 +79,38 @@ def traverse(edges: DataFrame, start: int, max_depth: int, top: int, decay: floa
     return seen.filter("depth > 0")
 
 
-def _chain(spark: SparkSession, view: str, uri: str, max_depth: int, where: str, here: str, there: str) -> DataFrame:
-    return spark.sql(
-        f"""WITH RECURSIVE walk(uri, depth, path) AS (
-          SELECT uri, 0, array(uri) FROM (SELECT DISTINCT {here} AS uri FROM {view} UNION SELECT DISTINCT {there} FROM {view}) WHERE uri = ? AND ? > 0
-          UNION ALL
-          SELECT e.{there}, w.depth + 1, concat(w.path, array(e.{there})) FROM walk w JOIN {view} e ON e.{here} = w.uri
-          WHERE w.depth + 1 < ? AND NOT array_contains(w.path, e.{there}) AND {where})
-        SELECT uri, min(depth) AS depth FROM walk GROUP BY uri""",
-        args=[uri, max_depth, max_depth],
-    )
+def _walk(steps: DataFrame, uri: str, max_depth: int) -> DataFrame:
+    """(uri, depth) of what (here, there) steps reach from ``uri``: each uri once, at its least depth, below ``max_depth``."""
+    scratch = Scratch(steps.sparkSession, "walk")
+    steps = scratch.write(steps.distinct(), "steps")
+    known = steps.select(F.col("here").alias("uri")).union(steps.select("there")).filter(F.col("uri") == uri)
+    seen = scratch.write(known.distinct().withColumn("depth", F.lit(0)).filter(F.lit(max_depth) > 0), "seen0")
+    for depth in range(1, max_depth):
+        front = seen.filter(F.col("depth") == depth - 1).select(F.col("uri").alias("here"))
+        new = front.join(steps, "here").select(F.col("there").alias("uri")).distinct().join(seen.select("uri"), "uri", "left_anti")
+        after = scratch.write(seen.unionByName(new.withColumn("depth", F.lit(depth))), f"seen{depth}")
+        scratch.drop(f"seen{depth - 1}")
+        seen = after
+        if seen.filter(F.col("depth") == depth).isEmpty():
+            break
+    return seen.orderBy("depth", "uri")
 
 
 def why(edges: DataFrame, uri: str, max_depth: int, rels: tuple[str, ...] = CAUSAL) -> DataFrame:
-    """(uri, depth): what led to ``uri``, against causal edges; depth stays below ``max_depth``. Unknown uris give nothing."""
-    edges.createOrReplaceTempView("_why_edges")
-    listed = ", ".join("'" + r.replace("'", "''") + "'" for r in rels)
-    return _chain(edges.sparkSession, "_why_edges", uri, max_depth, f"e.rel IN ({listed})", "to_uri", "from_uri").orderBy("depth", "uri")
+    """(uri, depth): what led to ``uri``, against causal edges; depth stays below ``max_depth``. Unknown uris give nothing.
+
+    A frontier a round, without those seen before; so the work is that of the
+    edges reached, however many paths there are.
+    """
+    causal = edges.filter(F.col("rel").isin(*rels))
+    known = edges.select(F.col("from_uri").alias("u")).union(edges.select("to_uri")).filter(F.col("u") == uri).limit(1)
+    alone = known.select(F.col("u").alias("here"), F.col("u").alias("there"))  # a known uri without causal edges is its own answer
+    return _walk(causal.select(F.col("to_uri").alias("here"), F.col("from_uri").alias("there")).unionByName(alone), uri, max_depth)
 
 
 def expand(edges: DataFrame, uri: str, max_depth: int) -> DataFrame:
     """(uri, depth): what ``uri`` leads to, along all edges."""
-    edges.createOrReplaceTempView("_expand_edges")
-    return _chain(edges.sparkSession, "_expand_edges", uri, max_depth, "true", "from_uri", "to_uri").orderBy("depth", "uri")
+    return _walk(edges.select(F.col("from_uri").alias("here"), F.col("to_uri").alias("there")), uri, max_depth)
 
 
 def dot(edges: DataFrame, reached: DataFrame) -> DataFrame:
@@ -200,13 +211,13 @@ def communities(edges: DataFrame, rounds: int = 10) -> DataFrame:
     return labels
 
 
-def components(edges: DataFrame, *, rounds: int = 60) -> DataFrame:
-    """(id, component): smallest id that can be reached in either direction, by least labels and shortcuts."""
+def components(edges: DataFrame) -> DataFrame:
+    """(id, component): smallest id that can be reached in either direction, by least labels and shortcuts, until none changes."""
     scratch = Scratch(edges.sparkSession, "parts")
     both = edges.select("from_id", "to_id").union(edges.select("to_id", "from_id")).distinct()
     both = scratch.write(both, "edges")
     labels = scratch.write(both.groupBy(F.col("from_id").alias("id")).agg(F.least(F.min("to_id"), F.first("from_id")).alias("component")), "labels0")
-    for number in range(1, rounds + 1):
+    for number in count(1):  # a label only ever shrinks, so this ends
         near = both.join(labels, F.col("to_id") == F.col("id")).groupBy(F.col("from_id").alias("id")).agg(F.min("component").alias("near"))
         jump = labels.select(F.col("id").alias("component"), F.col("component").alias("far"))
         after = labels.join(near, "id", "left").join(jump, "component", "left").select("id", F.least("component", F.coalesce("near", "component"), F.coalesce("far", "component")).alias("component"))
@@ -219,15 +230,41 @@ def components(edges: DataFrame, *, rounds: int = 60) -> DataFrame:
     return labels
 
 
-def supersession(edges: DataFrame, *, most: int = 50) -> DataFrame:
-    """(id, current): the end of each chain of replacements (from_id -> to_id); chains stop before a repeat."""
-    edges.createOrReplaceTempView("_supersedes")
-    return edges.sparkSession.sql(
-        f"""WITH RECURSIVE walk(id, current, path, n) AS (
-          SELECT from_id, to_id, array(from_id, to_id), 1 FROM _supersedes
-          UNION ALL SELECT w.id, e.to_id, concat(w.path, array(e.to_id)), w.n + 1 FROM walk w JOIN _supersedes e ON e.from_id = w.current WHERE NOT array_contains(w.path, e.to_id) AND w.n < {most})
-        SELECT id, max_by(current, n) AS current FROM walk GROUP BY id"""
-    )
+def supersession(edges: DataFrame) -> DataFrame:
+    """(id, current): the end of each chain of replacements (from_id -> to_id), of any length.
+
+    One replaced several times counts as replaced by the greatest id. A chain that
+    runs into a circle stops before it would come to an id again. Chains are
+    followed by doubling: a round joins each place with what lies as far ahead
+    again, so rounds grow with the logarithm of the number of chains' links. Chains
+    that never come to an end stand on their circle after so many steps; they are
+    doubled again up to its first member, and end at the member before that.
+    """
+    scratch = Scratch(edges.sparkSession, "chains")
+    steps = scratch.write(edges.filter("from_id is not null and to_id is not null").groupBy(F.col("from_id").alias("id")).agg(F.max("to_id").alias("next")), "steps")
+    n = steps.count()
+    # ahead: where each id is after 2 ** round steps, staying at an end.
+    ahead = scratch.write(steps.select("id", F.col("next").alias("at")), "ahead0")
+    rounds = max(n, 1).bit_length()
+    for number in range(1, rounds + 1):
+        more = ahead.select(F.col("id").alias("at"), F.col("at").alias("far"))
+        ahead = scratch.write(ahead.join(more, "at", "left").select("id", F.coalesce("far", "at").alias("at")), f"ahead{number}")
+        scratch.drop(f"ahead{number - 1}")
+    # Whoever is still on a step after more steps than there are is on a circle, and so is where it stands.
+    lost = ahead.join(steps.select(F.col("id").alias("at")), "at", "left_semi")
+    ended = ahead.join(steps.select(F.col("id").alias("at")), "at", "left_anti").select("id", F.col("at").alias("current"))
+    if lost.isEmpty():
+        return ended
+    ring = scratch.write(lost.select(F.col("at").alias("id")).distinct(), "ring")
+    before = steps.join(ring, "id", "left_semi").select(F.col("next").alias("entry"), F.col("id").alias("current"))
+    # Where each lost chain enters its circle: doubled again, now staying at the first member.
+    own = steps.join(lost.select("id"), "id", "left_semi").join(ring.withColumn("member", F.lit(True)), "id", "left")
+    entry = scratch.write(own.select("id", F.when(F.col("member"), F.col("id")).otherwise(F.col("next")).alias("entry")), "entry0")
+    for number in range(1, rounds + 1):
+        far = entry.select(F.col("id").alias("entry"), F.col("entry").alias("far"))
+        entry = scratch.write(entry.join(far, "entry").select("id", F.col("far").alias("entry")), f"entry{number}")
+        scratch.drop(f"entry{number - 1}")
+    return ended.unionByName(entry.join(before, "entry").select("id", "current"))
 
 
 def entity_graph(docs: DataFrame, *, text: str = "text") -> DataFrame:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from dataclasses import dataclass
 
 import pandas as pd
@@ -101,32 +102,45 @@ def evolve(new: DataFrame, known: DataFrame, low: float, high: float, *, window:
     return pairs.filter(F.col("j").between(low, high)).groupBy("id").agg(F.max_by("old", F.struct("j", (-F.col("old")).alias("o"))).alias("replaces"))
 
 
-def similar_pairs(rows: DataFrame, threshold: float) -> DataFrame:
-    """(a, b): texts whose token sets overlap by the threshold, by prefix filter.
+def text_groups(rows: DataFrame) -> DataFrame:
+    """(id, rep): texts with the same set of tokens, under the smallest id of them; texts without tokens are in no group."""
+    sets = rows.select("id", F.array_sort(text.long_tokens(F.col("text"))).alias("t")).filter(F.size("t") > 0).select("id", F.xxhash64("t").alias("h"), F.sha2(F.array_join("t", " "), 256).alias("s"))
+    first = sets.groupBy("h", "s").agg(F.min("id").alias("rep"))
+    return sets.join(first, ["h", "s"]).select("id", "rep")
+
 
-    Tokens are ordered from rare to common. Two sets of n and m tokens that
-    overlap enough share one of the first n - ceil(threshold * n) + 1; only
-    these are joined, so common tokens don't bring rows together, and sizes
-    differ by the threshold at most. What meets is compared whole.
+def similar_pairs(rows: DataFrame, threshold: float) -> DataFrame:
+    """(a, b): groups of texts (``text_groups``) whose token sets overlap by the threshold, by prefix filter.
+
+    A group stands for all its copies, so copies make no pairs. Tokens are ordered
+    from rare to common. Two sets of n and m tokens that overlap enough share one
+    of the first n - ceil(threshold * n) + 1; only these are joined, so common
+    tokens don't bring rows together. Sizes differ by the threshold at most: a set
+    is met in its own class of sizes and the next, whose steps are the threshold.
+    What meets is compared whole.
     """
-    sets = rows.select("id", text.long_tokens(F.col("text")).alias("t")).filter(F.size("t") > 0)
+    sets = rows.select("id", F.array_sort(text.long_tokens(F.col("text"))).alias("t")).filter(F.size("t") > 0)
+    sets = materialize(sets.groupBy("t").agg(F.min("id").alias("id")).select("id", "t"), "token-sets")
     one = sets.select("id", F.explode("t").alias("token"))
     often = one.groupBy("token").agg(F.count(F.lit(1)).alias("n"))
-    # Read three times from here on.
     ordered = one.join(often, "token").groupBy("id").agg(F.transform(F.array_sort(F.collect_list(F.struct("n", "token"))), lambda x: x["token"]).alias("t"))
-    ordered = materialize(ordered, "ordered-tokens")
+    ordered = materialize(ordered, "ordered-tokens")  # read three times from here on
     head = ordered.select("id", F.size("t").alias("size"), F.explode(F.slice("t", F.lit(1), (F.size("t") - F.ceil(F.size("t") * threshold - 1e-9) + 1).cast("int"))).alias("token"))
-    other = head.select(F.col("id").alias("b"), F.col("size").alias("m"), "token")
-    met = head.withColumnRenamed("id", "a").join(other, "token").filter((F.col("a") < F.col("b")) & (F.col("size") >= threshold * F.col("m")) & (F.col("m") >= threshold * F.col("size"))).select("a", "b").distinct()
+    head = head.withColumn("step", F.floor(F.log("size") / -math.log(threshold) + 1e-9) if threshold < 1 else F.col("size"))
+    other = head.select(F.col("id").alias("b"), F.col("size").alias("m"), "token", F.explode(F.array(F.col("step") - 1, F.col("step"), F.col("step") + 1)).alias("step"))
+    met = head.withColumnRenamed("id", "a").join(other, ["token", "step"]).filter((F.col("a") < F.col("b")) & (F.col("size") >= threshold * F.col("m")) & (F.col("m") >= threshold * F.col("size"))).select("a", "b").distinct()
     left, right = ordered.select(F.col("id").alias("a"), F.col("t").alias("ta")), ordered.select(F.col("id").alias("b"), F.col("t").alias("tb"))
     return met.join(left, "a").join(right, "b").filter(text.jaccard(F.col("ta"), F.col("tb")) >= threshold).select("a", "b")
 
 
 def compact(rows: DataFrame, threshold: float) -> DataFrame:
-    """(id, survivor): clusters of similar texts and the greatest id of each."""
+    """(id, survivor): clusters of similar texts and the greatest id of each; texts like no other are left out."""
+    groups = materialize(text_groups(rows), "text-groups")
     pairs = similar_pairs(rows, threshold).select(F.col("a").alias("from_id"), F.col("b").alias("to_id"))
-    parts = graph.components(pairs)
-    return parts.join(parts.groupBy("component").agg(F.max("id").alias("survivor")), "component").select("id", "survivor")
+    parts = graph.components(pairs).select(F.col("id").alias("rep"), "component")
+    placed = groups.join(parts, "rep", "left").select("id", F.coalesce("component", "rep").alias("component"))
+    best = placed.groupBy("component").agg(F.max("id").alias("survivor"), F.count(F.lit(1)).alias("n")).filter("n > 1")
+    return placed.join(best, "component").select("id", "survivor")
 
 
 def mmr(hits: DataFrame, k: int, *, weight: float = 0.72) -> DataFrame:

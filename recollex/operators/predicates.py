@@ -153,16 +153,22 @@ def timeline_between(docs: DataFrame, start: int, end: int, limit: int) -> DataF
     return rows.filter(F.col("event_ts").between(start, end)).orderBy(F.desc("event_ts"), F.desc("id")).limit(limit)
 
 
-NOISE_WORDS = ["telepathy", "task-notification", "status:", "[log]", "daily briefing"]
-
-
-def is_noise(text: Column, title: Column) -> Column:
-    """Hits that tell nothing: chatter by its words, or less than 40 characters."""
-    low = F.lower(F.concat_ws(" ", title, text))
-    said = F.lit(False)
-    for word in NOISE_WORDS:
-        said = said | F.contains(low, F.lit(word))
-    return said | (F.length(F.trim(F.coalesce(text, F.lit("")))) < 40)
+# Marks of texts that carry no knowledge.
+NOISE_IN_TEXT = ["[telepathy]", "<task-notification>", "tool-use-id", '"models_loaded"', '"desktop_procs"', '"cli_sessions"']
+NOISE_IN_TITLE = ["[telepathy]", "sched_briefing"]
+NOISE_ENDING = ".log"
+NOISE_START = "Agent [briefing]"
+NOISE_BYTES = 40
+
+
+def is_noise(text: Column, title: Column, uri: Column | None = None) -> Column:
+    """Hits that tell nothing: status messages, notifications, logs and briefings by their marks, or less than ``NOISE_BYTES`` bytes once trimmed."""
+    text, title, uri = (F.coalesce(c, F.lit("")) for c in (text, title, F.lit("") if uri is None else uri))
+    said = F.startswith(text, F.lit(NOISE_START)) | F.endswith(title, F.lit(NOISE_ENDING)) | F.endswith(uri, F.lit(NOISE_ENDING))
+    for column, marks in ((text, NOISE_IN_TEXT), (title, NOISE_IN_TITLE)):
+        for mark in marks:
+            said = said | F.contains(column, F.lit(mark))
+    return said | (F.octet_length(F.regexp_replace(text, r"(?U)^\s+|\s+$", "")) < NOISE_BYTES)
 
 
 def noise_features(text: Column) -> Column:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -10,6 +11,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from recollex.functions import scores
+from recollex.operators.ordering import with_positions
 from recollex.storage import materialize, new_path
 
 
@@ -131,13 +133,17 @@ def codebook(vectors: DataFrame) -> DataFrame:
     return vectors.select(F.posexplode("embedding").alias("dim", "x")).groupBy("dim").agg(F.min("x").cast("double").alias("low"), F.max("x").cast("double").alias("high"))
 
 
-def rotation(dim: int, seed: int) -> np.ndarray:
-    q, r = np.linalg.qr(np.random.default_rng(seed).standard_normal((dim, dim)))
-    return q * np.sign(np.diag(r))
+def rotation(dim: int, seed: int = 7) -> np.ndarray:
+    """An orthogonal matrix: signs by a rule of the seed, then the Walsh-Hadamard matrix, over the next power of two."""
+    size = 1 << max(dim - 1, 0).bit_length()
+    i = np.arange(size)
+    signs = np.where((i * 2654435761 * (2 * seed + 1) >> 16) & 1, -1.0, 1.0)
+    hadamard = np.where(np.bitwise_count(i[:, None] & i[None, :]) % 2, -1.0, 1.0)
+    return (hadamard * signs / math.sqrt(size))[:, :dim]
 
 
 def rotated_signs(vectors: DataFrame, dim: int, seed: int = 7) -> DataFrame:
-    """(id, bits, norm): signs after a random rotation, packed to bytes."""
+    """(id, bits, norm): signs after the rotation, packed to bytes."""
     turn = rotation(dim, seed)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -153,17 +159,34 @@ def rotated_knn(vectors: DataFrame, query: list[float], k: int, *, pool: int = 1
     """Estimate from rotated signs, then the exact distance of the best ``pool``."""
     dim = len(query)
     turned = rotation(dim, seed) @ np.array(query, float)
+    size = len(turned)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             raw = np.frombuffer(b"".join(batch["bits"]), np.uint8).reshape(len(batch), -1)
-            signs = np.unpackbits(raw, axis=1)[:, :dim].astype(np.float64) * 2 - 1
-            yield pd.DataFrame({"id": batch["id"], "estimate": signs @ turned * batch["norm"].to_numpy() / np.sqrt(dim)})
+            signs = np.unpackbits(raw, axis=1)[:, :size].astype(np.float64) * 2 - 1
+            yield pd.DataFrame({"id": batch["id"], "estimate": signs @ turned * batch["norm"].to_numpy() / np.sqrt(size)})
 
-    near = rotated_signs(vectors, dim, seed).mapInPandas(run, "id long, estimate double").orderBy(F.desc("estimate"), "id").limit(pool).select("id")
+    near = rotated_signs(vectors, dim, seed).mapInPandas(run, "id long, estimate double").orderBy(F.desc(F.round("estimate", 9)), "id").limit(pool).select("id")
     return knn(vectors.join(F.broadcast(near), "id"), query, k)
 
 
+def rotated_pairs(left: DataFrame, right: DataFrame, dim: int, seed: int = 7) -> DataFrame:
+    """(a, b, estimate): the angle's cosine between vectors with the same ``pair``, told from rotated signs of both alone.
+
+    Half of the turn that the share of differing signs makes; left and right: (pair, id, embedding).
+    """
+    size = len(rotation(dim, seed))
+    own = left.join(rotated_signs(left, dim, seed).select("id", "bits"), "id").select("pair", F.col("id").alias("a"), F.col("bits").alias("x"))
+    other = right.join(rotated_signs(right, dim, seed).select("id", "bits"), "id").select("pair", F.col("id").alias("b"), F.col("bits").alias("y"))
+
+    @F.pandas_udf("int")
+    def differ(x: pd.Series, y: pd.Series) -> pd.Series:
+        return pd.Series([int(np.bitwise_count(np.frombuffer(p, np.uint8) ^ np.frombuffer(q, np.uint8)).sum()) for p, q in zip(x, y, strict=True)], dtype="int32")
+
+    return own.join(other, "pair").select("a", "b", F.cos(F.lit(math.pi) * differ("x", "y") / size).alias("estimate"))
+
+
 def route(target_recall: float) -> str:
     """Search that reaches a recall: the cascade, a graph, or signs first."""
     return "cascade" if target_recall >= 0.98 else "graph" if target_recall >= 0.94 else "signs"
@@ -256,11 +279,10 @@ def bucket_sums(doc_tokens: DataFrame, dim: int, *, planes: int = 3, seed: int =
 
 
 def conformal_quantile(residuals: DataFrame, alpha: float) -> DataFrame:
-    """(q,): the residual that 1 - alpha of new ones won't exceed. Sorted in one task: residuals are a calibration set."""
-    n = residuals.agg(F.count(F.lit(1)).alias("n"))
-    ranked = residuals.withColumn("r", F.row_number().over(Window.orderBy("residual"))).crossJoin(F.broadcast(n))
-    place = F.greatest(F.ceil(F.least(F.lit(1 - alpha) * (1 + 1 / F.col("n")), F.lit(1.0)) * F.col("n") - 1e-9), F.lit(1))
-    return ranked.filter(F.col("r") == place).select(F.col("residual").alias("q"))
+    """(q,): the residual that 1 - alpha of new ones won't exceed."""
+    n = residuals.count()
+    place = max(math.ceil(min((1 - alpha) * (1 + 1 / n), 1.0) * n - 1e-9), 1) if n else 0
+    return with_positions(residuals, "residual", position="r").filter(F.col("r") == place).select(F.col("residual").alias("q"))
 
 
 def needs_exact(q: float, target_recall: float) -> bool:

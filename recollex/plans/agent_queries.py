@@ -139,7 +139,7 @@ ORACLE_SQL = {
     "xt1_search_lex": f"WITH {DOCS}, {_bm25(_ANY_TERMS, 1, 10)} SELECT id, round(score, 6) AS score FROM hits",
     "xt1_search_vec": f"WITH {VECTORS}, {_Q} SELECT id, round(1 / (1 + d), 6) AS score FROM (SELECT id, {_COS} AS d FROM vectors, q) ORDER BY round(d, 9), id LIMIT 10",
     "gr15_relate_triples": f"WITH {EVENTS} SELECT agent AS from_entity, session_id AS to_entity, kind AS rel, round(max(least(greatest(CASE WHEN event_id % 2 = 0 THEN event_id % 15 / 10.0::DOUBLE ELSE 0.5 END, 0.1), 1.0)), 6) AS weight FROM ev GROUP BY 1, 2, 3",
-    "sl14_rank_hits": "SELECT doc_id AS id, round(doc_id % 41 / 41.0::DOUBLE + CASE doc_id % 3 WHEN 0 THEN 0.1 WHEN 1 THEN 0.03 ELSE 0.05 END, 6) AS score FROM documents WHERE doc_id < 300",
+    "sl14_rank_hits": "SELECT doc_id AS id, round(doc_id % 41 / 41.0::DOUBLE + CASE doc_id % 3 WHEN 0 THEN 0.1 WHEN 1 THEN 0.03 ELSE 0.05 END, 6) AS score FROM documents",
     "cx6_session_log": "SELECT conv_id::VARCHAR AS session_id, count(*)::INT AS n, sha256(string_agg(role || ': ' || text, chr(10) ORDER BY turn, role, text)) AS h FROM conversations GROUP BY conv_id",
     "mm9_queue": "WITH q AS (SELECT event_id AS id, CASE WHEN event_id % 3 = 0 THEN 'done' ELSE 'pending' END AS status, (event_id % 4)::INT AS attempts FROM events), b AS (SELECT id, id % 2 = 0 AS ok FROM q WHERE status = 'pending' AND attempts < 3 ORDER BY id LIMIT 50) SELECT id, CASE WHEN ok THEN 'done' ELSE status END AS status, attempts + coalesce((NOT ok)::INT, 0) AS attempts FROM q LEFT JOIN b USING (id)",
     "mm12_promotions": f"WITH {EVENTS}, p AS (SELECT event_id % 400 AS chunk_id, arg_max(kind, ts * 100000 + event_id) AS k FROM ev GROUP BY 1) SELECT chunk_id, 'memory' AS kind FROM p WHERE k = 'view'",

@@ -32,7 +32,7 @@ def _writers(s, d):
 
 
 def _snapshots(s, d):
-    x = docs(s, d).select("uri", "title", F.substring("text", 1, 20).alias("text"), "meta", F.sha2("text", 256).alias("hash"), "id")
+    x = docs(s, d).select("uri", "title", "text", "meta", F.sha2("text", 256).alias("hash"), "id")
     a = x.filter("id % 3 <> 0").withColumn("meta", F.when(F.col("id") % 2 == 0, F.col("meta"))).drop("id")
     b = x.filter("id % 4 <> 0").withColumn("title", F.lit("other")).drop("id")
     return sync.merge_snapshots(a, b)
@@ -105,6 +105,7 @@ QUERIES = {
     "jn11_without_vector": lambda s, d: docs(s, d).join(vectors(s, d), "id", "left_anti").select("id"),
     "jn14_semi_scope": lambda s, d: events(s, d).join(docs(s, d).filter("lang = 'fr'").select(F.concat(F.lit("mem://"), F.col("id").cast("string")).alias("uri")), "uri", "left_semi").select("event_id"),
     "jn16_similar_pairs": lambda s, d: mm.similar_pairs(docs(s, d), 0.8),
+    "jn16_text_groups": lambda s, d: mm.text_groups(docs(s, d)),
     "mm8_compact": lambda s, d: mm.compact(docs(s, d), 0.8),
     "mm7_evolve": lambda s, d: mm.evolve(docs(s, d).filter("id >= 64"), docs(s, d).filter("id < 64"), 0.5, 1.1),
     "mm5_recall": lambda s, d: _recall(s, d),
@@ -174,12 +175,12 @@ def _extract(s, d):
     return kept.select("id", tx.memory_type(F.col("text"))[0].alias("memory_type"))
 
 
-_CAND = "cand AS (SELECT doc_id % 8 AS qid, doc_id AS id, text FROM documents WHERE doc_id < 400)"
+_CAND = "cand AS (SELECT doc_id // 50 AS qid, doc_id AS id, text FROM documents)"
 _LONG = "list_distinct(list_filter(regexp_split_to_array(lower(text), '[^\\p{L}\\p{N}]+'), lambda t: length(t) > 2))"
 _JAC = "CASE WHEN len(a.w) + len(b.w) = 0 THEN 0 ELSE len(list_intersect(a.w, b.w)) / (len(a.w) + len(b.w) - len(list_intersect(a.w, b.w))) END"
 _PAIR = f"t AS (SELECT doc_id AS id, {_LONG} AS w FROM documents), pairs AS (SELECT a.id AS a, b.id AS b FROM t a JOIN t b ON a.id < b.id AND least(len(a.w), len(b.w)) >= 0.8 * greatest(len(a.w), len(b.w)) WHERE len(a.w) > 0 AND {_JAC} >= 0.8)"
 _FIRST = "first AS (SELECT sha256(text) AS hash, min(doc_id) AS id FROM documents GROUP BY text)"
-_GOLD = "gold AS (SELECT doc_id AS qid FROM documents WHERE doc_id < 200), m AS (SELECT qid, i + 1 AS rank, (qid % 9 = i)::INT AS hit FROM gold, (SELECT unnest(range(0, 7)) AS i))"
+_GOLD = "gold AS (SELECT doc_id AS qid FROM documents), m AS (SELECT qid, i + 1 AS rank, (qid % 9 = i)::INT AS hit FROM gold, (SELECT unnest(range(0, 7)) AS i))"
 ORACLE_SQL = {
     "sc13_put": f"WITH {_FIRST} SELECT id, hash FROM first",
     "sc14_put_batch_ids": f"WITH {_FIRST} SELECT doc_id AS arrival, id FROM documents JOIN first ON sha256(text) = hash",
@@ -194,7 +195,7 @@ SELECT id, chunk, start::BIGINT AS start, (start + strlen(trim(raw)))::BIGINT AS
     "sc25_import_docs": f"WITH {DOCS} SELECT id, uri, title, ts // 1000 AS published_ts FROM docs ORDER BY ts DESC, id DESC LIMIT 100",
     "sc26_due_sources": "WITH r AS (SELECT c_custkey AS id, c_custkey % 50 * 10 AS interval, CASE WHEN c_custkey % 4 <> 0 THEN c_custkey * 3 END AS last_sync FROM customer) SELECT * FROM r WHERE \"interval\" > 0 AND coalesce(last_sync, 0) + \"interval\" <= 1000 ORDER BY coalesce(last_sync, 0), id LIMIT 100",
     "sc27_session_sweep": "WITH m AS (SELECT conv_id, turn, role, repeat(text, 3) AS t FROM conversations WHERE trim(text) <> ''), s AS (SELECT *, unnest(CASE WHEN length(t) > 1000 THEN range(0, length(t), 350) ELSE [0] END) AS s FROM m) SELECT conv_id, turn, (s // 350)::INT AS part, '[' || role || '|msg' || turn || '] ' || CASE WHEN length(t) > 1000 THEN substr(t, s + 1, 400) ELSE t END AS text FROM s",
-    "sc35_jn20_snapshot_merge": f"WITH {DOCS}, x AS (SELECT uri, title, left(text, 20) AS text, meta, sha256(text) AS hash, id FROM docs) SELECT uri, CASE WHEN id % 3 <> 0 THEN title ELSE 'other' END AS title, text, CASE WHEN id % 4 = 0 AND id % 2 <> 0 THEN NULL WHEN id % 3 <> 0 AND id % 2 <> 0 AND id % 4 = 0 THEN NULL ELSE meta END AS meta, hash FROM x WHERE id % 3 <> 0 OR id % 4 <> 0",
+    "sc35_jn20_snapshot_merge": f"WITH {DOCS}, x AS (SELECT uri, title, text, meta, sha256(text) AS hash, id FROM docs) SELECT uri, CASE WHEN id % 3 <> 0 THEN title ELSE 'other' END AS title, text, CASE WHEN id % 4 = 0 AND id % 2 <> 0 THEN NULL WHEN id % 3 <> 0 AND id % 2 <> 0 AND id % 4 = 0 THEN NULL ELSE meta END AS meta, hash FROM x WHERE id % 3 <> 0 OR id % 4 <> 0",
     "jn21_lww": f"WITH {EVENTS}, o AS (SELECT lpad(event_id::VARCHAR, 10, '0') AS op_id, kind, event_id % 700 AS doc_id, ts % 1000 AS ts, content AS payload FROM ev) SELECT * FROM o QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY ts DESC, op_id DESC) = 1",
     "so11_map_merge": f"WITH {DOCS}, w AS (SELECT uri, 'actor' || i AS actor, id * (i + 1) % 17 AS ts, i, id, lang, source FROM docs, (SELECT unnest([0, 1, 2]) AS i) WHERE id % 3 <> i), e AS (SELECT uri, actor, ts, 'k' || i AS key, lang AS value FROM w UNION ALL SELECT uri, actor, ts, 'shared', 'v' || i || '-' || source FROM w) SELECT uri, key, arg_max(value, (ts, actor)) AS value FROM e GROUP BY uri, key",
     "jn4_active_memories": f"WITH {MEMORIES} SELECT memory_type, count(*) AS n FROM memories WHERE superseded_by IS NULL GROUP BY 1",
@@ -204,7 +205,8 @@ SELECT id, chunk, start::BIGINT AS start, (start + strlen(trim(raw)))::BIGINT AS
     "jn12_without_raw": f"WITH {MEMORIES} SELECT doc_id AS id FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM memories WHERE memory_type = 'raw' AND superseded_by IS NULL)",
     "jn11_without_vector": "SELECT doc_id AS id FROM documents WHERE doc_id NOT IN (SELECT vec_id FROM embeddings)",
     "jn14_semi_scope": f"WITH {EVENTS} SELECT event_id FROM ev WHERE uri IN (SELECT 'mem://' || doc_id FROM documents WHERE lang = 'fr')",
-    "jn16_similar_pairs": f"WITH {_PAIR} SELECT a, b FROM pairs",
+    "jn16_similar_pairs": f"WITH t0 AS (SELECT doc_id AS id, list_sort({_LONG}) AS w FROM documents), t AS (SELECT min(id) AS id, w FROM t0 GROUP BY w) SELECT a.id AS a, b.id AS b FROM t a JOIN t b ON a.id < b.id AND least(len(a.w), len(b.w)) >= 0.8 * greatest(len(a.w), len(b.w)) WHERE len(a.w) > 0 AND {_JAC} >= 0.8",
+    "jn16_text_groups": f"WITH t AS (SELECT doc_id AS id, list_sort({_LONG}) AS w FROM documents) SELECT id, min(id) OVER (PARTITION BY w) AS rep FROM t WHERE len(w) > 0",
     "mm8_compact": f"WITH RECURSIVE {_PAIR}, e AS (SELECT a AS x, b AS y FROM pairs UNION SELECT b, a FROM pairs), walk(id, c) AS (SELECT DISTINCT x, x FROM e UNION SELECT id, y FROM walk JOIN e ON x = c) SELECT id, max(c) AS survivor FROM walk GROUP BY id",
     "mm7_evolve": f"WITH t AS (SELECT doc_id AS id, {_LONG} AS w FROM documents), j AS (SELECT a.id, b.id AS old, {_JAC} AS j FROM t a, t b WHERE a.id >= 64 AND b.id < 64) SELECT id, arg_max(old, (j, -old)) AS replaces FROM j WHERE j BETWEEN 0.5 AND 1.1 GROUP BY id",
     "ag15_evaluate": f"WITH {_GOLD}, p AS (SELECT qid, max(CASE WHEN rank <= 5 THEN hit ELSE 0 END) AS f, min(rank) FILTER (hit = 1) AS first, count(*) FILTER (rank <= 5) AS shown, count(*) FILTER (rank <= 5 AND hit = 0) AS wrong FROM m GROUP BY qid) SELECT round(avg(f), 6) AS recall, round(avg(coalesce(1 / first, 0)), 6) AS mrr, round(sum(wrong) / sum(shown), 6) AS false_recall FROM p",

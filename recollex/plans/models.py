@@ -91,9 +91,9 @@ def graph(spark: SparkSession, sf_dir: str) -> DataFrame:
     return a.unionByName(b)
 
 
-GRAPH = """c AS (SELECT c_custkey AS k FROM customer WHERE c_custkey < 400), edges AS (
+GRAPH = """c AS (SELECT c_custkey AS k FROM customer), edges AS (
   SELECT * FROM (SELECT k AS from_id, k * 2 + 1 AS to_id, 'CAUSED' AS rel, (k % 7 + 1) / 10.0::DOUBLE AS weight FROM c
-  UNION ALL SELECT k, k * 3 + 2, CASE WHEN k % 2 = 0 THEN 'DEPENDS_ON' ELSE 'MENTIONS' END, (k % 5 + 1) / 10.0::DOUBLE FROM c) WHERE to_id < 400)"""
+  UNION ALL SELECT k, k * 3 + 2, CASE WHEN k % 2 = 0 THEN 'DEPENDS_ON' ELSE 'MENTIONS' END, (k % 5 + 1) / 10.0::DOUBLE FROM c))"""
 
 
 def tag_rows(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:

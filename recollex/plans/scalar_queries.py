@@ -138,12 +138,12 @@ _WEEK = "date_trunc('{p}', make_timestamp(ts * 1000000))"
 ORACLE_SQL = {
     "sf4_query_terms": f"WITH {_CONV}, t AS (SELECT id, list_filter(regexp_split_to_array(lower(text), '[^a-z0-9_]+'), lambda x: x <> '') AS w FROM conv) SELECT id, array_to_string(list_filter(w, lambda x, i: list_position(w, x) = i)[1:16], ' ') AS terms FROM t",
     "sf6_compact": f"WITH {DOCS}, t AS (SELECT id, regexp_replace(trim(text), '[ \\t\\n\\x0B\\f\\r]+', ' ', 'g') AS f FROM docs) SELECT id, CASE WHEN length(f) > 120 THEN left(f, 120) || '...' ELSE f END AS short FROM t",
-    "sf7_xml_escape": "SELECT page_id, replace(replace(replace(replace(replace(left(html, 200), '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '\"', '&quot;'), '''', '&apos;') AS xml FROM pages",
+    "sf7_xml_escape": "SELECT page_id, replace(replace(replace(replace(replace(html, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '\"', '&quot;'), '''', '&apos;') AS xml FROM pages",
     "sf8_estimate_tokens": f"WITH {DOCS}, t AS (SELECT id, text, len(regexp_extract_all(text, '[\\p{{L}}\\p{{N}}_]+')) AS w, len(regexp_extract_all(text, '[^\\p{{L}}\\p{{N}}_\\s\\x0b]+')) AS m FROM docs) SELECT id, CASE WHEN text = '' THEN 0 ELSE greatest(ceil(w * 13 / 10)::BIGINT + m, ceil(length(text) / 3)::BIGINT, 1) END AS tokens FROM t",
     "sf11_kind_of_meta": "SELECT doc_id AS id, 'other' AS kind FROM documents",
     "sf12_memory_type": f"WITH {_CONV}, t AS (SELECT id, CASE WHEN regexp_matches(lower(text), 'decided|chose|we will') THEN 'decision' WHEN regexp_matches(lower(text), 'learned|turns out|lesson') THEN 'lesson' WHEN regexp_matches(lower(text), 'prefer|likes|hates') THEN 'preference' ELSE 'fact' END AS kind FROM conv) SELECT id, kind, CASE kind WHEN 'decision' THEN 0.6 WHEN 'lesson' THEN 0.6 WHEN 'preference' THEN 0.55 ELSE 0.5 END::DOUBLE AS weight FROM t",
     "sf14_grade": "SELECT doc_id AS id, round((contains(lower(text), 'eringble')::INT + contains(lower(text), 'and')::INT + contains(lower(text), 'thined')::INT + contains(lower(text), 'nichtch')::INT) / 4, 6) AS grade FROM documents",
-    "sf15_hyde": f"WITH {_CONV} SELECT id, 'A document that answers the question about ' || left(text, 40) || ' would explain: ' || left(text, 40) AS q FROM conv",
+    "sf15_hyde": f"WITH {_CONV} SELECT id, 'A document that answers the question about ' || text || ' would explain: ' || text AS q FROM conv",
     "sf16_summarize": f"WITH {DOCS} SELECT source, count(*) AS n, sum(length(left(text, 200)))::BIGINT AS chars FROM docs GROUP BY source",
     "sf16_summarize_text": "SELECT doc_id AS id, array_to_string(list_transform(string_split(text, chr(10)), lambda x: left(x, 200)), ' / ') AS summary FROM documents",
     "sf19_auto_title": "SELECT doc_id AS id, coalesce(list_filter(list_transform(string_split(text, chr(10)), lambda x: trim(x)), lambda x: x <> '')[1], '') AS title FROM documents",

@@ -86,7 +86,7 @@ QUERIES = {
     "vs19_vs20_ma14_sparse_dot": lambda s, d: _rounded(vs.sparse_search(vs.sparse_encode(docs(s, d)), {"eringble": 1.5, "thined": 0.5, "the": 0.1}, 20), "score"),
     "ag13_sparse_doc_count": lambda s, d: vs.sparse_encode(docs(s, d)).agg(F.countDistinct("id").alias("docs")),
     "ma13_max_sim": lambda s, d: _rounded(vs.max_sim(token_rows(s, d).filter("id = 0 and token < 4"), token_rows(s, d)).orderBy(F.desc("score")), "score"),
-    "ag24_vs23_bucket_sums": lambda s, d: vs.bucket_sums(token_rows(s, d), 64),
+    "ag24_vs23_bucket_sums": lambda s, d: vs.bucket_sums(token_rows(s, d), 64).select("id", F.posexplode("fde").alias("at", "x")).filter("abs(x) > 1e-12").withColumn("x", F.round("x", 6)),
     "vs25_ag18_conformal": lambda s, d: _rounded(vs.conformal_quantile(vectors(s, d).select("id", (F.abs(F.element_at("embedding", 1).cast("double"))).alias("residual")), 0.1), "q"),
     "wn2_wn6_vs29_hybrid_rrf": hybrid,
     "pf6_filtered_hybrid": filtered_hybrid,
@@ -97,7 +97,7 @@ QUERIES = {
     "pf1_predicate_ne_missing": lambda s, d: pr.filtered(docs(s, d), pr.ne("absent", 1) | ~pr.eq("lang", "de")).select("id"),
     "pf11_timeline_between": lambda s, d: pr.timeline_between(docs(s, d), BASE + 6000, BASE + 30000, 50).select("id", "event_ts"),
     "pf12_valid_at": lambda s, d: pr.valid_at(docs(s, d).select("id", (F.col("id") * 10).alias("valid_from"), F.when(F.col("id") % 4 == 0, 0).otherwise(F.col("id") * 10 + 500).alias("valid_to")), 3000).select("id"),
-    "pf13_noise_rules": lambda s, d: docs(s, d).filter(~pr.is_noise(F.col("text"), F.col("title"))).select("id"),
+    "pf13_noise_rules": lambda s, d: docs(s, d).filter(~pr.is_noise(F.col("text"), F.col("title"), F.col("uri"))).select("id"),
     "pf14_noise_learned": lambda s, d: docs(s, d).select("id", F.round(pr.noise_probability(F.col("text"), [0.1, -0.2, 0.05, 1, 2, -1, 0.5, 0.3, 0.2, 0.7, -0.4], -0.5), 6).alias("p")),
     "pf15_live_filter": lambda s, d: pr.live_filter(docs(s, d), title="the", uri_prefix="src1").select("id"),
     "pf16_kind_filter": lambda s, d: pr.of_kinds(events(s, d), ["view", "sign"]).select("event_id"),
@@ -177,7 +177,7 @@ _SPARSE = "sp AS (SELECT id, term, 1 + ln(tf) AS weight FROM (SELECT *, row_numb
 _TOK = "tok AS (SELECT vec_id // 10 AS id, vec_id % 10 AS token, list_transform(embedding, lambda x: x::DOUBLE) AS e FROM embeddings)"
 
 ORACLE_SQL = {
-    "ft1_postings": f"WITH {DOCS}, src AS (SELECT * FROM docs), {POST} SELECT term, count(*) AS df, sum(tf)::BIGINT AS cf FROM post WHERE term LIKE 'th%' AND length(term) <= 5 GROUP BY term",
+    "ft1_postings": f"WITH {DOCS}, src AS (SELECT * FROM docs), {POST} SELECT term, count(*) AS df, sum(tf)::BIGINT AS cf FROM post GROUP BY term",
     "ft2_bm25_fts5_all": f"WITH {DOCS}, {_bm25(['eringble', 'the'], 2, 20, 'fts5')} SELECT id, round(score, 6) AS score FROM hits",
     "sl1_ft3_bm25_any": f"WITH {DOCS}, {_bm25(_ANY_TERMS, 1, 20)} SELECT id, round(score, 6) AS score FROM hits",
     "ft4_event_phrase": f"WITH {EVENTS} SELECT event_id AS id, 1::BIGINT AS times FROM ev WHERE kind = 'view' AND agent = 'agent3'",
@@ -188,7 +188,7 @@ ORACLE_SQL = {
     "sl2_sl4_knn_cosine": f"WITH {VECTORS}, {_Q} {_knn(_COS, 20)}",
     "sl3_ma11_knn_l2": f"WITH {VECTORS}, {_Q} SELECT id, round(1 / (1 + d), 6) AS score FROM (SELECT id, {_L2} AS d FROM vectors, q) ORDER BY round(d, 9), id LIMIT 20",
     "xt31_knn_dot": f"WITH {VECTORS}, {_Q} {_knn('-' + _DOT, 20)}",
-    "vs1_ma2_knn_batch": f"WITH {VECTORS}, p AS (SELECT a.id AS qid, b.id, 1 - list_cosine_similarity({_D64.replace('embedding', 'a.embedding')}, {_D64.replace('embedding', 'b.embedding')}) AS d FROM vectors a, vectors b WHERE a.id < 5) SELECT qid, rank::INT AS rank, id, round(d, 6) AS distance FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY round(d, 9), id) AS rank FROM p) WHERE rank <= 10",
+    "vs1_ma2_knn_batch": f"WITH {VECTORS}, p AS (SELECT a.id AS qid, b.id, 1 - list_cosine_similarity({_D64.replace('embedding', 'a.embedding')}, {_D64.replace('embedding', 'b.embedding')}) AS d FROM vectors a, vectors b WHERE a.id % 20 = 0) SELECT qid, rank::INT AS rank, id, round(d, 6) AS distance FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY round(d, 9), id) AS rank FROM p) WHERE rank <= 10",
     "vs2_cascade": f"WITH {VECTORS}, {_Q}, pool AS (SELECT id, embedding FROM vectors, q ORDER BY {_HAM}, id LIMIT 100) {_knn(_COS, 10, 'pool')}",
     "vs9_int8": f"WITH {VECTORS}, {_Q} {_int8('vectors', 10)}",
     "vs10_hamming": f"WITH {VECTORS}, {_Q} SELECT id, {_HAM}::INT AS distance FROM vectors, q ORDER BY 2, 1 LIMIT 10",
@@ -208,7 +208,7 @@ ORACLE_SQL = {
     "pf1_predicate_ne_missing": f"WITH {DOCS} SELECT id FROM docs WHERE lang <> 'de'",
     "pf11_timeline_between": f"WITH {DOCS} SELECT id, ts // 1000 AS event_ts FROM docs WHERE ts // 1000 BETWEEN {BASE + 6000} AND {BASE + 30000} ORDER BY 2 DESC, 1 DESC LIMIT 50",
     "pf12_valid_at": "SELECT doc_id AS id FROM documents WHERE doc_id * 10 <= 3000 AND (doc_id % 4 = 0 OR doc_id * 10 + 500 > 3000)",
-    "pf13_noise_rules": f"WITH {DOCS}, l AS (SELECT id, text, lower(concat_ws(' ', title, text)) AS t FROM docs) SELECT id FROM l WHERE NOT (contains(t, 'telepathy') OR contains(t, 'task-notification') OR contains(t, 'status:') OR contains(t, '[log]') OR contains(t, 'daily briefing') OR length(trim(text)) < 40)",
+    "pf13_noise_rules": f"WITH {DOCS} SELECT id FROM docs WHERE NOT (starts_with(text, 'Agent [briefing]') OR ends_with(title, '.log') OR ends_with(uri, '.log') OR contains(title, 'sched_briefing') OR contains(title || text, '[telepathy]') OR contains(text, '<task-notification>') OR contains(text, 'tool-use-id') OR contains(text, '\"models_loaded\"') OR contains(text, '\"desktop_procs\"') OR contains(text, '\"cli_sessions\"') OR strlen(regexp_replace(text, '^\\s+|\\s+$', '', 'g')) < 40)",
     "pf15_live_filter": f"WITH {DOCS} SELECT id FROM docs WHERE contains(lower(title), 'the') AND starts_with(uri, 'src1')",
     "pf16_kind_filter": "SELECT event_id FROM events WHERE event_type IN ('view', 'signup')",
     "pf17_uri_prefix": f"WITH {DOCS} SELECT id FROM docs WHERE starts_with(uri, 'src1/')",
@@ -216,9 +216,9 @@ ORACLE_SQL = {
     "wn3_rrf_typed": f"WITH {DOCS}, {_TWO}, f AS (SELECT id, sum(s) * CASE WHEN id % 2 = 0 THEN 1.2 ELSE 0.95 END AS score FROM (SELECT id, 1.0 / (60.0 + rank) AS s FROM a UNION ALL SELECT id, 0.5 / (60.0 + rank) FROM b) GROUP BY id) SELECT id, round(score, 6) AS score FROM f ORDER BY round(f.score, 12) DESC, id LIMIT 20",
     "wn4_rrf_blend": f"WITH {DOCS}, {_TWO}, f AS ({_rrf([('a', '0.7'), ('b', '0.3')], 20)}) SELECT id, round(score, 6) AS score FROM f",
     "wn10_relative": f"WITH {DOCS}, {_bm25(_ANY_TERMS, 1, 20)} SELECT id, round(score, 6) AS score, round(score / max(score) OVER (), 6) AS relevance FROM hits",
-    "wn11_take_while_fits": "SELECT * FROM (SELECT doc_id AS id, sum(n_chars) OVER (ORDER BY doc_id DESC ROWS UNBOUNDED PRECEDING)::BIGINT AS used FROM documents WHERE doc_id < 300) WHERE used <= 50000",
-    "wn12_serial_order": "SELECT doc_id AS id, doc_id + 1 AS rank, row_number() OVER (ORDER BY CASE doc_id WHEN 0 THEN 0 WHEN 1 THEN 2 ELSE 1 END, doc_id)::INT AS position FROM documents WHERE doc_id < 50",
-    "wn13_cache_stable_order": "SELECT doc_id AS id, doc_id + 1 AS rank, row_number() OVER (ORDER BY CASE doc_id WHEN 30 THEN -2 WHEN 7 THEN -1 WHEN 0 THEN 0 WHEN 1 THEN 2 ELSE 1 END, doc_id)::INT AS position FROM documents WHERE doc_id < 50",
+    "wn11_take_while_fits": "SELECT * FROM (SELECT doc_id AS id, sum(n_chars) OVER (ORDER BY doc_id DESC ROWS UNBOUNDED PRECEDING)::BIGINT AS used FROM documents) WHERE used <= 50000",
+    "wn12_serial_order": "SELECT doc_id AS id, doc_id + 1 AS rank, row_number() OVER (ORDER BY CASE doc_id WHEN 0 THEN 0 WHEN 1 THEN 2 ELSE 1 END, doc_id)::INT AS position FROM documents",
+    "wn13_cache_stable_order": "SELECT doc_id AS id, doc_id + 1 AS rank, row_number() OVER (ORDER BY CASE doc_id WHEN 30 THEN -2 WHEN 7 THEN -1 WHEN 0 THEN 0 WHEN 1 THEN 2 ELSE 1 END, doc_id)::INT AS position FROM documents",
     "sl12_scoped_rank": f"WITH {DOCS}, {_bm25(_ANY_TERMS, 1, 60)}, t AS (SELECT id, lower(concat_ws(' ', title, text)) AS t FROM docs) SELECT id, round(1000 * contains(t, 'eringble')::INT + 10 * (contains(t, 'thined')::INT + contains(t, 'the')::INT) + score, 6) AS score FROM hits JOIN t USING (id) ORDER BY score DESC, id LIMIT 20",
     "sl13_agent_rank": f"WITH {DOCS}, t AS (SELECT id, lower(concat_ws(' ', title, text)) AS t FROM docs) SELECT id, 1000000 * contains(t, 'eringble')::BIGINT + 10000 * (contains(t, 'thined')::BIGINT + contains(t, 'nichtch')::BIGINT) + id AS score FROM t ORDER BY score DESC, id DESC LIMIT 30",
     "so6_best_of_each": f"WITH {EVENTS} SELECT agent AS id, arg_max(event_id, value + event_id / 1e6) AS event_id FROM ev GROUP BY agent",
@@ -226,5 +226,5 @@ ORACLE_SQL = {
     "sl6_timeline_page": f"WITH {DOCS} SELECT id, ts FROM docs ORDER BY ts DESC, id DESC LIMIT 10 OFFSET 20",
     "sc18_get_by_id": f"WITH {DOCS} SELECT id, uri, title FROM docs WHERE id = 42",
     "sc42_raw_sql": "SELECT n_name, count(*) AS n, round(sum(o_totalprice), 2) AS total FROM orders JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey WHERE o_orderstatus = 'F' GROUP BY n_name",
-    "jn19_neighbour_edges": f"WITH {VECTORS}, p AS (SELECT a.id AS qid, b.id, 1 - list_cosine_similarity({_D64.replace('embedding', 'a.embedding')}, {_D64.replace('embedding', 'b.embedding')}) AS d FROM vectors a, vectors b WHERE a.id < 20 AND a.id <> b.id), r AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY round(d, 9), id) AS r FROM p QUALIFY r <= 5), e AS (SELECT qid AS from_id, id AS to_id, 1.0 / (1 + r) AS weight FROM r UNION ALL SELECT id, qid, 1.0 / (1 + r) FROM r) SELECT from_id, to_id, round(max(weight)::DOUBLE, 6) AS weight FROM e GROUP BY 1, 2",
+    "jn19_neighbour_edges": f"WITH {VECTORS}, p AS (SELECT a.id AS qid, b.id, 1 - list_cosine_similarity({_D64.replace('embedding', 'a.embedding')}, {_D64.replace('embedding', 'b.embedding')}) AS d FROM vectors a, vectors b WHERE a.id % 20 = 0 AND a.id <> b.id), r AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY round(d, 9), id) AS r FROM p QUALIFY r <= 5), e AS (SELECT qid AS from_id, id AS to_id, 1.0 / (1 + r) AS weight FROM r UNION ALL SELECT id, qid, 1.0 / (1 + r) FROM r) SELECT from_id, to_id, round(max(weight)::DOUBLE, 6) AS weight FROM e GROUP BY 1, 2",
 }

@@ -88,3 +88,37 @@ def extract_worker(queue: DataFrame, target: str, checkpoint: str) -> StreamingQ
         batch.select("doc_id", kind.alias("memory_type"), weight.alias("confidence")).write.mode("overwrite").parquet(f"{target}/batch={number}")
 
     return worker(queue, each, checkpoint)
+
+
+def graph_feed(relations: DataFrame, *, node: str | None = None) -> DataFrame:
+    """Relate and unrelate events (op, from_uri, to_uri, rel, ts) that touch a node, or all."""
+    known = relations.filter(F.col("op").isin("relate", "unrelate"))
+    return known if node is None else known.filter((F.col("from_uri") == node) | (F.col("to_uri") == node))
+
+
+def feedback_state(shown: DataFrame, *, keep: int = 3600) -> DataFrame:
+    """(pack_id, shown, accepted, last): counts of each pack over the stream of (pack_id, accepted, ts), dropped ``keep`` seconds of event time after its last row."""
+
+    def update(key: tuple, batches: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:
+            state.remove()
+            return
+        n, good, last = state.get if state.exists else (0, 0, 0)
+        for rows in batches:
+            n, good = n + len(rows), good + int(rows["accepted"].sum())
+            last = max(last, int(rows["seconds"].max()))
+        state.update((n, good, last))
+        state.setTimeoutTimestamp(max((last + keep) * 1000, state.getCurrentWatermarkMs() + 1))
+        yield pd.DataFrame({"pack_id": [key[0]], "shown": [n], "accepted": [good], "last": [last]})
+
+    rows = shown.withWatermark("ts", LATE).select("pack_id", F.col("accepted").cast("int").alias("accepted"), F.unix_seconds("ts").alias("seconds"), "ts")
+    return rows.groupBy("pack_id").applyInPandasWithState(update, "pack_id string, shown long, accepted long, last long", "n long, good long, last long", "update", "EventTimeTimeout")
+
+
+def poll(sources: DataFrame, now: int, limit: int, fetch: Callable[[DataFrame], DataFrame]) -> tuple[DataFrame, DataFrame]:
+    """One round over polling sources (id, interval, last_sync): what the due ones give, and the sources after it."""
+    from recollex.operators.corpus import due_sources
+
+    due = due_sources(sources, now, limit).select("id")
+    after = sources.join(due.withColumn("_due", F.lit(True)), "id", "left").withColumn("last_sync", F.when(F.col("_due"), F.lit(now)).otherwise(F.col("last_sync"))).drop("_due")
+    return fetch(due), after
