@@ -149,8 +149,12 @@ _L2 = f"list_distance({_D64}, {_Q64})"
 _WHERE = "(lang = 'en' AND n_chars >= 500) OR source NOT IN ('src1', 'src2', 'src3')"
 
 
+#: A distance to six places, where a zero has no sign.
+_D6 = "CASE WHEN abs(d) < 5e-7 THEN 0.0::DOUBLE ELSE round(d, 6) END"
+
+
 def _knn(distance: str, k: int, source: str = "vectors", name: str = "distance") -> str:
-    return f"SELECT id, round(d, 6) AS {name} FROM (SELECT id, {distance} AS d FROM {source}, q) ORDER BY round(d, 9), id LIMIT {k}"
+    return f"SELECT id, {_D6} AS {name} FROM (SELECT id, {distance} AS d FROM {source}, q) ORDER BY round(d, 9), id LIMIT {k}"
 
 
 def _rrf(legs: list[tuple[str, str]], limit: int) -> str:

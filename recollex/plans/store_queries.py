@@ -13,7 +13,7 @@ from recollex.operators import fulltext as ft, memory as mm, oplog, plugins as p
 from recollex.operators.textindex import DeferredIndex, TextIndex, lexical
 from recollex.plans import search_queries as sq
 from recollex.plans.models import DOCS, EVENTS, GRAPH, NOW, VECTORS, docs, events, graph, vectors
-from recollex.plans.search_queries import _ANY_TERMS, _COS, _D64, _I8, _I8SRC, _Q, _SCALE, ANY, POST, _bm25, _knn, query_vector
+from recollex.plans.search_queries import _ANY_TERMS, _COS, _D6, _D64, _I8, _I8SRC, _Q, _SCALE, ANY, POST, _bm25, _knn, query_vector
 from recollex.plans.twins import _bm25_of
 from recollex.sources import container, files, logs
 from recollex.storage import materialize, new_path
@@ -498,7 +498,7 @@ _SLUG = "regexp_replace(regexp_replace(lower(trim({0})), '[^\\p{{L}}\\p{{N}}]+',
 _WINGS = f"dr AS (SELECT id, {_SLUG.format('source')} AS wing, {_SLUG.format("'Room ' || lang")} AS room, title, text FROM docs WHERE trim(text) <> '')"
 _GRADE = "(contains(lower(text), 'eringble')::INT + contains(lower(text), 'thined')::INT + contains(lower(text), 'nichtch')::INT) / 3"
 _LONG3 = "list_distinct(list_filter(regexp_split_to_array(lower(text), '[^\\p{L}\\p{N}]+'), lambda t: length(t) > 2))"
-_EXACT = f"SELECT id, round(d, 6) AS distance FROM (SELECT id, {_COS} AS d FROM vectors, q) ORDER BY round(d, 9), id LIMIT 10"
+_EXACT = f"SELECT id, {_D6} AS distance FROM (SELECT id, {_COS} AS d FROM vectors, q) ORDER BY round(d, 9), id LIMIT 10"
 _ROTATED = "r AS (SELECT id, list_transform(range(0, 64), lambda i: list_sum(list_transform(range(0, 64), lambda j: e[j + 1] * CASE WHEN bit_count((i & j)::BIGINT) % 2 = 1 THEN -1 ELSE 1 END * CASE WHEN ((j * 39816536415::BIGINT) >> 16) & 1 = 1 THEN -1 ELSE 1 END)) / 8 >= 0) AS t FROM e)"
 _AT = "list_filter(regexp_split_to_array(lower(text), '[^\\p{L}\\p{N}]+'), lambda t: t <> '')"
 
@@ -526,7 +526,7 @@ ORACLE_SQL = {
     "aj6_vector_bytes": f"SELECT 4 * len(embedding) AS n, vec_id AS id, {_SUM} AS s FROM embeddings",
     "vs3_route": _values([(0.99, "cascade"), (0.98, "cascade"), (0.95, "graph"), (0.94, "graph"), (0.9, "signs"), (0.5, "signs")], "target, route"),
     "vs4_vs7_cell_index": f"WITH {VECTORS}, {_Q}, {_CHANGED} {_knn(_COS, 10, 'v')}",
-    "vs5_codes_rescored": f"WITH {VECTORS}, {_Q}, pool AS (SELECT id FROM ({_I8SRC.format(i8=_I8, a=_SCALE.format('embedding'), b=_SCALE.format('q'), src='vectors')} ORDER BY round(d, 9) DESC, id LIMIT 60)) SELECT id, round(d, 6) AS distance FROM (SELECT id, {_COS} AS d FROM vectors JOIN pool USING (id), q) ORDER BY round(d, 9), id LIMIT 10",
+    "vs5_codes_rescored": f"WITH {VECTORS}, {_Q}, pool AS (SELECT id FROM ({_I8SRC.format(i8=_I8, a=_SCALE.format('embedding'), b=_SCALE.format('q'), src='vectors')} ORDER BY round(d, 9) DESC, id LIMIT 60)) SELECT id, {_D6} AS distance FROM (SELECT id, {_COS} AS d FROM vectors JOIN pool USING (id), q) ORDER BY round(d, 9), id LIMIT 10",
     "vs6_beam_search": f"WITH {VECTORS}, {_Q} {_EXACT}",
     "vs8_signs_then_cells": sq.ORACLE_SQL["vs2_cascade"],
     "vs11_half_index": f"WITH h AS (SELECT vec_id AS id, {_HALVES.format('embedding')} AS embedding FROM embeddings), {_Q} {_knn(_COS, 10, 'h')}",

@@ -5,7 +5,7 @@ from __future__ import annotations
 import numpy as np
 
 from recollex.plans.models import BASE, DECISIONS, DOCS, EVENTS, GRAPH, MEMORIES, NOW, VECTORS
-from recollex.plans.search_queries import _ANY_TERMS, _COS, _D64, _LEXLEG, _Q, _VECLEG, _I8, _I8SRC, _SCALE, _SPARSE, _TOK, POST, _bm25, _rrf
+from recollex.plans.search_queries import _ANY_TERMS, _COS, _D6, _D64, _LEXLEG, _Q, _VECLEG, _I8, _I8SRC, _SCALE, _SPARSE, _TOK, POST, _bm25, _rrf
 
 QUERIES: dict = {}
 
@@ -96,7 +96,7 @@ ORACLE_SQL = {
     "ag24_vs23_bucket_sums": f"WITH {_TOK}, {_FDE}, n AS (SELECT id, sqrt(sum(x * x)) AS l FROM flat GROUP BY id) SELECT id, \"at\"::INT AS \"at\", round(x / l, 6) AS x FROM flat JOIN n USING (id) WHERE abs(x / l) > 1e-12",
     "vs22_late_two_stage": f"WITH {_TOK}, {_FDE}, n AS (SELECT id, sqrt(sum(x * x)) AS l FROM flat GROUP BY id), u AS (SELECT id, \"at\", x / l AS x FROM flat JOIN n USING (id)), qt AS (SELECT * FROM tok WHERE id = 3 AND token < 5), qp AS (SELECT {_buckets(3, 5, 'e')} AS b, e FROM qt), qf AS (SELECT b * 64 + i - 1 AS \"at\", sum(x) AS x FROM (SELECT b, unnest(e) AS x, unnest(range(1, 65)) AS i FROM qp) GROUP BY 1), ql AS (SELECT sqrt(sum(x * x)) AS l FROM qf), near AS (SELECT u.id, sum(u.x * qf.x / ql.l) AS s FROM u JOIN qf USING (\"at\"), ql GROUP BY u.id), pool AS (SELECT n.id FROM n LEFT JOIN near USING (id) ORDER BY round(-coalesce(s, 0), 9), n.id LIMIT 20) SELECT id, round(sum(best), 6) AS score FROM (SELECT a.id, b.token, max(list_dot_product(a.e, b.e)) AS best FROM tok a JOIN pool USING (id), qt b GROUP BY 1, 2) GROUP BY id ORDER BY round(sum(best), 9) DESC, id LIMIT 5",
     "vs24_full_fusion": f"WITH {VECTORS}, {_Q}, {_TOK}, {_SPARSE}, d AS (SELECT id, row_number() OVER (ORDER BY d, id) AS rank FROM (SELECT id, {_COS} AS d FROM vectors, q ORDER BY round(d, 9), id LIMIT 100)), sx AS (SELECT id, row_number() OVER (ORDER BY s DESC, id) AS rank FROM (SELECT id, sum(weight * CASE term WHEN 'eringble' THEN 1.0 ELSE 0.5 END) AS s FROM sp WHERE term IN ('eringble', 'thined') GROUP BY id ORDER BY round(s, 9) DESC, id LIMIT 100)), pool AS ({_rrf([('d', '1.0'), ('sx', '1.0')], 50)}) SELECT id, round(sum(best), 6) AS score FROM (SELECT a.id, b.token, max(list_dot_product(a.e, b.e)) AS best FROM tok a JOIN pool USING (id), tok b WHERE b.id = 0 AND b.token < 4 GROUP BY 1, 2) GROUP BY id ORDER BY round(sum(best), 9) DESC, id LIMIT 10",
-    "vs12_ma9_rotated_signs": f"WITH {VECTORS}, {_Q}, e AS (SELECT id, {_D64} AS e FROM vectors UNION ALL SELECT -1, list_transform(q, lambda x: x::DOUBLE) FROM q), r AS (SELECT id, e, list_transform(range(0, 64), lambda i: list_sum(list_transform(range(0, 64), lambda j: e[j + 1] * CASE WHEN bit_count((i & j)::BIGINT) % 2 = 1 THEN -1 ELSE 1 END * CASE WHEN ((j * 39816536415::BIGINT) >> 16) & 1 = 1 THEN -1 ELSE 1 END)) / 8) AS t FROM e), s AS (SELECT a.id, list_sum(list_transform(range(1, 65), lambda i: CASE WHEN a.t[i] >= 0 THEN b.t[i] ELSE -b.t[i] END)) * sqrt(list_dot_product(a.e, a.e)) / 8 AS est FROM r a, r b WHERE a.id >= 0 AND b.id = -1 ORDER BY round(est, 9) DESC, id LIMIT 200) SELECT id, round(d, 6) AS distance FROM (SELECT id, {_COS} AS d FROM vectors, q WHERE id IN (SELECT id FROM s)) ORDER BY round(d, 9), id LIMIT 10",
+    "vs12_ma9_rotated_signs": f"WITH {VECTORS}, {_Q}, e AS (SELECT id, {_D64} AS e FROM vectors UNION ALL SELECT -1, list_transform(q, lambda x: x::DOUBLE) FROM q), r AS (SELECT id, e, list_transform(range(0, 64), lambda i: list_sum(list_transform(range(0, 64), lambda j: e[j + 1] * CASE WHEN bit_count((i & j)::BIGINT) % 2 = 1 THEN -1 ELSE 1 END * CASE WHEN ((j * 39816536415::BIGINT) >> 16) & 1 = 1 THEN -1 ELSE 1 END)) / 8) AS t FROM e), s AS (SELECT a.id, list_sum(list_transform(range(1, 65), lambda i: CASE WHEN a.t[i] >= 0 THEN b.t[i] ELSE -b.t[i] END)) * sqrt(list_dot_product(a.e, a.e)) / 8 AS est FROM r a, r b WHERE a.id >= 0 AND b.id = -1 ORDER BY round(est, 9) DESC, id LIMIT 200) SELECT id, {_D6} AS distance FROM (SELECT id, {_COS} AS d FROM vectors, q WHERE id IN (SELECT id FROM s)) ORDER BY round(d, 9), id LIMIT 10",
     "pf14_noise_learned": f"WITH t AS (SELECT doc_id AS id, text, greatest(length(text), 1)::DOUBLE AS nn, list_filter(regexp_split_to_array(text, '[\\s\\x0b]+'), lambda w: w <> '') AS ws FROM documents), f AS (SELECT id, text, nn, greatest(len(ws), 1)::DOUBLE AS c, len(list_distinct(ws)) AS dist, {_NOISE} FROM t), z AS (SELECT id, -0.5 + 0.1 * ln(1 + nn) - 0.2 * ln(1 + c) + 0.05 * nn / c + dist / c + 2 * digit - upper + 0.5 * mark + 0.3 * line + 0.2 * brace + 0.7 * regexp_matches(text, 'https?://')::INT - 0.4 * regexp_matches(text, '[.!?][\\s\\x0b]*$')::INT AS z FROM f) SELECT id, round(1 / (1 + exp(-z)), 6) AS p FROM z",
     "ag11_health": f"WITH {DOCS}, {VECTORS}, {MEMORIES}, c AS (SELECT 'empty_text' AS \"check\", count(*) AS n FROM docs WHERE text IS NULL OR trim(text) = '' UNION ALL SELECT 'duplicate_text', count(*) FROM (SELECT sha256(text) FROM docs GROUP BY 1 HAVING count(*) > 1) UNION ALL SELECT 'without_vector', count(*) FROM docs WHERE id NOT IN (SELECT id FROM vectors) UNION ALL SELECT 'memory_without_document', count(*) FROM memories WHERE doc_id NOT IN (SELECT id FROM docs)) SELECT \"check\", n, n = 0 AS ok FROM c",
     "ag16_gate": "WITH g AS (SELECT doc_id AS q FROM documents), m AS (SELECT q, i + 1 AS rank, q % 9 = i AS hit, q % 9 + 1 = i AS other FROM g, (SELECT unnest(range(0, 7)) AS i)), p AS (SELECT q, max((hit AND rank <= 5)::INT) AS r0, max((other AND rank <= 5)::INT) AS r1, min(CASE WHEN hit THEN rank END) AS f0, min(CASE WHEN other THEN rank END) AS f1, sum((rank <= 5)::INT) AS shown, sum((rank <= 5 AND NOT hit)::INT) AS w0, sum((rank <= 5 AND NOT other)::INT) AS w1 FROM m GROUP BY q), a AS (SELECT avg(r0) AS r0, avg(r1) AS r1, avg(coalesce(1 / f0, 0)) AS m0, avg(coalesce(1 / f1, 0)) AS m1, sum(w0) / sum(shown) AS e0, sum(w1) / sum(shown) AS e1, count(*) AS n FROM p) SELECT r1 > r0 AND m1 > m0 AND e1 < e0 AND n >= 10 AS passed FROM a",
