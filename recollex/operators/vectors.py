@@ -242,6 +242,23 @@ def sparse_encode(docs: DataFrame, *, text: str = "text", top: int = 64) -> Data
     return rows.withColumn("r", F.row_number().over(order)).filter(F.col("r") <= top).drop("r")
 
 
+#: Entries of the vocabulary that words are expanded into, and entries a word.
+EXPANDED, SPREAD = 30_522, 4
+
+
+def sparse_expand(docs: DataFrame, *, text: str = "text", top: int = 64) -> DataFrame:
+    """(id, term, weight): each distinct word spread over ``SPREAD`` entries by its hashes, sums of ln(1 + share), the ``top`` heaviest; where no learned encoder is plugged in."""
+    from recollex.functions.text import tokens
+
+    words = docs.select("id", F.explode(F.array_distinct(tokens(F.col(text)))).alias("word"))
+    hashed = words.select("id", F.explode(F.array(*[F.md5(F.concat("word", F.lit(f":{j}"))) for j in range(SPREAD)])).alias("h"))
+    number = lambda start: F.conv(F.substring("h", start, 8), 16, 10).cast("long")
+    parts = hashed.select("id", (number(1) % EXPANDED).alias("term"), F.log1p(number(9) / F.lit(2.0**32)).alias("weight"))
+    sums = parts.groupBy("id", "term").agg(F.sum("weight").alias("weight"))
+    order = Window.partitionBy("id").orderBy(F.desc(F.round("weight", 9)), "term")
+    return sums.withColumn("r", F.row_number().over(order)).filter(F.col("r") <= top).drop("r")
+
+
 def sparse_search(index: DataFrame, query: dict[str, float], k: int) -> DataFrame:
     """(id, score): greatest sum of products over shared terms, exact."""
     rows = [F.struct(F.lit(t).alias("term"), F.lit(float(w)).alias("q")) for t, w in sorted(query.items())]

@@ -59,7 +59,7 @@ QUERIES = {
     "sf6_compact": lambda s, d: docs(s, d).select("id", tx.compact(F.col("text"), 120).alias("short")),
     "sf7_xml_escape": lambda s, d: table(s, d, "pages").select("page_id", tx.xml_escape(F.col("html")).alias("xml")),
     "sf8_estimate_tokens": lambda s, d: docs(s, d).select("id", tx.estimate_tokens(F.col("text")).alias("tokens")),
-    "sf10_compress_facts": lambda s, d: docs(s, d).filter("lang = 'en'").select("id", F.length(tx.compress(F.col("text"), "facts")).alias("n"), F.length(tx.compress(F.col("text"), "one_line")).alias("m")),
+    "sf10_compress_facts": lambda s, d: docs(s, d).select("id", F.length(tx.compress(F.col("text"), "facts")).alias("n"), F.length(tx.compress(F.col("text"), "one_line")).alias("m")),
     "sf11_kind_of_meta": lambda s, d: docs(s, d).select("id", tx.kind_of_meta(F.col("meta")).alias("kind")),
     "sf12_memory_type": _types,
     "sf13_decompose": lambda s, d: _conv(s, d).select("id", F.array_join(tx.decompose(F.concat_ws(" vs ", "role", "text")), "|").alias("parts")),

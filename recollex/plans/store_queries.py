@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from recollex.adapters import Retriever
 from recollex.functions import scores, signing, text as tx, time as tm
-from recollex.operators import fulltext as ft, memory as mm, oplog, plugins as pg, predicates as pr, shards as sh, space as sp, store as so, vectorindex as vi, vectors as vs
+from recollex.operators import agent, fulltext as ft, memory as mm, oplog, plugins as pg, predicates as pr, shards as sh, space as sp, store as so, vectorindex as vi, vectors as vs
 from recollex.operators.textindex import DeferredIndex, TextIndex, lexical
 from recollex.plans import search_queries as sq
 from recollex.plans.models import DOCS, EVENTS, GRAPH, NOW, VECTORS, docs, events, graph, vectors
@@ -339,6 +339,33 @@ def _backup(s, d):
     return _rows(s, [(tag, n, tag in reader.verify()) for tag, (n, _) in reader.tags.items()], "tag string, n long, broken boolean")
 
 
+def _sqlite(s, d):
+    path = new_path(s, "sqlite")
+    files.write_sqlite(docs(s, d).repartition(3), path).count()
+    return files.read_documents(s, path, "sqlite").select("uri", "meta", F.sha2("text", 256).alias("h"))
+
+
+def _router(s):
+    """What a router picks for corpora of several sizes, before and after it has seen results."""
+    router, out = agent.Router(), []
+    for size in (100, 3000, 50000):
+        out.append(("new", size, router.pick(size, 0.95)))
+    for name, right, ms in (("exact", 100, 50.0), ("int8", 99, 9.0), ("signs", 60, 1.0), ("cascade", 98, 5.0), ("cascade", 99, 7.0)):
+        router.observe(name, right, 100, ms)
+    for size in (100, 3000, 50000):
+        out.append(("seen", size, router.pick(size, 0.95)))
+    out.append(("low", 50000, router.pick(50000, 0.5)))
+    return _rows(s, out, "stage string, size long, pick string")
+
+
+def _extract_worker(s, d):
+    """A queue of texts, typed by a worker that runs until it is empty."""
+    queue = docs(s, d).select(F.col("id").alias("doc_id"), "text")
+    target = new_path(s, "typed")
+    st.extract_worker(_stream(s, queue), target, new_path(s, "worker")).awaitTermination()
+    return s.read.parquet(target).groupBy("memory_type", "confidence").agg(F.count(F.lit(1)).alias("n"))
+
+
 # --- streams
 
 
@@ -453,6 +480,10 @@ QUERIES = {
     "sc10_jsonl_sink": lambda s, d: s.read.schema("id long, title string, meta struct<lang:string,n:long>, ts long").json(_written(s, d, "jsonl")).select("id", "title", "meta.lang", "meta.n", "ts"),
     "sc11_parquet_sink": lambda s, d: _rows(s, [(i, f.name, f.dataType.simpleString()) for i, f in enumerate(s.read.parquet(_written(s, d, "parquet")).schema)], "i long, name string, kind string"),
     "sc12_convert": _converted,
+    "sc7_sqlite": _sqlite,
+    "vs13_router": lambda s, d: _router(s),
+    "vs21_sparse_expansion": lambda s, d: vs.sparse_expand(docs(s, d)).groupBy("id").agg(F.count(F.lit(1)).alias("n"), F.sum("term").alias("terms"), F.round(F.sum("weight"), 4).alias("weight")),
+    "st5_extract_worker": _extract_worker,
     "sc36_container": _read_container,
     "xt27_container_search": lambda s, d: _r(container.Reader(s, _container(s, d)).search(ANY, 20), "score"),
     "sc37_pack": _packed,
@@ -573,6 +604,10 @@ ORACLE_SQL = {
     "sc10_jsonl_sink": f"WITH {DOCS} SELECT id, CASE WHEN id % 3 <> 0 THEN uri END AS title, lang, n_chars AS n, ts FROM docs",
     "sc11_parquet_sink": _values([(0, "id", "bigint"), (1, "title", "string"), (2, "uri", "string"), (3, "text", "string"), (4, "meta", "string"), (5, "ts", "bigint")], "i, name, kind"),
     "sc12_convert": "SELECT DISTINCT sha256(text) AS h FROM documents WHERE trim(text) <> ''",
+    "sc7_sqlite": f"WITH {DOCS} SELECT uri, meta, sha256(text) AS h FROM docs WHERE trim(text) <> ''",
+    "vs13_router": _values([("new", 100, "exact"), ("new", 3000, "exact"), ("new", 50000, "exact"), ("seen", 100, "exact"), ("seen", 3000, "int8"), ("seen", 50000, "cascade"), ("low", 50000, "signs")], "stage, size, pick"),
+    "vs21_sparse_expansion": f"WITH w AS (SELECT DISTINCT doc_id AS id, unnest({_AT}) AS w FROM documents), h AS (SELECT id, md5(w || ':' || j) AS h FROM w, (SELECT unnest(range(0, 4)) AS j)), p AS (SELECT id, ('0x' || h[1:8])::BIGINT % 30522 AS term, sum(ln(1 + ('0x' || h[9:16])::BIGINT / 4294967296.0::DOUBLE)) AS weight FROM h GROUP BY 1, 2), t AS (SELECT * FROM p QUALIFY row_number() OVER (PARTITION BY id ORDER BY round(weight, 9) DESC, term) <= 64) SELECT id, count(*) AS n, sum(term)::BIGINT AS terms, round(sum(weight), 4) AS weight FROM t GROUP BY id",
+    "st5_extract_worker": "WITH t AS (SELECT CASE WHEN regexp_matches(lower(text), 'decided|chose|we will') THEN 'decision' WHEN regexp_matches(lower(text), 'learned|turns out|lesson') THEN 'lesson' WHEN regexp_matches(lower(text), 'prefer|likes|hates') THEN 'preference' ELSE 'fact' END AS memory_type FROM documents) SELECT memory_type, CASE memory_type WHEN 'fact' THEN 0.5 WHEN 'preference' THEN 0.55 ELSE 0.6 END::DOUBLE AS confidence, count(*) AS n FROM t GROUP BY 1",
     "sc36_container": "SELECT doc_id AS id, sha256(text) AS h FROM documents",
     "xt27_container_search": f"WITH {DOCS}, {_bm25(_ANY_TERMS, 1, 20)} SELECT id, round(score, 6) AS score FROM hits",
     "sc37_pack": f"SELECT vec_id AS id, {_SUM} AS s FROM embeddings",

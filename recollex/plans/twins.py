@@ -105,6 +105,8 @@ ORACLE_SQL = {
     "cx6_session_replay": f"SELECT session_id, turn, used FROM (SELECT conv_id::VARCHAR AS session_id, turn, sum({_EST}) OVER (PARTITION BY conv_id ORDER BY turn ROWS UNBOUNDED PRECEDING)::BIGINT AS used FROM conversations) WHERE used <= 100",
     "cx7_ft7_index_in_scope": f"WITH {DOCS}, i AS (SELECT *, lower(concat_ws(' ', title, text)) AS t FROM docs WHERE starts_with(uri, 'src1')), p AS (SELECT * FROM (SELECT * FROM i WHERE contains(t, 'eringble') OR contains(t, 'thined') ORDER BY id DESC LIMIT 240) UNION SELECT * FROM (SELECT * FROM i ORDER BY ts DESC, id DESC LIMIT 240)) SELECT id, contains(t, 'eringble thined')::BIGINT * 1000000 + (contains(t, 'eringble')::BIGINT + contains(t, 'thined')::BIGINT) * 10000 + id AS score FROM p ORDER BY score DESC, id DESC LIMIT 20",
     "so5_sf9_simhash": f"WITH w AS (SELECT doc_id AS id, unnest(list_filter(regexp_split_to_array(lower(text), '[\\s\\x0b\\x1c-\\x1f\\x{{85}}\\p{{Z}}]+'), lambda x: x <> '')) AS w FROM documents), h AS (SELECT w, {_FNV}::UBIGINT AS h FROM (SELECT DISTINCT w FROM w)), b AS (SELECT id, bit, 2 * sum(((h >> bit) & 1)::INT) > count(*) AS s FROM w JOIN h USING (w), (SELECT unnest(range(0, 64))::UBIGINT AS bit) GROUP BY 1, 2), f AS (SELECT id, sum(CASE WHEN s THEN (1::HUGEINT << bit::INT) ELSE 0 END)::HUGEINT AS f FROM b GROUP BY id) SELECT d.doc_id AS id, (CASE WHEN coalesce(f, 0) >= 9223372036854775808::HUGEINT THEN f - 18446744073709551616::HUGEINT ELSE coalesce(f, 0) END)::BIGINT AS simhash FROM documents d LEFT JOIN f ON d.doc_id = f.id",
+    "sf13_decompose": "WITH c AS (SELECT conv_id * 1000 + turn AS id, role || ' vs ' || text AS t, lower(role || ' vs ' || text) AS l FROM conversations) SELECT id, array_to_string(list_filter(CASE WHEN strpos(l, ' after ') > 0 THEN [trim(substr(t, 1, strpos(l, ' after ') - 1)), trim(substr(t, strpos(l, ' after ') + 7))] WHEN strpos(l, ' before ') > 0 THEN [trim(substr(t, 1, strpos(l, ' before ') - 1)), trim(substr(t, strpos(l, ' before ') + 8))] WHEN strpos(l, ' and then ') > 0 THEN [trim(substr(t, 1, strpos(l, ' and then ') - 1)), trim(substr(t, strpos(l, ' and then ') + 10))] WHEN strpos(l, ' while ') > 0 THEN [trim(substr(t, 1, strpos(l, ' while ') - 1)), trim(substr(t, strpos(l, ' while ') + 7))] WHEN strpos(l, ' vs ') > 0 THEN [trim(substr(t, 1, strpos(l, ' vs ') - 1)), trim(substr(t, strpos(l, ' vs ') + 4))] WHEN strpos(l, ' versus ') > 0 THEN [trim(substr(t, 1, strpos(l, ' versus ') - 1)), trim(substr(t, strpos(l, ' versus ') + 8))] ELSE [trim(t)] END, lambda p: p <> ''), '|') AS parts FROM c",
+    "sf10_compress_facts": "WITH t AS (SELECT doc_id AS id, string_split(text, chr(10)) AS l FROM documents) SELECT id, length(array_to_string(list_filter(l, lambda x: regexp_matches(x, '[0-9]|:|=') OR regexp_matches(x, '(?i)(^|[^0-9A-Za-z_À-ɏß-ÿ])(is|are|was|must|should|never|always)($|[^0-9A-Za-z_À-ɏß-ÿ])')), chr(10)))::INT AS n, list_max(list_transform(l, lambda x: length(trim(x))))::INT AS m FROM t",
     "mm5_recall": _recall(0),
     "mm5_recall_hops": _recall(2),
 }

@@ -4,8 +4,6 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
-from pyspark.sql.types import StructType
 
 # File endings of each format.
 ENDINGS = {"csv": "csv", "tsv": "tsv", "jsonl": "jsonl", "ndjson": "jsonl", "json": "json", "parquet": "parquet", "db": "sqlite", "sqlite": "sqlite", "sqlite3": "sqlite"}
@@ -55,8 +53,7 @@ def read_documents(spark: SparkSession, path: str, fmt: str | None = None) -> Da
     elif kind == "parquet":
         rows = spark.read.parquet(path)
     else:
-        spark.dataSource.register(SqliteSource)
-        rows = spark.read.format("recollex_sqlite").option("path", path).load()
+        rows = read_sqlite(spark, path)
     return _normal(rows)
 
 
@@ -74,47 +71,60 @@ def write_documents(docs: DataFrame, path: str, fmt: str | None = None) -> None:
         raise ValueError(f"{kind} files are only read")
 
 
-class SqliteSource(DataSource):
-    """Documents of another store's SQLite file on a path that all machines share; split by ranges of row ids."""
+def read_sqlite(spark: SparkSession, path: str) -> DataFrame:
+    """(id, title, uri, text, meta) of the docs tables of SQLite files (a file or a folder of them), which are read as bytes: no path is opened by an executor."""
+    files = spark.read.format("binaryFile").load(path).select("content")
 
-    @classmethod
-    def name(cls) -> str:
-        return "recollex_sqlite"
-
-    def schema(self) -> str:
-        return "id long, title string, uri string, text string, meta string"
+    def run(batches):
+        import sqlite3
 
-    def reader(self, schema: StructType) -> DataSourceReader:
-        return _SqliteReader(self.options["path"], int(self.options.get("partitions", "4")))
+        import pandas as pd
 
+        for batch in batches:
+            for content in batch["content"]:
+                db = sqlite3.connect(":memory:")
+                db.deserialize(bytes(content))
+                there = {row[1] for row in db.execute("pragma table_info(docs)")}
+                columns = ", ".join(c if c in there else f"null as {c}" for c in ("id", *COLUMNS))
+                rows = db.execute(f"select {columns} from docs")
+                while part := rows.fetchmany(1000):
+                    yield pd.DataFrame(part, columns=["id", *COLUMNS])
+                db.close()
 
-class _Range(InputPartition):
-    def __init__(self, low: int, high: int):
-        self.low, self.high = low, high
+    return files.mapInPandas(run, "id long, title string, uri string, text string, meta string")
 
 
-class _SqliteReader(DataSourceReader):
-    def __init__(self, path: str, parts: int):
-        self.path, self.parts = path.removeprefix("file://"), parts
+def write_sqlite(docs: DataFrame, path: str) -> DataFrame:
+    """A folder of SQLite files, one a task; returns (name, n) of them."""
 
-    def _open(self):
+    def run(batches):
         import sqlite3
+        import uuid
+
+        import pandas as pd
+        from pyarrow import fs
+
+        db, n = sqlite3.connect(":memory:"), 0
+        db.execute("create table docs (id integer primary key, title text, uri text, text text, meta text)")
+        for batch in batches:
+            rows = batch.astype(object).where(batch.notna(), None).values.tolist()
+            db.executemany("insert into docs values (?, ?, ?, ?, ?)", rows)
+            n += len(rows)
+        db.commit()
+        if n:
+            system, folder = fs.FileSystem.from_uri(path)
+            system.create_dir(folder, recursive=True)
+            name, mine = f"part-{uuid.uuid4().hex}.db", f"{folder}/.{uuid.uuid4().hex}"
+            with system.open_output_stream(mine, compression=None) as f:
+                f.write(db.serialize())
+            system.move(mine, f"{folder}/{name}")
+            yield pd.DataFrame({"name": [name], "n": [n]})
+        db.close()
 
-        return sqlite3.connect(f"file:{self.path}?mode=ro", uri=True)
+    from recollex.storage import materialize
 
-    def partitions(self) -> list[InputPartition]:
-        db = self._open()
-        low, high = db.execute("select coalesce(min(id), 0), coalesce(max(id), -1) from docs").fetchone()
-        db.close()
-        step = max(1, -(-(high - low + 1) // self.parts))
-        return [_Range(a, min(a + step, high + 1)) for a in range(low, high + 1, step)] or [_Range(0, 0)]
-
-    def read(self, partition: _Range):
-        db = self._open()
-        there = {row[1] for row in db.execute("pragma table_info(docs)")}
-        columns = ", ".join(c if c in there else f"null as {c}" for c in ("id", "title", "uri", "text", "meta"))
-        yield from db.execute(f"select {columns} from docs where id >= ? and id < ?", (partition.low, partition.high))
-        db.close()
+    written = docs.select("id", "title", "uri", "text", "meta").mapInPandas(run, "name string, n long")
+    return materialize(written, "sqlite-files")  # read back, so that no file is written twice
 
 
 def convert(spark: SparkSession, source: str, target: str) -> None:
