@@ -5,11 +5,13 @@ from __future__ import annotations
 import re
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, Observation, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StructField, StructType
 
 from recollex.functions.text import tokens
 from recollex.functions.porter import stem_column
+from recollex.storage import materialize
 
 K1, B = 1.2, 0.75
 
@@ -82,6 +84,22 @@ def corpus_stats(docs: DataFrame, *, fields: tuple[str, ...] = ("title", "text")
     return docs.select(F.size(tokens(F.concat_ws(" ", *fields))).alias("dl")).agg(F.count(F.lit(1)).alias("n"), F.avg("dl").alias("avgdl"))
 
 
+def matched(docs: DataFrame, terms: tuple[str, ...], *, key: str = "id", fields: tuple[str, ...] = ("title", "text")) -> tuple[DataFrame, DataFrame]:
+    """Postings of these terms, and (n, avgdl) of all documents, from one pass over the texts.
+
+    The rows with a term are written to the shared folder while the sizes of all
+    are observed, so texts are read and cut into words once.
+    """
+    seen = Observation()
+    words = docs.select(F.col(key).alias("id"), tokens(F.concat_ws(" ", *fields)).alias("words"))
+    rows = words.select("id", F.size("words").alias("dl"), F.filter("words", lambda t: t.isin(*terms)).alias("held"))
+    rows = rows.observe(seen, F.count(F.lit(1)).alias("n"), F.sum("dl").alias("words")).filter(F.size("held") > 0)
+    rows = materialize(rows, "matched")
+    n, total = seen.get["n"], seen.get["words"]
+    index = rows.select("id", "dl", F.explode("held").alias("term")).groupBy("term", "id", "dl").agg(F.count(F.lit(1)).alias("tf"))
+    return index, docs.sparkSession.range(1).select(F.lit(n).cast("long").alias("n"), F.lit(total / n if n else 0.0).alias("avgdl"))
+
+
 def query_frame(spark, queries: dict[int, Query]) -> DataFrame:
     rows = [F.struct(F.lit(qid).cast("long").alias("qid"), F.lit(t).alias("term"), F.lit(len(q.terms) if q.all_terms else 1).alias("needed")) for qid, q in queries.items() for t in q.terms]
     if not rows:
@@ -98,16 +116,21 @@ def search(docs: DataFrame, query: str | Query, limit: int, *, idf: str = "lucen
 
         compiled = Query(tuple(dict.fromkeys(stemmed(t) for t in compiled.terms)), compiled.all_terms)
     asked = query_frame(spark, {0: compiled} if compiled else {})
-    index = postings(docs, fields=fields, stem=stem, only=compiled.terms if compiled and compiled.terms else None)
-    hits = bm25(index, corpus_stats(docs, fields=fields), asked, idf=idf)
+    if stem:
+        index, corpus = postings(docs, fields=fields, stem=True), corpus_stats(docs, fields=fields)
+    elif compiled and compiled.terms:
+        index, corpus = matched(docs, compiled.terms, fields=fields)
+    else:
+        return spark.createDataFrame([], StructType([StructField("id", docs.schema["id"].dataType), StructField("score", DoubleType())]))
+    hits = bm25(index, corpus, asked, idf=idf)
     return hits.select("id", "score").orderBy(F.desc(F.round("score", 9)), "id").limit(limit)
 
 
 def search_batch(docs: DataFrame, queries: dict[int, Query], limit: int, **options) -> DataFrame:
     """(qid, rank, id, score) for many queries over one index."""
-    terms = tuple({t for q in queries.values() for t in q.terms})
-    index = postings(docs, only=terms if len(terms) <= 1000 else None)
-    hits = bm25(index, corpus_stats(docs), query_frame(docs.sparkSession, queries), **options)
+    terms = tuple(sorted({t for q in queries.values() for t in q.terms}))
+    index, corpus = matched(docs, terms) if 0 < len(terms) <= 1000 else (postings(docs), corpus_stats(docs))
+    hits = bm25(index, corpus, query_frame(docs.sparkSession, queries), **options)
     order = Window.partitionBy("qid").orderBy(F.desc(F.round("score", 9)), "id")
     return hits.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= limit)
 

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from recollex.functions import scores
 from recollex.operators.ordering import with_positions
-from recollex.storage import materialize, new_path
+from recollex.storage import few, materialize, new_path
 
 
 def knn(vectors: DataFrame, query: list[float], k: int, *, metric: str = "cosine") -> DataFrame:
@@ -266,11 +266,16 @@ def sparse_search(index: DataFrame, query: dict[str, float], k: int) -> DataFram
     return index.join(F.broadcast(asked), "term").groupBy("id").agg(F.sum(F.col("weight") * F.col("q")).alias("score")).orderBy(F.desc(F.round("score", 9)), "id").limit(k)
 
 
+MOST_QUERY_TOKENS = 1024
+
+
 def max_sim(query_tokens: DataFrame, doc_tokens: DataFrame) -> DataFrame:
     """(id, score): for each token of the query the best product with a token of the document, summed.
 
-    query_tokens: (token, embedding), a few rows; doc_tokens: (id, token, embedding).
+    query_tokens: (token, embedding), at most ``MOST_QUERY_TOKENS``, which is checked; doc_tokens: (id, token, embedding).
     """
+    if not few(query_tokens, MOST_QUERY_TOKENS):
+        raise ValueError(f"a query has more than {MOST_QUERY_TOKENS} tokens")
     pairs = doc_tokens.select("id", F.col("embedding").alias("d")).crossJoin(F.broadcast(query_tokens.select(F.col("token").alias("qt"), F.col("embedding").alias("q"))))
     best = pairs.groupBy("id", "qt").agg(F.max(scores.dot(F.col("q"), F.col("d"))).alias("best"))
     return best.groupBy("id").agg(F.sum("best").alias("score"))
