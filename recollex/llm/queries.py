@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from recollex.llm import decontaminate, licenses, neighbour_graph, rollups, secrets, sentencepiece_bpe, simhash, token_index, toxicity, url_filter
+from recollex.llm import centroid_clusters, decontaminate, licenses, neighbour_graph, quality_rules, rollups, secrets, sentencepiece_bpe, simhash, token_index, toxicity, url_filter, whitening
 from recollex.session import small_batches, table
 from recollex.storage import new_path
 
@@ -158,6 +158,71 @@ def op10_token_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return store.totals()
 
 
+def op11_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every vector's whitened values, a row for each component."""
+    small_batches(spark)
+    rows = table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
+    model = whitening.fit(rows)
+    values = whitening.whiten(rows, model, out="w").select("vec_id", "w", F.posexplode("w.whitened").alias("at", "whitened"))
+    return values.select(
+        "vec_id", (F.col("at") + 1).alias("component"), F.col("w.n").alias("n"), F.expr("try_cast(w.deviation as bigint)").alias("deviation"),
+        "whitened", F.element_at("w.explained", F.col("at") + 1).alias("explained"), F.lit(model.identity_error).alias("identity_error"),
+    )
+
+
+def op12_centroids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Cluster of every vector after three rounds from sixteen hashed starts."""
+    small_batches(spark)
+    return centroid_clusters.cluster(table(spark, sf_dir, "embeddings"))
+
+
+def _op12_sql() -> str:
+    apart = "list_sum(list_transform(list_zip(v.x, c.x), lambda p: (p[1] - p[2]) * (p[1] - p[2])))"
+    steps = []
+    for i in range(4):
+        steps.append(f"a{i} AS (SELECT vec_id, rid, x, min_by(k, d * 16 + k) AS k, min(d) AS d FROM (SELECT v.vec_id, v.rid, v.x, c.k, CAST({apart} AS BIGINT) AS d FROM v CROSS JOIN c{i} c) GROUP BY vec_id, rid, x)")
+        steps.append(
+            f"s{i} AS (SELECT k, i, sum(x[i]) AS s, count(*) AS n FROM a{i}, range(1, 65) r(i) GROUP BY k, i), "
+            f"c{i + 1} AS (SELECT c.k, coalesce(m.x, c.x) AS x FROM c{i} c LEFT JOIN (SELECT k, list(CAST((s - ((s % n) + n) % n) // n AS BIGINT) ORDER BY i) AS x FROM s{i} GROUP BY k) m ON c.k = m.k)"
+        )
+    return f"""
+WITH v AS (SELECT vec_id, row_number() OVER () AS rid, list_transform(embedding, lambda c: CAST(floor(64 * CAST(c AS DOUBLE)) AS BIGINT)) AS x FROM embeddings
+  WHERE len(embedding) = 64 AND len(list_filter(embedding, lambda c: c IS NULL OR isnan(c) OR isinf(c))) = 0),
+c0 AS (SELECT row_number() OVER (ORDER BY h, x) - 1 AS k, x FROM (SELECT sha256('1:' || vec_id) AS h, x FROM v WHERE vec_id IS NOT NULL ORDER BY h, x LIMIT 16)),
+{", ".join(steps[:-1])},
+t AS (SELECT k, CAST(sum(d) AS BIGINT) AS cluster_inertia FROM a3 GROUP BY k)
+SELECT a.vec_id, CAST(a.k AS INTEGER) AS cluster, a.d AS distance, t.cluster_inertia, CAST((SELECT sum(d) FROM a3) AS BIGINT) AS inertia, sha256(array_to_string(c3.x, ',')) AS centroid_sha256
+FROM a3 a JOIN t ON a.k = t.k JOIN c3 ON a.k = c3.k
+"""
+
+
+def op13_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Measures and verdict of every document."""
+    small_batches(spark)
+    judged = quality_rules.judge(table(spark, sf_dir, "documents").select("doc_id", "source", "text"))
+    return judged.select("doc_id", *quality_rules.MEASURES, "base_failed", "kept")
+
+
+OP13_SQL = """
+WITH d AS (SELECT row_number() OVER () AS rid, doc_id, source, coalesce(text, '') AS text FROM documents),
+w AS (SELECT *, regexp_extract_all(text, '[^\x20\x09-\x0D]+') AS words, list_filter(string_split(text, chr(10)), lambda l: regexp_matches(l, '[^\x20\x09-\x0D]')) AS lines FROM d),
+g AS (SELECT rid, unnest(range(1, len(words) - 3)) AS i, unnest(list_transform(range(1, len(words) - 3), lambda i: array_to_string(words[i:i+4], ' '))) AS s FROM w WHERE len(words) > 5),
+r AS (SELECT rid, i FROM (SELECT rid, i, count(*) OVER (PARTITION BY rid, s) AS n FROM g) WHERE n > 1),
+p AS (SELECT rid, count(DISTINCT i + o) AS n_repeat_words FROM r, range(0, 5) t(o) GROUP BY rid),
+m AS (SELECT w.rid, doc_id, source, len(words) AS n_words, length(regexp_replace(text, '[\x20\x09-\x0D]', '', 'g')) AS word_chars, length(regexp_replace(text, '[^#*$%&|<>]', '', 'g')) AS n_symbols,
+  CAST(len(lines) - len(list_distinct(lines)) AS BIGINT) AS n_dup_lines, coalesce(p.n_repeat_words, 0) AS n_repeat_words FROM w LEFT JOIN p ON w.rid = p.rid),
+f AS (SELECT *, n_words < 10 OR 100 * n_repeat_words > 20 * n_words AS base_failed FROM m),
+a AS (SELECT *, base_failed OR 100 * n_symbols > 10 * n_words OR 100 * n_dup_lines > 10 * n_words OR word_chars < 2 * n_words OR word_chars > 16 * n_words AS failed FROM f),
+h AS (SELECT source, count(*) AS n, count(*) FILTER (failed) AS bad FROM a WHERE source IS NOT NULL GROUP BY source),
+s AS (SELECT sum(bad) / sum(n) AS m, count(*) AS hosts, sum(n) AS docs, sum(bad * bad / n) - sum(bad) * sum(bad) / sum(n) AS between FROM h),
+v AS (SELECT m, (between - hosts * m * (1 - m)) / docs AS spread FROM s),
+k AS (SELECT m, spread, CASE WHEN spread > 0 THEN greatest(m * (1 - m) / spread - 1, 0) END AS weight FROM v),
+j AS (SELECT source, CASE WHEN spread > 0 THEN (bad + m * weight) / (n + weight) ELSE m END > 0.5 AS rejected FROM h, k)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND NOT coalesce(rejected, false) AS kept
+FROM a LEFT JOIN j ON a.source = j.source
+"""
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_token_index": op1_token_index,
     "op2_simhash": op2_simhash,
@@ -169,10 +234,15 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_licenses": op8_licenses,
     "op9_url_filter": op9_url_filter,
     "op10_token_rollup": op10_token_rollup,
+    "op11_whitening": op11_whitening,
+    "op12_centroids": op12_centroids,
+    "op13_quality": op13_quality,
 }
 
 ORACLE_SQL: dict[str, str] = {
     "op3_decontamination": OP3_SQL,
     "op8_licenses": OP8_SQL,
     "op9_url_filter": OP9_SQL,
+    "op12_centroids": _op12_sql(),
+    "op13_quality": OP13_SQL,
 }
