@@ -7,7 +7,8 @@ prefixes, and two rules are either nested or apart. A url has one key for each o
 its host's parent domains that has rules. Rule borders and url keys are sorted
 together; the sweep over them knows at each url key the innermost rule that is
 open, since at every border it notes the rule left on top of the stack: at the
-start of a rule the rule itself, at its end the rule around it.
+start of a rule the rule itself, at its end the rule around it. That rule comes
+from a sweep over the borders alone, in which the stack's height is a running sum.
 
 The sweep runs apart for each domain with rules, and a domain that holds many of
 the urls is swept in parallel slices, each with a copy of the domain's borders.
@@ -21,7 +22,8 @@ the longest host and path together wins, then the longer host. Of equal rules
 with different verdicts, block wins. Repeated rows each keep their result; an
 empty table gives none; without rules every url gets the default verdict. Other
 columns of the urls stay, but those of the names host, path, rule and verdict are
-replaced. Urls of any length are judged whole; a url that many rows share is
+replaced. Urls and rules of any length, with any number of labels, are judged whole, in
+time and memory in proportion to their length; a url that many rows share is
 judged once, and its verdict is broadcast to them (``skew.join_facts``).
 """
 
@@ -74,28 +76,24 @@ def rules_frame(spark: SparkSession, rules: list[tuple[str, str, str]]) -> DataF
 def _borders(rules: DataFrame) -> DataFrame:
     """Start and end of each rule's interval: domain, key, turn, top.
 
-    ``top`` is the rule on top of the stack right after the border. The rule
-    around another one is found among the prefixes of its path, an equi-join
-    whose size is bounded by the rules' own text.
+    ``top`` is the rule on top of the stack right after the border. Starts push
+    and ends pop, so the height of the stack is a running sum; what an end lays
+    bare is the last rule that was pushed at the height that is left.
     """
-    parents = (
-        rules.select("domain", "path", F.explode(F.expr("transform(sequence(0, length(path)), n -> substring(path, 1, n))")).alias("start"))
-        .filter(F.length("start") < F.length("path"))
-        .join(rules.select("domain", F.col("path").alias("start"), F.col("top").alias("around")), ["domain", "start"])
-        .groupBy("domain", "path")
-        .agg(F.max_by("around", F.length("start")).alias("around"))
-    )
-    nested = rules.join(parents, ["domain", "path"], "left")
     kind = rules.schema["top"].dataType
-    return nested.select(
+    borders = rules.select(
         "domain",
         F.explode(
             F.array(
-                F.struct(_key(F.col("path")).alias("key"), F.lit(1).alias("turn"), F.col("top").alias("top")),
-                F.struct(F.concat(_key(F.col("path")), F.lit(END)).alias("key"), F.lit(0).alias("turn"), F.col("around").cast(kind).alias("top")),
+                F.struct(_key(F.col("path")).alias("key"), F.lit(1).alias("turn"), F.col("top").alias("pushed")),
+                F.struct(F.concat(_key(F.col("path")), F.lit(END)).alias("key"), F.lit(0).alias("turn"), F.lit(None).cast(kind).alias("pushed")),
             )
         ).alias("b"),
-    ).select("domain", "b.key", "b.turn", "b.top")
+    ).select("domain", "b.key", "b.turn", "b.pushed")
+    along = Window.partitionBy("domain").orderBy("key", "turn").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    level = Window.partitionBy("domain", "height").orderBy("key", "turn").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    swept = borders.withColumn("height", F.sum(2 * F.col("turn") - 1).over(along))
+    return swept.select("domain", "key", "turn", F.last("pushed", ignorenulls=True).over(level).alias("top"))
 
 
 def _meet(keys: DataFrame, facts: DataFrame, broadcast: bool) -> DataFrame:
@@ -119,9 +117,11 @@ def match(urls: DataFrame, rules: DataFrame, *, url: str = "url", default: str =
     # Each host and path once, with the urls that have them; urls without a host meet no rule and are never shuffled.
     pairs = materialize(urls.filter("host <> ''").groupBy("host", "path").agg(F.count(F.lit(1)).alias("__rule_n")), "urls")
     total = pairs.agg(F.coalesce(F.sum("__rule_n"), F.lit(0))).first()[0]
-    # A key for each parent domain with rules.
+    # A key for each parent domain with as many labels as some rule's has; others meet no rule.
+    counts = [r["n"] for r in rules.select(F.size(F.split("domain", r"\.", -1)) - 1).toDF("n").distinct().orderBy("n").collect()]  # different numbers of labels
+    wanted = F.filter(F.array(*[F.lit(n) for n in counts]).cast("array<int>"), lambda n: n <= F.size("labels"))
     keys = pairs.withColumn("labels", F.reverse(F.split("host", r"\.", -1))).select(
-        "host", "path", F.explode(F.expr("transform(sequence(1, size(labels)), n -> concat(array_join(slice(labels, 1, n), '.'), '.'))")).alias("domain")
+        "host", "path", F.explode(F.transform(wanted, lambda n: F.concat(F.array_join(F.slice("labels", F.lit(1), n), "."), F.lit(".")))).alias("domain")
     )
     domains = rules.select("domain").distinct()
     broadcast = few(domains, BROADCAST_DOMAINS)

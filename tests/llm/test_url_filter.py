@@ -36,6 +36,24 @@ def test_hot_domain_is_sliced_and_whole(spark):
     assert {(r["rule"], r["count"]) for r in found} == {("org/fr/x", 1500), ("org/fr/", 1500)}
 
 
+def test_long_hosts_and_long_rule_paths(spark):
+    many = "http://" + "a." * 100_000 + "a.org/fr/x"
+    deep = "/" + "p/" * 5_000
+    rules = [*RULES, ("block", "deep.net", deep), ("allow", "deep.net", deep[:5000]), ("block", "deep.net", deep + "q"), ("block", ".".join("abcdefgh" * 40) + ".org", "/")]
+    urls = [many, "http://deep.net" + deep, "http://deep.net" + deep[:-2], "http://deep.net" + deep + "q/r", "http://deep.net/p", "http://x." + ".".join("abcdefgh" * 40) + ".org/z", "http://" + "." * 50_000 + "net/"]
+    frame = spark.createDataFrame(list(enumerate(urls)), "page_id long, url string")
+    found = rows(uf.match(frame, uf.rules_frame(spark, rules)), "page_id", "rule", "verdict")
+    assert found == sorted(((i, *brute(u, rules)[2:]) for i, u in enumerate(urls)), key=repr)
+
+
+def test_nested_and_neighbouring_rules(spark):
+    rules = [("block", "n.net", p) for p in ("/", "/a", "/ab", "/abc", "/b", "/ba", "/a/", "/a/x", "/\U0010ffff", "/\U0010fffe")] + [("allow", "n.net", p) for p in ("/abcd", "/ac", "/c")]
+    urls = [f"http://n.net{p}{t}" for _, _, p in rules for t in ("", "z", "/", "\U0010ffff")]
+    frame = spark.createDataFrame(list(enumerate(urls)), "page_id long, url string")
+    found = rows(uf.match(frame, uf.rules_frame(spark, rules)), "page_id", "rule", "verdict")
+    assert found == sorted(((i, *brute(u, rules)[2:]) for i, u in enumerate(urls)), key=repr)
+
+
 def test_empty_tables_and_clashing_columns(spark):
     frame = spark.createDataFrame([(1, "http://net/")], "page_id long, url string").selectExpr("*", "5 as domain", "6 as slice", "7 as top", "8 as rule", "9 as verdict", "10 as host", "11 as found")
     assert rows(uf.match(frame, uf.rules_frame(spark, RULES)), "page_id", "verdict") == [(1, "block")]
