@@ -160,9 +160,10 @@ def beta_draw(rng: np.random.Generator, alpha: float, beta: float) -> float | No
 # --- token vectors ----------------------------------------------------------
 
 
-def token_vectors(docs: DataFrame, *, dim: int = 32, most: int = 180) -> DataFrame:
-    """(id, token, embedding): a vector for each of the first ``most`` words, the same for the same word: signs of its hashes, normalised."""
-    words = F.slice(tx.tokens(F.col("text")), 1, most)
+def token_vectors(docs: DataFrame, *, dim: int = 32, most: int | None = None) -> DataFrame:
+    """(id, token, embedding): a vector for each word, or each of the first ``most``, the same for the same word: signs of its hashes, normalised."""
+    words = tx.tokens(F.col("text"))
+    words = words if most is None else F.slice(words, 1, most)
     rows = docs.select("id", F.posexplode(words).alias("token", "word"))
     bit = lambda i: F.when(F.call_function("shiftright", F.xxhash64("word"), i) % 2 == 0, F.lit(dim**-0.5)).otherwise(F.lit(-(dim**-0.5)))
     return rows.select("id", "token", F.transform(F.sequence(F.lit(0), F.lit(dim - 1)), lambda i: bit(i).cast("float")).alias("embedding"))

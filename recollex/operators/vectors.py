@@ -233,11 +233,13 @@ def consolidate(vectors: DataFrame, dim: int, *, threshold: float = 0.95, **opti
 # --- sparse and late interaction --------------------------------------------
 
 
-def sparse_encode(docs: DataFrame, *, text: str = "text", top: int = 64) -> DataFrame:
-    """(id, term, weight): 1 + ln(tf) of the ``top`` heaviest terms; a stand-in for a learned encoder."""
+def sparse_encode(docs: DataFrame, *, text: str = "text", top: int | None = None) -> DataFrame:
+    """(id, term, weight): 1 + ln(tf) of all terms, or of the ``top`` heaviest; a stand-in for a learned encoder."""
     from recollex.functions.text import tokens
 
     rows = docs.select("id", F.explode(tokens(F.col(text))).alias("term")).groupBy("id", "term").agg((1 + F.log(F.count(F.lit(1)))).alias("weight"))
+    if top is None:
+        return rows
     order = Window.partitionBy("id").orderBy(F.desc("weight"), "term")
     return rows.withColumn("r", F.row_number().over(order)).filter(F.col("r") <= top).drop("r")
 
@@ -246,8 +248,8 @@ def sparse_encode(docs: DataFrame, *, text: str = "text", top: int = 64) -> Data
 EXPANDED, SPREAD = 30_522, 4
 
 
-def sparse_expand(docs: DataFrame, *, text: str = "text", top: int = 64) -> DataFrame:
-    """(id, term, weight): each distinct word spread over ``SPREAD`` entries by its hashes, sums of ln(1 + share), the ``top`` heaviest; where no learned encoder is plugged in."""
+def sparse_expand(docs: DataFrame, *, text: str = "text", top: int | None = None) -> DataFrame:
+    """(id, term, weight): each distinct word spread over ``SPREAD`` entries by its hashes, sums of ln(1 + share), all or the ``top`` heaviest; where no learned encoder is plugged in."""
     from recollex.functions.text import tokens
 
     words = docs.select("id", F.explode(F.array_distinct(tokens(F.col(text)))).alias("word"))
@@ -255,6 +257,8 @@ def sparse_expand(docs: DataFrame, *, text: str = "text", top: int = 64) -> Data
     number = lambda start: F.conv(F.substring("h", start, 8), 16, 10).cast("long")
     parts = hashed.select("id", (number(1) % EXPANDED).alias("term"), F.log1p(number(9) / F.lit(2.0**32)).alias("weight"))
     sums = parts.groupBy("id", "term").agg(F.sum("weight").alias("weight"))
+    if top is None:
+        return sums
     order = Window.partitionBy("id").orderBy(F.desc(F.round("weight", 9)), "term")
     return sums.withColumn("r", F.row_number().over(order)).filter(F.col("r") <= top).drop("r")
 

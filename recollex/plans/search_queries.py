@@ -9,7 +9,10 @@ from recollex.functions import scores, text
 from recollex.operators import fulltext as ft
 from recollex.operators import fusion, predicates as pr
 from recollex.operators import vectors as vs
+from recollex.operators.blockmax import BlockMaxIndex
 from recollex.plans.models import BASE, DOCS, EVENTS, VECTORS, docs, events, vectors
+from recollex.session import table
+from recollex.storage import new_path
 
 ANY, ALL = "eringble OR thined OR nichtch", "eringble the"
 WHERE = (pr.eq("lang", "en") & pr.gte("n", 500)) | ~pr.within("source", ["src1", "src2", "src3"])
@@ -60,6 +63,13 @@ def token_rows(spark, sf_dir):
     return vectors(spark, sf_dir).select(F.floor(F.col("id") / 10).alias("id"), (F.col("id") % 10).alias("token"), "embedding")
 
 
+def block_max(spark, sf_dir):
+    """The ten documents with the greatest products with each benchmark item, by block maxima."""
+    index = BlockMaxIndex(spark, new_path(spark, "block-max")).add(vs.sparse_encode(docs(spark, sf_dir)))
+    items = vs.sparse_encode(table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("id"), "text"))
+    return _rounded(index.search_batch(items.select(F.col("id").alias("qid"), "term", F.col("weight").alias("q")), 10), "score")
+
+
 QUERIES = {
     "ft1_postings": lambda s, d: ft.postings(docs(s, d)).groupBy("term").agg(F.count(F.lit(1)).alias("df"), F.sum("tf").alias("cf")),
     "ft2_bm25_fts5_all": lambda s, d: _rounded(ft.search(docs(s, d), ALL, 20, idf="fts5"), "score"),
@@ -83,7 +93,8 @@ QUERIES = {
     "vs12_ma9_rotated_signs": lambda s, d: _rounded(vs.rotated_knn(vectors(s, d), query_vector(s, d), 10, pool=200), "distance"),
     "jn17_vs26_consolidate": lambda s, d: _rounded(vs.consolidate(vectors(s, d), 64, threshold=0.3), "cosine"),
     "jn19_neighbour_edges": neighbour_edges,
-    "vs19_vs20_ma14_sparse_dot": lambda s, d: _rounded(vs.sparse_search(vs.sparse_encode(docs(s, d)), {"eringble": 1.5, "thined": 0.5, "the": 0.1}, 20), "score"),
+    "vs20_block_max": block_max,
+    "vs19_ma14_sparse_dot": lambda s, d: _rounded(vs.sparse_search(vs.sparse_encode(docs(s, d)), {"eringble": 1.5, "thined": 0.5, "the": 0.1}, 20), "score"),
     "ag13_sparse_doc_count": lambda s, d: vs.sparse_encode(docs(s, d)).agg(F.countDistinct("id").alias("docs")),
     "ma13_max_sim": lambda s, d: _rounded(vs.max_sim(token_rows(s, d).filter("id = 0 and token < 4"), token_rows(s, d)).orderBy(F.desc("score")), "score"),
     "ag24_vs23_bucket_sums": lambda s, d: vs.bucket_sums(token_rows(s, d), 64).select("id", F.posexplode("fde").alias("at", "x")).filter("abs(x) > 1e-12").withColumn("x", F.round("x", 6)),
@@ -177,7 +188,7 @@ def _int8(src: str, k: int) -> str:
 
 
 _TWO = f"{_bm25(_ANY_TERMS, 1, 60, name='ha')}, live2 AS (SELECT *, count(*) OVER (PARTITION BY term) AS df FROM post WHERE term IN ('nichtch', 'the')), hb AS (SELECT id, sum(ln(1 + (n - df + 0.5) / (df + 0.5)) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * dl / avgdl))) AS score FROM live2, stat GROUP BY id ORDER BY round(score, 9) DESC, id LIMIT 60), a AS (SELECT id, row_number() OVER (ORDER BY score DESC, id) AS rank FROM ha), b AS (SELECT id, row_number() OVER (ORDER BY score DESC, id) AS rank FROM hb)"
-_SPARSE = "sp AS (SELECT id, term, 1 + ln(tf) AS weight FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY tf DESC, term) AS r FROM (SELECT id, term, count(*) AS tf FROM (SELECT doc_id AS id, unnest(list_filter(regexp_split_to_array(lower(text), '[^\\p{L}\\p{N}]+'), lambda t: t <> '')) AS term FROM documents) GROUP BY ALL)) WHERE r <= 64)"
+_SPARSE = "sp AS (SELECT id, term, 1 + ln(tf) AS weight FROM (SELECT id, term, count(*) AS tf FROM (SELECT doc_id AS id, unnest(list_filter(regexp_split_to_array(lower(text), '[^\\p{L}\\p{N}]+'), lambda t: t <> '')) AS term FROM documents) GROUP BY ALL))"
 _TOK = "tok AS (SELECT vec_id // 10 AS id, vec_id % 10 AS token, list_transform(embedding, lambda x: x::DOUBLE) AS e FROM embeddings)"
 
 ORACLE_SQL = {
@@ -199,7 +210,8 @@ ORACLE_SQL = {
     "vs14_hamming_int8": f"WITH {VECTORS}, {_Q}, pool AS (SELECT id, embedding FROM vectors, q ORDER BY {_HAM}, id LIMIT 80) {_int8('pool', 10)}",
     "ma8_matryoshka": f"WITH v0 AS (SELECT vec_id AS id, embedding[1:16] AS embedding FROM embeddings), q AS (SELECT embedding[1:16] AS q FROM embeddings WHERE vec_id = 0) {_knn(_COS, 10, 'v0')}",
     "ma10_codebook": "SELECT dim::INT AS dim, round(min(x)::DOUBLE, 6) AS low, round(max(x)::DOUBLE, 6) AS high FROM (SELECT unnest(embedding) AS x, unnest(range(0, len(embedding))) AS dim FROM embeddings) GROUP BY dim",
-    "vs19_vs20_ma14_sparse_dot": f"WITH {_SPARSE} SELECT id, round(score, 6) AS score FROM (SELECT id, sum(weight * CASE term WHEN 'eringble' THEN 1.5 WHEN 'thined' THEN 0.5 ELSE 0.1 END) AS score FROM sp WHERE term IN ('eringble', 'thined', 'the') GROUP BY id) ORDER BY round(score, 9) DESC, id LIMIT 20",
+    "vs20_block_max": f"WITH {_SPARSE}, qt AS (SELECT qid, term, 1 + ln(count(*)) AS q FROM (SELECT item_id AS qid, unnest(list_filter(regexp_split_to_array(lower(text), '[^\\p{{L}}\\p{{N}}]+'), lambda t: t <> '')) AS term FROM benchmark) GROUP BY ALL), s AS (SELECT qid, id, sum(weight * q) AS score FROM sp JOIN qt USING (term) GROUP BY ALL) SELECT qid, rank::INT AS rank, id, round(score, 6) AS score FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY round(score, 9) DESC, id) AS rank FROM s) WHERE rank <= 10",
+    "vs19_ma14_sparse_dot": f"WITH {_SPARSE} SELECT id, round(score, 6) AS score FROM (SELECT id, sum(weight * CASE term WHEN 'eringble' THEN 1.5 WHEN 'thined' THEN 0.5 ELSE 0.1 END) AS score FROM sp WHERE term IN ('eringble', 'thined', 'the') GROUP BY id) ORDER BY round(score, 9) DESC, id LIMIT 20",
     "ag13_sparse_doc_count": f"WITH {_SPARSE} SELECT count(DISTINCT id) AS docs FROM sp",
     "ma13_max_sim": f"WITH {_TOK} SELECT id, round(sum(best), 6) AS score FROM (SELECT a.id, b.token, max(list_dot_product(a.e, b.e)) AS best FROM tok a, tok b WHERE b.id = 0 AND b.token < 4 GROUP BY 1, 2) GROUP BY id",
     "vs25_ag18_conformal": "WITH r AS (SELECT abs(embedding[1]::DOUBLE) AS residual, row_number() OVER (ORDER BY abs(embedding[1]::DOUBLE)) AS r, count(*) OVER () AS n FROM embeddings) SELECT round(residual, 6) AS q FROM r WHERE r = greatest(ceil(least(0.9 * (1 + 1.0 / n), 1.0) * n - 1e-9), 1)",

@@ -566,7 +566,7 @@ ORACLE_SQL = {
     "xt23_index_rows": f"WITH {VECTORS}, {_CHANGED} SELECT id, {_SUM} AS s FROM v",
     "pf7_over_fetched": f"WITH v AS (SELECT vec_id AS id, embedding FROM embeddings WHERE label IN (1, 2, 3)), {_Q} {_knn(_COS, 10, 'v')}",
     "xt22_sign_pairs": f"WITH {VECTORS}, e AS (SELECT id, {_D64} AS e FROM vectors), {_ROTATED} SELECT a.id AS a, b.id AS b, round(cos(pi() * list_sum(list_transform(range(1, 65), lambda i: (a.t[i] <> b.t[i])::INT)) / 64), 6) AS estimate FROM r a JOIN r b ON b.id = a.id + 1 WHERE a.id % 2 = 0",
-    "xt15_xt16_token_vectors": f"SELECT doc_id AS id, least(len(w), 180)::BIGINT AS n, least(len(w), 180)::DOUBLE AS length FROM (SELECT doc_id, {_AT} AS w FROM documents) WHERE len(w) > 0",
+    "xt15_xt16_token_vectors": f"SELECT doc_id AS id, len(w)::BIGINT AS n, len(w)::DOUBLE AS length FROM (SELECT doc_id, {_AT} AS w FROM documents) WHERE len(w) > 0",
     "ag22_bloom": "SELECT shard, count(*) AS n, max(token) AS last FROM (SELECT DISTINCT doc_id % 6 AS shard, unnest(list_filter(regexp_split_to_array(text, '[\\s\\x0b]+'), lambda w: w <> '')) AS token FROM documents) GROUP BY shard",
     "xt24_centroids": "SELECT shard, n, i::INT AS i, round(x, 6) AS x FROM (SELECT vec_id % 6 AS shard, i, avg(x::DOUBLE) AS x, count(*) AS n FROM (SELECT vec_id, unnest(embedding) AS x, unnest(range(0, len(embedding))) AS i FROM embeddings) GROUP BY 1, 2)",
     "gr18_adjacency": f"WITH {GRAPH} SELECT from_id, to_id, rel, round(weight, 6) AS weight FROM edges",
@@ -606,7 +606,7 @@ ORACLE_SQL = {
     "sc12_convert": "SELECT DISTINCT sha256(text) AS h FROM documents WHERE trim(text) <> ''",
     "sc7_sqlite": f"WITH {DOCS} SELECT uri, meta, sha256(text) AS h FROM docs WHERE trim(text) <> ''",
     "vs13_router": _values([("new", 100, "exact"), ("new", 3000, "exact"), ("new", 50000, "exact"), ("seen", 100, "exact"), ("seen", 3000, "int8"), ("seen", 50000, "cascade"), ("low", 50000, "signs")], "stage, size, pick"),
-    "vs21_sparse_expansion": f"WITH w AS (SELECT DISTINCT doc_id AS id, unnest({_AT}) AS w FROM documents), h AS (SELECT id, md5(w || ':' || j) AS h FROM w, (SELECT unnest(range(0, 4)) AS j)), p AS (SELECT id, ('0x' || h[1:8])::BIGINT % 30522 AS term, sum(ln(1 + ('0x' || h[9:16])::BIGINT / 4294967296.0::DOUBLE)) AS weight FROM h GROUP BY 1, 2), t AS (SELECT * FROM p QUALIFY row_number() OVER (PARTITION BY id ORDER BY round(weight, 9) DESC, term) <= 64) SELECT id, count(*) AS n, sum(term)::BIGINT AS terms, round(sum(weight), 4) AS weight FROM t GROUP BY id",
+    "vs21_sparse_expansion": f"WITH w AS (SELECT DISTINCT doc_id AS id, unnest({_AT}) AS w FROM documents), h AS (SELECT id, md5(w || ':' || j) AS h FROM w, (SELECT unnest(range(0, 4)) AS j)), p AS (SELECT id, ('0x' || h[1:8])::BIGINT % 30522 AS term, sum(ln(1 + ('0x' || h[9:16])::BIGINT / 4294967296.0::DOUBLE)) AS weight FROM h GROUP BY 1, 2), t AS (SELECT * FROM p) SELECT id, count(*) AS n, sum(term)::BIGINT AS terms, round(sum(weight), 4) AS weight FROM t GROUP BY id",
     "st5_extract_worker": "WITH t AS (SELECT CASE WHEN regexp_matches(lower(text), 'decided|chose|we will') THEN 'decision' WHEN regexp_matches(lower(text), 'learned|turns out|lesson') THEN 'lesson' WHEN regexp_matches(lower(text), 'prefer|likes|hates') THEN 'preference' ELSE 'fact' END AS memory_type FROM documents) SELECT memory_type, CASE memory_type WHEN 'fact' THEN 0.5 WHEN 'preference' THEN 0.55 ELSE 0.6 END::DOUBLE AS confidence, count(*) AS n FROM t GROUP BY 1",
     "sc36_container": "SELECT doc_id AS id, sha256(text) AS h FROM documents",
     "xt27_container_search": f"WITH {DOCS}, {_bm25(_ANY_TERMS, 1, 20)} SELECT id, round(score, 6) AS score FROM hits",
