@@ -2,9 +2,9 @@
 
 A vector's nearest centroid c satisfies ``|‖c‖ - ‖v‖| <= u`` for any upper bound u
 of the distance to it. Centroids are kept sorted by norm; each vector's bound is
-its distance to the centroid whose norm is next to its own, binary search gives the
-run of centroids within the annulus, and these alone are compared, in exact integer
-arithmetic. Norms are floating point, so the annulus is wider by more than their
+its distance to the nearest of a few of them (about the square root of their
+number), binary search gives the run of centroids within the annulus, and these
+alone are compared, in exact integer arithmetic. Norms are floating point, so the annulus is wider by more than their
 error: a centroid on its border, which may tie, is inside.
 
 A round is one pass: each task assigns its vectors and sums them by cluster, and
@@ -58,22 +58,25 @@ def kept(rows: DataFrame, *, key: str, vector: str, dim: int = DIM, scale: int =
 
 
 class Annuli:
-    """Centroids (k x d integers) sorted by norm."""
+    """Centroids (k x d integers) sorted by norm; every so many of them, about the square root of k in all, are pivots for bounds."""
 
     def __init__(self, centroids: np.ndarray):
         norms = np.sqrt((centroids.astype(np.float64) ** 2).sum(axis=1))
         self.order = np.argsort(norms, kind="stable")
         self.norms, self.sorted = norms[self.order], centroids[self.order]
+        step = max(math.isqrt(len(norms)), 1)
+        self.pivots = self.sorted[step // 2 :: step].astype(np.float64)
+        self.pivot_squares = (self.pivots**2).sum(axis=1)
 
     def candidates(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """First and one past the last of the sorted centroids that each vector's annulus holds."""
-        norm = np.sqrt((x.astype(np.float64) ** 2).sum(axis=1))
-        at = np.clip(np.searchsorted(self.norms, norm), 1, max(len(self.norms) - 1, 1))
-        below = np.abs(self.norms[at - 1] - norm)
-        above = np.abs(self.norms[np.minimum(at, len(self.norms) - 1)] - norm)
-        near = np.where(below <= above, at - 1, np.minimum(at, len(self.norms) - 1))
-        bound = np.sqrt(((x - self.sorted[near]) ** 2).sum(axis=1).astype(np.float64))
-        bound += (norm + bound + 1) * 1e-9  # more than rounding can take away
+        v = x.astype(np.float64)
+        squares = (v**2).sum(axis=1)
+        nearest = (self.pivot_squares - 2 * (v @ self.pivots.T)).min(axis=1) + squares
+        # Both margins are more than rounding can take away.
+        bound = np.sqrt(np.maximum(nearest, 0) + 1e-11 * (squares + self.pivot_squares.max()))
+        norm = np.sqrt(squares)
+        bound += (norm + bound + 1) * 1e-9
         return np.searchsorted(self.norms, norm - bound, "left"), np.searchsorted(self.norms, norm + bound, "right")
 
     def nearest(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
