@@ -1,40 +1,63 @@
-"""A text index kept in a folder: built once, merged with what is new, read by the terms of a query alone.
+"""A positional text index kept in a folder: built once, merged with what is new, read by the terms of a query alone.
 
 A folder holds generations::
 
-    postings/gen=<n>/bucket=<b>/   term, id, tf, dl, sorted by term; b is a hash of the term
-    gone/gen=<n>/                  ids that were deleted or replaced before generation n
-    generations/<n>/               written last: n, docs, words, deletes; a generation without it does not exist
-
-A query names its terms' buckets, so other folders aren't opened, and the sorted
-terms let the Parquet reader skip row groups. Sizes for BM25 come from the commits,
-so no text and no posting of another term is read.
+    postings/gen=<n>/part=<p>/   term, id, tf, dl, positions, sorted by term and id
+    terms/gen=<n>/               the dictionary: term, parts (those that hold it), df, sorted by term
+    docs/gen=<n>/                id, dl, sorted by id
+    gone/gen=<n>/                ids that were deleted or replaced before generation n
+    generations/<n>/             written last: n, docs, words, deletes; a generation without it does not exist
+
+Parts are ranges of (term, id) with about ``PART`` postings each, so their number
+follows the size of what is added and a common term fills several. A query asks the
+dictionary for its terms or its prefix, opens their parts and no other, and within
+these the sorted terms let the Parquet reader skip. Positions are kept in order and
+written delta-packed. Sizes for BM25 come from the commits and a merge looks ids up
+in the table of documents, so no text and no posting of another term is read.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from functools import reduce
+
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from recollex.functions.text import tokens
 from recollex.operators import fulltext
-from recollex.storage import exists, materialize, new_path, remove, small
+from recollex.storage import Scratch, exists, materialize, new_path, remove, small
 
-BUCKETS = 64
-POSTING = "term string, id long, tf long, dl int, gen int, bucket int"
-COMMIT = "gen int, docs long, words long, deletes long, base boolean, buckets int"
+#: Postings in a part, about.
+PART = 1_000_000
+#: More terms than this are joined instead of named in the scan's filter.
+NAMED = 1000
+POSTING = "term string, id long, tf long, dl int, positions array<int>, gen int, part int"
+TERM = "term string, parts array<int>, df long, gen int"
+COMMIT = "gen int, docs long, words long, deletes long, base boolean"
+#: Delta packing instead of a dictionary of numbers.
+PACKED = {"parquet.writer.version": "v2", "parquet.enable.dictionary#positions.list.element": "false"}
 
 
-def _bucket(term: Column, buckets: int) -> Column:
-    return F.pmod(F.xxhash64(term), F.lit(buckets)).cast("int")
+def _before(start: str) -> str | None:
+    """The least string above all that begin with ``start``."""
+    while start:
+        if ord(start[-1]) < 0x10FFFF:
+            after = ord(start[-1]) + 1
+            return start[:-1] + chr(0xE000 if 0xD800 <= after <= 0xDFFF else after)
+        start = start[:-1]
+    return None
 
 
 class TextIndex:
-    """Index of documents (id, and the text ``fields``) under ``path``; an index that is there keeps its number of buckets."""
+    """Index of documents (id, and the text ``fields``) under ``path``.
 
-    def __init__(self, spark: SparkSession, path: str, *, fields: tuple[str, ...] = ("title", "text"), buckets: int = BUCKETS):
-        self.spark, self.path, self.fields = spark, path, fields
-        live = self.generations()
-        self.buckets = live[-1]["buckets"] if live else buckets
+    Fields are told apart by a gap of one position, so no phrase runs from one into
+    the next. Null texts count as empty; documents without words count for BM25's
+    averages, and rows without an id are left out. An addition holds each id once.
+    """
+
+    def __init__(self, spark: SparkSession, path: str, *, fields: tuple[str, ...] = ("title", "text"), part: int = PART):
+        self.spark, self.path, self.fields, self.part = spark, path, fields, part
 
     def generations(self) -> list:
         """Commits that count: the newest base and what came after it."""
@@ -45,107 +68,175 @@ class TextIndex:
         return rows[start:]
 
     def _commit(self, gen: int, docs: int, words: int, deletes: int, base: bool) -> None:
-        row = self.spark.range(1).select(F.lit(gen).alias("gen"), F.lit(docs).alias("docs"), F.lit(words).alias("words"), F.lit(deletes).alias("deletes"), F.lit(base).alias("base"), F.lit(self.buckets).alias("buckets"))
+        row = self.spark.range(1).select(F.lit(gen).alias("gen"), F.lit(docs).alias("docs"), F.lit(words).alias("words"), F.lit(deletes).alias("deletes"), F.lit(base).alias("base"))
         row.coalesce(1).write.mode("overwrite").json(f"{self.path}/generations/{gen}")
 
-    def _write(self, postings: DataFrame, gen: int) -> None:
-        placed = postings.withColumn("bucket", _bucket(F.col("term"), self.buckets))
-        # A bucket with a term that most documents have is written by several tasks, dealt by document.
-        placed = placed.repartition("bucket", F.pmod(F.xxhash64("id"), F.lit(4))).sortWithinPartitions("bucket", "term")
-        placed.write.mode("overwrite").partitionBy("bucket").parquet(f"{self.path}/postings/gen={gen}")
-
-    def _next(self) -> int:
-        live = self.generations()
-        return live[-1]["gen"] + 1 if live else 0
+    def _cut(self, docs: DataFrame) -> DataFrame:
+        """(term, id, tf, dl, positions) of documents, whose texts are cut into words once."""
+        cut = [tokens(F.coalesce(F.col(f).cast("string"), F.lit(""))) for f in self.fields]
+        rows = docs.select(F.col("id").cast("long").alias("id"), F.array(*cut).alias("fields"))
+        starts = [F.lit(j) + sum((F.size(F.get("fields", F.lit(i))) for i in range(j)), F.lit(0)) for j in range(len(cut))]
+        placed = F.flatten(F.transform(F.col("fields"), lambda ws, j: F.transform(ws, lambda w, i: F.struct(w.alias("term"), (i + F.get(F.array(*starts), j)).cast("int").alias("pos")))))
+        words = rows.select("id", F.aggregate("fields", F.lit(0), lambda n, ws: n + F.size(ws)).alias("dl"), F.explode(placed).alias("w"))
+        found = words.groupBy(F.col("w.term").alias("term"), "id").agg(F.array_sort(F.collect_list("w.pos")).alias("positions"), F.max("dl").alias("dl"))
+        return found.select("term", "id", F.size("positions").cast("long").alias("tf"), "dl", "positions")
+
+    def _write(self, postings: DataFrame, sizes: DataFrame, gen: int) -> None:
+        """postings, written already: they are counted and dealt to parts."""
+        parts = max(-(-postings.count() // self.part), 1)
+        dealt = postings.repartitionByRange(parts, "term", "id").sortWithinPartitions("term", "id").withColumn("part", F.spark_partition_id())
+        dealt.write.mode("overwrite").options(**PACKED).partitionBy("part").parquet(f"{self.path}/postings/gen={gen}")
+        held = self.spark.read.schema(POSTING).option("basePath", f"{self.path}/postings").parquet(f"{self.path}/postings/gen={gen}")
+        known = held.groupBy("term").agg(F.array_sort(F.collect_set("part")).alias("parts"), F.count(F.lit(1)).alias("df"))
+        few = max(parts // 64, 1)
+        known.repartitionByRange(few, "term").sortWithinPartitions("term").write.mode("overwrite").parquet(f"{self.path}/terms/gen={gen}")
+        sizes.select("id", "dl").repartitionByRange(few, "id").sortWithinPartitions("id").write.mode("overwrite").parquet(f"{self.path}/docs/gen={gen}")
 
     def build(self, docs: DataFrame) -> TextIndex:
         """Index all of ``docs`` anew; older generations are no longer read."""
         return self._add(docs, None, True)
 
     def merge(self, docs: DataFrame | None = None, deleted: DataFrame | None = None) -> TextIndex:
-        """Add documents, replacing those of the same ids, and drop deleted ids, also such as are added here; what is indexed already is not tokenized again."""
+        """Add documents, replacing those of the same ids, and drop deleted ids, also such as are added here; what is indexed already is neither tokenized nor read."""
         return self._add(docs, deleted, not self.generations())
 
     def _add(self, docs: DataFrame | None, deleted: DataFrame | None, base: bool) -> TextIndex:
-        gen = self._next()
         live = self.generations()
+        gen = live[-1]["gen"] + 1 if live else 0
+        scratch = Scratch(self.spark, "text-index")
         if docs is not None and deleted is not None:
             docs = docs.join(deleted.select("id").distinct(), "id", "left_anti")
-        ids = [df.select("id") for df in (docs, deleted) if df is not None]
-        out = None
+        ids = [df.select(F.col("id").cast("long").alias("id")).filter("id is not null") for df in (docs, deleted) if df is not None]
+        lost, lost_words = 0, 0
         if ids and not base:
-            out = ids[0] if len(ids) == 1 else ids[0].union(ids[1])
-            out = materialize(self.sizes().join(out.distinct(), "id", "left_semi"), "gone", f"{self.path}/gone/gen={gen}")
-        lost, lost_words = out.agg(F.count(F.lit(1)), F.coalesce(F.sum("dl"), F.lit(0))).first() if out is not None else (0, 0)
+            named = scratch.write(reduce(DataFrame.union, ids).distinct(), "named")
+            low, high = named.agg(F.min("id"), F.max("id")).first()
+            held = self.sizes().filter(F.col("id").between(low, high)) if low is not None else self.sizes().limit(0)
+            out = materialize(held.join(small(named), "id", "left_semi"), "gone", f"{self.path}/gone/gen={gen}")
+            lost, lost_words = out.agg(F.count(F.lit(1)), F.coalesce(F.sum("dl"), F.lit(0))).first()
         n = words = 0
         if docs is not None:
-            rows = fulltext.postings(docs, fields=self.fields)
-            self._write(rows, gen)
-            n, words = fulltext.corpus_stats(docs, fields=self.fields).select("n", F.round(F.coalesce(F.col("n") * F.col("avgdl"), F.lit(0.0))).cast("long")).first()
+            docs = docs.filter("id is not null")
+            rows = scratch.write(self._cut(docs), "postings")
+            sized = rows.groupBy("id").agg(F.sum("tf").cast("int").alias("dl"))
+            sizes = scratch.write(docs.select(F.col("id").cast("long").alias("id")).distinct().join(sized, "id", "left").withColumn("dl", F.coalesce("dl", F.lit(0))), "sizes")
+            self._write(rows, sizes, gen)
+            n, words = sizes.agg(F.count(F.lit(1)), F.coalesce(F.sum("dl"), F.lit(0))).first()
         before = (0, 0) if base or not live else (live[-1]["docs"], live[-1]["words"])
         self._commit(gen, before[0] + n - lost, before[1] + words - lost_words, lost, base)
+        scratch.drop(*list(scratch.live))
         return self
 
-    def _read(self) -> DataFrame:
-        live = self.generations()
-        gens = [r["gen"] for r in live]
-        found = [g for g in gens if exists(self.spark, f"{self.path}/postings/gen={g}")]
+    def _all(self, what: str, schema: str) -> DataFrame:
+        found = [p for r in self.generations() if exists(self.spark, p := f"{self.path}/{what}/gen={r['gen']}")]
         if not found:
-            return self.spark.createDataFrame([], POSTING)
-        rows = self.spark.read.schema(POSTING).option("basePath", f"{self.path}/postings").parquet(*[f"{self.path}/postings/gen={g}" for g in found])
-        gone = [r["gen"] for r in live if r["deletes"]]
-        if gone:
-            ids = None
-            for g in gone:
-                part = self.spark.read.schema("id long, dl int").parquet(f"{self.path}/gone/gen={g}").select(F.col("id").alias("_id"), F.lit(g).alias("_before"))
-                ids = part if ids is None else ids.unionByName(part)
-            last = small(ids.groupBy("_id").agg(F.max("_before").alias("_before")))
-            rows = rows.join(last, (F.col("id") == F.col("_id")) & (F.col("gen") < F.col("_before")), "left_anti")
-        return rows
+            return self.spark.createDataFrame([], schema)
+        return self.spark.read.schema(schema).option("basePath", f"{self.path}/{what}").parquet(*found)
+
+    def _live(self, rows: DataFrame) -> DataFrame:
+        """Rows of documents that no later generation replaced or deleted."""
+        gone = [r["gen"] for r in self.generations() if r["deletes"]]
+        if not gone:
+            return rows
+        ids = self.spark.read.schema("id long, dl int, gen int").option("basePath", f"{self.path}/gone").parquet(*[f"{self.path}/gone/gen={g}" for g in gone])
+        last = small(ids.groupBy(F.col("id").alias("_id")).agg(F.max("gen").alias("_before")))
+        return rows.join(last, (F.col("id") == F.col("_id")) & (F.col("gen") < F.col("_before")), "left_anti")
 
     def sizes(self) -> DataFrame:
-        """(id, dl) of the documents that are indexed and have words."""
-        return self._read().groupBy("id").agg(F.max("dl").alias("dl"))
-
-    def postings(self, terms: list[str]) -> DataFrame:
-        """(term, id, tf, dl) of these terms, from their buckets alone."""
-        if not terms:
-            return self._read().filter(F.lit(False)).drop("gen", "bucket")
-        listed = [F.lit(t) for t in terms]
-        buckets = sorted({r["b"] for r in self.spark.range(1).select(F.explode(F.array(*listed)).alias("t")).select(_bucket(F.col("t"), self.buckets).alias("b")).collect()})  # of a query's terms
-        return self._read().filter(F.col("bucket").isin(buckets) & F.col("term").isin(terms)).drop("gen", "bucket")
-
-    def stats(self) -> DataFrame:
-        """(n, avgdl), one row, from the last commit."""
+        """(id, dl) of the documents that are indexed."""
+        return self._live(self._all("docs", "id long, dl int, gen int")).select("id", "dl")
+
+    def terms(self, start: str = "") -> DataFrame:
+        """(term, parts, df, gen): the dictionary from ``start`` on, of all terms that begin so; df counts what later generations replaced."""
+        known = self._all("terms", TERM)
+        if start:
+            known = known.filter(F.col("term") >= start)
+            if above := _before(start):
+                known = known.filter(F.col("term") < above)
+        return known
+
+    def postings(self, terms: list[str] | None = None, *, start: str | None = None) -> DataFrame:
+        """(term, id, tf, dl, positions) of these terms, or of all that begin with ``start``, from their parts alone."""
+        rows = self._all("postings", POSTING)
+        if start is not None:
+            known, wanted = self.terms(start), F.startswith("term", F.lit(start))
+        else:
+            terms = list(dict.fromkeys(terms or []))
+            if not terms:
+                return rows.filter(F.lit(False)).drop("gen", "part")
+            known, wanted = self._of(self._all("terms", TERM), terms), None
+        parts = [r["part"] for r in known.select(F.explode("parts").alias("part")).distinct().collect()]  # numbers of parts
+        rows = rows.filter(F.col("part").isin(parts))
+        rows = rows.filter(wanted) if wanted is not None else self._of(rows, terms)
+        return self._live(rows).drop("gen", "part")
+
+    def _of(self, rows: DataFrame, terms: list[str]) -> DataFrame:
+        if len(terms) <= NAMED:
+            return rows.filter(F.col("term").isin(terms))
+        return rows.join(small(self.spark.createDataFrame([(t,) for t in terms], "term string")), "term", "left_semi")
+
+    def stats(self, within: DataFrame | None = None) -> DataFrame:
+        """(n, avgdl), one row: from the last commit, or of the ids in ``within``."""
+        if within is not None:
+            return self.sizes().join(within.select("id").distinct(), "id", "left_semi").agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.avg("dl"), F.lit(0.0)).alias("avgdl"))
         live = self.generations()
         n, words = (live[-1]["docs"], live[-1]["words"]) if live else (0, 0)
         return self.spark.range(1).select(F.lit(n).cast("long").alias("n"), F.lit(words / n if n else 0.0).alias("avgdl"))
 
-    def search_batch(self, queries: dict[int, fulltext.Query], limit: int, **options) -> DataFrame:
-        """(qid, rank, id, score) of many queries."""
+    def search_batch(self, queries: dict[int, fulltext.Query], limit: int, *, within: DataFrame | None = None, **options) -> DataFrame:
+        """(qid, rank, id, score) of many queries; ``within`` (id) leaves only these documents, for the statistics too."""
         terms = sorted({t for q in queries.values() for t in q.terms})
-        hits = fulltext.bm25(self.postings(terms), self.stats(), fulltext.query_frame(self.spark, queries), **options)
+        held = self.postings(terms).drop("positions")
+        if within is not None:
+            held = held.join(within.select("id").distinct(), "id", "left_semi")
+        hits = fulltext.bm25(held, self.stats(within), fulltext.query_frame(self.spark, queries), **options)
         order = Window.partitionBy("qid").orderBy(F.desc(F.round("score", 9)), "id")
         return hits.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= limit)
 
-    def search(self, query: str | fulltext.Query, limit: int, **options) -> DataFrame:
+    def search(self, query: str | fulltext.Query, limit: int, *, within: DataFrame | None = None, **options) -> DataFrame:
         """(id, score), as ``fulltext.search`` gives it."""
         compiled = fulltext.compile_query(query) if isinstance(query, str) else query
-        asked = fulltext.query_frame(self.spark, {0: compiled} if compiled else {})
-        hits = fulltext.bm25(self.postings(list(compiled.terms) if compiled else []), self.stats(), asked, **options)
+        hits = self.search_batch({0: compiled} if compiled else {}, limit, within=within, **options)
         return hits.select("id", "score").orderBy(F.desc(F.round("score", 9)), "id").limit(limit)
 
+    def phrase(self, words: list[str]) -> DataFrame:
+        """(id, times): documents with the words next to each other in this order. The words' postings are joined by document, the rarest first, and their places intersected."""
+        if not words:
+            return self.postings([]).select("id", F.lit(0).cast("long").alias("times"))
+        often = {r["term"]: r["df"] for r in self._of(self._all("terms", TERM), list(dict.fromkeys(words))).groupBy("term").agg(F.sum("df").alias("df")).collect()}  # of the words
+        held = self.postings(words)
+        out = None
+        for i in sorted(range(len(words)), key=lambda i: (often.get(words[i], 0), i)):
+            own = held.filter(F.col("term") == words[i]).select("id", F.transform("positions", lambda p: p - i).alias("_own" if out is not None else "starts"))  # noqa: B023
+            if out is not None:
+                own = out.join(own, "id").select("id", F.array_intersect("starts", "_own").alias("starts")).filter(F.size("starts") > 0)
+            out = own
+        return out.select("id", F.size("starts").cast("long").alias("times"))
+
+    def prefix(self, start: str) -> DataFrame:
+        """(id, tf): documents with a term that begins so."""
+        return self.postings(start=start).groupBy("id").agg(F.sum("tf").alias("tf"))
+
+    def any_of(self, *, words: tuple[str, ...] = (), phrases: tuple[tuple[str, ...], ...] = (), prefixes: tuple[str, ...] = ()) -> DataFrame:
+        """(id, parts): documents that have one of these, and how many of them."""
+        legs = [self.postings([w]).select("id") for w in dict.fromkeys(words)] + [self.phrase(list(p)).select("id") for p in dict.fromkeys(phrases)] + [self.prefix(p).select("id") for p in dict.fromkeys(prefixes)]
+        if not legs:
+            return self.postings([]).select("id", F.lit(0).cast("long").alias("parts"))
+        return reduce(DataFrame.unionByName, legs).groupBy("id").agg(F.count(F.lit(1)).alias("parts"))
+
     def compact(self) -> TextIndex:
         """All generations as one, without what was deleted; folded folders go."""
         live = self.generations()
         if len(live) < 2:
             return self
-        gen = self._next()
-        self._write(self._read().drop("gen", "bucket"), gen)
+        gen, scratch = live[-1]["gen"] + 1, Scratch(self.spark, "text-index")
+        rows = scratch.write(self._live(self._all("postings", POSTING)).drop("gen", "part"), "postings")
+        self._write(rows, self.sizes(), gen)
         self._commit(gen, live[-1]["docs"], live[-1]["words"], 0, True)
         for r in live:
-            remove(self.spark, f"{self.path}/postings/gen={r['gen']}")
-            remove(self.spark, f"{self.path}/gone/gen={r['gen']}")
+            for what in ("postings", "terms", "docs", "gone"):
+                remove(self.spark, f"{self.path}/{what}/gen={r['gen']}")
+        scratch.drop("postings")
         return self
 
 

@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from recollex.operators.textindex import TextIndex
 from recollex.session import table
+from recollex.storage import new_path, stamp
 
 NOW = 1_706_745_600  # 2024-02-01
 BASE = 1_704_067_200  # 2024-01-01
@@ -106,3 +108,19 @@ def tag_rows(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
 
 TAGS = """doc_tags AS (SELECT id AS doc_id, 'lang:' || lang AS tag FROM docs UNION ALL SELECT id, 'src:' || source FROM docs WHERE id % 2 = 0),
 tags AS (SELECT DISTINCT tag FROM doc_tags UNION ALL SELECT 'unused')"""
+
+
+_KEPT: dict[tuple, TextIndex] = {}
+
+
+def kept_text(spark: SparkSession, sf_dir: str, name: str = "documents") -> TextIndex:
+    """The standing text index of the documents (or of the events' kinds and agents), built once for a session and the files' state."""
+    path = f"{sf_dir}/{name}.parquet"
+    key = (spark.sparkContext.applicationId, path, stamp(spark, path))
+    if key not in _KEPT:
+        if name == "documents":
+            rows, fields = docs(spark, sf_dir).select("id", "title", "text"), ("title", "text")
+        else:
+            rows, fields = events(spark, sf_dir).select(F.col("event_id").alias("id"), F.concat("kind", F.lit(" "), "agent").alias("text")), ("text",)
+        _KEPT[key] = TextIndex(spark, new_path(spark, f"kept-{name}"), fields=fields).build(rows)
+    return _KEPT[key]

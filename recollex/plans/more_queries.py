@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from recollex.operators import corpus as cp, events as ev, fulltext as ft, fusion, learning as ln, packing as pk, vectors as vs
 from recollex.functions import text as tx, time as tm
-from recollex.plans.models import BASE, DECISIONS, DOCS, EVENTS, MEMORIES, NOW, VECTORS, costs, decisions, docs, events, memories, vectors
+from recollex.plans.models import BASE, DECISIONS, DOCS, EVENTS, MEMORIES, NOW, VECTORS, costs, decisions, docs, events, kept_text, memories, vectors
 from recollex.plans.search_queries import _ANY_TERMS, _COS, _Q, ANY, _bm25, query_vector
 from recollex.session import table
 from recollex.sources.media import frames_of
@@ -67,8 +67,8 @@ def _periods(s, d):
 
 
 QUERIES = {
-    "pf8_meta_of_hits": lambda s, d: ft.search(docs(s, d), ANY, 20).select("id").join(docs(s, d).select("id", "meta"), "id"),
-    "jn1_hits_with_docs": lambda s, d: _r(ft.search(docs(s, d), ANY, 20).join(docs(s, d).select("id", "uri", "title"), "id"), "score"),
+    "pf8_meta_of_hits": lambda s, d: kept_text(s, d).search(ANY, 20).select("id").join(docs(s, d).select("id", "meta"), "id"),
+    "jn1_hits_with_docs": lambda s, d: _r(kept_text(s, d).search(ANY, 20).join(docs(s, d).select("id", "uri", "title"), "id"), "score"),
     "jn2_vectors_with_docs": lambda s, d: _r(vs.knn(vectors(s, d), query_vector(s, d), 20).join(docs(s, d).select("id", "uri"), "id"), "distance"),
     "jn6_memories_with_text": lambda s, d: memories(s, d).join(docs(s, d).select(F.col("id").alias("doc_id"), F.length("text").alias("chars")), "doc_id").groupBy("memory_type").agg(F.sum("chars").alias("chars")),
     "jn7_bfs_step": _step,

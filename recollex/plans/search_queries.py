@@ -10,7 +10,7 @@ from recollex.operators import fulltext as ft
 from recollex.operators import fusion, predicates as pr
 from recollex.operators import vectors as vs
 from recollex.operators.blockmax import BlockMaxIndex
-from recollex.plans.models import BASE, DOCS, EVENTS, VECTORS, docs, events, vectors
+from recollex.plans.models import BASE, DOCS, EVENTS, VECTORS, docs, events, kept_text, vectors
 from recollex.session import table
 from recollex.storage import new_path
 
@@ -29,23 +29,23 @@ def _rounded(df: DataFrame, *columns: str) -> DataFrame:
 def hybrid(spark: SparkSession, sf_dir: str, limit: int = 20) -> DataFrame:
     """Lexical and vector legs at three times the limit, fused by rank; text is fetched for the hits alone."""
     d, v = docs(spark, sf_dir), vectors(spark, sf_dir)
-    lex = fusion.ranked(ft.search(d, ANY, 3 * limit), "fts")
+    lex = fusion.ranked(kept_text(spark, sf_dir).search(ANY, 3 * limit), "fts")
     vec = fusion.ranked(vs.knn(v, query_vector(spark, sf_dir), 3 * limit), "vec", by="distance", descending=False)
     fused = fusion.rrf([lex, vec], limit, sources=True)
     return fused.join(d.select("id", "uri"), "id", "left").select("id", F.round("score", 9).alias("score"), "source", "uri")
 
 
 def filtered_hybrid(spark, sf_dir, limit=20):
-    d = pr.filtered(docs(spark, sf_dir), WHERE).select("id", "title", "text")
-    v = vectors(spark, sf_dir).join(d.select("id"), "id", "left_semi")
-    lex = fusion.ranked(ft.search(d, ANY, 3 * limit), "fts")
+    d = pr.filtered(docs(spark, sf_dir), WHERE).select("id")
+    v = vectors(spark, sf_dir).join(d, "id", "left_semi")
+    lex = fusion.ranked(kept_text(spark, sf_dir).search(ANY, 3 * limit, within=d), "fts")
     vec = fusion.ranked(vs.knn(v, query_vector(spark, sf_dir), 3 * limit), "vec", by="distance", descending=False)
     return _rounded(fusion.rrf([lex, vec], limit), "score")
 
 
 def _legs(spark, sf_dir):
-    d = docs(spark, sf_dir)
-    return [fusion.ranked(ft.search(d, ANY, 60), "a"), fusion.ranked(ft.search(d, "nichtch OR the", 60), "b")]
+    index = kept_text(spark, sf_dir)
+    return [fusion.ranked(index.search(ANY, 60), "a"), fusion.ranked(index.search("nichtch OR the", 60), "b")]
 
 
 def neighbour_edges(spark, sf_dir):
@@ -72,14 +72,15 @@ def block_max(spark, sf_dir):
 
 QUERIES = {
     "ft1_postings": lambda s, d: ft.postings(docs(s, d)).groupBy("term").agg(F.count(F.lit(1)).alias("df"), F.sum("tf").alias("cf")),
-    "ft2_bm25_fts5_all": lambda s, d: _rounded(ft.search(docs(s, d), ALL, 20, idf="fts5"), "score"),
-    "sl1_ft3_bm25_any": lambda s, d: _rounded(ft.search(docs(s, d), ANY, 20), "score"),
-    "ft4_event_phrase": lambda s, d: ft.phrase(events(s, d).select(F.col("event_id").alias("id"), F.concat("kind", F.lit(" "), "agent").alias("text")), ["view", "agent3"]),
-    "ft4_prefix": lambda s, d: ft.prefix(ft.postings(docs(s, d)), "eringb"),
+    "ft2_bm25_fts5_all": lambda s, d: _rounded(kept_text(s, d).search(ALL, 20, idf="fts5"), "score"),
+    "sl1_ft3_bm25_any": lambda s, d: _rounded(kept_text(s, d).search(ANY, 20), "score"),
+    "ft4_event_phrase": lambda s, d: kept_text(s, d, "events").phrase(["view", "agent3"]),
+    "ft4_prefix": lambda s, d: kept_text(s, d).prefix("eringb"),
+    "ft4_ft8_any_of": lambda s, d: kept_text(s, d).any_of(words=("eringble", "nichtch"), phrases=(("of", "the"), ("und", "der")), prefixes=("thin", "eringb")),
     "ft6_like_search": lambda s, d: ft.like_search(docs(s, d), "Eringble", ["title", "text"], 50, key="id").select("id", "uri"),
     "ft8_incremental_postings": lambda s, d: ft.newer_postings(docs(s, d), 900).groupBy("id").agg(F.sum("tf").alias("terms")),
     "ft9_verify_hashes": lambda s, d: ft.broken_hashes(docs(s, d).withColumn("hash", F.when(F.col("id") % 50 == 0, F.lit("bad")).otherwise(F.sha2("text", 256)))).select("id"),
-    "sl15_search_batch": lambda s, d: _rounded(ft.search_batch(docs(s, d), {1: ft.compile_query(ANY), 2: ft.compile_query(ALL), 3: ft.compile_loose("nichtch")}, 10), "score"),
+    "sl15_search_batch": lambda s, d: _rounded(kept_text(s, d).search_batch({1: ft.compile_query(ANY), 2: ft.compile_query(ALL), 3: ft.compile_loose("nichtch")}, 10), "score"),
     "sl2_sl4_knn_cosine": lambda s, d: _rounded(vs.knn(vectors(s, d), query_vector(s, d), 20), "distance"),
     "sl3_ma11_knn_l2": lambda s, d: vs.knn(vectors(s, d), query_vector(s, d), 20, metric="l2").select("id", F.round(scores.distance_score(F.col("distance")), 6).alias("score")),
     "xt31_knn_dot": lambda s, d: _rounded(vs.knn(vectors(s, d), query_vector(s, d), 20, metric="dot"), "distance"),
@@ -101,9 +102,9 @@ QUERIES = {
     "vs25_ag18_conformal": lambda s, d: _rounded(vs.conformal_quantile(vectors(s, d).select("id", (F.abs(F.element_at("embedding", 1).cast("double"))).alias("residual")), 0.1), "q"),
     "wn2_wn6_vs29_hybrid_rrf": hybrid,
     "pf6_filtered_hybrid": filtered_hybrid,
-    "pf4_filtered_lexical": lambda s, d: _rounded(ft.search(pr.filtered(docs(s, d), WHERE), ANY, 20), "score"),
+    "pf4_filtered_lexical": lambda s, d: _rounded(kept_text(s, d).search(ANY, 20, within=pr.filtered(docs(s, d), WHERE)), "score"),
     "pf5_filtered_vector": lambda s, d: _rounded(vs.knn(vectors(s, d).filter("label in (1, 2, 3)"), query_vector(s, d), 10), "distance"),
-    "pf9_scope": lambda s, d: _rounded(ft.search(pr.in_scope(docs(s, d), "lang", "en"), ANY, 20), "score"),
+    "pf9_scope": lambda s, d: _rounded(kept_text(s, d).search(ANY, 20, within=pr.in_scope(docs(s, d), "lang", "en")), "score"),
     "pf1_predicate": lambda s, d: pr.filtered(docs(s, d), WHERE).select("id"),
     "pf1_predicate_ne_missing": lambda s, d: pr.filtered(docs(s, d), pr.ne("absent", 1) | ~pr.eq("lang", "de")).select("id"),
     "pf11_timeline_between": lambda s, d: pr.timeline_between(docs(s, d), BASE + 6000, BASE + 30000, 50).select("id", "event_ts"),
@@ -116,11 +117,11 @@ QUERIES = {
     "pf19_relevance_floor": lambda s, d: docs(s, d).select("id", F.round(text.grade(F.lit("eringble thined nichtch the"), F.col("text")), 6).alias("grade")).filter("grade >= 0.5"),
     "wn3_rrf_typed": lambda s, d: _rounded(fusion.rrf_typed(_legs(s, d), docs(s, d).select("id", F.when(F.col("id") % 2 == 0, "fact").otherwise("episodic").alias("memory_type")), {"a": 1.0, "b": 0.5}, 20), "score").select("id", "score"),
     "wn4_rrf_blend": lambda s, d: _rounded(fusion.rrf_blend(*_legs(s, d), 0.3, 20), "score"),
-    "wn10_relative": lambda s, d: _rounded(fusion.relative(ft.search(docs(s, d), ANY, 20)), "score", "relevance"),
+    "wn10_relative": lambda s, d: _rounded(fusion.relative(kept_text(s, d).search(ANY, 20)), "score", "relevance"),
     "wn11_take_while_fits": lambda s, d: fusion.take_while_fits(docs(s, d).select("id", F.col("n_chars").alias("tokens"), F.col("id").alias("score")), 50000).select("id", "used"),
     "wn12_serial_order": lambda s, d: fusion.serial_order(docs(s, d).select("id", (F.col("id") + 1).alias("rank"))),
     "wn13_cache_stable_order": lambda s, d: fusion.cache_stable_order(docs(s, d).select("id", (F.col("id") + 1).alias("rank")), [30, 7]),
-    "sl12_scoped_rank": lambda s, d: _rounded(fusion.scoped_rank(ft.search(docs(s, d), ANY, 60).join(docs(s, d).select("id", "title", "text"), "id"), "eringble", ["thined", "the"], 20).select("id", "score"), "score"),
+    "sl12_scoped_rank": lambda s, d: _rounded(fusion.scoped_rank(kept_text(s, d).search(ANY, 60).join(docs(s, d).select("id", "title", "text"), "id"), "eringble", ["thined", "the"], 20).select("id", "score"), "score"),
     "sl13_agent_rank": lambda s, d: fusion.agent_rank(docs(s, d), "eringble", ["thined", "nichtch"], 30).select("id", "score"),
     "so6_best_of_each": lambda s, d: fusion.best_of_each(events(s, d).select(F.col("agent").alias("id"), (F.col("value") + F.col("event_id") / 1e6).alias("score"), "event_id")).select("id", "event_id"),
     "jn3_hydrate": lambda s, d: fusion.hydrated(fusion.ranked(vs.knn(vectors(s, d), query_vector(s, d), 10), "vec", by="distance", descending=False), docs(s, d)).select("id", "rank", "uri"),
@@ -196,6 +197,7 @@ ORACLE_SQL = {
     "ft2_bm25_fts5_all": f"WITH {DOCS}, {_bm25(['eringble', 'the'], 2, 20, 'fts5')} SELECT id, round(score, 6) AS score FROM hits",
     "sl1_ft3_bm25_any": f"WITH {DOCS}, {_bm25(_ANY_TERMS, 1, 20)} SELECT id, round(score, 6) AS score FROM hits",
     "ft4_event_phrase": f"WITH {EVENTS} SELECT event_id AS id, 1::BIGINT AS times FROM ev WHERE kind = 'view' AND agent = 'agent3'",
+    "ft4_ft8_any_of": f"WITH {DOCS}, w AS (SELECT id, list_filter(regexp_split_to_array(lower(coalesce(title, '')), '[^\\p{{L}}\\p{{N}}]+'), lambda t: t <> '') AS a, list_filter(regexp_split_to_array(lower(coalesce(text, '')), '[^\\p{{L}}\\p{{N}}]+'), lambda t: t <> '') AS b FROM docs), t AS (SELECT id, ' ' || array_to_string(a, ' ') || ' | ' || array_to_string(b, ' ') || ' ' AS t FROM w), c AS (SELECT id, contains(t, ' eringble ')::INT + contains(t, ' nichtch ')::INT + contains(t, ' of the ')::INT + contains(t, ' und der ')::INT + contains(t, ' thin')::INT + contains(t, ' eringb')::INT AS parts FROM t) SELECT id, parts::BIGINT AS parts FROM c WHERE parts > 0",
     "ft4_prefix": f"WITH {DOCS}, src AS (SELECT * FROM docs), {POST} SELECT id, sum(tf)::BIGINT AS tf FROM post WHERE starts_with(term, 'eringb') GROUP BY id",
     "ft6_like_search": f"WITH {DOCS} SELECT id, uri FROM docs WHERE contains(lower(title), 'eringble') OR contains(lower(text), 'eringble') ORDER BY id DESC LIMIT 50",
     "ft8_incremental_postings": f"WITH {DOCS}, src AS (SELECT * FROM docs WHERE id > 900), {POST} SELECT id, sum(tf)::BIGINT AS terms FROM post GROUP BY id",

@@ -12,7 +12,7 @@ from recollex.functions import scores, signing, text as tx, time as tm
 from recollex.operators import agent, fulltext as ft, memory as mm, oplog, plugins as pg, predicates as pr, shards as sh, space as sp, store as so, vectorindex as vi, vectors as vs
 from recollex.operators.textindex import DeferredIndex, TextIndex, lexical
 from recollex.plans import search_queries as sq
-from recollex.plans.models import DOCS, EVENTS, GRAPH, NOW, VECTORS, docs, events, graph, vectors
+from recollex.plans.models import DOCS, EVENTS, GRAPH, NOW, VECTORS, docs, events, graph, kept_text, vectors
 from recollex.plans.search_queries import _ANY_TERMS, _COS, _D6, _D64, _I8, _I8SRC, _Q, _SCALE, ANY, POST, _bm25, _knn, query_vector
 from recollex.plans.twins import _bm25_of
 from recollex.sources import container, files, logs
@@ -403,7 +403,7 @@ def _words(t):
 
 
 def _rerank(s, d, name):
-    hits = ft.search(docs(s, d), ANY, 60).withColumn("rank", F.row_number().over(Window.partitionBy(F.lit(0)).orderBy(F.desc(F.round("score", 9)), "id")))  # sixty hits
+    hits = kept_text(s, d).search(ANY, 60).withColumn("rank", F.row_number().over(Window.partitionBy(F.lit(0)).orderBy(F.desc(F.round("score", 9)), "id")))  # sixty hits
     return _r(pg.reranker(name).rerank("eringble thined nichtch", hits.join(docs(s, d).select("id", "text"), "id"), 15), "score")
 
 

@@ -50,6 +50,12 @@ def exists(spark: SparkSession, path: str) -> bool:
     return fs.exists(p)
 
 
+def stamp(spark: SparkSession, path: str) -> tuple[int, int]:
+    """Length and time of the last change of a file or folder."""
+    fs, p = _hadoop_path(spark, path)
+    return fs.getContentSummary(p).getLength(), fs.getFileStatus(p).getModificationTime()
+
+
 def remove(spark: SparkSession, path: str) -> None:
     fs, p = _hadoop_path(spark, path)
     fs.delete(p, True)

@@ -2,6 +2,7 @@
 
 import io
 import json
+import re
 import struct
 import zlib
 
@@ -30,7 +31,7 @@ def hits(df):
 
 def test_text_index_follows_a_fresh_search(spark):
     rows = {i: f"{'alpha ' * (i % 4)}{'beta ' * (i % 3)}word{i}" for i in range(40)}
-    index = TextIndex(spark, new_path(spark, "t"), buckets=3)
+    index = TextIndex(spark, new_path(spark, "t"), part=40)
     assert index.search("alpha", 5).count() == 0
     index.merge(texts(spark, rows.items()))
     for change, gone in (({3: "alpha only", 50: "beta beta"}, []), ({}, [1, 2, 50]), ({2: "", 60: None}, [60])):
@@ -44,11 +45,65 @@ def test_text_index_follows_a_fresh_search(spark):
     assert hits(index.compact().search("alpha OR beta", 50)) == before and len(index.generations()) == 1
 
 
-def test_text_index_reads_the_buckets_of_its_terms_alone(spark):
-    index = TextIndex(spark, new_path(spark, "t")).build(texts(spark, [(i, f"w{i} w{i + 1} common") for i in range(200)]))
-    plan = index.postings(["w5"])._jdf.queryExecution().executedPlan().toString()
-    assert "PartitionFilters: [bucket" in plan.replace("isnotnull(bucket#", "").replace("PartitionFilters: [(bucket", "PartitionFilters: [bucket") or "bucket#" in plan.split("PartitionFilters:")[1].split("]")[0]
-    assert index.postings(["w5"]).count() == 2
+def test_text_index_reads_the_parts_of_its_terms_alone(spark):
+    index = TextIndex(spark, new_path(spark, "t"), part=50).build(texts(spark, [(i, f"w{i} w{i + 1} common") for i in range(200)]))
+    parts = index.terms("common").first()["parts"]
+    assert len(parts) > 1  # a common term fills several parts
+    scan = next(x for x in index.postings(["w5"])._jdf.queryExecution().executedPlan().toString().splitlines() if "FileScan" in x)
+    assert "PartitionFilters: [isnotnull(part" in scan and "EqualTo(term,w5)" in scan and "ReadSchema: struct<term:string,id:bigint" in scan
+    assert index.postings(["w5"]).count() == 2 and len(index.terms("w5").first()["parts"]) == 1
+    # A search's plan has postings, dictionary and sizes, and no text.
+    plan = index.search("common w5", 5)._jdf.queryExecution().executedPlan().toString()
+    assert "text:string" not in plan and "title" not in plan
+
+
+def test_text_index_merges_without_old_postings(spark, monkeypatch):
+    index = TextIndex(spark, new_path(spark, "t"), part=50).build(texts(spark, [(i, f"w{i} common") for i in range(60)]))
+    read, plain = [], TextIndex._all
+    monkeypatch.setattr(TextIndex, "_all", lambda self, what, schema: read.append(what) or plain(self, what, schema))
+    index.merge(texts(spark, [(3, "other words"), (100, "common")]), spark.createDataFrame([(5,)], "id long"))
+    assert set(read) == {"docs"}
+    monkeypatch.undo()
+    assert index.stats().first()["n"] == 60 and index.sizes().count() == 60
+    assert {r["id"] for r in index.postings(["common"]).collect()} == ({*range(60)} - {3, 5}) | {100}
+
+
+LINES = ["the red fox", "red the fox the red", "Fox! Red fox; red-fox", "", None, "foxes reddish", "a a a b a a b", "\U00010400x the", "red" * 3]
+
+
+def test_phrases_prefixes_and_alternatives_come_from_the_index(spark):
+    rows = [(i, "the red" if i % 2 else None, t) for i, t in enumerate(LINES)]
+    index = TextIndex(spark, new_path(spark, "t"), part=6).build(spark.createDataFrame(rows, DOC))
+
+    def cut(text):
+        return re.findall(r"[^\W_]+", (text or "").lower())
+
+    def phrase(words):
+        out = {}
+        for i, title, text in rows:
+            n = sum(f[j : j + len(words)] == words for f in (cut(title), cut(text)) for j in range(len(f)))
+            if n:
+                out[i] = n
+        return out
+
+    for words in (["red", "fox"], ["the", "red"], ["a", "a"], ["a", "a", "b"], ["fox"], ["red", "the", "fox", "the"], ["none", "fox"]):
+        assert {r["id"]: r["times"] for r in index.phrase(words).collect()} == phrase(words)
+    assert index.phrase([]).count() == 0
+    for start in ("re", "fox", "red", "zz", "\U00010428"):
+        want = {i: n for i, title, text in rows if (n := sum(w.startswith(start) for w in cut(title) + cut(text)))}
+        assert {r["id"]: r["tf"] for r in index.prefix(start).collect()} == want
+    both = index.any_of(words=("b",), phrases=(("red", "fox"),), prefixes=("reddi", "b"))
+    assert {r["id"]: r["parts"] for r in both.collect()} == {0: 1, 2: 1, 5: 1, 6: 2}
+    index.merge(spark.createDataFrame([(0, None, "blue fox")], DOC))
+    assert {r["id"] for r in index.phrase(["red", "fox"]).collect()} == {2} and {r["id"] for r in index.phrase(["blue", "fox"]).collect()} == {0}
+    assert {r["id"] for r in index.compact().phrase(["blue", "fox"]).collect()} == {0}
+
+
+def test_search_within_takes_the_statistics_of_what_is_left(spark):
+    rows = [(i, f"{'alpha ' * (i % 4)}beta word{i}") for i in range(30)]
+    index = TextIndex(spark, new_path(spark, "t")).build(texts(spark, rows))
+    part = texts(spark, [r for r in rows if r[0] % 3])
+    assert hits(index.search("alpha OR beta", 10, within=part.select("id"))) == hits(ft.search(part, "alpha OR beta", 10))
 
 
 def test_positions_without_a_global_window(spark):
