@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -10,7 +11,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from recollex.functions import text as tx
-from recollex.operators import fulltext, fusion, graph, packing, predicates as pr, vectors
+from recollex.operators import fulltext, fusion, gazetteer as gz, graph, packing, predicates as pr, vectors
 
 MODES = ("lex", "vec", "hybrid")
 
@@ -36,21 +37,19 @@ def search(docs: DataFrame, mode: str, query: str, limit: int, *, vecs: DataFram
 # --- entities and grounding -------------------------------------------------
 
 
-def tiered_entities(docs: DataFrame, gazetteer: dict[str, str]) -> DataFrame:
-    """(id, start, end, kind, text): names of the gazetteer (longest first, without case), addresses, urls, dates, capitalised pairs; a span inside a longer one drops out."""
-    names = "|".join(sorted(("\\Q" + n + "\\E" for n in gazetteer), key=len, reverse=True))
-    patterns = [(f"(?i)\\b(?:{names})\\b", "name")] if gazetteer else []
-    patterns += [(r"[\w.+-]+@[\w-]+\.[\w.-]*\w", "email"), (r"https?://[^\s<>\"]+", "url"), (r"\b\d{4}-\d{2}-\d{2}\b", "date"), (r"\b[A-Z][a-z]+ [A-Z][a-z]+\b", "pair")]
-    out = None
-    for pattern, kind in patterns:
-        cut, said = F.split("text", pattern, -1), F.regexp_extract_all("text", F.lit(pattern), F.lit(0))
-        rows = docs.select("id", cut.alias("cut"), said.alias("said")).filter(F.size("said") > 0).select("id", "cut", "said", F.posexplode("said").alias("n", "found"))
-        lead = F.aggregate(F.slice("cut", F.lit(1), F.col("n") + 1), F.lit(0), lambda a, x: a + F.length(x)) + F.aggregate(F.slice("said", F.lit(1), F.col("n")), F.lit(0), lambda a, x: a + F.length(x))
-        part = rows.select("id", lead.alias("start"), (lead + F.length("found")).alias("end"), F.lit(kind).alias("kind"), F.col("found").alias("text"))
-        out = part if out is None else out.unionByName(part)
-    longer = out.select("id", F.col("start").alias("s"), F.col("end").alias("e"))
-    inside = (out["id"] == longer["id"]) & (F.col("s") <= F.col("start")) & (F.col("e") >= F.col("end")) & (F.col("e") - F.col("s") > F.col("end") - F.col("start"))
-    return out.join(longer, inside, "left_anti").dropDuplicates(["id", "start", "end"])
+#: Kinds of entities that are told by their shape.
+SHAPES = (("email", r"[\w.+-]+@[\w-]+\.[\w.-]*\w"), ("url", r"https?://[^\s<>\"]+"), ("date", r"\b\d{4}-\d{2}-\d{2}\b"), ("pair", r"\b[A-Z][a-z]+ [A-Z][a-z]+\b"))
+
+
+def tiered_entities(docs: DataFrame, gazetteer: DataFrame | dict[str, str]) -> DataFrame:
+    """(id, start, end, kind, text): names of the gazetteer (name, kind), leftmost-longest and without case, addresses, urls, dates, capitalised pairs; a span inside a longer one drops out."""
+    if isinstance(gazetteer, dict):
+        gazetteer = docs.sparkSession.createDataFrame(list(gazetteer.items()), "name string, kind string")
+    out = gz.find(docs, gazetteer)
+    for kind, pattern in SHAPES:
+        shaped = docs.select("id", F.inline(gz.spans(pattern)))
+        out = out.unionByName(shaped.select("id", "start", "end", F.lit(kind).alias("kind"), "text"))
+    return gz.outermost(out, "id").select("id", "start", "end", "kind", "text")
 
 
 def hippo_retrieve(mentions: DataFrame, edges: DataFrame, query: str, k: int, *, damping: float = 0.85, rounds: int = 10) -> DataFrame:
@@ -235,5 +234,28 @@ def register_graph_views(spark: SparkSession, edges: DataFrame) -> None:
     graph.pagerank(edges, rounds=10).createOrReplaceTempView("graph_pagerank")
 
 
+def register_graph_functions(spark: SparkSession, edges: DataFrame, prefix: str) -> None:
+    """Functions for SQL that return tables, named after ``prefix``, so that several graphs of a session stay apart.
+
+    ``<prefix>_out(node)`` and ``<prefix>_in(node)``: a node's edges;
+    ``<prefix>_between(node, least)``: those of at least a weight, both ways;
+    ``<prefix>_hops(start, most)``: (id, depth) of what is reached along edges in at
+    most so many steps, with the fewest steps. Arguments may come from other tables
+    by LATERAL, but for those of hops.
+    """
+    if not re.fullmatch(r"[a-z][a-z0-9_]*", prefix):
+        raise ValueError("a prefix is lower-case letters, digits and _")
+    view = f"{prefix}_edges"
+    edges.select("from_id", "to_id", "rel", "weight").createOrReplaceTempView(view)
+    row = "from_id BIGINT, to_id BIGINT, rel STRING, weight DOUBLE"
+    made = "CREATE OR REPLACE TEMPORARY FUNCTION"
+    spark.sql(f"{made} {prefix}_out(node BIGINT) RETURNS TABLE ({row}) RETURN SELECT from_id, to_id, rel, weight FROM {view} WHERE from_id = node")
+    spark.sql(f"{made} {prefix}_in(node BIGINT) RETURNS TABLE ({row}) RETURN SELECT from_id, to_id, rel, weight FROM {view} WHERE to_id = node")
+    spark.sql(f"{made} {prefix}_between(node BIGINT, least DOUBLE) RETURNS TABLE ({row}) RETURN SELECT from_id, to_id, rel, weight FROM {view} WHERE (from_id = node OR to_id = node) AND weight >= least")
+    spark.sql(f"""{made} {prefix}_hops(start BIGINT, most INT) RETURNS TABLE (id BIGINT, depth INT) RETURN
+        WITH RECURSIVE walk(id, depth) AS (SELECT start, 0 UNION ALL SELECT DISTINCT e.to_id, w.depth + 1 FROM walk w JOIN {view} e ON e.from_id = w.id WHERE w.depth < most)
+        SELECT id, min(depth) FROM walk GROUP BY id""")
+
+
 def top_per(hits: DataFrame, group: str, n: int, by: Column) -> DataFrame:
     return hits.withColumn("_r", F.row_number().over(Window.partitionBy(group).orderBy(by, "id"))).filter(F.col("_r") <= n).drop("_r")

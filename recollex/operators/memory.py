@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from recollex.functions import scores, text
 from recollex.operators import fulltext, fusion, graph, vectors
+from recollex.operators.selection import select_ranks
 from recollex.storage import materialize
 
 
@@ -196,7 +197,6 @@ def gate(gold: DataFrame, baseline: DataFrame, candidate: DataFrame, least: int)
 
 
 def latency_report(runs: DataFrame) -> DataFrame:
-    """(category, n, p50, p95): order statistics at n // 2 and int(0.95 n). runs: (category, ms)."""
-    order = Window.partitionBy("category").orderBy("ms")
-    ranked = runs.withColumn("i", F.row_number().over(order) - 1).withColumn("n", F.count(F.lit(1)).over(Window.partitionBy("category")))
-    return ranked.groupBy("category", "n").agg(F.max(F.when(F.col("i") == F.floor(F.col("n") / 2), F.col("ms"))).alias("p50"), F.max(F.when(F.col("i") == F.least(F.floor(F.col("n") * 0.95), F.col("n") - 1), F.col("ms"))).alias("p95"))
+    """(category, n, p50, p95): order statistics at n // 2 and int(0.95 n), exact. runs: (category, ms)."""
+    n = F.col("n")
+    return select_ranks(runs, ["category"], "ms", {"p50": F.floor(n / 2), "p95": F.least(F.floor(n * 0.95), n - 1)})

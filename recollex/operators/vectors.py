@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from recollex.functions import scores
-from recollex.operators.ordering import with_positions
+from recollex.operators.selection import select_ranks
 from recollex.storage import few, materialize, new_path
 
 
@@ -305,10 +305,10 @@ def bucket_sums(doc_tokens: DataFrame, dim: int, *, planes: int = 3, seed: int =
 
 
 def conformal_quantile(residuals: DataFrame, alpha: float) -> DataFrame:
-    """(q,): the residual that 1 - alpha of new ones won't exceed."""
-    n = residuals.count()
-    place = max(math.ceil(min((1 - alpha) * (1 + 1 / n), 1.0) * n - 1e-9), 1) if n else 0
-    return with_positions(residuals, "residual", position="r").filter(F.col("r") == place).select(F.col("residual").alias("q"))
+    """(q,): the residual that 1 - alpha of new ones won't exceed, exact; none without residuals."""
+    n = F.col("n")
+    place = F.greatest(F.ceil(F.least((1 - alpha) * (1 + 1 / n), F.lit(1.0)) * n - 1e-9), F.lit(1))
+    return select_ranks(residuals, [], "residual", {"q": place - 1}).select("q")
 
 
 def needs_exact(q: float, target_recall: float) -> bool:

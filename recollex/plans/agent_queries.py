@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from recollex.functions import text as tx
-from recollex.operators import agent as ag, corpus as cp, fusion, graph as g, predicates as pr, vectors as vs
+from recollex.operators import agent as ag, corpus as cp, fusion, gazetteer as gz, graph as g, predicates as pr, vectors as vs
 from recollex.plans.models import DOCS, EVENTS, VECTORS, docs, events, graph, memories, vectors
 from recollex.plans.search_queries import _ANY_TERMS, _COS, _D64, _Q, ANY, _bm25, query_vector, token_rows
 from recollex.session import table
@@ -75,6 +75,24 @@ def _queue(s, d):
     return ag.settle(q, ag.next_batch(q, 50).select("id", (F.col("id") % 2 == 0).alias("ok")))
 
 
+def _names(s, d):
+    """Names of two and of three words from the benchmark's items, as documents have them: (name, documents, times)."""
+    words = tx.tokens(F.col("text"))
+    items = table(s, d, "benchmark").select(F.explode(F.array(*[F.array_join(F.slice(words, 1, n), " ") for n in (2, 3)])).alias("name"), F.lit("item").alias("kind"))
+    found = gz.find(docs(s, d).select("id", "text"), items)
+    return found.groupBy(F.lower("text").alias("name")).agg(F.countDistinct("id").alias("documents"), F.count(F.lit(1)).alias("times"))
+
+
+def _table_functions(s, d):
+    """By SQL functions over the graph: each node's edges in and out, and how far it is from node 1."""
+    ag.register_graph_functions(s, graph(s, d), "customers")
+    return s.sql("""
+        WITH nodes AS (SELECT DISTINCT from_id AS id FROM customers_edges),
+        outs AS (SELECT n.id, count(*) AS n_out FROM nodes n, LATERAL customers_out(n.id) o GROUP BY n.id),
+        ins AS (SELECT n.id, count(*) AS n_in FROM nodes n, LATERAL customers_in(n.id) i GROUP BY n.id)
+        SELECT outs.id, n_out, coalesce(n_in, 0) AS n_in, coalesce(h.depth, -1) AS depth FROM outs LEFT JOIN ins ON ins.id = outs.id LEFT JOIN customers_hops(1, 8) h ON h.id = outs.id""")
+
+
 def _fusion(s, d):
     t = token_rows(s, d)
     return _r(ag.full_fusion(vectors(s, d), vs.sparse_encode(docs(s, d)), t, query_vector(s, d), {"eringble": 1.0, "thined": 0.5}, t.filter("id = 0 and token < 4"), 10), "score")
@@ -103,6 +121,8 @@ QUERIES = {
     "xt1_search_lex": lambda s, d: _r(ag.search(docs(s, d), "lex", ANY, 10), "score"),
     "xt1_search_vec": lambda s, d: _r(ag.search(docs(s, d), "vec", "", 10, vecs=vectors(s, d), query_vector=query_vector(s, d)), "score"),
     "xt1_search_hybrid_where": lambda s, d: _r(ag.search(docs(s, d), "hybrid", ANY, 10, vecs=vectors(s, d), query_vector=query_vector(s, d), where=pr.eq("lang", "en")), "score"),
+    "sf18_gazetteer_names": _names,
+    "aj10_ud5_table_functions": _table_functions,
     "sf18_so10_tiered_entities": lambda s, d: ag.tiered_entities(docs(s, d), {"thntblere": "name", "eringble": "name"}).groupBy("kind").agg(F.count(F.lit(1)).alias("n")),
     "gr13_hippo": _hippo,
     "gr15_relate_triples": lambda s, d: _r(ag.relate_triples(events(s, d).select(F.col("agent").alias("subject"), F.upper("kind").alias("rel"), F.col("session_id").alias("object"), F.when(F.col("event_id") % 2 == 0, F.col("event_id") % 15 / 10.0).alias("confidence"))), "weight"),

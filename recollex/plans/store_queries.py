@@ -9,7 +9,8 @@ from pyspark.sql import functions as F
 
 from recollex.adapters import Retriever
 from recollex.functions import scores, signing, text as tx, time as tm
-from recollex.operators import agent, fulltext as ft, memory as mm, oplog, plugins as pg, predicates as pr, shards as sh, space as sp, store as so, vectorindex as vi, vectors as vs
+from recollex.operators import agent, causal, fulltext as ft, memory as mm, oplog, plugins as pg, predicates as pr, shards as sh, space as sp, store as so, vectorindex as vi, vectors as vs
+from recollex.operators.layered import LayeredIndex
 from recollex.operators.textindex import DeferredIndex, TextIndex, lexical
 from recollex.plans import search_queries as sq
 from recollex.plans.models import DOCS, EVENTS, GRAPH, NOW, VECTORS, docs, events, graph, kept_text, vectors
@@ -137,6 +138,36 @@ def _exchange(s, d):
     return oplog.documents(a).select("doc_id", "payload", "actor", "ts")
 
 
+def _seen_log(s, d):
+    """The log, with how far each writer knew the others."""
+    lag = {"a0": 30, "a1": 50, "a2": 70}
+    seen = F.map_from_arrays(F.array(*[F.lit(a) for a in lag]), F.array(*[F.greatest(F.col("seq") - n, F.lit(0)) for n in lag.values()]))
+    return _log(s, d).withColumn("seen", seen)
+
+
+def _siblings(s, d):
+    found = causal.siblings(_seen_log(s, d))
+    return found.select("doc_id", "n", F.array_join("payloads", "|").alias("payloads"))
+
+
+def _causal_map(s, d):
+    """Languages as metadata: one replica writes all, two go on from it apart, one removes what the other may write; then they merge."""
+    known = docs(s, d).select("id", "uri", F.lit("lang").alias("key"), F.col("lang").alias("value"))
+    named = lambda rows, mark: rows.withColumn("value", F.concat(F.lit(mark), "value")).drop("id")
+    first = causal.put(causal.empty(s), known.drop("id"), "a").kept()
+    b = causal.put(first, named(known.filter("id % 5 = 0"), "b:"), "b")
+    c = causal.put(causal.remove(first, known.filter("id % 3 = 0").select("uri", "key")), named(known.filter("id % 10 = 0"), "c:"), "c")
+    return causal.read(causal.merge(b.kept(), c.kept())).select("uri", "key", F.array_join("siblings", "|").alias("siblings"))
+
+
+def _layered(s, d):
+    """A layered graph index after inserts and removals, asked by every twentieth vector."""
+    v = vectors(s, d).select("id", "embedding")
+    index = LayeredIndex(s, new_path(s, "layered"), top=32, fan=16)
+    index.build(v.filter("id % 10 <> 3")).insert(v.filter("id % 10 = 3")).remove(v.filter("id % 7 = 5").select("id"))
+    return _r(index.search_batch(v.filter("id % 20 = 0").select(F.col("id").alias("qid"), "embedding"), 10, beam=200), "distance")
+
+
 def _with_state(s, d):
     kept = oplog.with_state(docs(s, d).select("id"), _log(s, d))
     return kept.select("id", F.size(F.from_json("state", f"array<{oplog.OP}>")).alias("n")).withColumn("n", F.greatest("n", F.lit(0)))
@@ -446,6 +477,9 @@ QUERIES = {
     "ag22_bloom": _bloom,
     "xt24_centroids": _centroids,
     "gr18_adjacency": _adjacency,
+    "vs6_xt23_layered_graph": _layered,
+    "so11_causal_map": _causal_map,
+    "xt28_siblings": _siblings,
     "xt28_exchange": _exchange,
     "st8_state_vector": lambda s, d: oplog.state_vector(_log(s, d).filter("not (actor = 'a1' and seq = 40) and not (actor = 'a2' and seq = 1)")),
     "sc16_with_state": _with_state,
@@ -570,6 +604,8 @@ ORACLE_SQL = {
     "ag22_bloom": "SELECT shard, count(*) AS n, max(token) AS last FROM (SELECT DISTINCT doc_id % 6 AS shard, unnest(list_filter(regexp_split_to_array(text, '[\\s\\x0b]+'), lambda w: w <> '')) AS token FROM documents) GROUP BY shard",
     "xt24_centroids": "SELECT shard, n, i::INT AS i, round(x, 6) AS x FROM (SELECT vec_id % 6 AS shard, i, avg(x::DOUBLE) AS x, count(*) AS n FROM (SELECT vec_id, unnest(embedding) AS x, unnest(range(0, len(embedding))) AS i FROM embeddings) GROUP BY 1, 2)",
     "gr18_adjacency": f"WITH {GRAPH} SELECT from_id, to_id, rel, round(weight, 6) AS weight FROM edges",
+    "so11_causal_map": f"WITH {DOCS} SELECT uri, 'lang' AS key, CASE WHEN id % 10 = 0 THEN 'b:' || lang || '|c:' || lang WHEN id % 5 = 0 THEN 'b:' || lang ELSE lang END AS siblings FROM docs WHERE id % 5 = 0 OR id % 3 <> 0",
+    "xt28_siblings": f"WITH {EVENTS}, {_OPS}, k AS (SELECT doc_id, a.actor, max(CASE WHEN o.actor = a.actor THEN seq - 1 ELSE greatest(seq - lag, 0) END) AS upto FROM ops o, (VALUES ('a0', 30), ('a1', 50), ('a2', 70)) a(actor, lag) GROUP BY 1, 2) SELECT doc_id, count(*) AS n, string_agg(payload, '|' ORDER BY payload) AS payloads FROM ops JOIN k USING (doc_id, actor) WHERE kind = 'put' AND seq > upto GROUP BY doc_id",
     "xt28_exchange": f"WITH {EVENTS}, {_OPS} SELECT doc_id, payload, actor, ts FROM ops QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY ts DESC, actor DESC, seq DESC) = 1 AND kind <> 'delete'",
     "st8_state_vector": f"WITH {EVENTS}, {_OPS} SELECT actor, CASE actor WHEN 'a1' THEN least(max(seq), 39) WHEN 'a2' THEN 0 ELSE max(seq) END AS known FROM ops GROUP BY actor",
     "sc16_with_state": f"WITH {EVENTS}, {_OPS} SELECT d.doc_id AS id, count(o.doc_id)::INT AS n FROM documents d LEFT JOIN ops o ON o.doc_id = d.doc_id GROUP BY 1",

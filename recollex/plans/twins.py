@@ -86,6 +86,9 @@ ORACLE_SQL = {
     "gr21_supersession": "WITH RECURSIVE s AS (SELECT doc_id AS a, CASE WHEN doc_id = 150 THEN 140 ELSE doc_id + 1 END AS b FROM documents WHERE doc_id % 120 <> 119), walk(id, current, path, n) AS (SELECT a, b, [a, b], 1 FROM s UNION ALL SELECT id, b, list_append(path, b), n + 1 FROM walk JOIN s ON a = current WHERE NOT list_contains(path, b)) SELECT id, arg_max(current, n) AS current FROM walk GROUP BY id",
     "gr8_dot": f"WITH RECURSIVE {_reached('mem://5', 3)}, l AS (SELECT DISTINCT '  \"' || from_uri || '\" -> \"' || to_uri || '\" [label=\"caused\"];' AS line FROM de WHERE from_uri IN (SELECT uri FROM walk) AND to_uri IN (SELECT uri FROM walk)) SELECT 'digraph g {{' || chr(10) || coalesce(string_agg(line, chr(10) ORDER BY line), '') || chr(10) || '}}' AS text FROM l",
     "aj9_graph_json": f"WITH {GRAPH}, t AS (SELECT to_id, rel, (weight * 10)::INT AS w FROM edges WHERE from_id = 5 ORDER BY weight DESC, to_id LIMIT 10) SELECT '[' || string_agg('{{\"to_id\":' || to_id || ',\"rel\":\"' || rel || '\",\"w\":' || w || '}}', ',' ORDER BY to_id, rel, w) || ']' AS json FROM t",
+    "aj10_ud5_table_functions": f"""WITH RECURSIVE {GRAPH}, walk(id, depth) AS (SELECT 1::BIGINT, 0 UNION ALL SELECT e.to_id, w.depth + 1 FROM walk w JOIN edges e ON e.from_id = w.id WHERE w.depth < 8),
+h AS (SELECT id, min(depth) AS depth FROM walk GROUP BY id), o AS (SELECT from_id AS id, count(*) AS n_out FROM edges GROUP BY 1), i AS (SELECT to_id AS id, count(*) AS n_in FROM edges GROUP BY 1)
+SELECT o.id, n_out, coalesce(n_in, 0) AS n_in, coalesce(h.depth, -1) AS depth FROM o LEFT JOIN i ON i.id = o.id LEFT JOIN h ON h.id = o.id""",
     "aj10_graph_views": f"WITH {GRAPH} SELECT from_id, count(*) AS n, count(*) AS edges FROM edges GROUP BY from_id",
     "sl15_search_batch": _batch([(1, _ANY_TERMS, 1), (2, ["eringble", "the"], 2), (3, ["nichtch"], 1)], 10),
     "jn24_shard_fanout": f"WITH {DOCS}, {_SHARDS}, r AS (SELECT uri, row_number() OVER (ORDER BY score DESC, uri) AS rank FROM h0 JOIN docs USING (id) UNION ALL SELECT uri, row_number() OVER (ORDER BY score DESC, uri) FROM h1 JOIN docs USING (id)) SELECT uri, round(sum(1 / (60.0 + rank)), 6) AS score FROM r GROUP BY uri ORDER BY round(sum(1 / (60.0 + rank)), 12) DESC, uri LIMIT 20",

@@ -2,6 +2,7 @@
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from recollex.operators.layered import LayeredIndex, diverse
 
@@ -32,13 +33,13 @@ def recall(spark, index, ids, x, asked, k=10, **options):
 
 
 def test_recall_and_reading_before_and_after_changes(spark, tmp_path):
-    x = groups(9000, 1)
-    ids = np.arange(9000)
-    index = LayeredIndex(spark, str(tmp_path), fan=16, routes=4, beam=32, top=32).build(frame(spark, ids[:8000], x[:8000]))
+    x = groups(6000, 1)
+    ids = np.arange(6000)
+    index = LayeredIndex(spark, str(tmp_path), fan=16, routes=4, beam=20, step=8, top=32).build(frame(spark, ids[:5000], x[:5000]))
     asked = groups(40, 2)
-    found, read = recall(spark, index, ids[:8000], x[:8000], asked)
+    found, read = recall(spark, index, ids[:5000], x[:5000], asked)
     assert found >= 0.95 and read < 0.1
-    index.insert(frame(spark, ids[8000:], x[8000:]))
+    index.insert(frame(spark, ids[5000:], x[5000:]))
     found, read = recall(spark, index, ids, x, asked)
     assert found >= 0.95 and read < 0.1
     gone = ids % 4 == 1
@@ -46,7 +47,7 @@ def test_recall_and_reading_before_and_after_changes(spark, tmp_path):
     found, read = recall(spark, index, ids[~gone], x[~gone], asked)
     assert found >= 0.95 and read < 0.1
     links = index.links()
-    assert links.join(index.nodes().select("nid"), links["v"] == index.nodes()["nid"], "left_anti").count() == 0
+    assert links.join(index.nodes().select(F.col("nid").alias("v")), "v", "left_anti").count() == 0
     assert links.groupBy("level", "u").count().agg({"count": "max"}).first()[0] <= 32
     index.rebuild()
     assert len(index.commits()) == 1 and recall(spark, index, ids[~gone], x[~gone], asked)[0] >= 0.95
