@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from recollex.functions import scores, text
 from recollex.operators import fulltext, fusion, graph, vectors
+from recollex.operators.ordering import with_positions
 from recollex.operators.selection import select_ranks
 from recollex.storage import materialize
 
@@ -113,25 +114,36 @@ def text_groups(rows: DataFrame) -> DataFrame:
 def similar_pairs(rows: DataFrame, threshold: float) -> DataFrame:
     """(a, b): groups of texts (``text_groups``) whose token sets overlap by the threshold, by prefix filter.
 
-    A group stands for all its copies, so copies make no pairs. Tokens are ordered
-    from rare to common. Two sets of n and m tokens that overlap enough share one
-    of the first n - ceil(threshold * n) + 1; only these are joined, so common
-    tokens don't bring rows together. Sizes differ by the threshold at most: a set
-    is met in its own class of sizes and the next, whose steps are the threshold.
-    What meets is compared whole.
+    A group stands for all its copies, so copies make no pairs. Tokens are numbered
+    from rare to common, and sets are sorted lists of numbers. Two sets of n and m
+    tokens that overlap enough share one of the first n - ceil(threshold * n) + 1;
+    only these are joined, so common tokens don't bring rows together. Sizes differ
+    by the threshold at most: a set meets those as large or larger in its own class
+    of sizes and the next, whose steps are the threshold. From the places of the
+    first shared token follows how much two sets can share at most, which drops most
+    pairs before their lists are fetched; the rest is compared whole.
     """
     sets = rows.select("id", F.array_sort(text.long_tokens(F.col("text"))).alias("t")).filter(F.size("t") > 0)
     sets = materialize(sets.groupBy("t").agg(F.min("id").alias("id")).select("id", "t"), "token-sets")
     one = sets.select("id", F.explode("t").alias("token"))
     often = one.groupBy("token").agg(F.count(F.lit(1)).alias("n"))
-    ordered = one.join(often, "token").groupBy("id").agg(F.transform(F.array_sort(F.collect_list(F.struct("n", "token"))), lambda x: x["token"]).alias("t"))
+    numbered = with_positions(often, "n", "token", position="number").select("token", "number")
+    ordered = one.join(numbered, "token").groupBy("id").agg(F.array_sort(F.collect_list("number")).alias("t"))
     ordered = materialize(ordered, "ordered-tokens")  # read three times from here on
-    head = ordered.select("id", F.size("t").alias("size"), F.explode(F.slice("t", F.lit(1), (F.size("t") - F.ceil(F.size("t") * threshold - 1e-9) + 1).cast("int"))).alias("token"))
+    prefix = F.slice("t", F.lit(1), (F.size("t") - F.ceil(F.size("t") * threshold - 1e-9) + 1).cast("int"))
+    head = ordered.select("id", F.size("t").alias("size"), F.posexplode(prefix).alias("place", "token"))
     head = head.withColumn("step", F.floor(F.log("size") / -math.log(threshold) + 1e-9) if threshold < 1 else F.col("size"))
-    other = head.select(F.col("id").alias("b"), F.col("size").alias("m"), "token", F.explode(F.array(F.col("step") - 1, F.col("step"), F.col("step") + 1)).alias("step"))
-    met = head.withColumnRenamed("id", "a").join(other, ["token", "step"]).filter((F.col("a") < F.col("b")) & (F.col("size") >= threshold * F.col("m")) & (F.col("m") >= threshold * F.col("size"))).select("a", "b").distinct()
+    short = head.select(F.col("id").alias("a"), F.col("size").alias("n"), F.col("place").alias("p"), "token", F.explode(F.array(F.col("step"), F.col("step") + 1)).alias("step"))
+    long_ = head.select(F.col("id").alias("b"), F.col("size").alias("m"), F.col("place").alias("q"), "token", "step")
+    n, m = F.col("n"), F.col("m")
+    larger = (n < m) | ((n == m) & (F.col("a") < F.col("b")))
+    most = F.least(n - F.col("p"), m - F.col("q"))  # shared tokens, if this is the first
+    enough = (n >= threshold * m) & (most >= threshold / (1 + threshold) * (n + m) - 1e-9)
+    met = short.join(long_, ["token", "step"]).filter(larger & enough).select("a", "b").distinct()
     left, right = ordered.select(F.col("id").alias("a"), F.col("t").alias("ta")), ordered.select(F.col("id").alias("b"), F.col("t").alias("tb"))
-    return met.join(left, "a").join(right, "b").filter(text.jaccard(F.col("ta"), F.col("tb")) >= threshold).select("a", "b")
+    shared = F.size(F.array_intersect("ta", "tb"))
+    found = met.join(left, "a").join(right, "b").filter(shared / (F.size("ta") + F.size("tb") - shared) >= threshold)
+    return found.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
 
 
 def compact(rows: DataFrame, threshold: float) -> DataFrame:

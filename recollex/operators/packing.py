@@ -6,7 +6,9 @@ it. The call gets sizes and fingerprints alone; texts are fetched for what was t
 
 from __future__ import annotations
 
+from collections import Counter
 from dataclasses import dataclass, field
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
@@ -22,7 +24,9 @@ FLOORS = {"decision": "facts", "preference": "facts", "code": "signatures"}
 TRUST = {"decision": 0.10, "preference": 0.08, "fact": 0.05, "lesson": 0.05}
 
 
+@lru_cache(maxsize=1 << 20)
 def fnv1a(data: bytes) -> int:
+    """FNV-1a of 64 bits; a worker hashes a word that it has met before no more."""
     h = FNV_OFFSET
     for byte in data:
         h = ((h ^ byte) * FNV_PRIME) & MASK
@@ -31,12 +35,13 @@ def fnv1a(data: bytes) -> int:
 
 def simhash(text: str) -> int:
     """64-bit SimHash of the lower-cased words; 0 for a text without words."""
-    words = text.lower().split()
+    words = Counter(text.lower().split())
     if not words:
         return 0
     hashes = np.array([fnv1a(w.encode()) for w in words], np.uint64)
+    times = np.array(list(words.values()), np.int64)
     bits = np.unpackbits(hashes.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
-    return int(np.packbits(2 * bits.sum(axis=0) > len(words), bitorder="little").view(np.uint64)[0])
+    return int(np.packbits(2 * (times @ bits) > times.sum(), bitorder="little").view(np.uint64)[0])
 
 
 def with_simhash(rows: DataFrame, *, text: str = "text") -> DataFrame:
