@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from recollex.functions import scores, text
 from recollex.operators import fulltext as ft
-from recollex.operators import fusion, predicates as pr
+from recollex.operators import forest, fusion, predicates as pr
 from recollex.operators import vectors as vs
 from recollex.operators.blockmax import BlockMaxIndex
 from recollex.plans.models import BASE, DOCS, EVENTS, VECTORS, docs, events, kept_text, vectors
@@ -63,6 +63,14 @@ def token_rows(spark, sf_dir):
     return vectors(spark, sf_dir).select(F.floor(F.col("id") / 10).alias("id"), (F.col("id") % 10).alias("token"), "embedding")
 
 
+def near_copies(spark, sf_dir):
+    """All vectors, with a slightly changed one beside every third and a copy beside every fifth: what the forest joins."""
+    v = vectors(spark, sf_dir).select("id", F.col("embedding").cast("array<double>").alias("embedding"))
+    changed = v.filter("id % 3 = 0").select((F.col("id") + 10**9).alias("id"), F.transform("embedding", lambda x, i: x + (i % 3 - 1) * 0.01).alias("embedding"))
+    copied = v.filter("id % 5 = 0").withColumn("id", F.col("id") + 2 * 10**9)
+    return forest.consolidate(v.unionByName(changed).unionByName(copied), 0.95).select("keep", "drop")
+
+
 def block_max(spark, sf_dir):
     """The ten documents with the greatest products with each benchmark item, by block maxima."""
     index = BlockMaxIndex(spark, new_path(spark, "block-max")).add(vs.sparse_encode(docs(spark, sf_dir)))
@@ -93,6 +101,7 @@ QUERIES = {
     "ma10_codebook": lambda s, d: _rounded(vs.codebook(vectors(s, d)), "low", "high"),
     "vs12_ma9_rotated_signs": lambda s, d: _rounded(vs.rotated_knn(vectors(s, d), query_vector(s, d), 10, pool=200), "distance"),
     "jn17_vs26_consolidate": lambda s, d: _rounded(vs.consolidate(vectors(s, d), 64, threshold=0.3), "cosine"),
+    "jn17_vs26_forest": near_copies,
     "jn19_neighbour_edges": neighbour_edges,
     "vs20_block_max": block_max,
     "vs19_ma14_sparse_dot": lambda s, d: _rounded(vs.sparse_search(vs.sparse_encode(docs(s, d)), {"eringble": 1.5, "thined": 0.5, "the": 0.1}, 20), "score"),
@@ -212,6 +221,7 @@ ORACLE_SQL = {
     "vs14_hamming_int8": f"WITH {VECTORS}, {_Q}, pool AS (SELECT id, embedding FROM vectors, q ORDER BY {_HAM}, id LIMIT 80) {_int8('pool', 10)}",
     "ma8_matryoshka": f"WITH v0 AS (SELECT vec_id AS id, embedding[1:16] AS embedding FROM embeddings), q AS (SELECT embedding[1:16] AS q FROM embeddings WHERE vec_id = 0) {_knn(_COS, 10, 'v0')}",
     "ma10_codebook": "SELECT dim::INT AS dim, round(min(x)::DOUBLE, 6) AS low, round(max(x)::DOUBLE, 6) AS high FROM (SELECT unnest(embedding) AS x, unnest(range(0, len(embedding))) AS dim FROM embeddings) GROUP BY dim",
+    "jn17_vs26_forest": 'SELECT vec_id AS keep, vec_id + 1000000000 AS "drop" FROM embeddings WHERE vec_id % 3 = 0 UNION ALL SELECT vec_id, vec_id + 2000000000 FROM embeddings WHERE vec_id % 5 = 0',
     "vs20_block_max": f"WITH {_SPARSE}, qt AS (SELECT qid, term, 1 + ln(count(*)) AS q FROM (SELECT item_id AS qid, unnest(list_filter(regexp_split_to_array(lower(text), '[^\\p{{L}}\\p{{N}}]+'), lambda t: t <> '')) AS term FROM benchmark) GROUP BY ALL), s AS (SELECT qid, id, sum(weight * q) AS score FROM sp JOIN qt USING (term) GROUP BY ALL) SELECT qid, rank::INT AS rank, id, round(score, 6) AS score FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY round(score, 9) DESC, id) AS rank FROM s) WHERE rank <= 10",
     "vs19_ma14_sparse_dot": f"WITH {_SPARSE} SELECT id, round(score, 6) AS score FROM (SELECT id, sum(weight * CASE term WHEN 'eringble' THEN 1.5 WHEN 'thined' THEN 0.5 ELSE 0.1 END) AS score FROM sp WHERE term IN ('eringble', 'thined', 'the') GROUP BY id) ORDER BY round(score, 9) DESC, id LIMIT 20",
     "ag13_sparse_doc_count": f"WITH {_SPARSE} SELECT count(DISTINCT id) AS docs FROM sp",
