@@ -187,11 +187,14 @@ def personalized_pagerank(edges: DataFrame, seeds: DataFrame, alpha: float = 0.1
     return rank
 
 
-def communities(edges: DataFrame, rounds: int = 10) -> DataFrame:
-    """(id, label): synchronous label propagation over both directions; most weight wins, ties to the smaller label.
+def communities(edges: DataFrame, rounds: int | None = None) -> DataFrame:
+    """(id, label, settled): synchronous label propagation over both directions; most weight wins, ties to the smaller label.
 
     All nodes change at once, so results don't depend on any order; a node counts
-    its own label with weight just below its lightest edge, which stops flicker.
+    its own label with weight just below its lightest edge, which stops flicker. It
+    ends when no label changes, when the labels are those of an earlier round (they
+    then go round in a circle for ever), or after ``rounds``, if given; ``settled``
+    tells whether the last round left a node's label as it was.
     """
     scratch = Scratch(edges.sparkSession, "labels")
     both = edges.select("from_id", "to_id", "weight").unionByName(edges.select(F.col("to_id").alias("from_id"), F.col("from_id").alias("to_id"), "weight"))
@@ -199,16 +202,20 @@ def communities(edges: DataFrame, rounds: int = 10) -> DataFrame:
     own = both.groupBy("from_id").agg((F.min("weight") * 0.999).alias("weight"))
     both = both.unionByName(own.select("from_id", F.col("from_id").alias("to_id"), "weight"))
     labels = scratch.write(both.select(F.col("from_id").alias("id")).distinct().withColumn("label", F.col("id")), "labels0")
-    for number in range(1, rounds + 1):
+    settled, met = labels.withColumn("settled", F.lit(rounds is None)), set()
+    for number in count(1) if rounds is None else range(1, rounds + 1):
         votes = both.join(labels, F.col("to_id") == F.col("id")).groupBy("from_id", "label").agg(F.round(F.sum("weight"), 9).alias("w"))
         best = votes.groupBy("from_id").agg(F.max(F.struct("w", (-F.col("label")).alias("l"))).alias("b")).select(F.col("from_id").alias("id"), (-F.col("b.l")).alias("label"))
         after = scratch.write(best, f"labels{number}")
-        changed = after.join(labels.withColumnRenamed("label", "old"), "id").filter("label <> old").isEmpty()
-        scratch.drop(f"labels{number - 1}")
+        same = (F.col("label") == F.col("old")).alias("settled")
+        settled = scratch.write(after.join(labels.withColumnRenamed("label", "old"), "id").select("id", "label", same), f"settled{number}")
+        changed, state = settled.agg(F.coalesce(F.sum((~F.col("settled")).cast("int")), F.lit(0)), F.coalesce(F.sum(F.xxhash64("id", "label").cast("decimal(38,0)")), F.lit(0))).first()
+        scratch.drop(f"labels{number - 1}", f"settled{number - 1}")
         labels = after
-        if changed:
+        if not changed or state in met:
             break
-    return labels
+        met.add(state)
+    return settled
 
 
 def components(edges: DataFrame) -> DataFrame:

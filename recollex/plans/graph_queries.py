@@ -57,7 +57,7 @@ QUERIES = {
     "gr10_pagerank": lambda s, d: _R(g.pagerank(graph(s, d), 0.85, 4), "score"),
     "sl9_pagerank_top": lambda s, d: _R(g.pagerank(graph(s, d), 0.85, 4).orderBy(F.desc(F.round("score", 12)), "id").limit(10), "score"),
     "gr11_personalized": lambda s, d: _R(g.personalized_pagerank(graph(s, d), _seeds(s).withColumn("score", F.lit(1.0)), 0.15, 3), "score"),
-    "gr12_communities": lambda s, d: g.communities(graph(s, d), 5),
+    "gr12_communities": lambda s, d: g.communities(graph(s, d), 5).select("id", "label"),
     "sl10_community_sizes": lambda s, d: g.communities(graph(s, d), 5).groupBy("label").agg(F.count(F.lit(1)).alias("members")).orderBy(F.desc("members"), "label"),
     "gr16_hops": lambda s, d: g.hops(graph(s, d), _seeds(s), 3, cap=64),
     "gr19_cypher_match": lambda s, d: cypher.run(graph(s, d), "MATCH (a)-[:CAUSED*1..3]->(b) WHERE id(a) = 1 RETURN b LIMIT 20"),

@@ -68,6 +68,7 @@ def test_graph_on_small_shapes(spark):
     ranks = {r["id"]: r["score"] for r in graph.pagerank(star).collect()}
     assert max(ranks, key=ranks.get) == 0 and sum(ranks.values()) == pytest.approx(1)
     two = edges(spark, [(1, 2, "r", 1.0), (2, 3, "r", 1.0), (3, 1, "r", 1.0), (11, 12, "r", 1.0), (12, 13, "r", 1.0), (13, 11, "r", 1.0)])
+    assert all(r["settled"] for r in graph.communities(two).collect())
     labels = {r["id"]: r["label"] for r in graph.communities(two).collect()}
     assert len({labels[i] for i in (1, 2, 3)}) == 1 and labels[1] != labels[11]
     detour = edges(spark, [(1, 3, "r", 0.1), (1, 2, "r", 0.9), (2, 3, "r", 0.9)])
