@@ -137,13 +137,16 @@ def decide(measured: DataFrame, hosts: DataFrame, *, host: str = "source") -> Da
     """Add base_failed and kept to measured documents."""
     columns = [c for c in measured.columns if c not in ("base_failed", "kept", "host_rejected")]
     rows = measured.select(*columns, base_failed().alias("base_failed"))
-    bad = hosts.filter("rejected").select(F.col("host").alias("__host"), F.lit(True).alias("host_rejected"))
+    same, count = "__host", "__host_n"
+    while {same, count} & set(columns):
+        same, count = same + "_", count + "_"
+    bad = hosts.filter("rejected").select(F.col("host").alias(same), F.lit(True).alias("host_rejected"))
     if few(bad, BROADCAST_ROWS):
-        told = rows.join(F.broadcast(bad), F.col(host) == F.col("__host"), "left").drop("__host")
+        told = rows.join(F.broadcast(bad), F.col(host) == F.col(same), "left").drop(same)
     else:
-        facts = hosts.select(F.col("host").alias("__host"), F.col("rejected").alias("host_rejected"), F.col("n").alias("__host_n"))
+        facts = hosts.select(F.col("host").alias(same), F.col("rejected").alias("host_rejected"), F.col("n").alias(count))
         total = hosts.agg(F.sum("n")).first()[0]
-        known = join_facts(rows.filter(F.col(host).isNotNull()).withColumn("__host", F.col(host)), facts, ["__host"], total=total, n="__host_n").drop("__host")
+        known = join_facts(rows.filter(F.col(host).isNotNull()).withColumn(same, F.col(host)), facts, [same], total=total, n=count).drop(same)
         told = known.unionByName(rows.filter(F.col(host).isNull()).withColumn("host_rejected", F.lit(False)))
     rejected = F.coalesce("host_rejected", F.lit(False))
     return told.select(*columns, "base_failed", rejected.alias("host_rejected"), (~F.col("base_failed") & ~rejected).alias("kept"))
