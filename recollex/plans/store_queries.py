@@ -18,7 +18,7 @@ from recollex.plans.search_queries import _ANY_TERMS, _COS, _D6, _D64, _I8, _I8S
 from recollex.plans.twins import _bm25_of
 from recollex.sources import container, files, logs
 from recollex.storage import materialize, new_path
-from recollex.streaming import streams as st
+from recollex.streaming import state, streams as st
 
 KEY = bytes(range(32))
 _r = lambda df, *c: df.withColumns({x: F.round(x, 6) for x in c})
@@ -417,7 +417,7 @@ def _graph_feed(s, d):
 
 def _feedback(s, d):
     e = events(s, d).select(F.col("session_id").alias("pack_id"), (F.col("event_id") % 3 == 0).alias("accepted"), F.timestamp_seconds("ts").alias("ts")).coalesce(1)
-    return _run(st.feedback_state(_stream(s, e), keep=400 * 86400), "update").groupBy("pack_id").agg(F.max("shown").alias("shown"), F.max("accepted").alias("accepted"), F.max("last").alias("last"))
+    return _run(state.feedback_state(_stream(s, e), keep=400 * 86400), "update").groupBy("pack_id").agg(F.max("shown").alias("shown"), F.max("accepted").alias("accepted"), F.max("last").alias("last"))
 
 
 def _poll(s, d):

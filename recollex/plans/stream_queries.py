@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from recollex.session import table
 from recollex.storage import new_path
-from recollex.streaming import streams as st
+from recollex.streaming import state, streams as st
 
 
 def _events(s, d) -> DataFrame:
@@ -33,7 +33,8 @@ QUERIES = {
     "st_tumbling": lambda s, d: _all(st.tumbling(_events(s, d), "1 day", "kind"), "complete").select(F.unix_seconds("start").alias("start"), "kind", "n", F.round("value", 4).alias("value")),
     "st_sliding": lambda s, d: _all(st.sliding(_events(s, d), "2 days", "1 day", "kind"), "complete").select(F.unix_seconds("start").alias("start"), "kind", "n"),
     "st4_session_windows": lambda s, d: _all(st.session_windows(_events(s, d), "6 hours", "session_id"), "complete").groupBy("session_id").agg(F.count(F.lit(1)).alias("sessions"), F.sum("n").alias("events")),
-    "st4_session_state": lambda s, d: _all(st.session_state(_events(s, d)), "update").groupBy("session_id").agg(F.max("n").alias("n"), F.min("first").alias("first"), F.max("last").alias("last")),
+    "st4_session_state": lambda s, d: _all(state.session_state(_events(s, d)), "update").groupBy("session_id").agg(F.max("n").alias("n"), F.min("first").alias("first"), F.max("last").alias("last")),
+    "st4_session_kinds": lambda s, d: _kinds(s, d),
     "st7_newest_operations": lambda s, d: _all(st.newest_operations(_events(s, d).select(F.unix_seconds("ts").alias("ts"), F.col("uri").alias("doc_id"), F.concat("session_id", "agent", "content").alias("op_id"), "kind", F.col("content").alias("payload"))), "complete").select("doc_id", "ts", "op_id"),
     "raw_cube": lambda s, d: table(s, d, "orders").cube("o_orderstatus", "o_orderpriority").agg(F.count(F.lit(1)).alias("n"), F.round(F.sum("o_totalprice"), 2).alias("total")),
     "raw_pricing_summary": lambda s, d: table(s, d, "lineitem").filter("l_shipdate <= timestamp_ntz'1998-09-02 00:00:00'").groupBy("l_returnflag", "l_linestatus").agg(F.round(F.sum("l_quantity"), 2).alias("qty"), F.round(F.sum(F.col("l_extendedprice") * (1 - F.col("l_discount"))), 2).alias("revenue"), F.count(F.lit(1)).alias("n")),
@@ -41,6 +42,12 @@ QUERIES = {
 }
 
 
+def _kinds(s, d):
+    """(session_id, kind, n) from the newest row of each session's state."""
+    rows = _all(state.session_state(_events(s, d)), "update")
+    return rows.groupBy("session_id").agg(F.max_by("kinds", F.struct("n", "closed")).alias("kinds")).select("session_id", F.explode("kinds").alias("kind", "n"))
+
+
 def _asof(s, d):
     """Each view with the last purchase of its user before it: one window over the union, no join."""
     from pyspark.sql import Window
@@ -58,6 +65,7 @@ ORACLE_SQL = {
     "st_sliding": f"WITH {_E} SELECT (floor(epoch(ts) / 86400)::BIGINT - i) * 86400 AS start, kind, count(*) AS n FROM e, (SELECT unnest([0, 1]) AS i) GROUP BY 1, 2",
     "st4_session_windows": f"WITH {_E}, g AS (SELECT session_id, CASE WHEN ts - lag(ts) OVER (PARTITION BY session_id ORDER BY ts) < INTERVAL 6 HOUR THEN 0 ELSE 1 END AS new FROM e) SELECT session_id, sum(new)::BIGINT AS sessions, count(*) AS events FROM g GROUP BY session_id",
     "st4_session_state": f"WITH {_E} SELECT session_id, count(*) AS n, floor(epoch(min(ts)))::BIGINT AS first, floor(epoch(max(ts)))::BIGINT AS last FROM e GROUP BY session_id",
+    "st4_session_kinds": f"WITH {_E} SELECT session_id, kind, count(*) AS n FROM e GROUP BY 1, 2",
     "st7_newest_operations": f"WITH {_E} SELECT uri AS doc_id, floor(epoch(ts))::BIGINT AS ts, session_id || agent || content AS op_id FROM e QUALIFY row_number() OVER (PARTITION BY uri ORDER BY floor(epoch(ts)) DESC, session_id || agent || content DESC, kind DESC) = 1",
     "raw_cube": "SELECT o_orderstatus, o_orderpriority, count(*) AS n, round(sum(o_totalprice), 2) AS total FROM orders GROUP BY CUBE (o_orderstatus, o_orderpriority)",
     "raw_pricing_summary": "SELECT l_returnflag, l_linestatus, round(sum(l_quantity), 2) AS qty, round(sum(l_extendedprice * (1 - l_discount)), 2) AS revenue, count(*) AS n FROM lineitem WHERE l_shipdate <= TIMESTAMP '1998-09-02' GROUP BY 1, 2",
