@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from recollex.functions import scores
 from recollex.operators.selection import select_ranks
-from recollex.storage import few, materialize, new_path
+from recollex.storage import few, materialize
 
 
 def knn(vectors: DataFrame, query: list[float], k: int, *, metric: str = "cosine") -> DataFrame:
@@ -28,57 +28,67 @@ def knn(vectors: DataFrame, query: list[float], k: int, *, metric: str = "cosine
 def knn_join(queries: DataFrame, vectors: DataFrame, k: int, *, dim: int, metric: str = "cosine", block: int = 2048) -> DataFrame:
     """(qid, rank, id, distance) for each query, exact; ties go to the smaller id.
 
-    Queries are written to the shared folder in blocks of about ``block``; the
-    driver holds one block at a time, compares it with the vectors of each batch
-    as a matrix product and writes its k nearest before the next. Every task hands
-    on its k nearest for each query, so what is shuffled grows with queries and
-    tasks and not with their product of rows.
+    Both sides are packed into rows of at most ``block`` vectors. A row of queries
+    meets a row of vectors as one matrix product in some task, which hands on the k
+    nearest of each query; a window with a group limit merges them. All is one job,
+    and nothing but a count passes through the driver. Queries of at most
+    ``BROADCAST_BYTES`` go to all tasks; more are dealt, and the packed vectors are
+    then written once and read again for each partition of queries. Null vectors,
+    those of other dimensions and those with null entries take no part.
     """
-    spark = queries.sparkSession
-    asked = materialize(queries.select("qid", "embedding"), "knn-queries")
-    count = max(-(-asked.count() // block), 1)
-    path = new_path(spark, "knn-blocks")
-    asked.withColumn("_block", (F.monotonically_increasing_id() % count).cast("int")).write.partitionBy("_block").parquet(path)
-    blocks = spark.read.schema(asked.schema.add("_block", "integer")).parquet(path)
-    out = None
-    for number in range(count):
-        part = blocks.filter(F.col("_block") == number).select("qid", "embedding").toPandas()
-        matrix = np.stack(part["embedding"].to_list()).astype(np.float64) if len(part) else np.zeros((0, dim))
-        ids = part["qid"].to_numpy(np.int64)
-        found = vectors.select("id", "embedding").mapInPandas(_nearest_in_batches(ids, matrix, k, metric), "qid long, id long, distance double")
-        if count > 1:
-            found = materialize(found, "knn-found")
-        out = found if out is None else out.unionByName(found)
+    asked = materialize(_packed(queries.select(F.col("qid").alias("id"), "embedding"), dim, block).toDF("qids", "queries"), "knn-queries")
+    held = _packed(vectors.select("id", "embedding"), dim, block)
+    if few(asked, max(BROADCAST_BYTES // (8 * block * (dim + 1)), 1)):
+        tiles = held.crossJoin(F.broadcast(asked))  # packed rows
+    else:
+        tiles = asked.hint("shuffle_replicate_nl").crossJoin(materialize(held, "knn-vectors"))  # packed rows
+    found = tiles.mapInPandas(_nearest_in_tiles(dim, k, metric), "qid long, id long, distance double")
     order = Window.partitionBy("qid").orderBy(F.round("distance", 9), "id")
-    return out.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k).select("qid", "rank", "id", "distance")
+    return found.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k).select("qid", "rank", "id", "distance")
 
 
-#: Vectors that a block of queries is compared with at a time.
-SLICE = 2048
+#: Packed queries of a neighbour join that are sent to all tasks.
+BROADCAST_BYTES = 64 << 20
 
 
-def _nearest_in_batches(ids: np.ndarray, matrix: np.ndarray, k: int, metric: str):
+def _packed(rows: DataFrame, dim: int, block: int) -> DataFrame:
+    """(ids, matrix): vectors in ascending order of id within a row, as bytes of 64-bit integers and doubles."""
+
+    def pack(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        kept: list[pd.DataFrame] = []
+        for batch in batches:
+            kept.append(batch)
+            while sum(map(len, kept)) >= block:
+                whole = pd.concat(kept)
+                kept = [whole.iloc[block:]]
+                yield _bytes(whole.iloc[:block])
+        if sum(map(len, kept)):
+            yield _bytes(pd.concat(kept))
+
+    valid = rows.filter((F.size("embedding") == dim) & F.forall("embedding", lambda x: x.isNotNull()))
+    return valid.mapInPandas(pack, "ids binary, matrix binary")
+
+
+def _bytes(part: pd.DataFrame) -> pd.DataFrame:
+    part = part.sort_values("id")
+    return pd.DataFrame({"ids": [part["id"].to_numpy(np.int64).tobytes()], "matrix": [np.stack(part["embedding"].to_list()).astype(np.float64).tobytes()]})
+
+
+def _nearest_in_tiles(dim: int, k: int, metric: str):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        held: list[pd.DataFrame] = []
-        q_norm = np.linalg.norm(matrix, axis=1)
         for batch in batches:
-            for start in range(0, len(batch) if len(ids) else 0, SLICE):
-                part = batch.iloc[start : start + SLICE].sort_values("id")
-                x = np.stack(part["embedding"].to_list()).astype(np.float64)
-                dots = matrix @ x.T
+            for tile in batch.itertuples(index=False):
+                q, x = np.frombuffer(tile.queries).reshape(-1, dim), np.frombuffer(tile.matrix).reshape(-1, dim)
+                dots = q @ x.T
                 if metric == "l2":
-                    d = np.sqrt(np.maximum((matrix**2).sum(1)[:, None] + (x**2).sum(1)[None] - 2 * dots, 0))
+                    d = np.sqrt(np.maximum((q**2).sum(1)[:, None] + (x**2).sum(1)[None] - 2 * dots, 0))
                 elif metric == "dot":
                     d = -dots
                 else:
-                    length = q_norm[:, None] * np.linalg.norm(x, axis=1)[None]
+                    length = np.linalg.norm(q, axis=1)[:, None] * np.linalg.norm(x, axis=1)[None]
                     d = 1 - np.divide(dots, length, out=np.zeros_like(dots), where=length > 0)
                 row, near = _least(np.round(d, 9), min(k, d.shape[1]))
-                held.append(pd.DataFrame({"qid": ids[row], "id": part["id"].to_numpy()[near], "distance": d[row, near]}))
-                if sum(map(len, held)) > 50 * k * len(ids):
-                    held = [_best(held, k)]
-        if held:
-            yield _best(held, k)
+                yield pd.DataFrame({"qid": np.frombuffer(tile.qids, np.int64)[row], "id": np.frombuffer(tile.ids, np.int64)[near], "distance": d[row, near]})
 
     return run
 
@@ -91,12 +101,6 @@ def _least(d: np.ndarray, m: int) -> tuple[np.ndarray, np.ndarray]:
     return np.nonzero(taken)
 
 
-def _best(parts: list[pd.DataFrame], k: int) -> pd.DataFrame:
-    rows = pd.concat(parts)
-    rows = rows.assign(near=rows["distance"].round(9)).sort_values(["qid", "near", "id"], kind="stable").drop(columns="near")
-    return rows.groupby("qid", sort=False).head(k)
-
-
 # --- quantised --------------------------------------------------------------
 
 

@@ -1,6 +1,7 @@
 """Registered queries take whole tables: fixtures with ids beyond any fixed bound, against brute force."""
 
 import numpy as np
+import pytest
 
 from recollex.operators import packing as pk, vectors as vs
 from recollex.plans import agent_queries as aq, graph_queries as gq, memory_queries as mq, scalar_queries as lq, search_queries as sq
@@ -59,17 +60,21 @@ def test_every_twentieth_vector_asks(spark, tmp_path):
     assert edges == {e for q, near in want.items() for i in near for e in ((q, i), (i, q))}
 
 
-def test_knn_join_holds_one_block_of_queries(spark, tmp_path, monkeypatch):
+@pytest.mark.parametrize("limit", [1 << 20, 0])
+def test_knn_join_in_tiles_without_the_driver(spark, tmp_path, monkeypatch, limit):
     from pyspark.sql.classic.dataframe import DataFrame
 
     ids = list(range(90))
     d, x = embeddings(spark, tmp_path, ids)
-    sizes, whole = [], DataFrame.toPandas
-    monkeypatch.setattr(DataFrame, "toPandas", lambda self: (sizes.append(len(out := whole(self))), out)[1])
+    monkeypatch.setattr(vs, "BROADCAST_BYTES", limit)
+    monkeypatch.setattr(DataFrame, "toPandas", None)
     v = vectors(spark, d)
-    found = vs.knn_join(v.selectExpr("id as qid", "embedding"), v, 7, dim=64, block=20).collect()
-    assert sum(sizes) == 90 and max(sizes) <= 25
-    assert {(r["qid"], r["rank"], r["id"]) for r in found} == brute_nearest(ids, x, set(ids), 7)
+    odd = spark.createDataFrame([(1000, None), (1001, [1.0]), (1002, [None] + [1.0] * 63)], "id long, embedding array<float>")
+    found = vs.knn_join(v.selectExpr("id as qid", "embedding"), v.select("id", "embedding").unionByName(odd), 7, dim=64, block=20)
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert ("CartesianProduct" in plan) == (limit == 0) and "WindowGroupLimit" in plan
+    assert {(r["qid"], r["rank"], r["id"]) for r in found.collect()} == brute_nearest(ids, x, set(ids), 7)
+    assert vs.knn_join(v.selectExpr("id as qid", "embedding").limit(0), v, 7, dim=64).count() == 0
 
 
 def documents(spark, path, rows):
