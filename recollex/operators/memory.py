@@ -98,9 +98,11 @@ def pipeline_recall(docs: DataFrame, memories: DataFrame, query: str, k: int, *,
 
 def evolve(new: DataFrame, known: DataFrame, low: float, high: float, *, window: int = 64) -> DataFrame:
     """(id, replaces): for each new text the most similar of the ``window`` newest known ones within [low, high]."""
-    a = new.select("id", text.long_tokens(F.col("text")).alias("t"))
-    b = known.orderBy(F.desc("id")).limit(window).select(F.col("id").alias("old"), text.long_tokens(F.col("text")).alias("u"))
-    pairs = a.crossJoin(F.broadcast(b)).filter("id <> old").withColumn("j", text.jaccard(F.col("t"), F.col("u")))  # window rows
+    a = new.select("id", text.long_tokens(F.col("text")).alias("t")).withColumn("n", F.size("t"))
+    b = known.orderBy(F.desc("id")).limit(window).select(F.col("id").alias("old"), text.long_tokens(F.col("text")).alias("u")).withColumn("m", F.size("u"))
+    # Sets whose sizes are too far apart can't be as similar; the slack is for rounding.
+    near = F.least("n", "m") >= F.greatest("n", "m") * (low - 1e-9)
+    pairs = a.crossJoin(F.broadcast(b)).filter((F.col("id") != F.col("old")) & near).withColumn("j", F.when(near, text.jaccard(F.col("t"), F.col("u"))))  # window rows
     return pairs.filter(F.col("j").between(low, high)).groupBy("id").agg(F.max_by("old", F.struct("j", (-F.col("old")).alias("o"))).alias("replaces"))
 
 

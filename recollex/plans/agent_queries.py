@@ -31,7 +31,7 @@ def _snapshot(s, d):
 
 
 def _mentions(s, d):
-    rows = docs(s, d).filter("lang = 'en'")
+    rows = docs(s, d)
     return rows, rows.select("id", F.explode(tx.entities(F.col("text"))).alias("entity"))
 
 
@@ -57,6 +57,24 @@ def _rss(s, d):
     return cp.rss_items(feeds).select("uri", "n", "title", "link", "guid", "text")
 
 
+def _polled(s, d):
+    """Pages as items of feeds by site, polled in two rounds of a stream that is started anew between them."""
+    from recollex.sources import feeds as fd
+
+    s.dataSource.register(fd.PolledFeeds)
+    home = new_path(s, "feeds")
+    pages = table(s, d, "pages").withColumn("feed", F.col("page_id") % 20)
+    item = F.concat(F.lit("<item><title>t"), "page_id", F.lit("</title><link>"), "url", F.lit("</link></item>"))
+    pages.select("feed", item.alias("value")).repartition("feed").write.partitionBy("feed").text(f"{home}/bodies")
+    pages.select("feed").distinct().select(F.col("feed").alias("id"), F.concat(F.lit(f"{home}/bodies/feed="), "feed").alias("uri"), (F.col("feed") * 10).alias("interval")).write.parquet(f"{home}/registry")
+    for second in (30, 60):
+        s.createDataFrame([(str(second),)], "value string").coalesce(1).write.mode("overwrite").text(f"{home}/clock")
+        stream = s.readStream.format("polled_feeds").option("registry", f"{home}/registry").option("clock", f"{home}/clock").load()
+        stream.writeStream.format("parquet").option("checkpointLocation", f"{home}/state").trigger(once=True).start(f"{home}/out").awaitTermination()
+    polled = s.read.parquet(f"{home}/out")
+    return cp.rss_items(polled.select(F.concat_ws(" ", "id", "polled").alias("uri"), "body")).select("uri", "title", "link")
+
+
 def _sessions(s, d):
     return table(s, d, "conversations").select(F.col("conv_id").cast("string").alias("session_id"), "turn", "role", "text")
 
@@ -117,6 +135,7 @@ QUERIES = {
     "sc4_jsonl": lambda s, d: _files(s, d, "jsonl"),
     "sc6_parquet": lambda s, d: _files(s, d, "parquet"),
     "sc20_rss": _rss,
+    "st6_polled_feeds": _polled,
     "sc34_snapshot": _snapshot,
     "xt1_search_lex": lambda s, d: _r(ag.search(docs(s, d), "lex", ANY, 10), "score"),
     "xt1_search_vec": lambda s, d: _r(ag.search(docs(s, d), "vec", "", 10, vecs=vectors(s, d), query_vector=query_vector(s, d)), "score"),
@@ -154,6 +173,7 @@ def _views(s, d):
 _READ = f"WITH {DOCS} SELECT uri, length(text)::INT AS n, sha256(replace(text, chr(13), '')) AS h FROM docs WHERE trim(text) <> ''"
 ORACLE_SQL = {
     "sc3_csv": _READ, "sc3_tsv": _READ, "sc4_jsonl": _READ, "sc6_parquet": _READ,
+    "st6_polled_feeds": "WITH f AS (SELECT page_id % 20 AS feed, page_id, url FROM pages), r AS (SELECT 30 AS polled UNION ALL SELECT 60) SELECT feed || ' ' || polled AS uri, 't' || page_id AS title, url AS link FROM f, r WHERE feed > 0 AND (polled = 30 OR 60 // (feed * 10) > 30 // (feed * 10))",
     "sc20_rss": "SELECT url AS uri, n::INT AS n, 't' || page_id AS title, 'http://x/' || page_id AS link, 'http://x/' || page_id AS guid, 'a & b' AS text FROM pages, (SELECT unnest([0, 1]) AS n)",
     "sc34_snapshot": "SELECT doc_id AS id, sha256(text) AS h FROM documents",
     "xt1_search_lex": f"WITH {DOCS}, {_bm25(_ANY_TERMS, 1, 10)} SELECT id, round(score, 6) AS score FROM hits",

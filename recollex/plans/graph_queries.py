@@ -65,8 +65,8 @@ QUERIES = {
     "gr20_jn23_datalog_closure": lambda s, d: _ancestors(s, d).query("reach"),
     "ag14_datalog_aggregate": lambda s, d: _ancestors(s, d).aggregate("reach", 0, 1, "max"),
     "gr21_supersession": lambda s, d: g.supersession(_chain(s, d)),
-    "gr14_jn18_entity_graph": lambda s, d: _R(g.entity_graph(docs(s, d).filter("lang = 'en'")), "weight"),
-    "sf17_entities": lambda s, d: docs(s, d).filter("lang = 'en'").select("id", F.explode(entities(F.col("text"))).alias("entity")),
+    "gr14_jn18_entity_graph": lambda s, d: _R(g.entity_graph(docs(s, d)), "weight"),
+    "sf17_entities": lambda s, d: docs(s, d).select("id", F.explode(entities(F.col("text"))).alias("entity")),
     "so7_components": lambda s, d: g.components(graph(s, d).filter("rel = 'CAUSED'")),
     "so1_nodes": lambda s, d: graph(s, d).select(F.col("from_id").alias("id")).union(graph(s, d).select("to_id")).distinct(),
     "so2_recursive_views": lambda s, d: g.expand(_decision_edges(s, d), "dec://11", 20),
@@ -113,8 +113,8 @@ ORACLE_SQL = {
     "gr19_cypher_one_hop": f"WITH {GRAPH} SELECT to_id AS id, 1 AS hop FROM edges WHERE from_id = 4 ORDER BY weight DESC, to_id LIMIT 10",
     "gr20_jn23_datalog_closure": f"WITH RECURSIVE {GRAPH}, reach(c0, c1) AS (SELECT from_id, to_id FROM edges WHERE rel = 'CAUSED' UNION SELECT c0, to_id FROM reach JOIN edges ON from_id = c1 AND rel = 'CAUSED') SELECT c0::VARCHAR AS c0, c1::VARCHAR AS c1 FROM reach",
     "ag14_datalog_aggregate": f"WITH RECURSIVE {GRAPH}, reach(c0, c1) AS (SELECT from_id, to_id FROM edges WHERE rel = 'CAUSED' UNION SELECT c0, to_id FROM reach JOIN edges ON from_id = c1 AND rel = 'CAUSED') SELECT c0::VARCHAR AS key, max(c1)::DOUBLE AS value FROM reach GROUP BY c0",
-    "sf17_entities": "SELECT DISTINCT doc_id AS id, e AS entity FROM (SELECT doc_id, unnest(regexp_extract_all(regexp_replace(text, '[À-ɏ]', '0', 'g'), '\\b([A-Z][a-z]+(?:\\s+[A-Z][a-z]+)*)\\b', 1)) AS e FROM documents WHERE lang = 'en') WHERE length(e) >= 3",
-    "gr14_jn18_entity_graph": "WITH r AS (SELECT DISTINCT doc_id AS id, unnest(regexp_extract_all(regexp_replace(text, '[À-ɏ]', '0', 'g'), '\\b([A-Z][a-z]+(?:\\s+[A-Z][a-z]+)*)\\b', 1)) AS e FROM documents WHERE lang = 'en'), k AS (SELECT *, count(*) OVER (PARTITION BY id) AS n FROM r WHERE length(e) >= 3) SELECT a.e AS from_entity, b.e AS to_entity, round(sum(1 / sqrt(a.n)), 6) AS weight FROM k a JOIN k b ON a.id = b.id AND a.e <> b.e GROUP BY 1, 2",
+    "sf17_entities": "SELECT DISTINCT doc_id AS id, e AS entity FROM (SELECT doc_id, unnest(regexp_extract_all(regexp_replace(text, '[À-ɏ]', '0', 'g'), '\\b([A-Z][a-z]+(?:\\s+[A-Z][a-z]+)*)\\b', 1)) AS e FROM documents) WHERE length(e) >= 3",
+    "gr14_jn18_entity_graph": "WITH r AS (SELECT DISTINCT doc_id AS id, unnest(regexp_extract_all(regexp_replace(text, '[À-ɏ]', '0', 'g'), '\\b([A-Z][a-z]+(?:\\s+[A-Z][a-z]+)*)\\b', 1)) AS e FROM documents), k AS (SELECT *, count(*) OVER (PARTITION BY id) AS n FROM r WHERE length(e) >= 3) SELECT a.e AS from_entity, b.e AS to_entity, round(sum(1 / sqrt(a.n)), 6) AS weight FROM k a JOIN k b ON a.id = b.id AND a.e <> b.e GROUP BY 1, 2",
     "so1_nodes": f"WITH {GRAPH} SELECT from_id AS id FROM edges UNION SELECT to_id FROM edges",
     "so7_components": f"WITH RECURSIVE {GRAPH}, b AS (SELECT from_id AS x, to_id AS y FROM edges WHERE rel = 'CAUSED' UNION SELECT to_id, from_id FROM edges WHERE rel = 'CAUSED'), walk(id, c) AS (SELECT DISTINCT x, x FROM b UNION SELECT id, y FROM walk JOIN b ON x = c) SELECT id, min(c) AS component FROM walk GROUP BY id",
     "jn5_like_entities": f"WITH {DOCS}, p AS (SELECT DISTINCT t AS term, title AS name FROM docs, (SELECT unnest(['the', 'ing']) AS t) WHERE contains(lower(title), t)) SELECT term, name FROM p QUALIFY row_number() OVER (PARTITION BY term ORDER BY length(name), name) <= 10",

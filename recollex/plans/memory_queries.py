@@ -107,7 +107,7 @@ QUERIES = {
     "jn16_similar_pairs": lambda s, d: mm.similar_pairs(docs(s, d), 0.8),
     "jn16_text_groups": lambda s, d: mm.text_groups(docs(s, d)),
     "mm8_compact": lambda s, d: mm.compact(docs(s, d), 0.8),
-    "mm7_evolve": lambda s, d: mm.evolve(docs(s, d).filter("id >= 64"), docs(s, d).filter("id < 64"), 0.5, 1.1),
+    "mm7_evolve": lambda s, d: mm.evolve(docs(s, d), docs(s, d), 0.5, 1.1),
     "mm5_recall": lambda s, d: _recall(s, d),
     "mm5_recall_hops": lambda s, d: _recall(s, d, hops=2),
     "mm5_recall_ppr": lambda s, d: _recall(s, d, ppr=True),
@@ -152,7 +152,7 @@ QUERIES = {
 def _transcript(s, d):
     from recollex.functions import text as tx
 
-    vtt = F.concat(F.lit("WEBVTT\n\n1\n00:00.000 --> 00:02.000\n"), F.substring("text", 1, 30), F.lit("\n\n2\n00:02.000 --> 00:04.000\nend "), "role")
+    vtt = F.concat(F.lit("WEBVTT\n\n1\n00:00.000 --> 00:02.000\n"), F.col("text"), F.lit("\n\n2\n00:02.000 --> 00:04.000\nend "), "role")
     c = table(s, d, "conversations").withColumn("text", F.regexp_replace("text", r"[^A-Za-z ]", ""))
     return c.select("conv_id", "turn", tx.transcript_text(vtt).alias("said"), tx.video_id(F.lit("https://youtu.be/abcdefghijk")).alias("video"))
 
@@ -190,7 +190,7 @@ ORACLE_SQL = {
     "sc19_chunks": """WITH p AS (SELECT doc_id AS id, string_split(text, chr(10)) AS p FROM documents), x AS (SELECT id, unnest(p) AS raw, unnest(range(0, len(p)))::INT AS chunk FROM p),
 s AS (SELECT *, coalesce(sum(strlen(raw) + 2) OVER (PARTITION BY id ORDER BY chunk ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) + strlen(raw) - strlen(ltrim(raw)) AS start FROM x)
 SELECT id, chunk, start::BIGINT AS start, (start + strlen(trim(raw)))::BIGINT AS "end", sha256(trim(raw)) AS h FROM s WHERE trim(raw) <> ''""",
-    "sc23_transcript": "WITH c AS (SELECT conv_id, turn, role, left(regexp_replace(text, '[^A-Za-z ]', '', 'g'), 30) AS t FROM conversations) SELECT conv_id, turn, CASE WHEN trim(t) = '' THEN '' ELSE trim(t) || ' ' END || 'end ' || role AS said, 'abcdefghijk' AS video FROM c",
+    "sc23_transcript": "WITH c AS (SELECT conv_id, turn, role, regexp_replace(text, '[^A-Za-z ]', '', 'g') AS t FROM conversations) SELECT conv_id, turn, CASE WHEN trim(t) = '' THEN '' ELSE trim(t) || ' ' END || 'end ' || role AS said, 'abcdefghijk' AS video FROM c",
     "sc24_fetched_kind": "SELECT page_id, CASE page_id % 3 WHEN 2 THEN 'pdf' ELSE 'html' END AS kind FROM pages",
     "sc25_import_docs": f"WITH {DOCS} SELECT id, uri, title, ts // 1000 AS published_ts FROM docs ORDER BY ts DESC, id DESC LIMIT 100",
     "sc26_due_sources": "WITH r AS (SELECT c_custkey AS id, c_custkey % 50 * 10 AS interval, CASE WHEN c_custkey % 4 <> 0 THEN c_custkey * 3 END AS last_sync FROM customer) SELECT * FROM r WHERE \"interval\" > 0 AND coalesce(last_sync, 0) + \"interval\" <= 1000 ORDER BY coalesce(last_sync, 0), id LIMIT 100",
@@ -208,7 +208,7 @@ SELECT id, chunk, start::BIGINT AS start, (start + strlen(trim(raw)))::BIGINT AS
     "jn16_similar_pairs": f"WITH t0 AS (SELECT doc_id AS id, list_sort({_LONG}) AS w FROM documents), t AS (SELECT min(id) AS id, w FROM t0 GROUP BY w) SELECT a.id AS a, b.id AS b FROM t a JOIN t b ON a.id < b.id AND least(len(a.w), len(b.w)) >= 0.8 * greatest(len(a.w), len(b.w)) WHERE len(a.w) > 0 AND {_JAC} >= 0.8",
     "jn16_text_groups": f"WITH t AS (SELECT doc_id AS id, list_sort({_LONG}) AS w FROM documents) SELECT id, min(id) OVER (PARTITION BY w) AS rep FROM t WHERE len(w) > 0",
     "mm8_compact": f"WITH RECURSIVE {_PAIR}, e AS (SELECT a AS x, b AS y FROM pairs UNION SELECT b, a FROM pairs), walk(id, c) AS (SELECT DISTINCT x, x FROM e UNION SELECT id, y FROM walk JOIN e ON x = c) SELECT id, max(c) AS survivor FROM walk GROUP BY id",
-    "mm7_evolve": f"WITH t AS (SELECT doc_id AS id, {_LONG} AS w FROM documents), j AS (SELECT a.id, b.id AS old, {_JAC} AS j FROM t a, t b WHERE a.id >= 64 AND b.id < 64) SELECT id, arg_max(old, (j, -old)) AS replaces FROM j WHERE j BETWEEN 0.5 AND 1.1 GROUP BY id",
+    "mm7_evolve": f"WITH t AS (SELECT doc_id AS id, {_LONG} AS w FROM documents), j AS (SELECT a.id, b.id AS old, {_JAC} AS j FROM t a, (SELECT * FROM t ORDER BY id DESC LIMIT 64) b WHERE a.id <> b.id) SELECT id, arg_max(old, (j, -old)) AS replaces FROM j WHERE j BETWEEN 0.5 AND 1.1 GROUP BY id",
     "ag15_evaluate": f"WITH {_GOLD}, p AS (SELECT qid, max(CASE WHEN rank <= 5 THEN hit ELSE 0 END) AS f, min(rank) FILTER (hit = 1) AS first, count(*) FILTER (rank <= 5) AS shown, count(*) FILTER (rank <= 5 AND hit = 0) AS wrong FROM m GROUP BY qid) SELECT round(avg(f), 6) AS recall, round(avg(coalesce(1 / first, 0)), 6) AS mrr, round(sum(wrong) / sum(shown), 6) AS false_recall FROM p",
     "ag17_latency": f"WITH {EVENTS}, r AS (SELECT kind AS category, value AS ms, row_number() OVER (PARTITION BY kind ORDER BY value) - 1 AS i, count(*) OVER (PARTITION BY kind) AS n FROM ev) SELECT category, n, round(max(ms) FILTER (i = n // 2), 6) AS p50, round(max(ms) FILTER (i = least(floor(n * 0.95::DOUBLE), n - 1)), 6) AS p95 FROM r GROUP BY category, n",
     "ud3_rewards": f"WITH {EVENTS} SELECT kind AS arm, sum((event_id % 3 = 0)::INT)::BIGINT AS wins, sum((event_id % 3 <> 0)::INT)::BIGINT AS losses FROM ev GROUP BY kind",

@@ -65,7 +65,7 @@ QUERIES = {
     "sf13_decompose": lambda s, d: _conv(s, d).select("id", F.array_join(tx.decompose(F.concat_ws(" vs ", "role", "text")), "|").alias("parts")),
     "sf14_grade": lambda s, d: docs(s, d).select("id", F.round(tx.grade(F.lit("eringble and thined nichtch"), F.col("text")), 6).alias("grade")),
     "sf15_hyde": lambda s, d: _conv(s, d).select("id", tx.expand_query(F.col("text")).alias("q")),
-    "sf16_summarize": lambda s, d: docs(s, d).groupBy("source").agg(F.count(F.lit(1)).alias("n"), F.sum(F.length(F.substring("text", 1, 200))).alias("chars")),
+    "sf16_summarize": lambda s, d: docs(s, d).groupBy("source").agg(F.count(F.lit(1)).alias("n"), F.sum(F.length(tx.summarize(F.split("text", "\n")))).alias("chars")),
     "sf16_summarize_text": lambda s, d: docs(s, d).select("id", tx.summarize(F.split("text", "\n")).alias("summary")),
     "sf19_auto_title": lambda s, d: docs(s, d).select("id", tx.one_line(F.col("text")).alias("title")),
     "sf20_gold_query": lambda s, d: docs(s, d).select("id", tx.gold_query(F.col("title"), F.col("text"), F.col("id")).alias("q")),
@@ -144,7 +144,7 @@ ORACLE_SQL = {
     "sf12_memory_type": f"WITH {_CONV}, t AS (SELECT id, CASE WHEN regexp_matches(lower(text), 'decided|chose|we will') THEN 'decision' WHEN regexp_matches(lower(text), 'learned|turns out|lesson') THEN 'lesson' WHEN regexp_matches(lower(text), 'prefer|likes|hates') THEN 'preference' ELSE 'fact' END AS kind FROM conv) SELECT id, kind, CASE kind WHEN 'decision' THEN 0.6 WHEN 'lesson' THEN 0.6 WHEN 'preference' THEN 0.55 ELSE 0.5 END::DOUBLE AS weight FROM t",
     "sf14_grade": "SELECT doc_id AS id, round((contains(lower(text), 'eringble')::INT + contains(lower(text), 'and')::INT + contains(lower(text), 'thined')::INT + contains(lower(text), 'nichtch')::INT) / 4, 6) AS grade FROM documents",
     "sf15_hyde": f"WITH {_CONV} SELECT id, 'A document that answers the question about ' || text || ' would explain: ' || text AS q FROM conv",
-    "sf16_summarize": f"WITH {DOCS} SELECT source, count(*) AS n, sum(length(left(text, 200)))::BIGINT AS chars FROM docs GROUP BY source",
+    "sf16_summarize": f"WITH {DOCS} SELECT source, count(*) AS n, sum(length(array_to_string(list_transform(string_split(text, chr(10)), lambda x: left(x, 200)), ' / ')))::BIGINT AS chars FROM docs GROUP BY source",
     "sf16_summarize_text": "SELECT doc_id AS id, array_to_string(list_transform(string_split(text, chr(10)), lambda x: left(x, 200)), ' / ') AS summary FROM documents",
     "sf19_auto_title": "SELECT doc_id AS id, coalesce(list_filter(list_transform(string_split(text, chr(10)), lambda x: trim(x)), lambda x: x <> '')[1], '') AS title FROM documents",
     "sf20_gold_query": f"WITH {DOCS}, t AS (SELECT id, title, array_to_string(list_filter(regexp_split_to_array(lower(text), '[^\\p{{L}}\\p{{N}}]+'), lambda x: length(x) > 2 AND x NOT IN ({_STOPS}))[1:8], ' ') AS q FROM docs) SELECT id, CASE WHEN q <> '' THEN q WHEN trim(title) <> '' THEN trim(title) ELSE 'corpus chunk ' || id END AS q FROM t",
