@@ -10,9 +10,11 @@ where ``rescore`` is asked for.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from typing import Protocol
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -79,10 +81,61 @@ class CellIndex:
         return self
 
     def _write(self, rows: DataFrame, gen: int, centres: np.ndarray) -> None:
-        distance = [F.struct(scores.l2_squared(F.col("embedding"), F.array(*[F.lit(float(x)) for x in c])).alias("d"), F.lit(i).alias("cell")) for i, c in enumerate(centres)]
-        nearest = F.array_min(F.array(*distance))["cell"]
-        placed = rows.select("id", F.col("embedding").cast("array<float>").alias("embedding"), nearest.alias("cell"))
+        """Rows by cell, and what each cell holds: (cell, n, radius, zeros)."""
+        placed = _placed(rows.select("id", F.col("embedding").cast("array<float>").alias("embedding")), centres, np.float16 if self.storage == "f16" else np.float32)
         placed.repartition("cell", F.pmod(F.xxhash64("id"), F.lit(4))).write.mode("overwrite").partitionBy("cell").parquet(f"{self.path}/rows/gen={gen}")
+        held = self.spark.read.schema(ROW + ", away double").option("basePath", f"{self.path}/rows").parquet(f"{self.path}/rows/gen={gen}")
+        facts = held.groupBy("cell").agg(F.count(F.lit(1)).alias("n"), F.max("away").alias("radius"), F.count_if(F.col("away").isNull()).alias("zeros"))
+        materialize(facts, "spheres", f"{self.path}/spheres/gen={gen}")
+
+    def spheres(self) -> pd.DataFrame:
+        """(cell, n, radius, zeros) over what the live generations hold or held; one row a cell and generation comes to the driver."""
+        live = [r["gen"] for r in self._commits() if r["kind"] != "remove"]
+        rows = [r.asDict() for g in live for r in self.spark.read.parquet(f"{self.path}/spheres/gen={g}").collect()]
+        return pd.DataFrame(rows, columns=["cell", "n", "radius", "zeros"]).groupby("cell", as_index=False).agg({"n": "sum", "radius": "max", "zeros": "sum"})
+
+    def bounds(self, query: list[float]) -> list[tuple[int, float]]:
+        """(cell, least cosine distance that a vector in it can have), nearest first.
+
+        Between unit vectors the cosine distance is half the squared Euclidean one, and
+        that is at least the distance to a cell's direction less its radius. Vectors
+        without a direction have distance 1. Directions are those of the numbers that
+        storage compares; the slack of 16 bits is for their rounding.
+        """
+        q, centres = np.asarray(query, float), self.centres()
+        q = q / np.linalg.norm(q)
+        move = 0.0 if self.storage == "f32" else 1e-3
+        out = []
+        for cell, _, radius, zeros in self.spheres().itertuples(index=False):
+            if cell < 0:
+                continue
+            bound = 0.0 if np.isnan(radius) else max(np.linalg.norm(q - _direction(centres[cell])) - radius - move, 0.0) ** 2 / 2
+            out.append((int(cell), min(bound, 1.0) if zeros else bound))
+        return sorted(out, key=lambda c: (c[1], c[0]))
+
+    def proven(self, query: list[float], k: int, *, first: int | None = None) -> tuple[DataFrame, list[int]]:
+        """The k nearest as ``search`` gives them over all cells, and the cells that were opened for it.
+
+        The ``first`` cells by bound give a k-th distance; of the others only those
+        whose bound does not exceed it are opened. Not for 8-bit storage, whose codes
+        order vectors by other numbers.
+        """
+        if self.storage == "i8":
+            raise ValueError("proven answers need f32 or f16 storage")
+        if not any(query):
+            return self.search(query, k), []
+        order = self.bounds(query)
+        start = [c for c, _ in order[: first or self.probes]]
+        found = self._open(start, query, k).collect()  # k rows
+        limit = found[-1]["distance"] + 1e-8 if len(found) == k else float("inf")
+        more = [c for c, bound in order[len(start) :] if bound <= limit]
+        known = self.spark.createDataFrame(found, "id long, distance double")
+        both = known.unionByName(self._open(more, query, k)) if more else known
+        return both.orderBy(F.round("distance", 9), "id").limit(k), start + more
+
+    def _open(self, cells: list[int], query: list[float], k: int) -> DataFrame:
+        near = self.rows().filter(F.col("cell").isin(cells))
+        return vs.knn(near if self.storage == "f32" else near.withColumn("embedding", scores.half(F.col("embedding"))), query, k)
 
     def insert(self, rows: DataFrame) -> None:
         """Add rows; those with ids that are there replace them."""
@@ -144,6 +197,39 @@ class CellIndex:
                 remove(self.spark, f"{self.path}/{kind}/gen={r['gen']}")
 
 
+def _direction(v: np.ndarray) -> np.ndarray:
+    length = np.linalg.norm(v)
+    return v / length if length > 0 else v
+
+
+def _placed(rows: DataFrame, centres: np.ndarray, kind: type) -> DataFrame:
+    """(id, embedding, away, cell): the nearest centre of each vector, ties to the smaller number, and how far its direction is from the centre's.
+
+    Vectors are compared with all centres as a matrix product in Arrow batches; the
+    centres go to the tasks with the function. Vectors of other dimensions, null ones
+    and those with entries that are null or not finite are kept in cell -1, which no
+    search opens. ``away`` is null where a vector has no direction as ``kind`` of numbers.
+    """
+    dim = centres.shape[1]
+    sizes, directions = (centres**2).sum(1), np.array([_direction(c) for c in centres])
+
+    def place(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            good = np.array([v is not None and len(v) == dim and bool(np.isfinite(np.asarray(v, float)).all()) for v in batch["embedding"]], bool)
+            cell, away = np.full(len(batch), -1, np.int32), np.full(len(batch), np.nan)
+            if good.any():
+                x = np.stack(batch["embedding"][good].to_list()).astype(float)
+                best = (sizes[None] - 2 * x @ centres.T).argmin(1)
+                with np.errstate(over="ignore"):
+                    x = x.astype(kind).astype(float)
+                length = np.linalg.norm(x, axis=1)
+                unit = x / np.where(length > 0, length, 1)[:, None]
+                cell[good], away[good] = best, np.where(length > 0, np.linalg.norm(unit - directions[best], axis=1), np.nan)
+            yield batch.assign(away=pd.array(away, dtype="Float64"), cell=cell)
+
+    return rows.mapInPandas(place, "id long, embedding array<float>, away double, cell int")
+
+
 class TieredIndex:
     """Rows up to a number of ids stay cached, the rest is read from storage; answers are merged by distance."""
 

@@ -463,11 +463,11 @@ QUERIES = {
     "ma6_half": lambda s, d: vectors(s, d).select("id", F.posexplode(scores.half(F.col("embedding"))).alias("i", "x")).withColumn("x", F.round("x", 8)),
     "aj6_vector_bytes": lambda s, d: _sums(vectors(s, d).select("id", scores.pack_floats(F.col("embedding")).alias("b")).select("id", scores.unpack_floats(F.col("b")).alias("embedding"), F.octet_length("b").alias("n")), "n"),
     "vs3_route": lambda s, d: _rows(s, [(t, vs.route(t)) for t in TARGETS], "target double, route string"),
-    "vs4_vs7_cell_index": lambda s, d: _r(_changed_cells(s, d).search(query_vector(s, d), 10, probes=8), "distance"),
+    "vs4_vs7_cell_index": lambda s, d: _r(_changed_cells(s, d).proven(query_vector(s, d), 10)[0], "distance"),
     "vs5_codes_rescored": lambda s, d: _r(_cells(s, d, storage="i8").search(query_vector(s, d), 10, probes=8, rescore=60), "distance"),
     "vs6_beam_search": _beam,
     "vs8_signs_then_cells": lambda s, d: _r(_cells(s, d).cascade(query_vector(s, d), 10, rough=10), "distance"),
-    "vs11_half_index": lambda s, d: _r(_cells(s, d, storage="f16").search(query_vector(s, d), 10, probes=8), "distance"),
+    "vs11_half_index": lambda s, d: _r(_cells(s, d, storage="f16").proven(query_vector(s, d), 10)[0], "distance"),
     "vs17_tiered": _tiered,
     "xt6_rebuilt": lambda s, d: _rebuilt(s, d),
     "xt23_index_rows": lambda s, d: _sums(_changed_cells(s, d).rows()),
