@@ -242,6 +242,16 @@ class TieredIndex:
         self.hot = (rows.filter(F.col("id") < edge) if edge is not None else rows).cache()
         self.cold = rows.filter(F.col("id") >= edge) if edge is not None else rows.limit(0)
 
+    def close(self) -> None:
+        """Free the cached rows; searches after it read all from storage."""
+        self.hot.unpersist()
+
+    def __enter__(self) -> TieredIndex:
+        return self
+
+    def __exit__(self, *failure) -> None:
+        self.close()
+
     def search(self, query: list[float], k: int) -> DataFrame:
         both = vs.knn(self.hot, query, k).unionByName(vs.knn(self.cold, query, k))
         return both.orderBy(F.round("distance", 9), "id").limit(k)

@@ -3,7 +3,7 @@
 import numpy as np
 import pytest
 
-from recollex.operators import vectorindex as vi, vectors as vs
+from recollex.operators import vectorindex as vi
 
 ROW = "id long, embedding array<float>"
 
@@ -68,3 +68,12 @@ def test_half_storage_of_numbers_near_nothing(spark, tmp_path):
     query = [1.0, 0.7]
     exact = index.search(query, 12, probes=2).collect()
     assert [(r["id"], r["distance"]) for r in index.proven(query, 12)[0].collect()] == [(r["id"], r["distance"]) for r in exact]
+
+
+def test_tiers_free_what_they_cached(spark):
+    rows = spark.createDataFrame([(i, [float(i + 1), 1.0]) for i in range(12)], ROW)
+    with vi.TieredIndex(rows, hot=4) as index:
+        before = [r["id"] for r in index.search([1.0, 0.0], 5).collect()]
+        assert index.hot.storageLevel.useMemory
+    assert not index.hot.storageLevel.useMemory
+    assert before == [r["id"] for r in index.search([1.0, 0.0], 5).collect()] == [11, 10, 9, 8, 7]
