@@ -23,9 +23,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from recollex.session import small_batches
 from recollex.storage import Scratch, small
 
-LEAF, TREES = 256, 6
+LEAF, TREES, BLOCK = 256, 6, 2048
 
 
 def _unit(rows: DataFrame) -> DataFrame:
@@ -91,12 +92,52 @@ def _pairs_of(threshold: float):
     return run
 
 
-def near_pairs(vectors: DataFrame, threshold: float = 0.95, *, trees: int = TREES, leaf: int = LEAF, seed: int = 1) -> tuple[DataFrame, DataFrame]:
-    """((keep, drop, cosine), (id, rep)): pairs of different vectors whose cosine is above the threshold, the smaller representative kept, and each row's representative, the smallest id of its vector."""
+def _packed(key: tuple, table: pa.Table) -> pa.Table:
+    x = table.column("v").combine_chunks().flatten().to_numpy(zero_copy_only=False).astype("<f4")
+    return pa.table({"dim": [key[0].as_py()], "block": [key[1].as_py()], "reps": [table.column("rep").to_numpy().astype("<i8").tobytes()], "matrix": [x.tobytes()]}, schema=pa.schema([("dim", pa.int32()), ("block", pa.int64()), ("reps", pa.binary()), ("matrix", pa.binary())]))
+
+
+def _near_in_tiles(threshold: float):
+    """Pairs of two packed blocks: products in single precision with a slack, which those near it confirm in double."""
+
+    def run(batches):
+        for batch in batches:
+            for at in range(batch.num_rows):
+                row = {name: batch.column(name)[at].as_py() for name in ("reps", "reps2", "matrix", "matrix2", "block", "block2")}
+                a, b = np.frombuffer(row["reps"], "<i8"), np.frombuffer(row["reps2"], "<i8")
+                x, y = np.frombuffer(row["matrix"], "<f4").reshape(len(a), -1), np.frombuffer(row["matrix2"], "<f4").reshape(len(b), -1)
+                for start in range(0, len(a), 512):
+                    i, j = np.nonzero(x[start : start + 512] @ y.T > threshold - 1e-4)
+                    i = i + start
+                    once = (a[i] < b[j]) if row["block"] == row["block2"] else np.ones(len(i), bool)
+                    i, j = i[once], j[once]
+                    cosine = np.einsum("ij,ij->i", x[i].astype(np.float64), y[j].astype(np.float64))
+                    i, j, cosine = i[cosine > threshold], j[cosine > threshold], cosine[cosine > threshold]
+                    yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a[i], b[j])), pa.array(np.maximum(a[i], b[j])), pa.array(cosine)], ["keep", "drop", "cosine"])
+
+    return run
+
+
+def all_pairs(nodes: DataFrame, threshold: float, scratch: Scratch) -> DataFrame:
+    """(keep, drop, cosine) of all near pairs of distinct vectors (rep, v), none missed: blocks of about ``BLOCK`` vectors, compared two by two, so a task holds two blocks and a strip of their products."""
+    small_batches(nodes.sparkSession)
+    blocks = max(-(-nodes.count() // BLOCK), 1)
+    dealt = nodes.withColumn("dim", F.size("v")).withColumn("block", F.pmod(F.xxhash64("rep"), F.lit(blocks)))
+    packed = scratch.write(dealt.groupBy("dim", "block").applyInArrow(_packed, "dim int, block long, reps binary, matrix binary"), "packed")
+    other = packed.select(F.col("dim").alias("dim2"), F.col("block").alias("block2"), F.col("reps").alias("reps2"), F.col("matrix").alias("matrix2"))
+    named = packed.select("dim", "block").crossJoin(other.select("dim2", "block2")).filter("dim = dim2 and block <= block2")  # a row for two blocks
+    tiles = named.repartition(min(max(blocks * (blocks + 1) // 2, 1), 2048)).join(packed, ["dim", "block"]).join(other, ["dim2", "block2"])
+    return tiles.mapInArrow(_near_in_tiles(threshold), "keep long, drop long, cosine double")
+
+
+def near_pairs(vectors: DataFrame, threshold: float = 0.95, *, trees: int = TREES, leaf: int = LEAF, seed: int = 1, exact: bool = False) -> tuple[DataFrame, DataFrame]:
+    """((keep, drop, cosine), (id, rep)): pairs of different vectors whose cosine is above the threshold, the smaller representative kept, and each row's representative, the smallest id of its vector. ``exact`` compares all pairs instead of those that share a leaf."""
     scratch = Scratch(vectors.sparkSession, "forest")
     held = scratch.write(_unit(vectors), "held")
     nodes = scratch.write(held.groupBy("v").agg(F.min("id").alias("rep")), "nodes")
     members = held.join(nodes, "v").select("id", "rep")  # a very common vector is split by the adaptive skew join
+    if exact:
+        return all_pairs(nodes, threshold, scratch), members
     found = leaves(nodes, scratch, trees=trees, leaf=leaf, seed=seed).groupBy("node").applyInArrow(_pairs_of(threshold), "keep long, drop long, cosine double")
     return found.groupBy("keep", "drop").agg(F.max("cosine").alias("cosine")), members
 
