@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -134,21 +137,25 @@ def half(a: Column) -> Column:
 
 def pack_floats(a: Column) -> Column:
     """A vector as little-endian 32-bit floats."""
-    import numpy as np
-
-    @F.pandas_udf("binary")
-    def run(rows):
-        return rows.map(lambda v: None if v is None else np.asarray(v, "<f4").tobytes())
+    @F.arrow_udf("binary")
+    def run(rows: pa.Array) -> pa.Array:
+        lengths = pc.fill_null(pc.list_value_length(rows), 0).to_numpy(zero_copy_only=False)
+        flat = pc.fill_null(rows.flatten().cast(pa.float64()), float("nan")).to_numpy(zero_copy_only=False).astype("<f4")
+        offsets = np.append(0, 4 * np.cumsum(lengths)).astype(np.int32)
+        out = pa.Array.from_buffers(pa.binary(), len(rows), [None, pa.py_buffer(offsets), pa.py_buffer(flat)])
+        return out if not rows.null_count else pc.if_else(rows.is_valid(), out, pa.scalar(None, pa.binary()))
 
     return run(a)
 
 
 def unpack_floats(a: Column) -> Column:
     """The vector of little-endian 32-bit floats; null if the bytes aren't whole floats."""
-    import numpy as np
-
-    @F.pandas_udf("array<float>")
-    def run(rows):
-        return rows.map(lambda v: None if v is None or len(v) % 4 else np.frombuffer(v, "<f4"))
+    @F.arrow_udf("array<float>")
+    def run(rows: pa.Array) -> pa.Array:
+        lengths = pc.fill_null(pc.binary_length(rows), 1).to_numpy(zero_copy_only=False)
+        whole = lengths % 4 == 0
+        data = b"".join(memoryview(v.as_buffer()) for v, good in zip(rows, whole, strict=True) if good)
+        offsets = np.append(0, np.cumsum(np.where(whole, lengths // 4, 0)))
+        return pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(np.frombuffer(data, "<f4")), mask=pa.array(~whole))
 
     return run(a)

@@ -1,6 +1,13 @@
 """Steps whose work must follow the input: what they shuffle, hold and hand to Python."""
 
+import numpy as np
+from pyspark.sql import functions as F
+
+from recollex.functions import scores
+from recollex.operators import forest as fr, gazetteer as gz, plugins as pg
 from recollex.operators.textindex import TextIndex
+from recollex.plans import search_queries as sq
+from recollex.sources import files
 from recollex.storage import new_path
 
 
@@ -17,3 +24,54 @@ def test_words_are_placed_without_a_shuffle(spark):
         (1, "b"): (2, 5, [0, 4]), (1, "a"): (3, 5, [1, 3, 5]), (3, "x"): (300, 301, list(range(1, 301))), (3, "a"): (1, 301, [301]),
         (4, "ß"): (1, 1, [0]), (5, "a"): (2, 2, [1, 2]),
     }
+
+
+def test_bytes_of_floats(spark):
+    rows = [(1, [1.0, -2.5]), (2, None), (3, []), (4, [0.1, None])]
+    df = spark.createDataFrame(rows, "id long, v array<double>").coalesce(1).withColumn("b", scores.pack_floats(F.col("v")))
+    got = {r["id"]: r["b"] and bytes(r["b"]) for r in df.collect()}
+    assert got[1] == np.array([1, -2.5], "<f4").tobytes() and got[2] is None and len(got[4]) == 8
+    back = df.withColumn("b", F.when(F.col("id") == 3, F.lit(b"abc")).otherwise(F.col("b"))).select("id", scores.unpack_floats(F.col("b")).alias("v"))
+    held = {r["id"]: r["v"] for r in back.collect()}
+    assert held[1] == [1.0, -2.5] and held[2] is None and held[3] is None and held[4][0] == np.float32(0.1)
+
+
+def test_token_vectors_are_stored_without_a_shuffle(spark):
+    docs = spark.createDataFrame([(1, "a b a"), (2, ""), (3, None), (4, "c " * 3000)], "id long, text string").repartition(2)
+    made = pg.stored_token_vectors(docs, dim=8)
+    assert "hashpartitioning" not in plan(made)
+    rows = lambda df: sorted((r["id"], r["token"], tuple(r["embedding"])) for r in df.collect())
+    assert rows(pg.load_token_vectors(made)) == rows(pg.token_vectors(docs, dim=8)) and len(rows(pg.token_vectors(docs, dim=8))) == 3003
+
+
+def test_all_near_pairs_are_found(spark, monkeypatch):
+    monkeypatch.setattr(fr, "BLOCK", 100)
+    rng = np.random.default_rng(3)
+    x = np.repeat(rng.standard_normal((150, 64)), 4, axis=0) + 0.15 * rng.standard_normal((600, 64))
+    unit = (x / np.linalg.norm(x, axis=1, keepdims=True)).astype(np.float32).astype(float)
+    want = {(int(i), int(j)) for i, j in zip(*np.nonzero(np.triu(unit @ unit.T, 1) > 0.95), strict=True)}
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)] + [(900, [1.0, 2.0]), (901, [1.0, 2.1])], "id long, embedding array<double>")
+    pairs, _ = fr.near_pairs(df, 0.95, exact=True)
+    assert {(r["keep"], r["drop"]) for r in pairs.collect()} == want | {(900, 901)} and len(want) > 500
+
+
+def test_planted_copies_alone_beside_other_near_vectors(spark, tmp_path):
+    x = np.random.default_rng(4).standard_normal(64)
+    rows = [(i, (x + 0.001 * i).tolist()) for i in range(7)] + [(10, x.tolist())]  # near each other, and a copy
+    spark.createDataFrame(rows, "vec_id long, embedding array<double>").withColumn("label", F.lit(0)).write.parquet(f"{tmp_path}/embeddings.parquet")
+    got = sorted((r["keep"], r["drop"]) for r in sq.QUERIES["jn17_vs26_forest"](spark, str(tmp_path)).collect())
+    assert got == sorted([(i, i + 10**9) for i in (0, 3, 6)] + [(i, i + 2 * 10**9) for i in (0, 5, 10)])
+
+
+def test_sqlite_files_are_bounded(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(files, "FILE_CHARS", 1000)
+    docs = spark.range(50).selectExpr("id", "'t' as title", "concat('u/', id) as uri", "repeat('x', 200) as text", "'{}' as meta").coalesce(1)
+    named = files.write_sqlite(docs, f"file://{tmp_path}/db").collect()
+    assert len(named) >= 10 and sum(r["n"] for r in named) == 50
+    assert files.read_documents(spark, f"file://{tmp_path}/db", "sqlite").select("uri").distinct().count() == 50
+
+
+def test_spans_make_no_object_for_each_place(spark):
+    docs = spark.createDataFrame([(1, "Ab ä cd"), (2, None), (3, "")], "id long, text string").coalesce(1)
+    got = {r["id"]: [tuple(s) for s in r["s"]] for r in docs.select("id", gz.spans(r"\w+", lower=True).alias("s")).collect()}
+    assert got == {1: [(0, 2, "ab"), (3, 4, "ä"), (5, 7, "cd")], 2: [], 3: []}
