@@ -14,11 +14,13 @@ runs of overlapping names are told by one running maximum of ends, and within a
 from __future__ import annotations
 
 import re
+from array import array
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from recollex.session import small_batches
 from recollex.storage import materialize, small
 
 WORD = re.compile(r"\w+")
@@ -31,11 +33,18 @@ def spans(pattern: str, column: str = "text", *, lower: bool = False):
 
     @F.arrow_udf(SPAN)
     def run(texts: pa.Array) -> pa.Array:
-        rows = []
+        # Numbers in packed arrays, not an object for each place.
+        starts, ends, offsets, parts = array("i"), array("i"), array("i", [0]), []
         for t in texts:
-            text = t.as_py() or ""
-            rows.append([{"start": m.start(), "end": m.end(), "text": m.group().lower() if lower else m.group()} for m in found.finditer(text)])
-        return pa.array(rows, pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32()), ("text", pa.string())])))
+            text, words = t.as_py() or "", []
+            for m in found.finditer(text):
+                starts.append(m.start())
+                ends.append(m.end())
+                words.append(m.group().lower() if lower else m.group())
+            offsets.append(len(starts))
+            parts.append(pa.array(words, pa.string()))
+        words = pa.concat_arrays(parts) if parts else pa.array([], pa.string())
+        return pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.StructArray.from_arrays([pa.array(starts, pa.int32()), pa.array(ends, pa.int32()), words], names=["start", "end", "text"]))
 
     return run(F.col(column))
 
@@ -56,6 +65,7 @@ def tree(names: DataFrame) -> DataFrame:
 
 def find(docs: DataFrame, names: DataFrame, *, key: str = "id", text: str = "text") -> DataFrame:
     """(key, start, end, kind, text): names in texts, leftmost-longest, without case, on whole words. What stands between a name's words must be as in the name."""
+    small_batches(docs.sparkSession)
     levels = materialize(tree(names), "gazetteer")
     deepest = levels.agg(F.max("depth")).first()[0] or 0
     if not deepest:
