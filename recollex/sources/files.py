@@ -5,10 +5,14 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from recollex.session import small_batches
+
 # File endings of each format.
 ENDINGS = {"csv": "csv", "tsv": "tsv", "jsonl": "jsonl", "ndjson": "jsonl", "json": "json", "parquet": "parquet", "db": "sqlite", "sqlite": "sqlite", "sqlite3": "sqlite"}
 REFUSED = {"lance": "convert it to Parquet first", "qdrant": "export its points as JSON lines first"}
 COLUMNS = ("title", "uri", "text", "meta")
+#: Characters in a SQLite file, about: files are read and written whole.
+FILE_CHARS = 1 << 24
 
 
 def detect(path: str, forced: str | None = None) -> str:
@@ -73,6 +77,7 @@ def write_documents(docs: DataFrame, path: str, fmt: str | None = None) -> None:
 
 def read_sqlite(spark: SparkSession, path: str) -> DataFrame:
     """(id, title, uri, text, meta) of the docs tables of SQLite files (a file or a folder of them), which are read as bytes: no path is opened by an executor."""
+    small_batches(spark)
     files = spark.read.format("binaryFile").load(path).select("content")
 
     def run(batches):
@@ -87,7 +92,7 @@ def read_sqlite(spark: SparkSession, path: str) -> DataFrame:
                 there = {row[1] for row in db.execute("pragma table_info(docs)")}
                 columns = ", ".join(c if c in there else f"null as {c}" for c in ("id", *COLUMNS))
                 rows = db.execute(f"select {columns} from docs")
-                while part := rows.fetchmany(1000):
+                while part := rows.fetchmany(200):
                     yield pd.DataFrame(part, columns=["id", *COLUMNS])
                 db.close()
 
@@ -95,7 +100,8 @@ def read_sqlite(spark: SparkSession, path: str) -> DataFrame:
 
 
 def write_sqlite(docs: DataFrame, path: str) -> DataFrame:
-    """A folder of SQLite files, one a task; returns (name, n) of them."""
+    """A folder of SQLite files of about ``FILE_CHARS`` characters, so that a task holds one such file; returns (name, n) of them."""
+    small_batches(docs.sparkSession)
 
     def run(batches):
         import sqlite3
@@ -104,22 +110,32 @@ def write_sqlite(docs: DataFrame, path: str) -> DataFrame:
         import pandas as pd
         from pyarrow import fs
 
-        db, n = sqlite3.connect(":memory:"), 0
-        db.execute("create table docs (id integer primary key, title text, uri text, text text, meta text)")
-        for batch in batches:
-            rows = batch.astype(object).where(batch.notna(), None).values.tolist()
-            db.executemany("insert into docs values (?, ?, ?, ?, ?)", rows)
-            n += len(rows)
-        db.commit()
-        if n:
+        def opened():
+            db = sqlite3.connect(":memory:")
+            db.execute("create table docs (id integer primary key, title text, uri text, text text, meta text)")
+            return db
+
+        def kept(db, n):
+            db.commit()
             system, folder = fs.FileSystem.from_uri(path)
             system.create_dir(folder, recursive=True)
             name, mine = f"part-{uuid.uuid4().hex}.db", f"{folder}/.{uuid.uuid4().hex}"
             with system.open_output_stream(mine, compression=None) as f:
                 f.write(db.serialize())
             system.move(mine, f"{folder}/{name}")
-            yield pd.DataFrame({"name": [name], "n": [n]})
-        db.close()
+            db.close()
+            return pd.DataFrame({"name": [name], "n": [n]})
+
+        db, n, size = opened(), 0, 0
+        for batch in batches:
+            for row in batch.astype(object).where(batch.notna(), None).itertuples(index=False):
+                db.execute("insert into docs values (?, ?, ?, ?, ?)", tuple(row))
+                n, size = n + 1, size + sum(len(c) for c in row[1:] if c)
+                if size >= FILE_CHARS:
+                    yield kept(db, n)
+                    db, n, size = opened(), 0, 0
+        if n:
+            yield kept(db, n)
 
     from recollex.storage import materialize
 
