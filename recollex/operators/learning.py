@@ -81,6 +81,9 @@ def hash_embedding(texts: DataFrame, dim: int = 64) -> DataFrame:
     import pandas as pd
 
     from recollex.operators.packing import fnv1a
+    from recollex.session import small_batches
+
+    small_batches(texts.sparkSession)
 
     @F.pandas_udf("array<float>")
     def run(column):

@@ -16,6 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from recollex.functions import text as tx
+from recollex.session import small_batches
 
 FNV_OFFSET, FNV_PRIME, MASK = 0xCBF29CE484222325, 0x100000001B3, 0xFFFFFFFFFFFFFFFF
 TIERS = ("full", "signatures", "facts", "one_line")
@@ -24,15 +25,21 @@ FLOORS = {"decision": "facts", "preference": "facts", "code": "signatures"}
 TRUST = {"decision": 0.10, "preference": 0.08, "fact": 0.05, "lesson": 0.05}
 
 
-@lru_cache(maxsize=1 << 20)
 def fnv1a(data: bytes) -> int:
-    """FNV-1a of 64 bits; a worker hashes a word that it has met before no more."""
+    """FNV-1a of 64 bits; a worker keeps the hashes of the words of usual length that it met last."""
+    return _kept_fnv1a(data) if len(data) <= 32 else _fnv1a(data)
+
+
+def _fnv1a(data: bytes) -> int:
     h = FNV_OFFSET
     for byte in data:
         h = ((h ^ byte) * FNV_PRIME) & MASK
     return h
 
 
+_kept_fnv1a = lru_cache(maxsize=1 << 16)(_fnv1a)
+
+
 def simhash(text: str) -> int:
     """64-bit SimHash of the lower-cased words; 0 for a text without words."""
     words = Counter(text.lower().split())
@@ -45,6 +52,8 @@ def simhash(text: str) -> int:
 
 
 def with_simhash(rows: DataFrame, *, text: str = "text") -> DataFrame:
+    small_batches(rows.sparkSession)
+
     @F.pandas_udf("long")
     def run(texts):
         return texts.map(lambda t: int(np.uint64(simhash(t or "")).view(np.int64)))
