@@ -5,7 +5,10 @@ from __future__ import annotations
 import math
 from dataclasses import dataclass
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -13,6 +16,7 @@ from recollex.functions import scores, text
 from recollex.operators import fulltext, fusion, graph, vectors
 from recollex.operators.ordering import with_positions
 from recollex.operators.selection import select_ranks
+from recollex.session import small_batches
 from recollex.storage import materialize
 
 
@@ -98,12 +102,33 @@ def pipeline_recall(docs: DataFrame, memories: DataFrame, query: str, k: int, *,
 
 def evolve(new: DataFrame, known: DataFrame, low: float, high: float, *, window: int = 64) -> DataFrame:
     """(id, replaces): for each new text the most similar of the ``window`` newest known ones within [low, high]."""
-    a = new.select("id", text.long_tokens(F.col("text")).alias("t")).withColumn("n", F.size("t"))
-    b = known.orderBy(F.desc("id")).limit(window).select(F.col("id").alias("old"), text.long_tokens(F.col("text")).alias("u")).withColumn("m", F.size("u"))
-    # Sets whose sizes are too far apart can't be as similar; the slack is for rounding.
-    near = F.least("n", "m") >= F.greatest("n", "m") * (low - 1e-9)
-    pairs = a.crossJoin(F.broadcast(b)).filter((F.col("id") != F.col("old")) & near).withColumn("j", F.when(near, text.jaccard(F.col("t"), F.col("u"))))  # window rows
-    return pairs.filter(F.col("j").between(low, high)).groupBy("id").agg(F.max_by("old", F.struct("j", (-F.col("old")).alias("o"))).alias("replaces"))
+    small_batches(new.sparkSession)
+    late = known.orderBy(F.desc("id")).limit(window).select(F.col("id").alias("old"), text.long_tokens(F.col("text")).alias("u")).orderBy(F.desc("old")).collect()  # window rows
+    olds = [r["old"] for r in late]
+    words = sorted({w for r in late for w in r["u"]})
+    place = {w: i for i, w in enumerate(words)}
+    held = np.zeros((len(words) + 1, len(late)), np.int32)  # the last row: words of none
+    for j, r in enumerate(late):
+        held[[place[w] for w in r["u"]], j] = 1
+    sizes = held.sum(axis=0)
+    named = pa.array(words, pa.string())
+
+    @F.arrow_udf("array<double>")
+    def overlap(tokens: pa.Array) -> pa.Array:
+        """Jaccard's index of a row's set with each of the window's, 0 if both are empty."""
+        n = pc.list_value_length(tokens).to_numpy(zero_copy_only=False).astype(np.int64)
+        at = pc.fill_null(pc.index_in(tokens.flatten(), value_set=named), len(words)).to_numpy(zero_copy_only=False)
+        ends = np.append(0, np.cumsum(n))
+        both = np.stack([held[at[i:j]].sum(axis=0) for i, j in zip(ends[:-1], ends[1:], strict=True)]) if len(n) else np.zeros((0, len(late)))
+        union = n[:, None] + sizes[None] - both
+        j = np.where(union > 0, both / np.maximum(union, 1), 0.0)
+        return pa.ListArray.from_arrays(pa.array(np.arange(len(n) + 1) * len(late), pa.int32()), pa.array(j.ravel()))
+
+    if not late:
+        return new.select("id", F.col("id").alias("replaces")).limit(0)
+    pairs = new.select("id", overlap(text.long_tokens(F.col("text"))).alias("_j")).select("id", F.posexplode("_j").alias("at", "j"))
+    rows = pairs.filter(F.col("j").between(low, high)).withColumn("old", F.get(F.array(*[F.lit(o) for o in olds]), F.col("at")))
+    return rows.filter(F.col("id") != F.col("old")).groupBy("id").agg(F.max_by("old", F.struct("j", (-F.col("old")).alias("o"))).alias("replaces"))
 
 
 def text_groups(rows: DataFrame) -> DataFrame:

@@ -4,7 +4,7 @@ import numpy as np
 from pyspark.sql import functions as F
 
 from recollex.functions import scores
-from recollex.operators import forest as fr, gazetteer as gz, plugins as pg
+from recollex.operators import forest as fr, gazetteer as gz, memory as mm, plugins as pg
 from recollex.operators.textindex import TextIndex
 from recollex.plans import search_queries as sq
 from recollex.sources import files
@@ -75,3 +75,13 @@ def test_spans_make_no_object_for_each_place(spark):
     docs = spark.createDataFrame([(1, "Ab ä cd"), (2, None), (3, "")], "id long, text string").coalesce(1)
     got = {r["id"]: [tuple(s) for s in r["s"]] for r in docs.select("id", gz.spans(r"\w+", lower=True).alias("s")).collect()}
     assert got == {1: [(0, 2, "ab"), (3, 4, "ä"), (5, 7, "cd")], 2: [], 3: []}
+
+
+def test_evolution_compares_without_pairs_of_texts(spark):
+    rows = [(1, "aaa bbb ccc"), (2, "aaa bbb ccc"), (3, "aaa bbb ddd"), (4, ""), (5, None), (6, "zzz " * 500)]
+    docs = spark.createDataFrame(rows, "id long, text string").repartition(2)
+    got = mm.evolve(docs, docs, 0.5, 1.1, window=4)
+    assert "NestedLoop" not in plan(got) and "Cartesian" not in plan(got)
+    assert sorted((r["id"], r["replaces"]) for r in got.collect()) == [(1, 3), (2, 3)]
+    assert sorted((r["id"], r["replaces"]) for r in mm.evolve(docs, docs, 0.5, 1.1).collect()) == [(1, 2), (2, 1), (3, 1)]
+    assert mm.evolve(docs, docs.limit(0), 0.5, 1.1).count() == 0
