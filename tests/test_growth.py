@@ -71,7 +71,7 @@ def test_sqlite_files_are_bounded(spark, tmp_path, monkeypatch):
     assert files.read_documents(spark, f"file://{tmp_path}/db", "sqlite").select("uri").distinct().count() == 50
 
 
-def test_spans_make_no_object_for_each_place(spark):
+def test_places_of_spans(spark):
     docs = spark.createDataFrame([(1, "Ab ä cd"), (2, None), (3, "")], "id long, text string").coalesce(1)
     got = {r["id"]: [tuple(s) for s in r["s"]] for r in docs.select("id", gz.spans(r"\w+", lower=True).alias("s")).collect()}
     assert got == {1: [(0, 2, "ab"), (3, 4, "ä"), (5, 7, "cd")], 2: [], 3: []}
