@@ -18,7 +18,8 @@ the next level stand in each.
 Search descends: the nearest top nodes are the first beam; on each level the beam's
 nodes are expanded over the links of that level, the nearest ``step`` a hop, until
 all of them are, and what was found starts the next level. A hop joins the open nodes
-of all queries with links, and what they meet with the vectors.
+of all queries with links, and what they meet with the vectors; only what gets into a
+query's beam comes back to it.
 
 Inserts are routed like nodes of the build and linked within the cells, both ways.
 Removals take a node away when its last row goes, and give each node that linked to
@@ -36,11 +37,9 @@ from __future__ import annotations
 import math
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import DoubleType
 
 from recollex.storage import Scratch, exists, remove, small
 
@@ -49,6 +48,7 @@ CELL = 1024
 COMMIT = "gen int, base boolean, top int"
 NODE = "nid long, v array<float>, level int"
 LINK = "level int, u long, v long, d double"
+STATE = "qid long, ids array<long>, ds array<double>, done array<boolean>, front array<long>, bound double"
 TABLES = {"nodes": NODE, "rows": "id long, nid long", "links": LINK, "routes": "level int, nid long, centre long", "dead": "nid long", "gone": "id long", "touched": "level int, u long"}
 
 
@@ -300,11 +300,10 @@ class LayeredIndex:
         alive = touched.join(small(dead), F.col("u") == F.col("nid"), "left_anti")
         stays = links.join(alive, ["level", "u"], "left_semi").join(small(dead), F.col("v") == F.col("nid"), "left_anti").select("level", "u", "v", "d")
         # u -> gone -> w becomes u -> w.
-        over = out.select("level", F.col("u").alias("a"), F.col("v").alias("u")).join(links.select("level", "u", F.col("v").alias("w")), ["level", "u"])
-        over = over.filter("a <> w").select("level", F.col("a").alias("u"), F.col("w").alias("v")).distinct()
-        over = over.join(small(dead.withColumnRenamed("nid", "u")), "u", "left_anti").join(small(dead.withColumnRenamed("nid", "v")), "v", "left_anti")
-        ends = nodes.select("nid", F.col("v").alias("x"))
-        measured = over.join(ends.withColumnRenamed("nid", "u"), "u").join(ends.select(F.col("nid").alias("v"), F.col("x").alias("y")), "v").select("level", "u", "v", _apart(F.col("x"), F.col("y")).alias("d"))
+        came = out.join(small(dead.withColumnRenamed("nid", "u")), "u", "left_anti").select("level", F.col("v").alias("gone"), F.col("u").alias("nid"), F.lit(True).alias("came"))
+        went = links.join(small(dead), F.col("u") == F.col("nid"), "left_semi").join(small(dead), F.col("v") == F.col("nid"), "left_anti").select("level", F.col("u").alias("gone"), F.col("v").alias("nid"), F.lit(False).alias("came"))
+        around = came.unionByName(went).join(nodes.select("nid", F.col("v").alias("x")), "nid")
+        measured = around.groupBy("level", "gone").applyInArrow(_over, LINK)
         merged = stays.unionByName(measured).groupBy("level", "u", "v").agg(F.min("d").alias("d")).withColumn("r", F.row_number().over(_nearest("level", "u"))).filter(F.col("r") <= 2 * self.degree).drop("r")
         self._write(merged.select("level", "u", "v", "d"), "links", gen, "level", "u")
         self._commit(gen, False, live[-1]["top"])
@@ -325,40 +324,49 @@ class LayeredIndex:
     # --- search --------------------------------------------------------------
 
     def _walk(self, queries: DataFrame, beam: int, scratch: Scratch, tally: list[int] | None = None) -> DataFrame:
-        """(qid, nid, d) of all nodes that a search met on the lowest level; ``tally`` gets the number of comparisons on each."""
+        """(qid, nid, d) of the nearest ``beam`` nodes that a search met on the lowest level; ``tally`` gets the number of nodes that were compared on each, those met again once.
+
+        A query is a row with its nearest nodes so far, at most ``beam``. What a hop
+        meets is measured in tasks and dropped there if it is farther than the last of
+        a full row, so little comes back; a node that fell out of a row stays out,
+        since the row's last only gets nearer.
+        """
         live = self.commits()
         top = live[-1]["top"]
         nodes, links = self.nodes(), self.links()
         matrix = self._top(nodes, top)
+        nodes = scratch.write(nodes.select("nid", "v"), "nodes")
         asked = scratch.write(queries.select("qid", F.col("v").alias("x")), "asked")
+        near_asked = small(asked)
         width = max(16, self.routes)
         found = asked.select(F.col("qid").alias("nid"), F.col("x").alias("v")).mapInArrow(_among(*matrix, width if top else beam), "nid long, centre long, d double")
-        seen = scratch.write(found.select(F.col("nid").alias("qid"), F.col("centre").alias("nid"), "d"), "start")
+        first = found.groupBy(F.col("nid").alias("qid")).agg(F.array_sort(F.collect_list(F.struct("d", F.col("centre").alias("nid")))).alias("b"))
+        state = scratch.write(first.select("qid", F.col("b.nid").alias("ids"), F.col("b.d").alias("ds")), "start")
         if tally is not None:
             tally.append(asked.count() * len(matrix[0]))
         for level in range(top - 1, -1, -1):
             size = beam if level == 0 else width
-            order = Window.partitionBy("qid").orderBy("d", "nid")
-            starts = seen.withColumn("r", F.row_number().over(order)).filter(F.col("r") <= width).drop("r")
-            parts = [scratch.write(starts, f"hop{level}-0")]
-            done, hop = None, 0
-            while True:
-                seen = _union(parts)
-                near = seen.withColumn("r", F.row_number().over(order)).filter(F.col("r") <= size).select("qid", "nid", "d")
-                front = near if done is None else near.join(done, ["qid", "nid"], "left_anti")
-                front = front.withColumn("r", F.row_number().over(order)).filter(F.col("r") <= self.step).select("qid", "nid")
-                front = scratch.write(front, f"front{level}-{hop}")
-                if front.isEmpty():
-                    break
-                done = front if done is None else done.unionByName(front)
-                steps = front.withColumnRenamed("nid", "u").join(links.filter(F.col("level") == level).select("u", F.col("v").alias("nid")), "u")
-                met = steps.select("qid", "nid").distinct().join(seen, ["qid", "nid"], "left_anti")
-                hop += 1
-                measured = met.join(nodes.select("nid", "v"), "nid").join(asked, "qid").select("qid", "nid", _apart(F.col("v"), F.col("x")).alias("d"))
-                parts.append(scratch.write(measured, f"hop{level}-{hop}"))
+            steps = scratch.write(links.filter(F.col("level") == level).select("u", F.col("v").alias("nid")), "steps")
+            state = scratch.write(self._opened(state, width, size), "state")
+            starts = state.select("qid", F.explode("ids").alias("nid")) if tally is None else scratch.write(state.select("qid", F.explode("ids").alias("nid")), "starts")
+            met = []
+            while not state.filter(F.size("front") > 0).isEmpty():
+                pairs = state.select("qid", "bound", F.explode("front").alias("u")).join(steps, "u").select("qid", "bound", "nid")
+                if tally is not None:
+                    met.append(scratch.write(pairs.select("qid", "nid").distinct(), f"met{level}-{len(met)}"))
+                placed = pairs.join(nodes, "nid").join(near_asked, "qid").select("qid", "nid", "bound", "v", "x")
+                measured = placed.mapInArrow(_within_bound, "qid long, nid long, d double")
+                merged = state.groupBy("qid").cogroup(measured.groupBy("qid")).applyInArrow(_merge(size, self.step), STATE)
+                state = scratch.write(merged, "state")
             if tally is not None:
-                tally.append(_union(parts[1:]).count() if hop else 0)
-        return seen
+                tally.append(_union(met).distinct().join(starts, ["qid", "nid"], "left_anti").count() if met else 0)
+        return state.select("qid", F.inline(F.arrays_zip(F.col("ids").alias("nid"), F.col("ds").alias("d"))))
+
+    def _opened(self, state: DataFrame, width: int, size: int) -> DataFrame:
+        """Queries at the start of a level: the nearest ``width`` nodes, of which the first are to be expanded."""
+        kept = state.select("qid", F.slice("ids", 1, width).alias("ids"), F.slice("ds", 1, width).alias("ds"))
+        bound = F.when(F.size("ds") >= size, F.get("ds", F.lit(size - 1))).otherwise(F.lit(math.inf))
+        return kept.select("qid", "ids", "ds", F.transform("ids", lambda _, i: i < min(self.step, size)).alias("done"), F.slice("ids", 1, min(self.step, size)).alias("front"), bound.alias("bound"))
 
     def _asked(self, queries: DataFrame) -> DataFrame:
         return self._usable(queries.select(F.col("qid").alias("id"), "embedding")).select(F.col("id").alias("qid"), "v")
@@ -401,13 +409,48 @@ def _union(parts: list[DataFrame]) -> DataFrame:
     return out
 
 
-@F.pandas_udf(DoubleType())
-def _apart(a: pd.Series, b: pd.Series) -> pd.Series:
-    """Squared distance of two columns of vectors."""
-    if not len(a):
-        return pd.Series([], dtype=float)
-    x, y = np.stack(a.to_list()).astype(np.float64), np.stack(b.to_list()).astype(np.float64)
-    return pd.Series(((x - y) ** 2).sum(axis=1))
+def _apart(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Squared distances of two matrices, row by row."""
+    return ((x.astype(np.float64) - y.astype(np.float64)) ** 2).sum(axis=1)
+
+
+def _within_bound(batches):
+    """(qid, nid, d) of pairs (qid, nid, bound, v, x) that are within their bound."""
+    for batch in batches:
+        if batch.num_rows:
+            d = _apart(_matrix(batch.column("v")), _matrix(batch.column("x")))
+            near = np.flatnonzero(d <= batch.column("bound").to_numpy())
+            yield pa.RecordBatch.from_arrays([batch.column("qid").take(pa.array(near)), batch.column("nid").take(pa.array(near)), pa.array(d[near])], ["qid", "nid", "d"])
+
+
+def _merge(size: int, step: int):
+    """A query's row with what a hop measured: the nearest ``size``, and which of them are expanded next."""
+
+    def run(rows: pa.Table, measured: pa.Table) -> pa.Table:
+        old, new = rows.column("ids")[0].values.to_numpy(), measured.column("nid").to_numpy()
+        ids, at = np.unique(np.concatenate([old, new]), return_index=True)  # of equal ids the first, so that of the row
+        ds = np.concatenate([rows.column("ds")[0].values.to_numpy(), measured.column("d").to_numpy()])[at]
+        done = np.concatenate([rows.column("done")[0].values.to_numpy(zero_copy_only=False), np.zeros(len(new), bool)])[at]
+        near = np.lexsort((ids, ds))[:size]
+        ids, ds, done = ids[near], ds[near], done[near]
+        front = np.flatnonzero(~done)[:step]
+        done[front] = True
+        columns = [rows.column("qid").combine_chunks(), pa.array([ids]), pa.array([ds]), pa.array([done]), pa.array([ids[front]], pa.list_(pa.int64())), pa.array([ds[-1] if len(ds) == size else math.inf])]
+        return pa.Table.from_arrays(columns, ["qid", "ids", "ds", "done", "front", "bound"])
+
+    return run
+
+
+def _over(table: pa.Table) -> pa.Table:
+    """Links from the nodes that linked to one that is gone to those that it linked to."""
+    ids, came, x = table.column("nid").to_numpy(), table.column("came").to_numpy(zero_copy_only=False), _matrix(table.column("x"))
+    to, level = np.flatnonzero(~came), table.column("level")[0].as_py()
+    parts = []
+    for i in np.flatnonzero(came):
+        other = to[ids[to] != ids[i]]
+        parts.append((np.full(len(other), ids[i]), ids[other], _apart(x[i : i + 1], x[other])))
+    u, v, d = (np.concatenate(p) for p in zip(*parts, strict=True)) if parts else (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))
+    return pa.table({"level": pa.array(np.full(len(u), level), pa.int32()), "u": pa.array(u, pa.int64()), "v": pa.array(v, pa.int64()), "d": pa.array(d, pa.float64())})
 
 
 def _among(ids: np.ndarray, matrix: np.ndarray, most: int):
@@ -417,10 +460,11 @@ def _among(ids: np.ndarray, matrix: np.ndarray, most: int):
         for batch in batches:
             if not batch.num_rows or not len(ids):
                 continue
-            d = _squares(_matrix(batch.column(1)), matrix)
-            near = np.argsort(d, axis=1, kind="stable")[:, :most]
+            x = _matrix(batch.column(1))
+            near = np.argsort(_squares(x, matrix), axis=1, kind="stable")[:, :most]
+            d = _apart(np.repeat(x, near.shape[1], axis=0), matrix[near.ravel()])  # as in the hops
             yield pa.RecordBatch.from_arrays(
-                [pa.array(np.repeat(batch.column(0).to_numpy(), near.shape[1])), pa.array(ids[near].ravel()), pa.array(np.take_along_axis(d, near, 1).ravel().astype(np.float64))], ["nid", "centre", "d"]
+                [pa.array(np.repeat(batch.column(0).to_numpy(), near.shape[1])), pa.array(ids[near].ravel()), pa.array(d)], ["nid", "centre", "d"]
             )
 
     return run

@@ -5,6 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from recollex.operators.layered import LayeredIndex, diverse
+from recollex.storage import Scratch
 
 ROW = "id long, embedding array<float>"
 
@@ -107,3 +108,20 @@ def test_search_reads_no_vectors_of_other_cells_at_once(spark, tmp_path):
     # A node's cells are those of its nearest centres.
     cells = index.cells().filter("level = 1").groupBy("nid").count().collect()
     assert {r["count"] for r in cells} == {4} and len(cells) == 600
+
+
+def test_a_search_keeps_one_row_for_each_query(spark, tmp_path, monkeypatch):
+    x = groups(1500, 5)
+    index = LayeredIndex(spark, str(tmp_path), fan=16, routes=4, beam=20, step=8, top=32).build(frame(spark, range(1500), x))
+    written, write = {}, Scratch.write
+
+    def counted(self, df, name):
+        out = write(self, df, name)
+        written[name] = max(written.get(name, 0), out.count())
+        return out
+
+    monkeypatch.setattr(Scratch, "write", counted)
+    queries = spark.createDataFrame([(n, v.tolist()) for n, v in enumerate(groups(10, 6))], "qid long, embedding array<double>")
+    assert index.search_batch(queries, 10).count() == 100
+    of_graph = {"nodes", "steps"}
+    assert max(n for name, n in written.items() if name not in of_graph) == 10
