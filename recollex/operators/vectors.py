@@ -2,16 +2,20 @@
 
 from __future__ import annotations
 
+import hashlib
 import math
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from recollex.functions import scores
 from recollex.operators.selection import select_ranks
+from recollex.session import small_batches
 from recollex.storage import few, materialize
 
 
@@ -256,17 +260,36 @@ def sparse_expand(docs: DataFrame, *, text: str = "text", top: int | None = None
     """(id, term, weight): each distinct word spread over ``SPREAD`` entries by its hashes, sums of ln(1 + share), all or the ``top`` heaviest; where no learned encoder is plugged in."""
     from recollex.functions.text import tokens
 
-    words = docs.select("id", F.explode(F.array_distinct(tokens(F.col(text)))).alias("word"))
-    hashed = words.select("id", F.explode(F.array(*[F.md5(F.concat("word", F.lit(f":{j}"))) for j in range(SPREAD)])).alias("h"))
-    number = lambda start: F.conv(F.substring("h", start, 8), 16, 10).cast("long")
-    parts = hashed.select("id", (number(1) % EXPANDED).alias("term"), F.log1p(number(9) / F.lit(2.0**32)).alias("weight"))
-    sums = parts.groupBy("id", "term").agg(F.sum("weight").alias("weight"))
+    words = docs.select("id", F.array_distinct(tokens(F.col(text))).alias("words"))
+    again = docs.groupBy("id").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select(F.col("id").alias("_id"))
+    if not again.isEmpty():
+        same = F.col("id").eqNullSafe(F.col("_id"))
+        several = words.join(again, same, "left_semi").groupBy("id").agg(F.array_distinct(F.flatten(F.collect_list("words"))).alias("words"))
+        words = words.join(again, same, "left_anti").unionByName(several)
+    small_batches(docs.sparkSession)
+    sums = words.select(F.col("id").cast("long").alias("id"), "words").mapInArrow(_spread, "id long, term long, weight double")
     if top is None:
         return sums
     order = Window.partitionBy("id").orderBy(F.desc(F.round("weight", 9)), "term")
     return sums.withColumn("r", F.row_number().over(order)).filter(F.col("r") <= top).drop("r")
 
 
+def _spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(id, term, weight) of rows (id, words): summed within the row, so that nothing is shuffled."""
+    for batch in batches:
+        words = batch.column("words")
+        coded = pc.dictionary_encode(words.flatten())
+        named = coded.dictionary.to_pylist()
+        digests = b"".join(hashlib.md5(f"{w}:{j}".encode()).digest()[:8] for w in named for j in range(SPREAD))
+        numbers = np.frombuffer(digests, ">u4").astype(np.int64).reshape(len(named), SPREAD, 2)
+        entry, weight = numbers[:, :, 0] % EXPANDED, np.log1p(numbers[:, :, 1] / 2.0**32)
+        code = coded.indices.to_numpy(zero_copy_only=False)
+        row = np.repeat(np.arange(len(words)), pc.fill_null(pc.list_value_length(words), 0).to_numpy(zero_copy_only=False))
+        key, at = np.unique((row[:, None] * EXPANDED + entry[code]).ravel(), return_inverse=True)
+        summed = np.bincount(at, weights=weight[code].ravel(), minlength=len(key))
+        yield pa.RecordBatch.from_arrays([batch.column("id").take(pa.array(key // EXPANDED)), pa.array(key % EXPANDED), pa.array(summed)], ["id", "term", "weight"])
+
+
 def sparse_search(index: DataFrame, query: dict[str, float], k: int) -> DataFrame:
     """(id, score): greatest sum of products over shared terms, exact."""
     rows = [F.struct(F.lit(t).alias("term"), F.lit(float(w)).alias("q")) for t, w in sorted(query.items())]
