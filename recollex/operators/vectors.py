@@ -231,11 +231,48 @@ def plane_buckets(vectors: DataFrame, dim: int, *, planes: int = 8, seed: int =
     return vectors.withColumn("bucket", out)
 
 
-def consolidate(vectors: DataFrame, dim: int, *, threshold: float = 0.95, **options) -> DataFrame:
-    """(keep, drop, cosine): pairs of one bucket above the threshold."""
-    rows = plane_buckets(vectors, dim, **options).select("id", "embedding", "bucket")
-    other = rows.select(F.col("id").alias("drop"), F.col("embedding").alias("e2"), "bucket")
-    return rows.withColumnRenamed("id", "keep").join(other, "bucket").filter("keep < drop").select("keep", "drop", scores.cosine(F.col("embedding"), F.col("e2")).alias("cosine")).filter(F.col("cosine") > threshold)
+#: Vectors in a tile of a bucket, about.
+TILE = 512
+
+
+def consolidate(vectors: DataFrame, dim: int, *, threshold: float = 0.95, tile: int = TILE, **options) -> DataFrame:
+    """(keep, drop, cosine): pairs of one bucket above the threshold.
+
+    A bucket's vectors are dealt to tiles, and two tiles are compared as one matrix
+    product, so that vectors are not repeated for each pair. Null vectors, those of
+    other dimensions and those with null entries take no part.
+    """
+    valid = vectors.filter((F.size("embedding") == dim) & F.forall("embedding", lambda x: x.isNotNull()))
+    rows = plane_buckets(valid.select(F.col("id").cast("long").alias("id"), "embedding"), dim, **options)
+    sizes = rows.groupBy("bucket").agg(F.ceil(F.count(F.lit(1)) / tile).alias("tiles"))
+    dealt = rows.join(sizes, "bucket").select("bucket", F.pmod(F.xxhash64("id"), F.col("tiles")).alias("tile"), "id", F.col("embedding").cast("array<double>").alias("embedding"))
+    tiles = materialize(dealt.groupBy("bucket", "tile").applyInArrow(_as_tile, "bucket int, tile long, ids binary, matrix binary"), "tiles")
+    other = tiles.select("bucket", F.col("tile").alias("tile2"), F.col("ids").alias("ids2"), F.col("matrix").alias("matrix2"))
+    met = tiles.join(other, "bucket").filter("tile <= tile2").select((F.col("tile") == F.col("tile2")).alias("same"), "ids", "matrix", "ids2", "matrix2")
+    return met.mapInArrow(_above(dim, threshold), "keep long, drop long, cosine double")
+
+
+def _as_tile(rows: pa.Table) -> pa.Table:
+    """A tile's ids and its vectors of length 1 (or 0), as bytes."""
+    x = rows.column("embedding").combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(rows.num_rows, -1)
+    length = np.linalg.norm(x, axis=1, keepdims=True)
+    unit = np.divide(x, length, out=np.zeros_like(x), where=length > 0)
+    return pa.table({"bucket": rows.column("bucket")[:1], "tile": rows.column("tile")[:1], "ids": pa.array([rows.column("id").to_numpy().tobytes()], pa.binary()), "matrix": pa.array([unit.tobytes()], pa.binary())})
+
+
+def _above(dim: int, threshold: float):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(batch.num_rows):
+                same, *parts = (c[i].as_py() for c in batch.columns)
+                a, b = np.frombuffer(parts[0], np.int64), np.frombuffer(parts[2], np.int64)
+                cosine = np.frombuffer(parts[1]).reshape(-1, dim) @ np.frombuffer(parts[3]).reshape(-1, dim).T
+                near = cosine > threshold
+                row, column = np.nonzero(near & (a[:, None] < b[None]) if same else near & (a[:, None] != b[None]))
+                x, y = a[row], b[column]
+                yield pa.RecordBatch.from_arrays([pa.array(np.minimum(x, y)), pa.array(np.maximum(x, y)), pa.array(cosine[row, column])], ["keep", "drop", "cosine"])
+
+    return run
 
 
 # --- sparse and late interaction --------------------------------------------

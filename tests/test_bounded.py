@@ -3,6 +3,7 @@
 import hashlib
 import math
 
+import numpy as np
 
 from recollex.operators import vectors
 
@@ -11,6 +12,24 @@ def plan(df):
     return df._jdf.queryExecution().executedPlan().toString()
 
 
+def test_consolidate_compares_tiles(spark):
+    x = np.random.default_rng(4).standard_normal((120, 8))
+    x[5], x[6] = x[4] * 2, 0
+    rows = [(i, v.tolist()) for i, v in enumerate(x)] + [(200, None), (201, [None] * 8), (202, [1.0])]
+    frame = spark.createDataFrame(rows, "id long, embedding array<double>")
+    buckets = {r["id"]: r["bucket"] for r in vectors.plane_buckets(frame.filter("id < 200"), 8, planes=2).collect()}
+    length = np.linalg.norm(x, axis=1)
+    want = {}
+    for a in range(120):
+        for b in range(a + 1, 120):
+            c = x[a] @ x[b] / (length[a] * length[b]) if length[a] * length[b] else 0.0
+            if buckets[a] == buckets[b] and c > 0.3:
+                want[a, b] = c
+    found = vectors.consolidate(frame, 8, threshold=0.3, planes=2, tile=16)
+    got = {(r["keep"], r["drop"]): r["cosine"] for r in found.collect()}
+    assert got.keys() == want.keys() and all(abs(got[p] - want[p]) < 1e-12 for p in want)
+
+
 def test_expansion_sums_within_a_row(spark):
     texts = [(1, "One two two three"), (2, None), (3, "one ONE"), (3, "two one")]
     docs = spark.createDataFrame(texts, "id long, text string")
