@@ -1,17 +1,19 @@
 """Context packing: near-duplicates, compression tiers, budgets, rendering.
 
-A query's pool is packed in one call, since each choice depends on those before
-it. The call gets sizes and fingerprints alone; texts are fetched for what was taken.
+A query's pool is packed in one task, since each choice depends on those before
+it. The task gets sizes and fingerprints alone, in order and in batches; texts are
+fetched for what was taken.
 """
 
 from __future__ import annotations
 
 from collections import Counter
+from collections.abc import Iterator
 from dataclasses import dataclass, field
 from functools import lru_cache
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -87,33 +89,10 @@ def pack(candidates: DataFrame, options: PackOptions = PackOptions()) -> DataFra
     """
     room = options.budget - min(options.reserve, options.budget // 4)
 
-    def run(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows[rows["score"] >= options.floor].sort_values(["trusted", "id"], ascending=[False, True])
-        used, prints, taken = 0, [], []
-        for row in rows.itertuples(index=False):
-            if used >= room:
-                break
-            if any(bin((row.simhash ^ p) & MASK).count("1") <= options.radius for p in prints):
-                continue
-            allowed = TIERS[: TIERS.index(FLOORS.get(row.kind, TIERS[-1])) + 1]
-            for tier in allowed:
-                tokens = int(getattr(row, f"n_{tier}"))
-                if tokens and used + tokens <= room:
-                    taken.append((row.id, tier, tokens, row.key, False))
-                    prints.append(row.simhash)
-                    used += tokens
-                    break
-        if not taken and len(rows) and options.at_least_one:
-            best = rows.iloc[0]
-            taken.append((best["id"], "one_line", min(int(best["n_one_line"]), room), best["key"], True))
-        order = [i for i in options.previous if i in {t[0] for t in taken}]
-        rest = [t for t in taken if t[0] not in order]
-        if len(rest) > 2:
-            rest = [rest[0], *rest[2:], rest[1]]
-        placed = [next(t for t in taken if t[0] == i) for i in order] + rest
-        return pd.DataFrame({"qid": [rows["qid"].iloc[0]] * len(placed) if len(rows) else [], "position": range(1, len(placed) + 1), "id": [t[0] for t in placed], "tier": [t[1] for t in placed], "tokens": [t[2] for t in placed], "key": [t[3] for t in placed], "cut": [t[4] for t in placed]})
-
-    packed = with_tiers(candidates).groupBy("qid").applyInPandas(run, "qid long, position long, id long, tier string, tokens long, key long, cut boolean")
+    # Sorted rows stream through a task in batches, so that a pool of any size takes no more memory than one.
+    live = with_tiers(candidates).filter((F.col("score") >= options.floor) & ~F.isnan("score"))
+    ordered = live.repartition("qid").sortWithinPartitions("qid", F.desc("trusted"), F.asc_nulls_last("id"))
+    packed = ordered.mapInArrow(_in_order(options, room), "qid long, position long, id long, tier string, tokens long, key long, cut boolean")
     texts = candidates.select(F.col("qid").alias("_qid"), F.col("id").alias("_id"), "text").withColumn("_key", F.xxhash64("text"))
     same = F.col("qid").eqNullSafe(F.col("_qid")) & F.col("id").eqNullSafe(F.col("_id")) & (F.col("key") == F.col("_key"))
     text = F.lit(None).cast("string")
@@ -124,6 +103,52 @@ def pack(candidates: DataFrame, options: PackOptions = PackOptions()) -> DataFra
     return found.select("qid", "position", "id", "tier", "tokens", F.when(F.col("cut"), F.substring(text, 1, 3 * room)).otherwise(text).alias("text"))
 
 
+def _in_order(options: PackOptions, room: int):
+    """Packs pools whose rows come one pool after the other, best first."""
+
+    def placed(qid, best: dict, taken: list[tuple]) -> pa.RecordBatch:
+        if not taken and options.at_least_one:
+            taken = [(best["id"], "one_line", min(best["n_one_line"] or 0, room), best["key"], True)]
+        order = [i for i in options.previous if i in {t[0] for t in taken}]
+        rest = [t for t in taken if t[0] not in order]
+        if len(rest) > 2:
+            rest = [rest[0], *rest[2:], rest[1]]
+        rows = [next(t for t in taken if t[0] == i) for i in order] + rest
+        columns = [[qid] * len(rows), list(range(1, len(rows) + 1)), *([t[j] for t in rows] for j in range(5))]
+        kinds = [pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.bool_()]
+        return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], ["qid", "position", "id", "tier", "tokens", "key", "cut"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        qid, best, used, prints, taken = None, None, 0, [], []
+        for batch in batches:
+            qids, kinds, hashes = batch.column("qid").to_pylist(), batch.column("kind").to_pylist(), batch.column("simhash").to_numpy()
+            sizes = np.stack([batch.column(f"n_{tier}").fill_null(0).to_numpy() for tier in TIERS])
+            last = np.array([TIERS.index(FLOORS.get(kind, TIERS[-1])) for kind in kinds], int)
+            sizes[np.arange(len(TIERS))[:, None] > last[None]] = 0
+            starts = [i for i in range(len(qids)) if i == 0 or qids[i] != qids[i - 1]]
+            for start, end in zip(starts, [*starts[1:], len(qids)], strict=True):
+                if best is None or qids[start] != qid:
+                    if best is not None:
+                        yield placed(qid, best, taken)
+                    qid, best, used, prints, taken = qids[start], batch.slice(start, 1).to_pylist()[0], 0, [], []
+                own = sizes[:, start:end]
+                for i in start + np.flatnonzero(((own > 0) & (own <= room - used)).any(axis=0)):
+                    if used >= room:
+                        break
+                    if prints and np.bitwise_count((np.array(prints) ^ hashes[i]).view(np.uint64)).min() <= options.radius:
+                        continue
+                    fits = np.flatnonzero((sizes[:, i] > 0) & (used + sizes[:, i] <= room))
+                    if len(fits):
+                        tokens = int(sizes[fits[0], i])
+                        taken.append((batch.column("id")[i].as_py(), TIERS[fits[0]], tokens, batch.column("key")[i].as_py(), False))
+                        prints.append(hashes[i])
+                        used += tokens
+        if best is not None:
+            yield placed(qid, best, taken)
+
+    return run
+
+
 def pack_delta(candidates: DataFrame, delivered: DataFrame, options: PackOptions = PackOptions()) -> DataFrame:
     """Pack what was not delivered before; delivered: (id)."""
     return pack(candidates.join(delivered.select("id"), "id", "left_anti"), options)

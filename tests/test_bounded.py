@@ -4,14 +4,45 @@ import hashlib
 import math
 
 import numpy as np
+from pyspark.sql import functions as F
 
-from recollex.operators import vectors
+from recollex.operators import packing, vectors
+from recollex.operators.packing import PackOptions
 
 
 def plan(df):
     return df._jdf.queryExecution().executedPlan().toString()
 
 
+def test_a_pool_larger_than_a_batch_is_packed_in_order(spark):
+    rows = [(i % 2, i, ("fact", "code", "decision")[i % 3], (i * 37 % 101) / 101, f"word{i % 40} says {'x' * (i % 9)} number{i}") for i in range(400)]
+    pool = spark.createDataFrame(rows, "qid long, id long, kind string, score double, text string")
+    options, name = PackOptions(budget=300, reserve=0, previous=(7,)), "spark.sql.execution.arrow.maxRecordsPerBatch"
+    kept = spark.conf.get(name)
+    got = {}
+    for most in ("1000", "7"):
+        spark.conf.set(name, most)
+        got[most] = sorted((r["qid"], r["position"], r["id"], r["tier"], r["tokens"]) for r in packing.pack(pool, options).collect())
+    spark.conf.set(name, kept)
+    want = []
+    for qid in (0, 1):
+        used, prints, taken = 0, [], []
+        for r in packing.with_tiers(pool.filter(F.col("qid") == qid)).orderBy(F.desc("trusted"), "id").collect():
+            if used >= 300 or any(((r["simhash"] ^ p) & packing.MASK).bit_count() <= 3 for p in prints):
+                continue
+            tiers = packing.TIERS[: packing.TIERS.index(packing.FLOORS.get(r["kind"], "one_line")) + 1]
+            if fit := [t for t in tiers if r[f"n_{t}"] and used + r[f"n_{t}"] <= 300]:
+                taken.append((r["id"], fit[0], r[f"n_{fit[0]}"]))
+                prints.append(r["simhash"])
+                used += taken[-1][2]
+        first = [t for t in taken if t[0] == 7]
+        rest = [t for t in taken if t[0] != 7]
+        rest = [rest[0], *rest[2:], rest[1]] if len(rest) > 2 else rest
+        want += [(qid, n, *t) for n, t in enumerate(first + rest, 1)]
+    assert got["1000"] == got["7"] == want
+    assert "FlatMapGroups" not in plan(packing.pack(pool, options))
+
+
 def test_consolidate_compares_tiles(spark):
     x = np.random.default_rng(4).standard_normal((120, 8))
     x[5], x[6] = x[4] * 2, 0
