@@ -9,7 +9,7 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from recollex.functions import scores, text
@@ -138,35 +138,57 @@ def text_groups(rows: DataFrame) -> DataFrame:
     return sets.join(first, ["h", "s"]).select("id", "rep")
 
 
+def _least(size: Column, threshold: float) -> Column:
+    """Tokens that a set of a size shares at least with any that is similar enough."""
+    return F.ceil(size * threshold - 1e-9)
+
+
+def _shared(size: Column, threshold: float) -> Column:
+    """Tokens of their prefixes that two sets must share, by the size of the smaller: more for larger sets, whose next tokens are hardly more common."""
+    steps = sum((size >= least).cast("int") for least in (16, 64, 256))
+    return F.least(steps + 1, _least(size, threshold))
+
+
+def _met(ordered: DataFrame, threshold: float) -> DataFrame:
+    """(a, b): sets that share enough of their prefixes to be compared whole, the smaller first."""
+    size = F.size("t")
+    prefix = F.slice("t", F.lit(1), (size - _least(size, threshold) + _shared(size, threshold)).cast("int"))
+    head = ordered.select("id", size.alias("size"), F.posexplode(prefix).alias("place", "token"))
+    head = head.withColumn("step", F.floor(F.log("size") / -math.log(threshold) + 1e-9) if threshold < 1 else F.col("size"))
+    short = head.select(F.col("id").alias("a"), F.col("size").alias("n"), F.col("place").alias("p"), "token", F.explode(F.array(F.col("step"), F.col("step") + 1)).alias("step"))
+    long_ = head.select(F.col("id").alias("b"), F.col("size").alias("m"), F.col("place").alias("q"), "token", "step")
+    n, m = F.col("n"), F.col("m")
+    larger = (n < m) | ((n == m) & (F.col("a") < F.col("b")))
+    most = F.least(n - F.col("p"), m - F.col("q")) + _shared(n, threshold) - 1  # shared tokens, if this is one of the first k
+    enough = (n >= threshold * m) & (most >= threshold / (1 + threshold) * (n + m) - 1e-9)
+    met = short.join(long_, ["token", "step"]).filter(larger & enough).groupBy("a", "b", "n").agg(F.count(F.lit(1)).alias("times"))
+    return met.filter(F.col("times") >= _shared(n, threshold)).select("a", "b")
+
+
 def similar_pairs(rows: DataFrame, threshold: float) -> DataFrame:
     """(a, b): groups of texts (``text_groups``) whose token sets overlap by the threshold, by prefix filter.
 
     A group stands for all its copies, so copies make no pairs. Tokens are numbered
     from rare to common, and sets are sorted lists of numbers. Two sets of n and m
-    tokens that overlap enough share one of the first n - ceil(threshold * n) + 1;
-    only these are joined, so common tokens don't bring rows together. Sizes differ
-    by the threshold at most: a set meets those as large or larger in its own class
-    of sizes and the next, whose steps are the threshold. From the places of the
-    first shared token follows how much two sets can share at most, which drops most
-    pairs before their lists are fetched; the rest is compared whole.
+    tokens that overlap enough share k of the first n - ceil(threshold * n) + k for
+    each k; only these are joined, so common tokens don't bring rows together, and
+    k, which grows with the smaller set (``_shared``), tells chance meetings, which
+    grow with the square of the rows, from near copies before any list is fetched.
+    Sizes differ by the threshold at most: a set meets those as large or larger in
+    its own class of sizes and the next, whose steps are the threshold. From the
+    places of one of the first k shared tokens follows how much two sets can share
+    at most, which drops most meetings within the join; what is left is compared
+    whole.
     """
     sets = rows.select("id", F.array_sort(text.long_tokens(F.col("text"))).alias("t")).filter(F.size("t") > 0)
-    sets = materialize(sets.groupBy("t").agg(F.min("id").alias("id")).select("id", "t"), "token-sets")
+    sets = materialize(sets.withColumns({"h": F.xxhash64("t"), "s": F.sha2(F.array_join("t", " "), 256)}), "token-sets")
+    first = sets.groupBy("h", "s").agg(F.min("id").alias("id")).select("id")
     one = sets.select("id", F.explode("t").alias("token"))
     often = one.groupBy("token").agg(F.count(F.lit(1)).alias("n"))
     numbered = with_positions(often, "n", "token", position="number").select("token", "number")
-    ordered = one.join(numbered, "token").groupBy("id").agg(F.array_sort(F.collect_list("number")).alias("t"))
+    ordered = one.join(numbered, "token").groupBy("id").agg(F.array_sort(F.collect_set("number")).alias("t")).join(first, "id", "left_semi")
     ordered = materialize(ordered, "ordered-tokens")  # read three times from here on
-    prefix = F.slice("t", F.lit(1), (F.size("t") - F.ceil(F.size("t") * threshold - 1e-9) + 1).cast("int"))
-    head = ordered.select("id", F.size("t").alias("size"), F.posexplode(prefix).alias("place", "token"))
-    head = head.withColumn("step", F.floor(F.log("size") / -math.log(threshold) + 1e-9) if threshold < 1 else F.col("size"))
-    short = head.select(F.col("id").alias("a"), F.col("size").alias("n"), F.col("place").alias("p"), "token", F.explode(F.array(F.col("step"), F.col("step") + 1)).alias("step"))
-    long_ = head.select(F.col("id").alias("b"), F.col("size").alias("m"), F.col("place").alias("q"), "token", "step")
-    n, m = F.col("n"), F.col("m")
-    larger = (n < m) | ((n == m) & (F.col("a") < F.col("b")))
-    most = F.least(n - F.col("p"), m - F.col("q"))  # shared tokens, if this is the first
-    enough = (n >= threshold * m) & (most >= threshold / (1 + threshold) * (n + m) - 1e-9)
-    met = short.join(long_, ["token", "step"]).filter(larger & enough).select("a", "b").distinct()
+    met = _met(ordered, threshold)
     left, right = ordered.select(F.col("id").alias("a"), F.col("t").alias("ta")), ordered.select(F.col("id").alias("b"), F.col("t").alias("tb"))
     shared = F.size(F.array_intersect("ta", "tb"))
     found = met.join(left, "a").join(right, "b").filter(shared / (F.size("ta") + F.size("tb") - shared) >= threshold)

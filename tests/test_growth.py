@@ -85,3 +85,13 @@ def test_evolution_compares_without_pairs_of_texts(spark):
     assert sorted((r["id"], r["replaces"]) for r in got.collect()) == [(1, 3), (2, 3)]
     assert sorted((r["id"], r["replaces"]) for r in mm.evolve(docs, docs, 0.5, 1.1).collect()) == [(1, 2), (2, 1), (3, 1)]
     assert mm.evolve(docs, docs.limit(0), 0.5, 1.1).count() == 0
+
+
+def test_chance_meetings_of_sets_are_dropped_before_lists_are_fetched(spark):
+    common = " ".join(f"common{i}" for i in range(60))
+    texts = [f"{common} " + " ".join(f"rare{min(i, j)}x{max(i, j)}" for j in range(40) if j != i) for i in range(40)]  # each two share one rare word
+    texts.append(texts[0].replace("rare0x1 ", "").replace("rare0x2 ", ""))
+    rows = spark.createDataFrame(list(enumerate(texts)), "id long, text string")
+    ordered = mm.materialize(rows.select("id", F.array_sort(F.transform(F.split("text", " "), lambda w: F.when(F.startswith(w, F.lit("rare")), F.lit(0)).otherwise(F.lit(1 << 40)) + F.pmod(F.xxhash64(w), F.lit(1 << 39)))).alias("t")), "sets")
+    assert [(r["a"], r["b"]) for r in mm._met(ordered, 0.8).collect()] == [(40, 0)]
+    assert [(r["a"], r["b"]) for r in mm.similar_pairs(rows.union(rows.filter("id < 3")), 0.8).collect()] == [(0, 40)]
