@@ -3,8 +3,8 @@
 import numpy as np
 from pyspark.sql import functions as F
 
-from recollex.functions import scores
-from recollex.operators import forest as fr, gazetteer as gz, memory as mm, plugins as pg
+from recollex.functions import scores, text as tx
+from recollex.operators import agent as ag, forest as fr, gazetteer as gz, graph as g, memory as mm, plugins as pg
 from recollex.operators.textindex import TextIndex
 from recollex.plans import search_queries as sq
 from recollex.sources import files
@@ -95,3 +95,21 @@ def test_chance_meetings_of_sets_are_dropped_before_lists_are_fetched(spark):
     ordered = mm.materialize(rows.select("id", F.array_sort(F.transform(F.split("text", " "), lambda w: F.when(F.startswith(w, F.lit("rare")), F.lit(0)).otherwise(F.lit(1 << 40)) + F.pmod(F.xxhash64(w), F.lit(1 << 39)))).alias("t")), "sets")
     assert [(r["a"], r["b"]) for r in mm._met(ordered, 0.8).collect()] == [(40, 0)]
     assert [(r["a"], r["b"]) for r in mm.similar_pairs(rows.union(rows.filter("id < 3")), 0.8).collect()] == [(0, 40)]
+
+
+def test_retrieval_by_entities_asks_for_the_edges_of_live_entities_alone(spark):
+    texts = ["Anna met Bert. Then Carl.", "Anna and Carl, Carl", "Bert saw Dora", "Emil or Fritz", None, "", "Emil by Gustav Adolf"]
+    docs = spark.createDataFrame(list(enumerate(texts)) + [(2, "Dora by Hans")], "id long, text string").repartition(3)
+    mentions = docs.select("id", F.explode(tx.entities(F.col("text"))).alias("entity"))
+    held = g.entity_rows(mentions)
+    asked = []
+
+    def edges(front):
+        asked.append({r["id"] for r in front.collect()})
+        return g.edges_of(held, front)
+
+    rows = lambda df: [(r["id"], round(r["score"], 9)) for r in df.collect()]
+    whole = rows(ag.hippo_retrieve(mentions, g.entity_graph(docs), "Anna", 10, rounds=3))
+    assert rows(ag.hippo_retrieve(mentions, edges, "Anna", 10, rounds=3)) == whole and len(whole) == 3
+    number = {r["e"]: r["h"] for r in mentions.select(F.col("entity").alias("e"), F.xxhash64("entity").alias("h")).collect()}
+    assert asked[0] == {number["Anna"]} and number["Emil"] not in set().union(*asked) and sum(map(len, asked)) == len(set().union(*asked))
