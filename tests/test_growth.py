@@ -113,3 +113,31 @@ def test_retrieval_by_entities_asks_for_the_edges_of_live_entities_alone(spark):
     assert rows(ag.hippo_retrieve(mentions, edges, "Anna", 10, rounds=3)) == whole and len(whole) == 3
     number = {r["e"]: r["h"] for r in mentions.select(F.col("entity").alias("e"), F.xxhash64("entity").alias("h")).collect()}
     assert asked[0] == {number["Anna"]} and number["Emil"] not in set().union(*asked) and sum(map(len, asked)) == len(set().union(*asked))
+
+
+def test_retrieval_by_entities_walks_to_all_partners(spark):
+    names = [chr(65 + i % 26) + chr(97 + i // 26) + "x" for i in range(150)]
+    texts = [" and ".join(["Anna", *names]), "Anna or Bert", "Bert, Carl", *[f"{n} by Bert" for n in names[::7]], "Emil or Fritz", "Lone", None, *[f"Anna{chr(97 + i)} 1 Gus{chr(97 + i)}" for i in range(15)]]
+    docs = spark.createDataFrame(list(enumerate(texts)) + [(2, "Carl or Dora")], "id long, text string").repartition(3)
+    mentions = docs.select("id", F.explode(tx.entities(F.col("text"))).alias("entity"))
+    of = {}
+    for r in mentions.collect():
+        of.setdefault(r["id"], set()).add(r["entity"])
+    weight, rank = {}, {}
+    for found in of.values():
+        for a in found:
+            for b in found - {a}:
+                weight.setdefault(a, {}).setdefault(b, 0)
+                weight[a][b] += len(found) ** -0.5
+    seeds = [e for e in set().union(*of.values()) if "anna" in e.lower()]
+    rank = home = {e: 1 / len(seeds) for e in seeds}
+    for _ in range(3):
+        after = {e: 0.15 * x for e, x in home.items()}
+        for e, x in rank.items():
+            for to, w in weight[e].items():
+                after[to] = after.get(to, 0) + 0.85 * x * w / sum(weight[e].values())
+        rank = after
+    assert len(seeds) == 16 and len(weight["Anna"]) > 64
+    want = {i: round(max(rank[e] for e in found if e in rank), 9) for i, found in of.items() if found & set(rank)}
+    for edges in (None, g.entity_graph(docs)):
+        assert {r["id"]: round(r["score"], 9) for r in ag.hippo_retrieve(mentions, edges, "Anna", 1000, rounds=3).collect()} == want
