@@ -141,3 +141,25 @@ def test_retrieval_by_entities_walks_to_all_partners(spark):
     want = {i: round(max(rank[e] for e in found if e in rank), 9) for i, found in of.items() if found & set(rank)}
     for edges in (None, g.entity_graph(docs)):
         assert {r["id"]: round(r["score"], 9) for r in ag.hippo_retrieve(mentions, edges, "Anna", 1000, rounds=3).collect()} == want
+
+
+def test_entity_pairs_are_summed_without_a_shuffle_of_pairs(spark, monkeypatch):
+    monkeypatch.setattr(g, "PAIRS", 7)
+    names = [chr(65 + i % 26) + "abcdefgh"[i // 26] + "x" for i in range(60)]
+    rng = np.random.default_rng(5)
+    texts = [" and ".join(["The", *rng.choice(names, rng.integers(0, 9), replace=True)]) for _ in range(80)] + [None, "", "Lone", "Ab"]
+    rows = list(enumerate(texts)) + [(3, texts[4]), (3, texts[3]), (None, "Null and Nil")]
+    docs = spark.createDataFrame(rows, "id long, text string").repartition(3)
+    of, want = {}, {}
+    for i, text in rows:
+        if i is not None:
+            of.setdefault(i, set()).update(w for w in (text or "").split(" and ") if len(w) > 2)
+    for found in of.values():
+        for a in found:
+            for b in found - {a}:
+                want[a, b] = want.get((a, b), 0) + len(found) ** -0.5
+    made = g.entity_graph(docs)
+    assert "hashpartitioning(from_entity" not in plan(made) and "hashpartitioning(entity" not in plan(made)
+    got = [(r["from_entity"], r["to_entity"], round(r["weight"], 9)) for r in made.collect()]
+    assert sorted(got) == sorted((a, b, round(w, 9)) for (a, b), w in want.items()) and len(got) > 500
+    assert g.entity_graph(docs.limit(0)).count() == 0
