@@ -4,8 +4,7 @@ Documents are ordered by the sum of their weights, heaviest first, and cut into
 ranges of ``block`` documents; a block is what a term has in a range. A folder
 holds, for each generation of added rows::
 
-    heads/gen=<n>/          term, range, top, low, n, sorted by term and range
-    blocks/gen=<n>/zone=<z>/   term, range, entries (id, weight); a zone is ``ZONE`` ranges
+    blocks/gen=<n>/zone=<z>/   term, range, entries (id, weight), top, low, n; a zone is ``ZONE`` ranges
     commits/<n>/            written last: the ranges that the generation starts and ends with
 
 No document of a range scores more than the sum of what its blocks' greatest
@@ -15,8 +14,10 @@ score, and then only those whose own bound reaches it. Answers are exact: with f
 hits in the first pass all ranges are opened.
 
 Ranges hold at most ``block`` documents, so a term that every document has is no
-larger a group than another. Many queries are asked at a time; heads and blocks
-meet them in joins.
+larger a group than another. Many queries are asked at a time; heads (blocks without
+their entries) and blocks meet them in joins. Documents are moved once, as whole rows,
+to the task that writes their range; of what a search opens each range is scored in
+one task, which hands on its best alone.
 """
 
 from __future__ import annotations
@@ -33,6 +34,8 @@ ZONE = 256
 LEAD = 4
 #: More distinct terms or zones than this are joined instead of named in the scan's filter.
 NAMED = 1000
+#: Entries that are dealt together; places of documents, or opened ranges, that are sent to all tasks.
+DEALT, PLACES = 1_000_000, 4_000_000
 COMMIT = "gen int, first long, last long, docs long"
 
 
@@ -49,24 +52,29 @@ class BlockMaxIndex:
 
     def add(self, rows: DataFrame) -> BlockMaxIndex:
         """Add documents whose ids are not in the index yet; null terms and weights, and weights of zero, are left out."""
+        rows = rows.filter("id is not null and term is not null and weight <> 0").groupBy("id", "term").agg(F.sum(F.col("weight").cast("double")).alias("weight"))
+        return self.add_rows(rows.groupBy("id").agg(F.collect_list(F.struct("term", "weight")).alias("entries")))
+
+    def add_rows(self, rows: DataFrame) -> BlockMaxIndex:
+        """Add documents as rows (id, entries (term, weight)), one a document, whose terms differ and have weights other than zero."""
         live = self.commits()
         gen, first = (live[-1]["gen"] + 1, live[-1]["last"] + 1) if live else (0, 0)
         scratch = Scratch(self.spark, "blockmax")
-        rows = rows.filter("id is not null and term is not null and weight <> 0").groupBy("id", "term").agg(F.sum(F.col("weight").cast("double")).alias("weight"))
-        rows = scratch.write(rows, "rows")
-        sizes = rows.groupBy("id").agg(F.sum(F.abs("weight")).alias("size"))
-        placed = with_positions(sizes, F.desc("size"), "id", position="at").select("id", (F.lit(first) + F.floor((F.col("at") - 1) / self.block)).cast("long").alias("range"))
-        blocks = rows.join(placed, "id").groupBy("term", "range").agg(
-            F.array_sort(F.collect_list(F.struct("id", "weight"))).alias("entries"), F.max("weight").alias("top"), F.min("weight").alias("low")
+        rows = scratch.write(rows.filter("id is not null and size(entries) > 0").select("id", "entries"), "rows")
+        sizes = rows.select("id", F.aggregate("entries", F.lit(0.0), lambda s, e: s + F.abs(e["weight"])).alias("size"), F.size("entries").cast("long").alias("n"))
+        placed = with_positions(sizes, F.desc("size"), "id", position="at", total="n")
+        placed = scratch.write(placed.select("id", (F.lit(first) + F.floor((F.col("at") - 1) / self.block)).cast("long").alias("range"), "used"), "placed")
+        deals = placed.groupBy("range").agg(F.floor(F.max("used") / DEALT).alias("deal"))
+        dealt = rows.join(small(placed.join(small(deals), "range").select("id", "range", "deal"), PLACES), "id").repartition("deal")
+        each = dealt.select("deal", F.floor(F.col("range") / ZONE).cast("int").alias("zone"), "range", "id", F.inline("entries"))
+        blocks = each.groupBy("deal", "zone", "term", "range").agg(
+            F.array_sort(F.collect_list(F.struct("id", "weight"))).alias("entries"), F.max("weight").alias("top"), F.min("weight").alias("low"), F.count(F.lit(1)).cast("int").alias("n")
         )
-        blocks = scratch.write(blocks.withColumn("zone", F.floor(F.col("range") / ZONE).cast("int")), "blocks")
-        heads = blocks.select("term", "range", "top", "low", F.size("entries").alias("n"))
-        heads.repartitionByRange("term", "range").sortWithinPartitions("term", "range").write.mode("overwrite").parquet(f"{self.path}/heads/gen={gen}")
-        blocks.select("term", "range", "entries", "zone").repartitionByRange("zone", "term").sortWithinPartitions("zone", "term", "range").write.mode("overwrite").partitionBy("zone").parquet(f"{self.path}/blocks/gen={gen}")
+        blocks.drop("deal").sortWithinPartitions("zone", "term", "range").write.mode("overwrite").partitionBy("zone").parquet(f"{self.path}/blocks/gen={gen}")
         docs, last = placed.agg(F.count(F.lit(1)), F.coalesce(F.max("range"), F.lit(first - 1))).first()
         row = self.spark.range(1).select(F.lit(gen).alias("gen"), F.lit(first).alias("first"), F.lit(last).alias("last"), F.lit(docs).alias("docs"))
         row.coalesce(1).write.mode("overwrite").json(f"{self.path}/commits/{gen}")
-        scratch.drop("rows", "blocks")
+        scratch.drop("rows", "placed")
         return self
 
     def _read(self, what: str, schema: str) -> DataFrame:
@@ -76,7 +84,7 @@ class BlockMaxIndex:
         return self.spark.read.schema(schema).option("basePath", f"{self.path}/{what}").parquet(*[f"{self.path}/{what}/gen={g}" for g in held])
 
     def heads(self) -> DataFrame:
-        return self._read("heads", "term string, range long, top double, low double, n int")
+        return self._read("blocks", "term string, range long, top double, low double, n int")
 
     def blocks(self) -> DataFrame:
         return self._read("blocks", "term string, range long, entries array<struct<id: long, weight: double>>, zone int")
@@ -98,9 +106,10 @@ class BlockMaxIndex:
         near = opened.withColumn("zone", F.floor(F.col("range") / ZONE).cast("int"))
         held = self._named(self._named(self.blocks(), "zone", near), "term", queries)
         held = self._named(held, "range", near)
-        wanted = near.select("qid", "range").join(small(queries), "qid")
-        met = held.select("term", "range", "entries").join(wanted, ["term", "range"])
-        return met.select("qid", "q", F.inline("entries")).groupBy("qid", "id").agg(F.sum(F.col("weight") * F.col("q")).alias("score"))
+        held = held.join(small(queries.select("term").distinct()), "term", "left_semi").join(small(near.select("range").distinct()), "range", "left_semi")
+        met = held.select("term", "range", "entries").repartition("range").join(small(queries), "term").join(small(near.select("qid", "range"), PLACES), ["qid", "range"])
+        scored = met.select("qid", "range", "q", F.inline("entries")).groupBy("range", "qid", "id").agg(F.sum(F.col("weight") * F.col("q")).alias("score"))
+        return scored.select("qid", "id", "score")
 
     def passes(self, queries: DataFrame, k: int, scratch: Scratch) -> tuple[DataFrame, DataFrame, DataFrame]:
         """(qid, range) opened first, the hits in them, and (qid, range) that is opened after."""

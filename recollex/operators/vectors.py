@@ -289,6 +289,32 @@ def sparse_encode(docs: DataFrame, *, text: str = "text", top: int | None = None
     return rows.withColumn("r", F.row_number().over(order)).filter(F.col("r") <= top).drop("r")
 
 
+def sparse_rows(docs: DataFrame, *, text: str = "text") -> DataFrame:
+    """(id, entries (term, weight)): the vector of ``sparse_encode`` of each document as one row, counted within it, so that nothing but texts of repeated ids is shuffled."""
+    from recollex.functions.text import tokens
+
+    words = docs.select(F.col("id").cast("long").alias("id"), tokens(F.col(text)).alias("words")).filter("id is not null")
+    again = docs.groupBy(F.col("id").cast("long").alias("id")).agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("id")
+    if not again.isEmpty():
+        several = words.join(again, "id", "left_semi").groupBy("id").agg(F.flatten(F.collect_list("words")).alias("words"))
+        words = words.join(again, "id", "left_anti").unionByName(several)
+    small_batches(docs.sparkSession)
+    return words.mapInArrow(_counted, "id long, entries array<struct<term: string, weight: double>>")
+
+
+def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(id, entries) of rows (id, words): 1 + ln of how often a row has a word."""
+    for batch in batches:
+        words = batch.column("words")
+        coded = pc.dictionary_encode(words.flatten())
+        row = np.repeat(np.arange(len(words)), pc.fill_null(pc.list_value_length(words), 0).to_numpy(zero_copy_only=False))
+        size = max(len(coded.dictionary), 1)
+        key, times = np.unique(row * size + coded.indices.to_numpy(zero_copy_only=False), return_counts=True)
+        entries = pa.StructArray.from_arrays([coded.dictionary.take(pa.array(key % size)).cast(pa.string()), pa.array(1 + np.log(times))], ["term", "weight"])
+        ends = np.searchsorted(key, np.arange(len(words) + 1) * size).astype(np.int32)
+        yield pa.RecordBatch.from_arrays([batch.column("id"), pa.ListArray.from_arrays(pa.array(ends), entries)], ["id", "entries"])
+
+
 #: Entries of the vocabulary that words are expanded into, and entries a word.
 EXPANDED, SPREAD = 30_522, 4
 

@@ -1,8 +1,12 @@
 """Block-max search against all sums of products."""
 
+import re
+
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
+from recollex.operators import vectors as vs
 from recollex.operators.blockmax import BlockMaxIndex
 
 ROW, ASKED = "id long, term string, weight double", "qid long, term string, q double"
@@ -78,3 +82,19 @@ def test_scan_names_terms_and_zones(spark, tmp_path):
     scan = next(line for line in plan.splitlines() if "FileScan" in line and "entries" in line)
     assert "PartitionFilters: [isnotnull(zone" in scan and "(zone" in scan
     assert "EqualTo(term,t1)" in scan and ("In(range" in scan or "EqualTo(range" in scan)
+
+
+def test_postings_are_not_shuffled_and_ranges_hand_on_their_best(spark, tmp_path):
+    rows = [(1, "B a a b b"), (2, None), (3, ""), (4, "x " * 300 + "é"), (5, "A-a"), (5, "c a"), (None, "a")]
+    docs = spark.createDataFrame(rows, "id long, text string").repartition(2)
+    made = vs.sparse_rows(docs)
+    one = vs.sparse_rows(docs.filter("id < 5"))._jdf.queryExecution().executedPlan().toString()
+    assert "hashpartitioning(" not in one  # nothing is dealt by id or term
+    want = sorted((r["id"], r["term"], round(r["weight"], 9)) for r in vs.sparse_encode(docs.filter("id is not null")).collect())
+    assert sorted((r["id"], e["term"], round(e["weight"], 9)) for r in made.collect() for e in r["entries"]) == want and len(want) == 6
+    held = corpus(500, 20, 6)
+    index = BlockMaxIndex(spark, str(tmp_path), block=16).add_rows(spark.createDataFrame(held, ROW).groupBy("id").agg(F.collect_list(F.struct("term", "weight")).alias("entries")))
+    queries = [(q, t, w) for q in range(4) for t, w in ((f"t{q}", 1.0), ("all", 0.2))]
+    found = index.search_batch(spark.createDataFrame(queries, ASKED), 10)
+    assert answers(found) == brute(held, queries, 10)
+    assert not re.search(r"hashpartitioning\(qid#\d+L?, id#", found._jdf.queryExecution().executedPlan().toString())  # sums are not dealt by query and document
