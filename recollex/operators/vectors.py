@@ -33,8 +33,9 @@ def knn_join(queries: DataFrame, vectors: DataFrame, k: int, *, dim: int, metric
     """(qid, rank, id, distance) for each query, exact; ties go to the smaller id.
 
     Both sides are packed into rows of at most ``block`` vectors. A row of queries
-    meets a row of vectors as one matrix product in some task, which hands on the k
-    nearest of each query; a window with a group limit merges them. All is one job,
+    meets a row of vectors as one matrix product in some task, which keeps the k
+    nearest of each query over all its products, so that a tile adds little, and hands
+    them on at its end; a window with a group limit merges them. All is one job,
     and nothing but a count passes through the driver. Queries of at most
     ``BROADCAST_BYTES`` go to all tasks; more are dealt, and the packed vectors are
     then written once and read again for each partition of queries. Null vectors,
@@ -78,25 +79,82 @@ def _bytes(part: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame({"ids": [part["id"].to_numpy(np.int64).tobytes()], "matrix": [np.stack(part["embedding"].to_list()).astype(np.float64).tobytes()]})
 
 
+#: Hits that a task holds of the query rows it has met; beyond that the earliest are handed on.
+HELD_HITS = 4_000_000
+
+
 def _nearest_in_tiles(dim: int, k: int, metric: str):
+    """The k nearest of each query in all tiles of a task: a tile only adds what isn't farther than the k-th held so far."""
+
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held: dict[bytes, tuple] = {}
+        hits = lambda key, kept: pd.DataFrame({"qid": np.frombuffer(key, np.int64)[kept[0]], "id": kept[1], "distance": kept[2]})
         for batch in batches:
             for tile in batch.itertuples(index=False):
                 q, x = np.frombuffer(tile.queries).reshape(-1, dim), np.frombuffer(tile.matrix).reshape(-1, dim)
-                dots = q @ x.T
-                if metric == "l2":
-                    d = np.sqrt(np.maximum((q**2).sum(1)[:, None] + (x**2).sum(1)[None] - 2 * dots, 0))
-                elif metric == "dot":
-                    d = -dots
+                ids, kept = np.frombuffer(tile.ids, np.int64), held.pop(tile.qids, None)
+                if kept is None:
+                    d = np.round(_distances(q, x, metric), 9)
+                    row, near = _least(d, min(k, d.shape[1]))
+                    held[tile.qids] = _ranked(row, ids[near], d[row, near], k, len(q))
                 else:
-                    length = np.linalg.norm(q, axis=1)[:, None] * np.linalg.norm(x, axis=1)[None]
-                    d = 1 - np.divide(dots, length, out=np.zeros_like(dots), where=length > 0)
-                row, near = _least(np.round(d, 9), min(k, d.shape[1]))
-                yield pd.DataFrame({"qid": np.frombuffer(tile.qids, np.int64)[row], "id": np.frombuffer(tile.ids, np.int64)[near], "distance": d[row, near]})
+                    held[tile.qids] = _nearer(q, x, ids, kept, k, metric)
+                while len(held) > 1 and sum(len(h[0]) for h in held.values()) > HELD_HITS:
+                    first = next(iter(held))
+                    yield hits(first, held.pop(first))
+        for key, kept in held.items():
+            yield hits(key, kept)
 
     return run
 
 
+def _distances(q: np.ndarray, x: np.ndarray, metric: str) -> np.ndarray:
+    dots = q @ x.T
+    if metric == "l2":
+        return np.sqrt(np.maximum((q**2).sum(1)[:, None] + (x**2).sum(1)[None] - 2 * dots, 0))
+    if metric == "dot":
+        return -dots
+    length = np.linalg.norm(q, axis=1)[:, None] * np.linalg.norm(x, axis=1)[None]
+    return 1 - np.divide(dots, length, out=np.zeros_like(dots), where=length > 0)
+
+
+def _unit(x: np.ndarray) -> np.ndarray:
+    length = np.linalg.norm(x, axis=1)[:, None]
+    return np.divide(x, length, out=np.zeros_like(x), where=length > 0)
+
+
+def _nearer(q: np.ndarray, x: np.ndarray, ids: np.ndarray, kept: tuple, k: int, metric: str) -> tuple:
+    """What is kept of queries, (row, id, distance, the k-th distance of each row), with a tile's vectors that come as near."""
+    last = kept[3]
+    if metric == "cosine":
+        # Floats of 32 bits rule out, within their error; the rest is measured in 64.
+        u, v = _unit(q), _unit(x)
+        bound = (1 - last - 1.2e-7 * (q.shape[1] + 8) - 1e-8).astype(np.float32)
+        row, near = np.nonzero(~(u.astype(np.float32) @ v.astype(np.float32).T < bound[:, None]))
+        d = np.round(1 - np.einsum("ij,ij->i", u[row], v[near]), 9)
+    else:
+        d = np.round(_distances(q, x, metric), 9)
+        row, near = np.nonzero(~(d > last[:, None]))
+        d = d[row, near]
+    good = ~(d > last[row])
+    if not good.any():
+        return kept
+    row, near, d = row[good], near[good], d[good]
+    return _ranked(np.concatenate([kept[0], row]), np.concatenate([kept[1], ids[near]]), np.concatenate([kept[2], d]), k, len(q))
+
+
+def _ranked(row: np.ndarray, ids: np.ndarray, d: np.ndarray, k: int, n: int) -> tuple:
+    """The first k of each row by distance, then id; and the k-th distance, infinite where there are fewer or it is none."""
+    order = np.lexsort((ids, d, row))
+    row, ids, d = row[order], ids[order], d[order]
+    taken = np.arange(len(row)) - np.searchsorted(row, row) < k
+    row, ids, d = row[taken], ids[taken], d[taken]
+    ends, last = np.searchsorted(row, np.arange(n), side="right"), np.full(n, np.inf)
+    full = np.bincount(row, minlength=n) == k
+    last[full] = d[ends[full] - 1]
+    return row, ids, d, np.where(np.isnan(last), np.inf, last)
+
+
 def _least(d: np.ndarray, m: int) -> tuple[np.ndarray, np.ndarray]:
     """Rows and columns of the m least values of each row; of equal ones the first."""
     last = np.partition(d, m - 1, axis=1)[:, m - 1 : m]

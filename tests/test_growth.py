@@ -1,10 +1,12 @@
 """Steps whose work must follow the input: what they shuffle, hold and hand to Python."""
 
 import numpy as np
+import pandas as pd
+import pytest
 from pyspark.sql import functions as F
 
 from recollex.functions import scores, text as tx
-from recollex.operators import agent as ag, forest as fr, gazetteer as gz, graph as g, memory as mm, plugins as pg
+from recollex.operators import agent as ag, forest as fr, gazetteer as gz, graph as g, memory as mm, plugins as pg, vectors as vs
 from recollex.operators.textindex import TextIndex
 from recollex.plans import search_queries as sq
 from recollex.sources import files
@@ -163,3 +165,27 @@ def test_entity_pairs_are_summed_without_a_shuffle_of_pairs(spark, monkeypatch):
     got = [(r["from_entity"], r["to_entity"], round(r["weight"], 9)) for r in made.collect()]
     assert sorted(got) == sorted((a, b, round(w, 9)) for (a, b), w in want.items()) and len(got) > 500
     assert g.entity_graph(docs.limit(0)).count() == 0
+
+
+@pytest.mark.parametrize("metric", ["cosine", "l2", "dot"])
+@pytest.mark.parametrize("most", [10**6, 50])
+def test_a_task_hands_on_the_nearest_of_all_its_tiles(monkeypatch, metric, most):
+    monkeypatch.setattr(vs, "HELD_HITS", most)
+    rng = np.random.default_rng(6)
+    x = rng.standard_normal((90, 8)).round(2)
+    x[1::3], x[5], x[40:60:3] = x[1], 0, x[41] + 1e-8  # copies, a null vector, and what 32 bits can't tell apart
+    ids = np.arange(90)
+    pack = lambda a, b: {"ids": ids[a:b].astype(np.int64).tobytes(), "matrix": x[a:b].tobytes()}
+    asked = [{"qids": pack(a, b)["ids"], "queries": pack(a, b)["matrix"]} for a, b in ((0, 50), (50, 90))]
+    tiles = [q | pack(a, a + 18) for a in (72, 0, 36, 18, 54) for q in asked]
+    made = pd.concat(vs._nearest_in_tiles(8, 7, metric)(pd.DataFrame([t]) for t in tiles))
+    d = np.round(vs._distances(x, x, metric), 9)
+    d = d if metric != "l2" else np.round(np.linalg.norm(x[:, None] - x[None], axis=2), 9)
+    if most > 1000:
+        assert len(made) == 90 * 7  # and not that for each of five tiles
+    got = {q: sorted(zip(rows["distance"], rows["id"], strict=True))[:7] for q, rows in made.groupby("qid")}
+    for q in range(90):
+        want = sorted(zip(d[q], ids, strict=True))[:7]
+        assert np.allclose([r[0] for r in got[q]], [w[0] for w in want], atol=1e-6)
+        if metric == "cosine":
+            assert all(r[1] == w[1] or abs(r[0] - w[0]) <= 1.1e-9 for r, w in zip(got[q], want, strict=True))
